@@ -8,10 +8,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.labels import clean_path, language_code, source_of
-from lectern.llm import lookalike, tokens
+from lectern.llm import boilerplate, lookalike, splitting, tokens
 from lectern.sources.tables import latest, table
 
 
+def _oversized(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest delivery of every chunk that is longer than its limit, with its configuration.
+
+    Deliveries of a chunk have the same text, so the lengths are tested before
+    the deliveries are compared and only oversized texts are shuffled.
+    """
+    limits = table(spark, folder, "chunking_configurations").select("config_id", "hard_max_characters", "maximum_context_characters_per_side")
+    c = table(spark, folder, "chunks").select("document_id", "chunk_id", "text", "section_path", "config_id", "generated_at").join(limits, "config_id")
+    return latest(c.filter(F.char_length("text") > F.col("hard_max_characters")), ["document_id", "chunk_id"], "generated_at")
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(_oversized(spark, folder), ["document_id", "chunk_id"], "text", "hard_max_characters", "maximum_context_characters_per_side", "section_path")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_pieces(spark, folder).filter("part_no = 1 and n_parts > 1").select("document_id", "chunk_id")
+
+
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    """``document_id, source`` of the documents that are not likely scans."""
+    d = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "source_relative_path", "classification"])
+    return d.filter(~F.col("classification").eqNullSafe("likely_scanned")).select("document_id", source_of(F.col("source_relative_path")).alias("source"))
+
+
+def _boilerplate(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sources = _sources(spark, folder)
+    columns = ["document_id", "block_id", "block_type", "page", "reading_order", "text"]
+    b = table(spark, folder, "blocks").select(*columns).filter(~F.coalesce(F.col("block_type"), F.lit("")).isin("title", "heading"))
+    sizes = sources.groupBy("source").agg(F.count(F.lit(1)).alias("source_documents"))
+    return b, boilerplate.boilerplate(b.join(sources, "document_id"), sizes)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _boilerplate(spark, folder)[1].select("document_id", "block_id", F.col("line_no").cast("int").alias("line_no"))
+
+
+def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.without_lines(blocks(spark, folder, "text"), _boilerplate(spark, folder)[1])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.disguised_excerpts(blocks(spark, folder, "text", "source_excerpt"), ["document_id", "block_id"], "text", "source_excerpt")
 
@@ -59,4 +100,4 @@ def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_texts, p7_totals, p7_tokens, p8_ids)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids)}
