@@ -8,10 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.labels import clean_path, language_code, source_of
-from lectern.llm import boilerplate, lookalike, splitting, tokens
+from lectern.llm import boilerplate, lookalike, scans, splitting, tokens
 from lectern.sources.tables import latest, table
 
 
+def _scans(spark: SparkSession, folder: str) -> scans.ScanText:
+    """Raw blocks and the blocks of likely scans as items; a missing title is taken from the document's first page."""
+    about = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "title", "classification"])
+    raw = table(spark, folder, "raw_blocks").select("document_id", F.col("raw_block_id").alias("item_id"), F.col("location_number").alias("page"), F.col("block_ordinal").alias("place"), "text").distinct()
+    scanned = about.filter("classification = 'likely_scanned'").select("document_id")
+    every = table(spark, folder, "blocks").select("document_id", "block_id", "page", "reading_order", "text", "ingested_at")
+    mine = latest(every.join(scanned, "document_id", "left_semi"), ["document_id", "block_id"], "ingested_at", ["document_id", "block_id", "page", "reading_order", "text"])
+    items = raw.unionByName(mine.select("document_id", F.col("block_id").alias("item_id"), "page", F.col("reading_order").alias("place"), "text"))
+    first = items.filter((F.col("page") == 1) & (F.trim("text") != "")).groupBy("document_id").agg(F.min_by("text", F.struct("place", "item_id")).alias("first"))
+    short = F.when((F.length("first") < 150) & ~F.col("first").rlike(r"[.!?]\s|\n"), F.col("first"))
+    titles = first.join(about.select("document_id", "title"), "document_id", "full").select("document_id", F.coalesce("title", short).alias("title"))
+    return scans.scan_text(items, titles, every.select("document_id", "text").join(scanned, "document_id", "left_anti"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).noise()
+
+
+def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).repaired()
+
+
 def _oversized(spark: SparkSession, folder: str) -> DataFrame:
     """The latest delivery of every chunk that is longer than its limit, with its configuration.
 
@@ -100,4 +122,4 @@ def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids)}
