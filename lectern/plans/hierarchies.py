@@ -51,7 +51,7 @@ SELECT r.document_id, r.section_id, r.cycle_section_id, CAST(onc.section_id IS N
 FROM r LEFT JOIN onc ON onc.document_id = r.document_id AND onc.section_id = r.section_id""",
     "p5_paths": _TREE
     + """, d AS (SELECT document_id, section_id, count(*) - 1 AS n FROM (SELECT document_id, unnest(ids) AS section_id FROM w) GROUP BY 1, 2)
-SELECT n.document_id, n.section_id, array_to_string(list_transform(w.path, x -> coalesce(x, '-')), ' / ') AS path, w.depth, w.root_id, d.n AS n_descendants
+SELECT n.document_id, n.section_id, array_to_string(list_transform(w.path, lambda x: coalesce(x, '-')), ' / ') AS path, w.depth, w.root_id, d.n AS n_descendants
 FROM n LEFT JOIN w USING (document_id, section_id) LEFT JOIN d USING (document_id, section_id)""",
     "p5_descendants": _TREE
     + """ SELECT document_id, ids[i] AS section_id, section_id AS descendant_id, CAST(len(ids) - i AS INTEGER) AS distance
