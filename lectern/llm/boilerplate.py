@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.graph import connected_components
+from lectern.session import cut_lineage
 
 #: A line must stand in so many documents of its source ...
 LEAST_DOCUMENTS = 3
@@ -13,62 +14,66 @@ LEAST_DOCUMENTS = 3
 ONE_IN = 20
 
 
-def letter_runs(line: Column) -> Column:
-    """The runs of letters of a line in lower case: what makes two lines the same."""
-    return F.regexp_extract_all(F.lower(line), F.lit(r"(\p{L}+)"), F.lit(1))
+#: So many boilerplate lines at most are broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 100_000
 
 
-def line_occurrences(blocks: DataFrame) -> DataFrame:
-    """``source, document_id, block_id, page, reading_order, line_no, line`` of every line with three or more runs of letters.
+def line_key(line: Column) -> Column:
+    """The runs of letters of a line in lower case, divided by single spaces: what makes two lines the same."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
 
-    ``line`` is a 16-byte hash of the runs, so what is shuffled later does not
-    grow with the length of lines. Null and empty texts have no lines.
-    """
-    runs = letter_runs(F.col("l.line"))
-    return (
-        blocks.select("source", "document_id", "block_id", "page", "reading_order", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .withColumn("l", F.struct("line"))
-        .withColumn("runs", runs)
-        .filter(F.size("runs") >= 3)
-        .select("source", "document_id", "block_id", "page", "reading_order", (F.col("at") + 1).alias("line_no"), F.unhex(F.md5(F.array_join("runs", " "))).alias("line"))
-    )
-
-
-def repeated_lines(lines: DataFrame, sizes: DataFrame, least: int = LEAST_DOCUMENTS, one_in: int = ONE_IN) -> DataFrame:
-    """``source, line, n_documents, component``: the boilerplate lines of every source and the block each belongs to.
-
-    ``lines`` as from :func:`line_occurrences`; ``sizes`` is ``source,
-    source_documents``. The nodes of the graph are the lines of a source, with
-    the number of documents as weight; an edge joins two lines that follow
-    each other on a page, weighted likewise. Nodes and edges below the support
-    go; connected components are the blocks. A line without edges is a block
-    of its own. Supports are counted over (source, line, document) after
-    map-side de-duplication, so a source with a third of the rows is no hot
-    key; the order on a page is taken among kept lines only.
+
+def line_occurrences(blocks: DataFrame, *columns: str) -> DataFrame:
+    """``columns, line_no, line`` of every line with three or more runs of letters.
+
+    ``line`` is a 16-byte hash of the runs, so nothing that is shuffled later
+    grows with the length of lines. Null and empty texts have no lines.
     """
-    enough = (F.col("n_documents") >= least) & (F.col("n_documents") * one_in >= F.col("source_documents"))
-    support = lambda df, *key: df.select("source", *key, "document_id").distinct().groupBy("source", *key).agg(F.count(F.lit(1)).alias("n_documents"))
-    nodes = support(lines, "line").join(sizes, "source").filter(enough).select("source", "line", "n_documents")
-    kept = lines.join(nodes.select("source", "line"), ["source", "line"], "left_semi")
-    page = Window.partitionBy("source", "document_id", "page").orderBy("reading_order", "block_id", "line_no")
-    pairs = kept.select("source", "document_id", "line", F.lead("line").over(page).alias("next")).filter("next is not null and next <> line")
-    edges = support(pairs, "line", "next").join(sizes, "source").filter(enough)
-    ident = lambda c: F.unhex(F.md5(F.concat(F.col("source").cast("binary"), F.lit(b"\x00"), F.col(c))))
-    parts = connected_components(edges.select(ident("line").alias("a"), ident("next").alias("b")))
-    named = nodes.withColumn("node", ident("line")).join(parts, "node", "left")
-    return named.select("source", "line", "n_documents", F.hex(F.coalesce("component", "node")).alias("component"))
+    lines = blocks.select(*columns, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("key", line_key(F.col("line")))
+    return lines.filter(F.col("key").rlike("^[^ ]+ [^ ]+ .")).select(*columns, (F.col("at") + 1).alias("line_no"), F.unhex(F.md5("key")).alias("line"))
 
 
-def boilerplate(blocks: DataFrame, sizes: DataFrame, least: int = LEAST_DOCUMENTS, one_in: int = ONE_IN) -> DataFrame:
+def boilerplate(blocks: DataFrame, sources: DataFrame, least: int = LEAST_DOCUMENTS, one_in: int = ONE_IN) -> DataFrame:
     """``document_id, block_id, line_no, component`` of every occurrence of a boilerplate line.
 
-    ``blocks``: ``source, document_id, block_id, page, reading_order, text``,
-    in which repeated rows count once. Rows with a null source belong to no
-    source and make no case.
+    ``blocks``: ``document_id, block_id, page, reading_order, text``, in which
+    repeated rows count once; ``sources``: ``document_id, source`` of the
+    documents that count. The nodes of a source's graph are its lines, weighted
+    by the number of documents they stand in; an edge joins two lines that
+    follow each other on a page, weighted likewise. Nodes and edges stay if
+    ``least`` documents and one in ``one_in`` of the source's have them.
+    Connected components of what stays are the boilerplate blocks, a line
+    without edges being one by itself, and their lines' occurrences are
+    returned. Documents without a source, or whose source is null, make no case.
+
+    Texts are read twice, first for the support and then for the occurrences,
+    and never shuffled: only hashes are. Support is counted over distinct
+    (source, line, document), combined before the shuffle, so neither a source
+    nor a document with a third of the rows is a hot key. The lines that stay
+    are at most twenty times the lines of an average document for each source;
+    they are broadcast if their count, which is taken, is small, and joined by
+    shuffle otherwise.
     """
-    lines = line_occurrences(blocks.filter("source is not null")).distinct()
-    found = repeated_lines(lines, sizes, least, one_in)
-    return lines.join(found, ["source", "line"]).select("document_id", "block_id", "line_no", "component")
+    owned = sources.filter("source is not null")
+    sizes = owned.groupBy("source").agg(F.count(F.lit(1)).alias("source_documents"))
+    enough = (F.col("n_documents") >= least) & (F.col("n_documents") * one_in >= F.col("source_documents"))
+    support = lambda df, *key: df.select("source", *key, "document_id").distinct().groupBy("source", *key).agg(F.count(F.lit(1)).alias("n_documents")).join(sizes, "source").filter(enough)
+
+    every = line_occurrences(blocks, "document_id").select("document_id", "line").join(owned, "document_id")
+    doc = F.unhex(F.md5("document_id")).alias("document_id")
+    nodes = cut_lineage(support(every.select("source", "line", doc), "line").select("source", "line"))
+    few = nodes.count() <= BROADCAST_LINES
+    sized = F.broadcast if few else (lambda df: df)
+    where = ["document_id", "block_id", "page", "reading_order"]
+    seen = line_occurrences(blocks, *where).join(sized(nodes.select("line").distinct()), "line", "left_semi")
+    kept = cut_lineage(seen.distinct().join(owned, "document_id").join(sized(nodes), ["source", "line"], "left_semi"))
+
+    page = Window.partitionBy("source", "document_id", "page").orderBy("reading_order", "block_id", "line_no")
+    pairs = kept.select("source", "document_id", "line", F.lead("line").over(page).alias("next")).filter("next is not null and next <> line")
+    ident = lambda c: F.unhex(F.md5(F.concat(F.col("source").cast("binary"), F.lit(b"\x00"), F.col(c))))
+    parts = connected_components(support(pairs, "line", "next").select(ident("line").alias("a"), ident("next").alias("b")))
+    named = nodes.withColumn("node", ident("line")).join(parts, "node", "left").select("source", "line", F.hex(F.coalesce("component", "node")).alias("component"))
+    return kept.join(sized(named), ["source", "line"]).select("document_id", "block_id", "line_no", "component")
 
 
 def without_lines(blocks: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:

@@ -8,10 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.labels import clean_path, language_code, source_of
-from lectern.llm import boilerplate, lookalike, scans, splitting, tokens
+from lectern.llm import boilerplate, lookalike, pairs, scans, splitting, tokens
 from lectern.sources.tables import latest, table
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ["document_id", "transformation_id"]
+    rows = latest(table(spark, folder, "model_transformations"), keys, "ingested_at", [*keys, "original_text", "reconstructed_text"])
+    return pairs.defective_pairs(rows, latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "language"]))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.one_defect(_pairs(spark, folder))
+
+
+def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder).select("document_id", "transformation_id", F.explode("labels").alias("x")).select("document_id", "transformation_id", "x.defect", "x.posterior")
+
+
 def _scans(spark: SparkSession, folder: str) -> scans.ScanText:
     """Raw blocks and the blocks of likely scans as items; a missing title is taken from the document's first page."""
     about = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "title", "classification"])
@@ -63,8 +77,7 @@ def _boilerplate(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     sources = _sources(spark, folder)
     columns = ["document_id", "block_id", "block_type", "page", "reading_order", "text"]
     b = table(spark, folder, "blocks").select(*columns).filter(~F.coalesce(F.col("block_type"), F.lit("")).isin("title", "heading"))
-    sizes = sources.groupBy("source").agg(F.count(F.lit(1)).alias("source_documents"))
-    return b, boilerplate.boilerplate(b.join(sources, "document_id"), sizes)
+    return b, boilerplate.boilerplate(b, sources)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,4 +135,4 @@ def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids)}
