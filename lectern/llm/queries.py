@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.labels import clean_path, language_code, source_of
-from lectern.llm import boilerplate, lookalike, pairs, scans, splitting, tokens
+from lectern.llm import boilerplate, lookalike, mixture, pairs, reading, scans, splitting, tokens
 from lectern.sources.tables import latest, table
 
 
@@ -128,6 +128,31 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
 
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", clean_path(F.col("source")).alias("source"))
+    return mixture.mix_sources(docs, table(spark, folder, "mixture_targets"))
+
+
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.actual_shares(_mixed(spark, folder), table(spark, folder, "mixture_targets"))
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_examples"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder).filter("n_words >= 30").select("doc_id", "reading_level")
+
+
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder)
+
+
 def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The latest delivery of every block, with the named columns."""
     keys = ["document_id", "block_id"]
@@ -135,4 +160,4 @@ def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids, p9_selection, p9_shares, p10_found, p10_levels)}
