@@ -16,6 +16,9 @@ LEVELS = 3
 #: Graded passages used for fitting at most; more are an error.
 MOST_EXAMPLES = 5_000
 
+#: How much more the weights of a sentence's length and word length are shrunk than those of words and characters.
+SHAPE_RIDGE = 5.0
+
 #: Words of a sentence that count in full; shorter stretches (headings, list marks) weigh less.
 FULL_WORDS = 6
 
@@ -142,18 +145,18 @@ def sentence_probabilities(sums: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return _softmax(sums[:, :LEVELS] / n + _shape_features(sums) @ shape)
 
 
-def _fit_softmax(x: np.ndarray, q: np.ndarray, ridge: np.ndarray, rounds: int = 250) -> np.ndarray:
-    """Softmax regression on soft targets with a ridge per feature: gradient descent with momentum."""
+def _fit_softmax(x: np.ndarray, q: np.ndarray, ridge: float, rounds: int = 250) -> np.ndarray:
+    """Softmax regression on soft targets with a ridge: gradient descent with momentum."""
     w, speed = np.zeros((x.shape[1], q.shape[1])), 0.0
-    step = 1.0 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + ridge.max())
+    step = 1.0 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + ridge)
     for _ in range(rounds):
-        g = x.T @ (_softmax(x @ w) - q) / len(x) + ridge[:, None] * w
+        g = x.T @ (_softmax(x @ w) - q) / len(x) + ridge * w
         speed = 0.9 * speed - step * g
         w = w + speed
     return w
 
 
-def _fit_sentences(x: np.ndarray, of: np.ndarray, level: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+def _fit_sentences(x: np.ndarray, of: np.ndarray, level: np.ndarray, ridge: float) -> np.ndarray:
     """The sentence model from passages of known level, by expectation maximisation: a passage is mostly, not only, made of sentences of its level."""
     q = np.eye(LEVELS)[level[of]]
     mix = np.full((LEVELS, LEVELS), 0.15) + 0.55 * np.eye(LEVELS)
@@ -170,7 +173,8 @@ def _fit_sentences(x: np.ndarray, of: np.ndarray, level: np.ndarray, ridge: np.n
 def fit(examples: list[tuple[str, int]], folds: int = 5, ridge: float = 2e-4) -> Model:
     """Fit both models on graded passages (text, level from 1).
 
-    Sentence weights are shrunk towards 0. The document model maps the mean
+    Sentence weights are shrunk towards 0; they are found in the space of the
+    sentences (there are fewer of them than features), which gives the same. The document model maps the mean
     distribution of a passage's sentences to its level; it is fitted on
     distributions that come from sentence models which have not seen the
     passage, so it is calibrated for new documents.
@@ -195,8 +199,11 @@ def fit(examples: list[tuple[str, int]], folds: int = 5, ridge: float = 2e-4) ->
     common = (x[:, :n_features] > 0).sum(0) >= 2
     keep = np.append(common, [True] * 3)
     of = np.searchsorted(rows, first, side="right") - 1
-    shrink = np.append(np.full(int(common.sum()), ridge), [1e-3] * 3)
-    x = x[:, keep]
+    scale = 1 / np.sqrt(np.append(np.ones(int(common.sum())), [SHAPE_RIDGE] * 3))
+    scaled = x[:, keep] * scale
+    values, vectors = np.linalg.eigh(scaled @ scaled.T)
+    some = values > 1e-9 * values.max()
+    x = vectors[:, some] * np.sqrt(values[some])
     means = np.zeros((len(examples), LEVELS))
     fold = np.arange(len(examples)) % folds
     weight = np.minimum(sums[:, LEVELS], FULL_WORDS) / FULL_WORDS
@@ -211,9 +218,9 @@ def fit(examples: list[tuple[str, int]], folds: int = 5, ridge: float = 2e-4) ->
     for k in range(folds):
         train, test = fold[of] != k, np.flatnonzero(fold[of] == k)
         if train.any() and len(test):
-            means[fold == k] = mean(_fit_sentences(x[train], of[train], level, shrink), test)[fold == k]
-    w = _fit_sentences(x, of, level, shrink)
-    document = _fit_softmax(np.column_stack([means, np.ones(len(examples))]), np.eye(LEVELS)[level], np.full(LEVELS + 1, 1e-3), 2000)
+            means[fold == k] = mean(_fit_sentences(x[train], of[train], level, ridge), test)[fold == k]
+    w = scale[:, None] * (scaled.T @ (vectors[:, some] / np.sqrt(values[some]) @ _fit_sentences(x, of, level, ridge)))
+    document = _fit_softmax(np.column_stack([means, np.ones(len(examples))]), np.eye(LEVELS)[level], 1e-3, 2000)
     names = [g for g, i in features.items() if common[i]]
     return Model({g: i for i, g in enumerate(names)}, w[: len(names)], w[len(names) :], document)
 
