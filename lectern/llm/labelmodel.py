@@ -11,24 +11,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Defect:
-    """A defect's labelling functions (columns of -1, 0, 1) and what is believed before any row is seen: the share of defective rows and, per function, how often it votes 1 on defective and on sound rows."""
+    """A defect and what is believed of it before any row is seen: the share of defective rows and, for each labelling function, how often it votes 1 on defective and on sound rows."""
 
     name: str
-    votes: dict[str, Column]
     share: float
-    hit: dict[str, tuple[float, float]]
-
-
-def pattern(defect: Defect) -> Column:
-    """The votes of a row as a string such as ``+0-``."""
-    sign = lambda v: F.when(v > 0, "+").when(v < 0, "-").otherwise("0")
-    return F.concat(*[sign(v) for v in defect.votes.values()])
+    functions: dict[str, tuple[float, float]]
 
 
 def expectation_maximization(patterns: list[str], counts: np.ndarray, share: float, hits: list[tuple[float, float]], rounds: int = 60, weight: float = 30.0) -> np.ndarray:
@@ -55,26 +48,27 @@ def expectation_maximization(patterns: list[str], counts: np.ndarray, share: flo
 
 def validated_cutoff(post: np.ndarray, counts: np.ndarray) -> float:
     """The cutoff of greatest expected F1 on rows with these posteriors; 0.5 where no pattern is likely a defect."""
-    best, cut = 0.0, 0.5
+    best, cut = 0.0, 0.5  # the best cutoff for F1 is half the F1 reached, so never above 0.5
     for c in sorted({round(float(p), 6) for p in post if p >= 0.2}):
         chosen = post >= c - 1e-6
         true = np.sum(post[chosen] * counts[chosen])
         f1 = 2 * true / max(1e-9, counts[chosen].sum() + np.sum(post * counts))
         if f1 > best:
             best, cut = f1, c
-    return cut
+    return min(cut, 0.5)
 
 
 def label(rows: DataFrame, defects: list[Defect], keys: list[str]) -> DataFrame:
     """``keys, labels``: an array of ``(defect, posterior)`` of every defect whose posterior reaches its cutoff, in the order of ``defects``.
 
-    One aggregation counts the patterns of all defects, split by a hash of the
+    ``rows`` has, for each defect, a column of its name with the votes of its
+    functions as a string such as ``+0-``. One aggregation counts the patterns of all defects, split by a hash of the
     keys into two halves: the model is fitted on all rows, its cutoffs are
     taken from posteriors fitted on one half and counted on the other. The
     driver gets at most 2 * 3**functions counts for each defect.
     """
     half = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(2)).cast("int")
-    coded = rows.select(*keys, half.alias("_half"), *[pattern(d).alias(f"_{d.name}") for d in defects])
+    coded = rows.select(*keys, half.alias("_half"), *[F.col(d.name).alias(f"_{d.name}") for d in defects])
     each = F.explode(F.array(*[F.struct(F.lit(d.name).alias("defect"), F.col(f"_{d.name}").alias("pattern")) for d in defects])).alias("x")
     counted = coded.select("_half", each).groupBy("_half", "x.defect", "x.pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     labels = []
@@ -87,7 +81,7 @@ def label(rows: DataFrame, defects: list[Defect], keys: list[str]) -> DataFrame:
         halves = np.zeros((2, len(patterns)))
         for r in own:
             halves[r["_half"], patterns.index(r["pattern"])] = r["n"]
-        hits = [d.hit[k] for k in d.votes]
+        hits = list(d.functions.values())
         post = expectation_maximization(patterns, halves.sum(0), d.share, hits)
         cut = validated_cutoff(expectation_maximization(patterns, halves[0], d.share, hits), halves[1])
         known = F.create_map(*[F.lit(v) for p, q in zip(patterns, post) for v in (p, float(q))])

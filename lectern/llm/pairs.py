@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.labels import language_code
 from lectern.llm.labelmodel import Defect, label
+from lectern.session import cut_lineage
 
 #: What stands for nothing, letters and digits only.
 STAND_INS = [
@@ -17,14 +21,24 @@ STAND_INS = [
     "فارغ", "لاشيء", "لايوجد",
 ]
 
-#: Phrases of declining in the first person or about the request itself, lower case.
-REFUSALS = [
-    r"\bi(?:'m| am)? (?:so |very |really )?sorry,? (?:but|i)\b", r"\bsorry, (?:but )?i\b", r"\bi (?:can't|cannot|can not|could not|couldn't|won't|will not|am unable|am not able|must decline|have to decline|do not feel|don't feel|refuse|decline|would rather not|prefer not|am not allowed|am not authori[sz]ed|may not)\b", r"\bi'm (?:unable|not able|not allowed)\b", r"\bas an? (?:ai|language model|assistant)\b", r"\bmy (?:guidelines|instructions|rules|policy|policies)\b", r"\bwhat i am allowed\b", r"\bappropriate for me\b", r"\bno (?:answer|response|reply) can be (?:given|provided)\b", r"\bthis (?:request|content|input) (?:can(?:not|'t)|falls outside|is not)\b",
-    r"\bje (?:ne peux|ne puis|ne suis pas (?:en mesure|autoris|habilit|capable)|ne saurais|ne souhaite pas|ne veux pas|refuse|regrette|dois (?:décliner|refuser)|préfère ne pas|suis (?:désolé|dans l'impossibilité|incapable))", r"\bil ne m'est pas\b", r"\bil m'est impossible\b", r"\bdésolée?,? (?:mais )?je\b", r"\ben tant qu[e'] ?(?:modèle|assistant|ia)\b", r"\bmodèle de langage\b", r"\bmes (?:consignes|instructions|règles|directives)\b", r"\baucune réponse ne peut\b", r"\bcette (?:demande|requête) (?:ne peut|dépasse)",
-    r"\blo siento,? (?:pero )?(?:no|me)\b", r"\bno (?:puedo|estoy (?:autorizad|en condiciones|capacitad)|me (?:es posible|está permitido|siento cómod)|soy capaz)", r"\b(?:prefiero|quisiera) no\b", r"\b(?:debo|tengo que) (?:rechazar|declinar)\b", r"\bcomo (?:modelo|asistente|ia)\b", r"\bmodelo de lenguaje\b", r"\bmis (?:normas|instrucciones|directrices|reglas)\b", r"\bno se puede dar (?:una )?respuesta\b", r"\bme (?:resulta imposible|impiden)\b",
-    r"\bich (?:kann|könnte|darf|möchte|will|werde) (?:[^.!?]{0,80} )?nicht\b", r"\b(?:kann|darf|möchte|werde) ich (?:[^.!?]{0,80} )?nicht\b", r"\bes tut mir leid\b", r"\bich bin (?:leider )?nicht (?:in der lage|befugt|berechtigt)\b", r"\bbin ich nicht (?:in der lage|befugt|berechtigt)\b", r"\bals (?:sprachmodell|ki|assistent)\b", r"\bmeine (?:richtlinien|vorgaben|anweisungen|regeln)\b", r"\bmuss ich (?:[^.!?]{0,80} )?ablehnen\b", r"\bich (?:muss|lehne) (?:[^.!?]{0,80} )?ab(?:lehnen)?\b", r"\bkeine antwort (?:gegeben|möglich)\b", r"\bist es mir nicht möglich\b", r"\bist mir nicht möglich\b",
-    r"\bnon posso\b", r"\bmi dispiace\b", r"\bnão posso\b", r"\bik kan (?:[^.!?]{0,60} )?niet\b", r"لا أستطيع", r"لا يمكنني", r"آسف", r"أعتذر",
-]
+#: Phrases of declining in the first person or about the request itself, lower case, by language.
+REFUSALS = {
+    "en": [
+        r"\bi(?:'m| am)? (?:so |very |really )?sorry,? (?:but|i)\b", r"\bsorry, (?:but )?i\b", r"\bi (?:can't|cannot|can not|could not|couldn't|won't|will not|am unable|am not able|must decline|have to decline|do not feel|don't feel|refuse|decline|would rather not|prefer not|am not allowed|am not authori[sz]ed|may not)\b", r"\bi'm (?:unable|not able|not allowed)\b", r"\bas an? (?:ai|language model|assistant)\b", r"\bmy (?:guidelines|instructions|rules|policy|policies)\b", r"\bwhat i am allowed\b", r"\bappropriate for me\b", r"\bno (?:answer|response|reply) can be (?:given|provided)\b", r"\bthis (?:request|content|input) (?:can(?:not|'t)|falls outside|is not)\b",
+    ],
+    "fr": [
+        r"\bje (?:ne peux|ne puis|ne suis pas (?:en mesure|autoris|habilit|capable)|ne saurais|ne souhaite pas|ne veux pas|refuse|regrette|dois (?:décliner|refuser)|préfère ne pas|suis (?:désolé|dans l'impossibilité|incapable))", r"\bil ne m'est pas\b", r"\bil m'est impossible\b", r"\bdésolée?,? (?:mais )?je\b", r"\ben tant qu[e'] ?(?:modèle|assistant|ia)\b", r"\bmodèle de langage\b", r"\bmes (?:consignes|instructions|règles|directives)\b", r"\baucune réponse ne peut\b", r"\bcette (?:demande|requête) (?:ne peut|dépasse)",
+    ],
+    "es": [
+        r"\blo siento,? (?:pero )?(?:no|me)\b", r"\bno (?:puedo|estoy (?:autorizad|en condiciones|capacitad)|me (?:es posible|está permitido|siento cómod)|soy capaz)", r"\b(?:prefiero|quisiera) no\b", r"\b(?:debo|tengo que) (?:rechazar|declinar)\b", r"\bcomo (?:modelo|asistente|ia)\b", r"\bmodelo de lenguaje\b", r"\bmis (?:normas|instrucciones|directrices|reglas)\b", r"\bno se puede dar (?:una )?respuesta\b", r"\bme (?:resulta imposible|impiden)\b",
+    ],
+    "de": [
+        r"\bich (?:kann|könnte|darf|möchte|will|werde) (?:[^.!?]{0,80} )?nicht\b", r"\b(?:kann|darf|möchte|werde) ich (?:[^.!?]{0,80} )?nicht\b", r"\bes tut mir leid\b", r"\bich bin (?:leider )?nicht (?:in der lage|befugt|berechtigt)\b", r"\bbin ich nicht (?:in der lage|befugt|berechtigt)\b", r"\bals (?:sprachmodell|ki|assistent)\b", r"\bmeine (?:richtlinien|vorgaben|anweisungen|regeln)\b", r"\bmuss ich (?:[^.!?]{0,80} )?ablehnen\b", r"\bich (?:muss|lehne) (?:[^.!?]{0,80} )?ab(?:lehnen)?\b", r"\bkeine antwort (?:gegeben|möglich)\b", r"\bist es mir nicht möglich\b", r"\bist mir nicht möglich\b",
+    ],
+    "": [
+        r"\bnon posso\b", r"\bmi dispiace\b", r"\bnão posso\b", r"\bik kan (?:[^.!?]{0,60} )?niet\b", r"لا أستطيع", r"لا يمكنني", r"آسف", r"أعتذر",
+    ],
+}
 
 #: Words by which a text speaks of itself, its writer or the request.
 SELF_WORDS = [
@@ -54,16 +68,78 @@ FUNCTION_WORDS = {
 #: Learnt words kept for each language.
 LANGUAGE_WORDS = 300
 
-DEFECTS = ["empty", "refusal", "copy", "truncated", "other_language"]
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}']+"), F.lit(0))
-
-
-def _bare(text: Column) -> Column:
-    """Letters and digits only, lower case, full-width forms and marks left as they are."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "")
+_WORDS, _NOT_ALNUM, _FIGURES = re.compile(r"(?:[^\W\d_]|')+"), re.compile(r"[\W_]+"), re.compile(r"\d+")
+_LIST, _TABLE, _CLOSED = re.compile(r"\s*[-•*] "), re.compile(r"\s*\|"), re.compile(r"[.!?؟。][\"'»”)\]]*$")
+_CUT, _WRAPPED, _ARABIC = re.compile(CUT_MARK), re.compile(r"\W*(?:[<\[({«\"`].{0,24}[>\])}»\"`])?\W*", re.DOTALL), re.compile(r"[\u0600-\u06ff]")
+_REFUSALS = {k: re.compile("|".join(v)) for k, v in REFUSALS.items()}
+_STAND_INS, _SELF, _OPEN = frozenset(STAND_INS), frozenset(SELF_WORDS), frozenset(OPEN_WORDS)
+
+#: What is believed of every labelling function before any row is seen: votes of 1 on defective and on sound rows.
+BELIEFS = [
+    Defect("empty", 0.03, {"no_content": (0.55, 0.0005), "stand_in": (0.97, 0.0005), "wrapped": (0.75, 0.001)}),
+    Defect("refusal", 0.04, {"phrase": (0.95, 0.002), "no_figures": (0.8, 0.04), "self": (0.8, 0.02), "shape": (0.97, 0.4)}),
+    Defect("copy", 0.04, {"same": (0.8, 0.0005), "inside": (0.97, 0.001), "words": (0.9, 0.01)}),
+    Defect("truncated", 0.05, {"unclosed": (0.9, 0.003), "mark": (0.6, 0.0005), "open_word": (0.3, 0.0005), "rare_end": (0.85, 0.003)}),
+    Defect("other_language", 0.04, {"original": (0.9, 0.01), "document": (0.85, 0.005), "siblings": (0.95, 0.003)}),
+]
+
+
+def words_of(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
+def language_of(words: set[str], text: str, marks: dict[str, list[str]]) -> str | None:
+    """The language most of whose words stand in the text: two at least, and more than of any other; else none. ``marks`` gives the languages of a word."""
+    if len(_ARABIC.findall(text)) * 2 > len(text) > 0:
+        return "ar"
+    score: dict[str, int] = {}
+    for w in words:
+        for k in marks.get(w, ()):
+            score[k] = score.get(k, 0) + 1
+    order = sorted(score.items(), key=lambda x: (-x[1], x[0]))
+    return order[0][0] if order and order[0][1] >= 2 and (len(order) == 1 or order[0][1] > order[1][1]) else None
+
+
+def _vote(yes: bool, no: bool | None = None) -> str:
+    return "+" if yes else "-" if no is None or no else "0"
+
+
+def votes(o: str | None, r: str | None, r_lang: str | None, others: tuple[str | None, str | None, str | None], end_uses: int) -> list[str]:
+    """The votes of the labelling functions of every defect, in the order of BELIEFS; ``others`` are the languages of the original, of the document and of its other originals."""
+    o, r = o or "", r or ""
+    bare_o, bare_r = _NOT_ALNUM.sub("", o.lower()), _NOT_ALNUM.sub("", r.lower())
+    n_o, n_r, tail = len(bare_o), len(bare_r), r.rstrip()
+    words_r, words_o = words_of(r), words_of(o)
+    set_r, set_o = set(words_r), set(words_o)
+
+    nothing = n_r == 0 or bare_r in _STAND_INS
+    empty = _vote(n_r == 0) + _vote(nothing, n_r > 0) + _vote(len(words_r) <= 2 and bool(_WRAPPED.fullmatch(r)), len(words_r) > 3)
+
+    is_list, is_table = bool(_LIST.match(tail)) and "\n" in tail, bool(_TABLE.match(tail))
+    plain = r.lower().replace("’", "'")
+    phrase = any(p.search(plain) for k, p in _REFUSALS.items() if r_lang is None or not k or k == r_lang or r_lang not in _REFUSALS)
+    figures = set(_FIGURES.findall(o))
+    carried = len(figures & set(_FIGURES.findall(r)))
+    selves = len(set_r & _SELF)
+    listed = is_list or is_table
+    refusal = _vote(phrase) + _vote(len(figures) > 1 and not carried and len(words_r) >= 4, carried >= 2) + _vote(selves >= 2, not selves) + _vote(4 <= len(words_r) <= 60 and not listed and ":" not in r, listed)
+
+    shared = len(set_r & set_o)
+    inside = n_o >= 8 and bare_o in bare_r and n_r <= n_o * 1.6 + 24
+    copy = _vote(n_o > 0 and bare_r == bare_o) + _vote(inside, n_o < 8 or bare_o not in bare_r) + _vote(len(set_r) >= 3 and shared >= 0.9 * len(set_o) and shared >= 0.7 * len(set_r), shared < 0.5 * len(set_r))
+
+    marked = n_r > 0 and bool(_CUT.search(tail))
+    closed = not marked and bool(_CLOSED.search(tail))
+    heading = "\n" not in tail and len(words_r) <= 8 and not re.search(r"[.!?]", tail)
+    lines = tail.split("\n")
+    ragged = is_table and (lines[-1].count("|") < lines[0].count("|") or not tail.endswith("|") or len(lines) < 2)
+    prose = not (is_list or is_table or heading or nothing)
+    loose = not closed and len(words_r) > 2 and (words_r[-1] in _OPEN or r.count("(") > r.count(")"))
+    rare = not closed and not is_table and not nothing and len(words_r) > 2 and end_uses < 3
+    truncated = _vote((prose and not closed) or ragged, closed or (is_table and not ragged)) + _vote(marked) + _vote(loose, closed) + _vote(rare, closed or end_uses >= 10)
+
+    other = "".join("0" if r_lang is None or x is None else _vote(x != r_lang) for x in others)
+    return [empty, refusal, copy, truncated, other]
 
 
 def language_words(rows: DataFrame, language: str, texts: list[str], per_language: int = LANGUAGE_WORDS) -> dict[str, list[str]]:
@@ -75,88 +151,25 @@ def language_words(rows: DataFrame, language: str, texts: list[str], per_languag
     fifty or more, at most fifty.
     """
     told = rows.filter(F.col(language).isNotNull())
-    totals = told.groupBy(language).agg(F.count(F.lit(1)).alias("rows"))
-    both = F.array_distinct(F.flatten(F.array(*[_words(F.coalesce(F.col(t), F.lit(""))) for t in texts])))
-    uses = told.select(language, F.explode(both).alias("word")).filter(F.length("word") > 1).groupBy("word", language).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    shares = uses.join(totals, language).select("word", language, (F.col("n") / F.col("rows")).alias("share"), "rows")
-    most = shares.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("share", F.col(language).alias("l"), "rows")), asc=False).alias("by"))
+    by_size = told.groupBy(language).agg(F.count(F.lit(1)).alias("rows"))
+    most = by_size.orderBy(F.desc("rows"), language).limit(50).collect()
+    kept = {r[language]: r["rows"] for r in most if r["rows"] * 50 >= sum(x["rows"] for x in most)}
+    if not kept:
+        return {k: sorted(v) for k, v in sorted(FUNCTION_WORDS.items())}
+    size = F.create_map(*[F.lit(v) for x in sorted(kept.items()) for v in x])
+    both = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(r"[\p{L}\p{M}']+"), F.lit(0)))
+    uses = told.filter(F.col(language).isin(*kept)).select(language, F.explode(both).alias("word")).filter(F.length("word") > 1).groupBy("word", language).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    shares = uses.select("word", F.struct((F.col("n") / size[F.col(language)]).alias("share"), F.col(language).alias("l")).alias("x"))
+    by = shares.groupBy("word").agg(F.sort_array(F.collect_list("x"), asc=False).alias("by"))
     second = F.coalesce(F.get(F.col("by"), F.lit(1))["share"], F.lit(0.0))
-    ranked = most.select("word", F.col("by")[0]["l"].alias("l"), (F.col("by")[0]["share"] - second).alias("weight")).filter("weight > 0.004")
-    top = ranked.groupBy("l").agg(F.slice(F.sort_array(F.collect_list(F.struct("weight", "word")), asc=False), 1, per_language)["word"].alias("words"))
-    kept = totals.orderBy(F.desc("rows"), language).limit(50).crossJoin(totals.agg(F.sum("rows").alias("all"))).filter(F.col("rows") * 50 >= F.col("all"))
-    learnt = {r["l"]: r["words"] for r in kept.join(top, kept[language] == top["l"]).select("l", "words").collect()}
+    ranked = by.select("word", F.col("by")[0]["l"].alias("l"), (F.col("by")[0]["share"] - second).alias("weight")).filter("weight > 0.004")
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("weight"), "word"))
+    learnt: dict[str, list[str]] = {}
+    for r in ranked.withColumn("place", place).filter(F.col("place") <= per_language).collect():
+        learnt.setdefault(r["l"], []).append(r["word"])
     return {k: sorted({*learnt.get(k, []), *FUNCTION_WORDS.get(k, [])}) for k in sorted({*learnt, *FUNCTION_WORDS})}
 
 
-def language_of(text: Column, words: dict[str, list[str]]) -> Column:
-    """The language most of whose words stand in the text: two at least, and more than of any other; else null."""
-    own = F.array_distinct(_words(F.coalesce(text, F.lit(""))))
-    scores = F.array(*[F.struct(F.size(F.array_intersect(own, F.array(*[F.lit(w) for w in ws]))).alias("n"), F.lit(k).alias("l")) for k, ws in words.items()])
-    order = F.sort_array(scores, asc=False)
-    arabic = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\p{IsArabic}")) * 2 > F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\p{L}"))
-    return F.when(arabic, "ar").when((order[0]["n"] >= 2) & (order[0]["n"] > F.coalesce(F.get(order, F.lit(1))["n"], F.lit(0))), order[0]["l"])
-
-
-def defects(o: Column, r: Column) -> list[Defect]:
-    """The labelling functions of every defect. Needs the columns ``o_lang, r_lang, doc_lang, main_lang, end_uses``."""
-    ro, rr = F.coalesce(o, F.lit("")), F.coalesce(r, F.lit(""))
-    bare_o, bare_r = _bare(ro), _bare(rr)
-    n_o, n_r = F.length(bare_o), F.length(bare_r)
-    tail = F.regexp_replace(rr, r"\s+$", "")
-    words_r, words_o = _words(rr), _words(ro)
-    vote = lambda yes, no=None: F.when(yes, 1).when(F.lit(True) if no is None else no, -1).otherwise(0)
-
-    nothing = (n_r == 0) | bare_r.isin(*STAND_INS)
-    empty = Defect("empty", {
-        "no_content": vote(n_r == 0),
-        "stand_in": vote(nothing, n_r > 0),
-        "wrapped": vote(rr.rlike(r"^\W*(?:[<\[({«\"`].{0,24}[>\])}»\"`])?\W*$") & (F.size(words_r) <= 2), F.size(words_r) > 3),
-    }, 0.03, {"no_content": (0.55, 0.0005), "stand_in": (0.97, 0.0005), "wrapped": (0.75, 0.001)})
-
-    phrase = F.lower(F.replace(rr, F.lit("’"), F.lit("'"))).rlike("|".join(f"(?:{p})" for p in REFUSALS))
-    digits = F.array_distinct(F.regexp_extract_all(ro, F.lit(r"\p{Nd}+"), F.lit(0)))
-    carried = F.size(F.array_intersect(digits, F.regexp_extract_all(rr, F.lit(r"\p{Nd}+"), F.lit(0))))
-    own_words = F.size(F.array_intersect(F.array_distinct(words_r), F.array(*[F.lit(w) for w in SELF_WORDS])))
-    refusal = Defect("refusal", {
-        "phrase": vote(phrase),
-        "no_figures": vote((F.size(digits) > 1) & (carried == 0) & (F.size(words_r) >= 4), carried >= 2),
-        "self": vote(own_words >= 2, own_words == 0),
-        "shape": vote((F.size(words_r) >= 4) & (F.size(words_r) <= 60) & ~rr.rlike(r"(?m)^\s*[-•|*]") & ~F.contains(rr, F.lit(":")), rr.rlike(r"(?m)^\s*[-•|*]")),
-    }, 0.04, {"phrase": (0.95, 0.002), "no_figures": (0.8, 0.04), "self": (0.8, 0.02), "shape": (0.97, 0.4)})
-
-    shared = F.size(F.array_intersect(F.array_distinct(words_r), F.array_distinct(words_o)))
-    many = F.size(F.array_distinct(words_r))
-    copy = Defect("copy", {
-        "same": vote((n_o > 0) & (bare_r == bare_o)),
-        "inside": vote((n_o >= 8) & F.contains(bare_r, bare_o) & (n_r <= n_o * 1.6 + 24), (n_o < 8) | ~F.contains(bare_r, bare_o)),
-        "words": vote((many >= 3) & (shared >= 0.85 * many) & (shared >= 0.8 * F.size(F.array_distinct(words_o))), shared < 0.7 * many),
-    }, 0.04, {"same": (0.8, 0.0005), "inside": (0.97, 0.001), "words": (0.9, 0.01)})
-
-    is_list = tail.rlike(r"^\s*[-•*] ") & F.contains(tail, F.lit("\n"))
-    is_table = tail.rlike(r"^\s*\|")
-    heading = ~F.contains(tail, F.lit("\n")) & (F.size(words_r) <= 8) & ~tail.rlike(r"[.!?]")
-    marked = tail.rlike(CUT_MARK) & (n_r > 0)
-    closed = tail.rlike(r"[.!?؟。][\"'»”)\]]*$") & ~marked
-    bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
-    rows = F.split(tail, "\n")
-    ragged = is_table & ((bars(F.element_at(rows, -1)) < bars(rows[0])) | ~tail.rlike(r"\|$") | (F.size(rows) < 2))
-    last_word = F.element_at(F.concat(F.array(F.lit("")), words_r), -1)
-    loose = ~closed & last_word.isin(*OPEN_WORDS) & (F.size(words_r) > 2)
-    open_mark = (F.length(F.regexp_replace(tail, r"[^(]", "")) > F.length(F.regexp_replace(tail, r"[^)]", ""))) & (F.size(words_r) > 2)
-    rare_end = ~closed & ~is_table & (F.size(words_r) > 2) & (F.col("end_uses") < 3)
-    plain = ~is_list & ~is_table & ~heading & ~nothing
-    truncated = Defect("truncated", {
-        "unclosed": vote((plain & ~closed) | ragged, closed | (is_table & ~ragged)),
-        "mark": vote(marked),
-        "open_word": vote(loose | open_mark, closed),
-        "rare_end": vote(rare_end & ~nothing, (F.col("end_uses") >= 10) | closed),
-    }, 0.05, {"unclosed": (0.9, 0.003), "mark": (0.6, 0.0005), "open_word": (0.3, 0.0005), "rare_end": (0.85, 0.003)})
-
-    differs = lambda c: F.when(F.col("r_lang").isNull() | F.col(c).isNull(), 0).when(F.col("r_lang") != F.col(c), 1).otherwise(-1)
-    other = Defect("other_language", {"original": differs("o_lang"), "document": differs("doc_lang"), "siblings": differs("main_lang")}, 0.04, {"original": (0.9, 0.01), "document": (0.85, 0.005), "siblings": (0.95, 0.003)})
-    return [empty, refusal, copy, truncated, other]
-
-
 def defective_pairs(pairs: DataFrame, languages: DataFrame) -> DataFrame:
     """``document_id, transformation_id, labels``: every defect of a pair with its posterior.
 
@@ -171,13 +184,30 @@ def defective_pairs(pairs: DataFrame, languages: DataFrame) -> DataFrame:
     """
     told = languages.select("document_id", F.regexp_extract(language_code(F.col("language")), r"^([a-z]+)", 1).alias("doc_lang")).withColumn("doc_lang", F.nullif("doc_lang", F.lit("und")))
     base = pairs.select("document_id", "transformation_id", F.col("original_text").alias("o"), F.col("reconstructed_text").alias("r")).join(told, "document_id", "left")
-    words = language_words(base, "doc_lang", ["o", "r"])
-    seen = base.withColumns({"o_lang": language_of(F.col("o"), words), "r_lang": language_of(F.col("r"), words)})
+    marks: dict[str, list[str]] = {}
+    for k, ws in language_words(base, "doc_lang", ["o", "r"]).items():
+        for w in ws:
+            marks.setdefault(w, []).append(k)
+
+    @F.pandas_udf("struct<o_lang:string,r_lang:string,end:string>")
+    def look(o: pd.Series, r: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(o, r):
+            a, b = a or "", b or ""
+            end = words_of(b[-200:])
+            out.append((language_of(set(words_of(a)), a, marks), language_of(set(words_of(b)), b, marks), end[-1] if end else ""))
+        return pd.DataFrame(out, columns=["o_lang", "r_lang", "end"])
+
+    @F.pandas_udf("array<string>")
+    def vote(o: pd.Series, r: pd.Series, r_lang: pd.Series, o_lang: pd.Series, doc_lang: pd.Series, main_lang: pd.Series, end_uses: pd.Series) -> pd.Series:
+        return pd.Series([votes(a, b, c, (d, e, f), int(n)) for a, b, c, d, e, f, n in zip(o, r, r_lang, o_lang, doc_lang, main_lang, end_uses)])
+
+    seen = cut_lineage(base.withColumn("x", look("o", "r")).select("document_id", "transformation_id", "o", "r", "doc_lang", "x.*"))
     main = seen.filter("o_lang is not null").groupBy("document_id", "o_lang").agg(F.count(F.lit(1)).alias("n")).groupBy("document_id").agg(F.max_by("o_lang", F.struct("n", "o_lang")).alias("main_lang"))
-    end = F.element_at(F.concat(F.array(F.lit("")), _words(F.coalesce(F.col("r"), F.lit("")))), -1)
-    ends = seen.groupBy(end.alias("end")).agg(F.count(F.lit(1)).alias("end_uses"))
-    rows = seen.withColumn("end", end).join(main, "document_id", "left").join(ends, "end", "left")
-    return label(rows, defects(F.col("o"), F.col("r")), ["document_id", "transformation_id"])
+    ends = seen.groupBy("end").agg(F.count(F.lit(1)).alias("end_uses"))
+    rows = seen.join(main, "document_id", "left").join(ends, "end").withColumn("v", vote("o", "r", "r_lang", "o_lang", "doc_lang", "main_lang", "end_uses"))
+    voted = rows.select("document_id", "transformation_id", "v").select("document_id", "transformation_id", *[F.col("v")[i].alias(d.name) for i, d in enumerate(BELIEFS)])
+    return label(cut_lineage(voted), BELIEFS, ["document_id", "transformation_id"])
 
 
 def one_defect(labelled: DataFrame) -> DataFrame:
