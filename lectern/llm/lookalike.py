@@ -102,18 +102,59 @@ def normal_points(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.
             out[whole] = out[whole][np.lexsort((whole, rank[whole], cluster[whole]))]
             rank = np.where(out < TOP, order[np.where(out < TOP, out, 0)], 0)
             marked = rank > 0
-        while len(at := np.flatnonzero(marked[1:] & ~marked[:-1]) + 1):  # marks next to their base; each turn composes one more
-            at = at[cluster[at] == cluster[at - 1]]
-            key = out[at - 1].astype(np.int64) << 21 | out[at].astype(np.int64)
-            where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[where] == key
-            if not hit.any():
-                break
-            out[at[hit] - 1] = composed[where[hit]]
-            keep = np.ones(len(out), dtype=bool)
-            keep[at[hit]] = False
-            shift = np.concatenate([[0], np.cumsum(keep)])
-            out, marked, cluster, rows = out[keep], marked[keep], cluster[keep], shift[rows]
+        out, rows = _compose_marks(out, rows, np.flatnonzero(marked), rank, cluster, keys, composed)
+    return _compose_starters(out, rows, keys, composed)
+
+
+def _found(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pair stands among the pairs that compose, and whether it does."""
+    key = a.astype(np.int64) << 21 | b.astype(np.int64)
+    where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return where, keys[where] == key
+
+
+def _compose_marks(out: np.ndarray, rows: np.ndarray, at: np.ndarray, rank: np.ndarray, cluster: np.ndarray, keys: np.ndarray, composed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Compose marks with the character they stand on: the first mark of every cluster at once, then the second, and so on.
+
+    A mark that stays blocks later ones of its own class, as in canonical composition.
+    """
+    heads = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+    base = heads[cluster[at] - cluster[0]]
+    turn, keep = at - base, np.ones(len(out), dtype=bool)
+    last = np.zeros(len(heads), dtype=np.int64)
+    for k in range(int(turn.min()) if len(turn) else 1, int(turn.max()) + 1 if len(turn) else 1):
+        now = at[turn == k]
+        own, on = cluster[now] - cluster[0], base[turn == k]
+        where, hit = _found(out[on], out[now], keys)
+        hit &= (rank[now] > last[own]) & (on != now)
+        out[on[hit]] = composed[where[hit]]
+        keep[now[hit]] = False
+        last[own[~hit]] = rank[now[~hit]]
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[rows]
+
+
+def _compose_starters(out: np.ndarray, rows: np.ndarray, keys: np.ndarray, composed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Compose neighbours that are no marks: vowel signs of some scripts, and Hangul letters into syllables."""
+    for _ in range(2):
+        if len(out) < 2:
+            break
+        a, b = out[:-1].astype(np.int64), out[1:].astype(np.int64)
+        lead = (a >= 0x1100) & (a < 0x1113) & (b >= 0x1161) & (b < 0x1176)
+        tail = (a >= 0xAC00) & (a < 0xD7A4) & ((a - 0xAC00) % 28 == 0) & (b > 0x11A7) & (b < 0x11C3)
+        wide = (b >= 0x9BE) & (b < 0x12000) & ~lead & ~tail
+        where, hit = _found(np.where(wide, a, 0), np.where(wide, b, 0), keys)
+        made = np.where(lead, 0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28, np.where(tail, a + b - 0x11A7, composed[where]))
+        can = lead | tail | (hit & wide)
+        can[rows[(rows > 0) & (rows < len(out))] - 1] = False
+        at = np.flatnonzero(can)
+        if not len(at):
+            break
+        at = at[np.concatenate([[True], np.diff(at) > 1])]
+        out = out.copy()
+        out[at] = made[at]
+        keep = np.ones(len(out), dtype=bool)
+        keep[at + 1] = False
+        out, rows = out[keep], np.concatenate([[0], np.cumsum(keep)])[rows]
     return out, rows
 
 

@@ -1,7 +1,53 @@
-"""SQL of the training-text queries, where SQL can express them."""
+"""SQL of the training-text queries, where SQL can express them.
+
+Label models, sequence models, dynamic programs, tokenizers, flows and
+classifiers are no SQL; their queries are held against brute force, exact
+round trips and held-out accuracy in the tests.
+"""
 
 from __future__ import annotations
 
+from lectern.llm.lookalike import LOOKALIKES, UNSEEN
+
+_FROM = "".join(LOOKALIKES) + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_TO = "".join(LOOKALIKES.values()) + "".join(map(chr, range(0x21, 0x7F)))
+_SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+_UNSEEN = "".join(map(chr, UNSEEN))
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def _form(x: str) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    for a, b in _LIGATURES.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    x = f"regexp_replace({x}, '[{_UNSEEN}]', '', 'g')"
+    return f"nfc_normalize(translate(translate({x}, {quoted(_SPACES)}, {quoted(' ' * len(_SPACES))}), {quoted(_FROM)}, {quoted(_TO)}))"
+
+
+_BLOCKS = "SELECT document_id, block_id, arg_max(struct_pack(text := text, source_excerpt := source_excerpt), ingested_at) AS b FROM blocks GROUP BY 1, 2"
+
+_NOTICES = r"""WITH d AS (SELECT document_id, arg_max(split_part(source_relative_path, '/', 1), ingested_at) AS source, arg_max(classification, ingested_at) AS classification FROM normalized_documents GROUP BY 1),
+s AS (SELECT document_id, source FROM d WHERE classification IS DISTINCT FROM 'likely_scanned'),
+size AS (SELECT source, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT DISTINCT document_id, block_id, text FROM blocks WHERE block_type NOT IN ('title', 'heading') OR block_type IS NULL),
+l AS (SELECT document_id, block_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM b WHERE text IS NOT NULL),
+k AS (SELECT s.source, l.document_id, l.block_id, l.line_no, array_to_string(regexp_extract_all(lower(l.line), '\p{L}+'), ' ') AS line_key FROM l JOIN s USING (document_id) WHERE len(regexp_extract_all(l.line, '\p{L}+')) >= 3),
+kept AS (SELECT k.source, k.line_key FROM k JOIN size USING (source) GROUP BY 1, 2, size.n HAVING count(DISTINCT document_id) >= 3 AND count(DISTINCT document_id) * 20 >= size.n),
+found AS (SELECT k.document_id, k.block_id, k.line_no FROM k JOIN kept USING (source, line_key))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": "SELECT DISTINCT c.document_id, c.chunk_id FROM chunks c JOIN chunking_configurations g USING (config_id) WHERE length(c.text) > g.hard_max_characters",
+        "p4_found": _NOTICES + "SELECT document_id, block_id, CAST(line_no AS INTEGER) AS line_no FROM found",
+        "p4_texts": _NOTICES
+        + f""", t AS (SELECT document_id, block_id, b.text AS text FROM ({_BLOCKS})),
+f AS (SELECT document_id, block_id, list(line_no) AS gone FROM found GROUP BY 1, 2)
+SELECT t.document_id, t.block_id, CASE WHEN f.gone IS NULL THEN t.text ELSE array_to_string(list_filter(string_split(t.text, chr(10)), lambda x, i: NOT list_contains(f.gone, i)), chr(10)) END AS text
+FROM t LEFT JOIN f USING (document_id, block_id)""",
+        "p6_found": f"""SELECT document_id, block_id FROM ({_BLOCKS})
+WHERE NOT contains(b.text, b.source_excerpt) AND trim({_form("b.source_excerpt")}) <> '' AND contains({_form("b.text")}, {_form("b.source_excerpt")})""",
+        "p6_texts": f"SELECT document_id, block_id, {_form('b.text')} AS text_form, {_form('b.source_excerpt')} AS source_excerpt_form FROM ({_BLOCKS})",
+    }
