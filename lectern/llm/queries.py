@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.labels import clean_path, language_code, source_of
 from lectern.llm import boilerplate, lookalike, mixture, pairs, reading, scans, splitting, tokens
+from lectern.session import cut_lineage
 from lectern.sources.tables import latest, table
 
 
@@ -33,7 +34,7 @@ def _scans(spark: SparkSession, folder: str) -> scans.ScanText:
     scanned = about.filter("classification = 'likely_scanned'").select("document_id")
     every = table(spark, folder, "blocks").select("document_id", "block_id", "page", "reading_order", "text", "ingested_at")
     mine = latest(every.join(scanned, "document_id", "left_semi"), ["document_id", "block_id"], "ingested_at", ["document_id", "block_id", "page", "reading_order", "text"])
-    items = raw.unionByName(mine.select("document_id", F.col("block_id").alias("item_id"), "page", F.col("reading_order").alias("place"), "text"))
+    items = cut_lineage(raw.unionByName(mine.select("document_id", F.col("block_id").alias("item_id"), "page", F.col("reading_order").alias("place"), "text")))
     first = items.filter((F.col("page") == 1) & (F.trim("text") != "")).groupBy("document_id").agg(F.min_by("text", F.struct("place", "item_id")).alias("first"))
     short = F.when((F.length("first") < 150) & ~F.col("first").rlike(r"[.!?]\s|\n"), F.col("first"))
     titles = first.join(about.select("document_id", "title"), "document_id", "full").select("document_id", F.coalesce("title", short).alias("title"))

@@ -122,7 +122,8 @@ def page_lines(items: DataFrame, titles: DataFrame) -> DataFrame:
     the title do not matter; a title may have one letter in ten misread.
     """
     lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
-    i = items.filter("text is not null").join(titles, "document_id", "left").withColumns({"lines": lines, "head": _letters(F.col("title"))})
+    own = items.filter("text is not null").select("document_id", "item_id", "page", "place", "text")
+    i = own.join(titles.select("document_id", "title"), "document_id", "left").withColumns({"lines": lines, "head": _letters(F.col("title"))})
 
     def symbol(x: Column, at: Column) -> Column:
         own, last = _letters(x), F.size("lines") - 1
@@ -289,4 +290,4 @@ def scan_text(items: DataFrame, titles: DataFrame, clean: DataFrame, rounds: int
     segments = cut_lineage(page_lines(items, titles))
     labelled = cut_lineage(label_lines(segments, fit(segments, rounds)))
     words = labelled.select(F.explode(F.array_distinct(_tokens(body_text(), _SEEN))).alias("word"))
-    return ScanText(labelled, cut_lineage(readings(words, word_uses(clean))))
+    return ScanText(labelled, cut_lineage(readings(words, word_uses(clean.select("text")))))
