@@ -33,7 +33,7 @@ def language_code(label: Column) -> Column:
 def clean_path(path: Column) -> Column:
     """One spelling of a relative path: ``%2D`` and the like decoded, ``\\`` as ``/``, no ``./``, leading or double slashes, lower case."""
     plain = F.lower(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(plain), r"[\\/]+", "/"), r"(^|/)(\./)+", "$1"), r"^/", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(plain), r"\s*[\\/]+\s*", "/"), r"(^|/)(\./)+", "$1"), r"^/", "")
 
 
 def source_of(path: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import hierarchies
+from lectern.plans import hierarchies, inventories, qualities, selections, structures, texts
 
-_PARTS = [hierarchies]
+_PARTS = [structures, texts, hierarchies, inventories, selections, qualities]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
