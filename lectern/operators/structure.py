@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators.ordering import fold, islands, neighbour, number, running
+from lectern.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -30,13 +31,19 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return number(blocks, ["document_id"], ["page"], ["reading_order", "block_id"])
 
 
+def furniture_key(block_type: str = "block_type", text: str = "text") -> Column:
+    """The key text of headers and footers, null for other blocks and null texts."""
+    return F.when(F.col(block_type).isin("header", "footer"), X.key_text(F.col(text)))
+
+
 def repeated_furniture(blocks: DataFrame, least: int = 2) -> DataFrame:
     """Headers and footers that are page numbers or stand at ``least`` places: ``document_id, block_id, reason``.
 
-    A null page is a place. Places are counted over distinct (document, text,
-    page) with map-side combination and joined back. Null texts are no furniture.
+    ``blocks``: ``document_id, block_id, page, furniture`` (see
+    :func:`furniture_key`). A null page is a place. Places are counted over
+    distinct (document, text, page) with map-side combination and joined back.
     """
-    f = blocks.filter(F.col("block_type").isin("header", "footer") & F.col("text").isNotNull()).withColumn("key", X.key_text(F.col("text")))
+    f = blocks.filter(F.col("furniture").isNotNull()).select("document_id", "block_id", "page", F.col("furniture").alias("key"))
     place = F.coalesce(F.col("page"), F.lit(-1)).alias("place")
     often = f.select("document_id", "key", place).distinct().groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     joined = f.join(often, ["document_id", "key"], "left")
@@ -92,7 +99,7 @@ def atoms(ordered: DataFrame) -> DataFrame:
     b = ordered
     for k in (-2, -1, 1, 2):
         name = f"{'b' if k < 0 else 'a'}{abs(k)}"
-        b = neighbour(b, g, "ordinal", {"block_type": f"{name}_type", "section_id": f"{name}_section", "page": f"{name}_page", "text": f"{name}_text"}, k)
+        b = neighbour(b, g, "ordinal", {"block_type": f"{name}_type", "section_id": f"{name}_section", "page": f"{name}_page"}, k)
     near = lambda n: F.col(f"{n}_section").eqNullSafe(F.col("section_id")) & F.col(f"{n}_page").eqNullSafe(F.col("page"))
     main = lambda t: t.isin("table", "figure", "formula")
     is_main, kind = main(F.col("block_type")), F.col("block_type")
@@ -103,16 +110,25 @@ def atoms(ordered: DataFrame) -> DataFrame:
     return running(b.withColumn("_new", (~joins_back).cast("int")), g, "ordinal", F.col("_new"), "atom").select(*ordered.columns, "atom")
 
 
-def chunk_blocks(ordered: DataFrame, limits: Limits) -> DataFrame:
-    """Chunks of ordered blocks: ``document_id, unit, pack, blocks, text, characters, first_page, last_page``.
+def chunk_members(ordered: DataFrame, limits: Limits) -> DataFrame:
+    """``document_id, block_id, ordinal, page, unit, pack``: the chunk of every block.
+
+    ``ordered``: blocks with ``ordinal`` and ``size`` (characters of the text),
+    without the text, which need not move for this. Units are packed by
+    themselves. The units are written to the checkpoint folder once.
+    """
+    units = cut_lineage(structural_units(ordered).select("document_id", "block_id", "ordinal", "page", "size", "unit"))
+    return pack(units, ["document_id", "unit"], ["ordinal"], "size", limits).drop("size")
+
+
+def chunk_table(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``document_id, unit, pack, blocks, text, characters, first_page, last_page`` of every chunk.
 
-    Blocks without text are left out of the text, not of the chunk. Units are
-    packed by themselves.
+    ``texts``: ``document_id, block_id, text``. Blocks without text are left
+    out of the text, not of the chunk; a chunk is bounded by its limits.
     """
-    units = structural_units(ordered).withColumn("_size", F.length(F.coalesce("text", F.lit(""))))
-    packed = pack(units, ["document_id", "unit"], ["ordinal"], "_size", limits)
     row = F.struct("ordinal", "block_id", "text")
-    c = packed.groupBy("document_id", "unit", "pack").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    c = members.join(texts, ["document_id", "block_id"]).groupBy("document_id", "unit", "pack").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
     text = F.array_join(F.filter(F.transform("rows", lambda x: F.trim(x["text"])), lambda t: t != ""), "\n\n")
     return c.select("document_id", "unit", "pack", F.col("rows.block_id").alias("blocks"), text.alias("text"), F.length(text).alias("characters"), "first_page", "last_page")
 
@@ -162,10 +178,14 @@ def heading_stack(lines: DataFrame) -> DataFrame:
 
 
 def boundary_lines(blocks: DataFrame, first: int = 4, last: int = 2, longest: int = 220) -> DataFrame:
-    """``document_id, key, side, places``: short blocks among the first or last of a page that return on half of the document's pages or more, twice at least."""
+    """``document_id, key, side, places``: short blocks among the first or last of a page that return on half of the document's pages or more, twice at least.
+
+    ``blocks``: ``document_id, block_id, page, reading_order, size, key`` (key
+    text; null for blocks that are too long anyway).
+    """
     n = number(blocks, ["document_id", "page"], [], ["reading_order", "block_id"], "_n")
     sizes = blocks.groupBy("document_id", "page").agg(F.count(F.lit(1)).alias("_all"))
-    b = n.join(sizes, ["document_id", "page"]).filter(F.length("text") < longest).withColumn("key", X.key_text(F.col("text"))).filter("key <> ''")
+    b = n.join(sizes, ["document_id", "page"]).filter((F.col("size") < longest) & (F.col("key") != ""))
     sides = F.explode(F.array_compact(F.array(F.when(F.col("_n") <= first, F.lit("header")), F.when(F.col("_n") > F.col("_all") - last, F.lit("footer")))))
     seen = b.select("document_id", "page", "key", sides.alias("side")).distinct().groupBy("document_id", "key", "side").agg(F.count(F.lit(1)).alias("places"))
     pages = blocks.filter("page is not null").groupBy("document_id").agg(F.countDistinct("page").alias("_pages"))
@@ -174,9 +194,12 @@ def boundary_lines(blocks: DataFrame, first: int = 4, last: int = 2, longest: in
 
 
 def adjacent_duplicates(ordered: DataFrame) -> DataFrame:
-    """Blocks that repeat the key text of the block before them on their page: ``document_id, block_id``. Blocks without text stand between no others."""
-    b = ordered.filter("text is not null").withColumn("key", X.key_text(F.col("text"))).filter("key <> ''").select("document_id", "page", "block_id", "reading_order", "key", "ordinal")
-    b = number(b, ["document_id"], ["page"], ["ordinal"], "n")
+    """Blocks that repeat the key text of the block before them on their page: ``document_id, block_id``.
+
+    ``ordered``: ``document_id, block_id, page, ordinal, key`` (key text or a
+    hash of it; null for blocks without text, which stand between no others).
+    """
+    b = cut_lineage(number(ordered.filter("key is not null"), ["document_id"], ["page"], ["ordinal"], "n"))
     back = neighbour(b, ["document_id"], "n", {"key": "_key", "page": "_page"}, -1)
     return back.filter(F.col("_page").eqNullSafe(F.col("page")) & (F.col("_key") == F.col("key"))).select("document_id", "block_id")
 

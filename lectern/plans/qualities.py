@@ -12,14 +12,14 @@ from lectern.sources.tables import latest, table
 
 
 def integrity_issues(spark: SparkSession, folder: str) -> DataFrame:
-    b = _blocks(spark, folder)
+    b = _blocks(spark, folder, "block_type", "page", "reading_order", "section_id", "table_id", F.col("text").isNull().alias("no_text"))
     s = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "parent_section_id", "title"])
     d = table(spark, folder, "normalized_documents").select("document_id").distinct()
     parts = [
         Q.missing_targets(b, ["block_id"], "section_id", s, "section_id", ["document_id"], "block_section_missing"),
         Q.missing_targets(s, ["section_id"], "parent_section_id", s, "section_id", ["document_id"], "parent_section_missing"),
         Q.missing_targets(b.withColumn("own", F.col("document_id")), ["block_id"], "own", d.withColumn("target", F.col("document_id")), "target", ["document_id"], "block_document_missing"),
-        Q.broken(b, "document_id", F.col("block_id"), {"text_missing": F.col("text").isNull(), "page_missing": F.col("page").isNull(), "page_not_positive": F.col("page") < 1, "table_without_id": (F.col("block_type") == "table") & F.col("table_id").isNull()}),
+        Q.broken(b, "document_id", F.col("block_id"), {"text_missing": F.col("no_text"), "page_missing": F.col("page").isNull(), "page_not_positive": F.col("page") < 1, "table_without_id": (F.col("block_type") == "table") & F.col("table_id").isNull()}),
         Q.repeated_keys(b, "document_id", ["page", "reading_order"], "reading_order_repeated"),
     ]
     out = parts[0]

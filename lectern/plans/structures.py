@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -12,6 +12,7 @@ from lectern.operators.hierarchy import hierarchy
 from lectern.operators.ordering import number
 from lectern.plans.hierarchies import _TREE
 from lectern.plans.texts import _key, _normal
+from lectern.session import cut_lineage
 from lectern.sources.tables import latest, table
 
 #: Sizes of the flagship query.
@@ -20,9 +21,15 @@ FLAGSHIP = S.Limits(soft=1500, hard=2500, least=200)
 _COLUMNS = ["block_type", "text", "page", "reading_order", "section_id", "location_type", "bbox_top", "table_id", "asset_id"]
 
 
-def _blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def _blocks(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
+    """The latest delivery of every block with the named columns; computed ones are made before anything moves."""
     keys = ["document_id", "block_id"]
-    return latest(table(spark, folder, "blocks"), keys, "ingested_at", [*keys, *(columns or _COLUMNS)])
+    return latest(table(spark, folder, "blocks").select(*keys, *(columns or _COLUMNS), "ingested_at"), keys, "ingested_at").drop("ingested_at")
+
+
+def _ordered(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
+    """Blocks in reading order, without their texts, kept at the checkpoint folder since they are read several times."""
+    return cut_lineage(S.reading_order(_blocks(spark, folder, "page", "reading_order", *columns)))
 
 
 def _chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -35,27 +42,28 @@ def _raw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reading_order(spark: SparkSession, folder: str) -> DataFrame:
-    return S.reading_order(_blocks(spark, folder)).select("document_id", "block_id", "ordinal")
+    return S.reading_order(_blocks(spark, folder, "page", "reading_order")).select("document_id", "block_id", "ordinal")
 
 
 def repeated_furniture(spark: SparkSession, folder: str) -> DataFrame:
-    return S.repeated_furniture(_blocks(spark, folder))
+    return S.repeated_furniture(_blocks(spark, folder, "page", S.furniture_key().alias("furniture")))
 
 
 def structural_units(spark: SparkSession, folder: str) -> DataFrame:
-    return S.structural_units(S.reading_order(_blocks(spark, folder))).select("document_id", "block_id", "scope", F.col("unit").cast("bigint").alias("unit"))
+    return S.structural_units(_ordered(spark, folder, "block_type", "section_id", "location_type")).select("document_id", "block_id", "scope", F.col("unit").cast("bigint").alias("unit"))
 
 
 def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Flagship: drop repeated furniture, order the blocks, cut units, pack them into chunks."""
-    b = _blocks(spark, folder)
-    kept = b.join(S.repeated_furniture(b).select("document_id", "block_id"), ["document_id", "block_id"], "left_anti")
-    c = S.chunk_blocks(S.reading_order(kept), FLAGSHIP)
+    """Flagship: drop repeated furniture, order the blocks, cut units, pack them into chunks; texts join at the end."""
+    size = F.length(F.coalesce("text", F.lit(""))).alias("size")
+    b = cut_lineage(_blocks(spark, folder, "page", "reading_order", "block_type", "section_id", "location_type", size, S.furniture_key().alias("furniture")))
+    kept = b.join(S.repeated_furniture(b).select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").drop("furniture")
+    c = S.chunk_table(S.chunk_members(cut_lineage(S.reading_order(kept)), FLAGSHIP), _blocks(spark, folder, "text"))
     return c.select("document_id", F.col("unit").cast("bigint").alias("unit"), F.col("pack").cast("bigint").alias("pack"), F.size("blocks").cast("bigint").alias("blocks"), F.sha2("text", 256).alias("text_hash"), F.col("characters").cast("bigint").alias("characters"), X.token_estimate(F.col("characters")).alias("tokens"), "first_page", "last_page")
 
 
 def block_atoms(spark: SparkSession, folder: str) -> DataFrame:
-    a = S.atoms(S.reading_order(_blocks(spark, folder)))
+    a = S.atoms(_ordered(spark, folder, "block_type", "section_id"))
     return a.groupBy("document_id", F.col("atom").cast("bigint").alias("atom")).agg(F.count(F.lit(1)).alias("blocks"), F.min("block_id").alias("first_block"))
 
 
@@ -83,7 +91,7 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_ranges(spark: SparkSession, folder: str) -> DataFrame:
     rows = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "parent_section_id", "title"])
-    return S.page_ranges(_blocks(spark, folder), hierarchy(rows, "document_id", "section_id", "parent_section_id", "title").descendants())
+    return S.page_ranges(_blocks(spark, folder, "section_id", "page"), hierarchy(rows, "document_id", "section_id", "parent_section_id", "title").descendants())
 
 
 def heading_stack(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,15 +101,19 @@ def heading_stack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boundary_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return S.boundary_lines(_blocks(spark, folder).filter("text is not null"))
+    size = F.length("text")
+    b = _blocks(spark, folder, "page", "reading_order", size.alias("size"), F.when(size < 220, X.key_text(F.col("text"))).alias("key"))
+    return S.boundary_lines(b.filter("size is not null"))
 
 
 def adjacent_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return S.adjacent_duplicates(S.reading_order(_blocks(spark, folder)))
+    key = X.key_text(F.col("text"))
+    return S.adjacent_duplicates(_ordered(spark, folder, F.when(key != "", F.unhex(F.md5(key))).alias("key")))
 
 
 def table_echoes(spark: SparkSession, folder: str) -> DataFrame:
-    return S.table_echoes(S.reading_order(_blocks(spark, folder)))
+    short = F.when(F.col("block_type").isin("table", "paragraph"), F.col("text")).alias("text")
+    return S.table_echoes(_ordered(spark, folder, "block_type", short))
 
 
 def raw_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +122,7 @@ def raw_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rendered_tables(spark: SparkSession, folder: str) -> DataFrame:
-    t = _blocks(spark, folder).filter("block_type = 'table' and text is not null and trim(text) <> ''")
+    t = _blocks(spark, folder, "block_type", "text").filter("block_type = 'table' and text is not null and trim(text) <> ''")
     return t.select("document_id", "block_id", S.render_table(F.col("text")).alias("rendered"))
 
 
@@ -120,7 +132,7 @@ def oversize_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def association_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    b = _blocks(spark, folder)
+    b = _blocks(spark, folder, "table_id", "asset_id", "page", "bbox_top")
     objects = b.filter("table_id is not null or asset_id is not null").select("document_id", F.coalesce("table_id", "asset_id").alias("object_id"), "block_id", "page", F.col("bbox_top").alias("top"))
     refs = _chunks(spark, folder, "chunk_index", "refs")
     each = refs.select("document_id", "chunk_id", F.explode("refs").alias("r")).select("document_id", "chunk_id", F.col("r.block_id").alias("block_id"), F.col("r.page").alias("page")).join(b.select("document_id", "block_id", "bbox_top"), ["document_id", "block_id"], "left")
