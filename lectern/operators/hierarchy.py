@@ -41,7 +41,7 @@ class Hierarchy:
         return done.unionByName(self.cycles.select(self.group, self.node), allowMissingColumns=True)
 
 
-def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, every: int = SPLITTER_EVERY) -> Hierarchy:
+def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, every: int = SPLITTER_EVERY, paths: bool = True) -> Hierarchy:
     """Resolve the trees of all groups at once.
 
     A hash of its key makes one node in ``every`` a splitter. Every node walks
@@ -49,7 +49,8 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, e
     pointers (a graph ``every`` times smaller) are doubled up to the roots,
     and a node's path is its walk followed by its splitter's. Walks that meet
     no splitter, and splitters that meet no root, end in cycles and are
-    resolved by themselves. All steps are equi-joins on (group, id) in which
+    resolved by themselves. Within the steps a group is a 16-byte hash of its
+    name. All steps are equi-joins on (group, id) in which
     the looked-up side has one row per key; nothing is grouped by tree, so a
     group or a parent with a third of all rows is only a skewed probe side,
     which adaptive execution splits. Each round is cut by a checkpoint; the
@@ -59,40 +60,39 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, e
     Nodes are unique by (group, id): repeated rows count once, and of rows that
     differ the greatest (parent, title) holds. A null group is a group of its
     own; rows with a null id name no node and are left out; null titles stay
-    nulls in paths. An empty table gives empty results.
+    nulls in paths. An empty table gives empty results. Without ``paths`` the
+    walks carry no titles or ancestors: ``cycles``, ``depth`` and ``root_id``
+    are what is wanted.
     """
     kind = rows.schema[group].dataType
     key = F.coalesce(F.col(group).cast("string"), F.lit(_NO_GROUP))
-    flat = rows.filter(F.col(node).isNotNull()).groupBy(key.alias("g"), F.col(node).alias("id")).agg(F.max(F.struct(F.col(parent).alias("p"), F.col(title).alias("t"))).alias("r"))
-    flat = cut_lineage(flat.select("g", "id", F.col("r.p").alias("p"), F.col("r.t").alias("t")))
+    flat = rows.filter(F.col(node).isNotNull()).groupBy(F.unhex(F.md5(key)).alias("g"), F.col(node).alias("id")).agg(F.max(F.struct(F.col(parent).alias("p"), F.col(title).alias("t"))).alias("r"), F.min(key).alias("name"))
+    flat = cut_lineage(flat.select("g", "id", "name", F.col("r.p").alias("p"), F.col("r.t").alias("t") if paths else F.lit(None).cast("string").alias("t")))
     known = flat.select("g", F.col("id").alias("p"), F.lit(True).alias("found"))
-    base = cut_lineage(flat.join(known, ["g", "p"], "left").select("g", "id", "p", "t", F.col("found").isNull().alias("root")))
+    base = cut_lineage(flat.join(known, ["g", "p"], "left").select("g", "id", "name", "p", "t", F.col("found").isNull().alias("root")))
     above = base.select("g", F.col("id").alias("p"), F.col("t").alias("pt"), F.col("root").alias("pend"))
-    links = base.filter("not root").join(above, ["g", "p"]).select("g", "id", F.col("p").alias("nxt"), F.col("pend").alias("end"), F.array(F.struct(F.col("p").alias("id"), F.col("pt").alias("t"))).alias("via"))
+    links = base.filter("not root").join(above, ["g", "p"]).select("g", "id", F.col("p").alias("nxt"), F.col("pend").alias("end"), F.array(F.struct(F.col("p").alias("id"), F.col("pt").alias("t"))).alias("via") if paths else F.lit(1).alias("via"))
+    join = F.concat if paths else (lambda a, b: F.col(a) + F.col(b))
     splits = lambda c: F.pmod(F.xxhash64("g", c), F.lit(every)) == 0
 
-    walked = _chase(links.withColumn("stop", F.col("end") | splits("nxt")), F.col("end") | splits("nxt"))
+    walked = _chase(links.withColumn("stop", F.col("end") | splits("nxt")), F.col("end") | splits("nxt"), join)
     settled = walked.filter("stop")
-    top = _chase(settled.filter(splits("id")).withColumn("stop", F.col("end")), F.col("end")).filter("end")
+    top = _chase(settled.filter(splits("id")).withColumn("stop", F.col("end")), F.col("end"), join).filter("end")
     top = top.select("g", F.col("id").alias("nxt"), F.col("nxt").alias("up"), F.col("via").alias("more"))
-    far = settled.filter("not end").join(top, ["g", "nxt"]).select("g", "id", F.col("up").alias("nxt"), F.concat("via", "more").alias("via"))
+    far = settled.filter("not end").join(top, ["g", "nxt"]).select("g", "id", F.col("up").alias("nxt"), join("via", "more").alias("via"))
     ended = cut_lineage(settled.filter("end").select("g", "id", "nxt", "via").unionByName(far))
 
-    back = F.when(F.col("g") != _NO_GROUP, F.col("g")).cast(kind).alias(group)
-    own = base.select("g", "id", "t", "root")
-    whole = own.join(ended, ["g", "id"], "left").filter("root or nxt is not null").select(
-        back,
-        F.col("id").alias(node),
-        F.concat(F.reverse(F.coalesce(F.col("via.t"), F.array().cast("array<string>"))), F.array("t")).alias("path"),
-        F.coalesce(F.col("via.id"), F.array().cast("array<string>")).alias("ancestors"),
-        F.coalesce(F.size("via"), F.lit(0)).alias("depth"),
-        F.coalesce("nxt", "id").alias("root_id"),
-    )
+    back = F.when(F.col("name") != _NO_GROUP, F.col("name")).cast(kind).alias(group)
+    own = base.select("g", "id", "name", "t", "root")
+    none = F.array().cast("array<string>")
+    extra = [F.concat(F.reverse(F.coalesce(F.col("via.t"), none)), F.array("t")).alias("path"), F.coalesce(F.col("via.id"), none).alias("ancestors"), F.coalesce(F.size("via"), F.lit(0)).alias("depth")] if paths else [F.coalesce("via", F.lit(0)).alias("depth")]
+    whole = own.join(ended, ["g", "id"], "left").filter("root or nxt is not null").select(back, F.col("id").alias(node), *extra, F.coalesce("nxt", "id").alias("root_id"))
     loose = links.select("g", "id", "nxt").join(ended.select("g", "id"), ["g", "id"], "left_anti")
-    return Hierarchy(whole, _cycles(loose).select(back, F.col("id").alias(node), F.col("low").alias("cycle_id"), F.col("on_cycle").cast("int").alias("on_cycle")), group, node)
+    turning = _cycles(loose).join(base.select("g", "id", "name"), ["g", "id"])
+    return Hierarchy(whole, turning.select(back, F.col("id").alias(node), F.col("low").alias("cycle_id"), F.col("on_cycle").cast("int").alias("on_cycle")), group, node)
 
 
-def _chase(rows: DataFrame, arrived) -> DataFrame:
+def _chase(rows: DataFrame, arrived, join) -> DataFrame:
     """Double the pointers of ``rows`` until each stops or lies on a walk without end.
 
     While any walk that ends is still open, each round stops at least one more
@@ -102,7 +102,7 @@ def _chase(rows: DataFrame, arrived) -> DataFrame:
     open_rows = now.filter("not stop").count()
     while open_rows:
         step = now.select("g", F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("end").alias("end2"), F.col("via").alias("via2"))
-        moved = now.filter("not stop").join(step, ["g", "nxt"]).select("g", "id", F.col("nxt2").alias("nxt"), F.col("end2").alias("end"), F.concat("via", "via2").alias("via"))
+        moved = now.filter("not stop").join(step, ["g", "nxt"]).select("g", "id", F.col("nxt2").alias("nxt"), F.col("end2").alias("end"), join("via", "via2").alias("via"))
         now = cut_lineage(now.filter("stop").unionByName(moved.withColumn("stop", arrived)))
         before, open_rows = open_rows, now.filter("not stop").count()
         if open_rows == before:

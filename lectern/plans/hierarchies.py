@@ -9,13 +9,13 @@ from lectern.operators.hierarchy import Hierarchy, hierarchy
 from lectern.sources.tables import latest, table
 
 
-def _sections(spark: SparkSession, folder: str) -> Hierarchy:
+def _sections(spark: SparkSession, folder: str, paths: bool = True) -> Hierarchy:
     rows = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "parent_section_id", "title"])
-    return hierarchy(rows, "document_id", "section_id", "parent_section_id", "title")
+    return hierarchy(rows, "document_id", "section_id", "parent_section_id", "title", paths=paths)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _sections(spark, folder).cycles.select("document_id", "section_id", F.col("cycle_id").alias("cycle_section_id"), "on_cycle")
+    return _sections(spark, folder, paths=False).cycles.select("document_id", "section_id", F.col("cycle_id").alias("cycle_section_id"), "on_cycle")
 
 
 def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
