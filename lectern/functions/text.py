@@ -25,6 +25,8 @@ BULLETS = "•◦▪▫●○■□‣⁃\uf0d8\uf0fc\uf0b7\uf0a7\uf0ae"
 
 SCANNER = r"(?i)\b(?:camscanner|scanned (?:by|with)|numérisé (?:par|avec)|adobe scan)\b"
 CAPTION = r"(?i)\b(?:figure|fig\.?|schéma|image|photo|tableau|abbildung|abb\.?|figura)\s*\p{Nd}+"
+AMBIGUOUS_NUMBER = r"\p{Nd}\s{2,}(?:[eE]\s*)?\p{Nd}"
+BROKEN_FONT = r"&[A-Za-z]{3,}|\x{FFFD}|\x00|(?<![A-Za-z])[A-Za-z](?:\s+[A-Za-z]){3}(?![A-Za-z])"
 PAGE_NUMBER = r"^(?:page\s*)?\p{Nd}+(?:\s*/\s*\p{Nd}+)?$"
 HEADING_NUMBER = r"^\s*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])\s+\p{L}"
 
@@ -129,14 +131,14 @@ def alpha_ratio(text: Column) -> Column:
 
 
 def single_letter_ratio(text: Column) -> Column:
-    """The share of words of one character; 1 where there are no words."""
-    w = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """The share of words (runs of letters) of one letter; 1 where there are no words."""
+    w = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))
     return F.coalesce(F.try_divide(F.size(F.filter(w, lambda x: F.length(x) == 1)).cast("double"), F.size(w).cast("double")), F.lit(1.0))
 
 
 def symbol_ratio(text: Column) -> Column:
-    """The share of symbols and control characters among all characters; 0 for an empty text."""
-    return F.coalesce(F.try_divide(count_of(text, r"[\p{S}\p{Cc}]").cast("double"), F.length(text).cast("double")), F.lit(0.0))
+    """The share of symbols and control characters among characters that are no white space; 0 where there are none."""
+    return F.coalesce(F.try_divide(count_of(text, r"[\p{S}\p{Cc}&&[^\s]]").cast("double"), count_of(text, r"[^\s]").cast("double")), F.lit(0.0))
 
 
 def is_heading(text: Column) -> Column:

@@ -69,8 +69,9 @@ def reuse(live: DataFrame, cached: DataFrame, key: str, same: list[str]) -> Data
     c = cached.select(F.col(key).alias("_key"), *[F.col(s).alias(f"_{s}") for s in same], F.lit(True).alias("_there"))
     agree = F.lit(True)
     for s in same:
-        agree = agree & F.col(s).eqNullSafe(F.col(f"_{s}"))
-    return live.join(c, live[key] == c["_key"], "left").withColumn("state", F.when(F.col("_there").isNull(), "new").when(agree, "current").otherwise("stale")).drop("_key", "_there", *[f"_{s}" for s in same])
+        agree = agree & live[s].eqNullSafe(c[f"_{s}"])
+    state = F.when(c["_there"].isNull(), "new").when(agree, "current").otherwise("stale")
+    return live.join(c, live[key] == c["_key"], "left").select(*[live[x] for x in live.columns if x != "state"], state.alias("state"))
 
 
 def changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

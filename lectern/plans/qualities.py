@@ -50,8 +50,7 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     row = F.struct("block_ordinal", "raw_block_id", "text")
     whole = r.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     raw = F.array_join(F.col("rows.text"), "\n\n")
-    pages = whole.select("document_id", "page", F.size("rows").alias("blocks"), raw.alias("raw"))
-    return pages.select("document_id", "page", Q.readiness(X.clean_block(F.col("raw")), F.col("raw"), F.col("blocks")).alias("r")).select("document_id", "page", "r.*")
+    return Q.readiness(whole.select("document_id", "page", F.size("rows").alias("blocks"), raw.alias("raw")))
 
 
 def location_readiness(spark: SparkSession, folder: str) -> DataFrame:

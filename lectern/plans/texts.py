@@ -174,8 +174,8 @@ count(*) AS blocks, CAST(sum(length(b.text)) AS BIGINT) AS characters FROM {_B}
     "source_names": r"SELECT regexp_extract(regexp_replace(regexp_replace(regexp_replace(trim(lower(url_decode(source_relative_path))), ' *[\\/]+ *', '/', 'g'), '^(\./)+', ''), '^/', ''), '^([^/]+)', 1) AS source, count(DISTINCT chunk_id) AS chunks, count(DISTINCT source_relative_path) AS spellings FROM chunks GROUP BY 1",
     "text_ratios": rf"""SELECT document_id, raw_block_id,
 round(coalesce(len(regexp_extract_all(text, '\p{{L}}')) / nullif(len(regexp_extract_all(text, '[^\t\n\x0b\f\r ]')), 0), 0.0), 6) AS alpha,
-round(coalesce(len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda w: length(w) = 1)) / nullif(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')), 0), 1.0), 6) AS single,
-round(coalesce(len(regexp_extract_all(text, '[\p{{S}}\p{{Cc}}]')) / nullif(length(text), 0), 0.0), 6) AS symbols FROM {_R}""",
+round(coalesce(len(list_filter(regexp_extract_all(text, '\p{{L}}+'), lambda w: length(w) = 1)) / nullif(len(regexp_extract_all(text, '\p{{L}}+')), 0), 1.0), 6) AS single,
+round(coalesce(len(list_filter(regexp_extract_all(text, '[\p{{S}}\p{{Cc}}]'), lambda x: NOT regexp_matches(x, '[\t\n\x0b\f\r ]'))) / nullif(len(regexp_extract_all(text, '[^\t\n\x0b\f\r ]')), 0), 0.0), 6) AS symbols FROM {_R}""",
     "heading_lines": r"""SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL)
 WHERE length(line) BETWEEN 3 AND 120 AND NOT regexp_matches(line, '[.;,]$') AND len(regexp_extract_all(line, '\p{L}')) >= 3
 AND (regexp_matches(line, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}') OR len(regexp_extract_all(line, '\p{Lu}')) / len(regexp_extract_all(line, '\p{L}')) >= 0.55)""",

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "lectern", cores: int | str = "*", partitions: int = 8, memory: str = "4g") -> SparkSession:
@@ -45,3 +46,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if its rows, which are counted, are at most ``most``; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
