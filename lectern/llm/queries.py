@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from lectern.functions.labels import clean_path, language_code, source_of
 from lectern.llm import boilerplate, lookalike, mixture, pairs, reading, scans, splitting, tokens
-from lectern.session import cut_lineage
+from lectern.session import broadcast_if_small, cut_lineage
 from lectern.sources.tables import latest, table
 
 
+#: So many ids of scanned documents at most (about 10 MB) are broadcast to tell scans from other texts; more are joined by shuffle.
+SCANNED_IDS = 100_000
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["document_id", "transformation_id"]
     rows = latest(table(spark, folder, "model_transformations"), keys, "ingested_at", [*keys, "original_text", "reconstructed_text"])
@@ -31,7 +35,7 @@ def _scans(spark: SparkSession, folder: str) -> scans.ScanText:
     """Raw blocks and the blocks of likely scans as items; a missing title is taken from the document's first page."""
     about = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "title", "classification"])
     raw = table(spark, folder, "raw_blocks").select("document_id", F.col("raw_block_id").alias("item_id"), F.col("location_number").alias("page"), F.col("block_ordinal").alias("place"), "text").distinct()
-    scanned = about.filter("classification = 'likely_scanned'").select("document_id")
+    scanned = broadcast_if_small(cut_lineage(about.filter("classification = 'likely_scanned'").select("document_id")), SCANNED_IDS)
     every = table(spark, folder, "blocks").select("document_id", "block_id", "page", "reading_order", "text", "ingested_at")
     mine = latest(every.join(scanned, "document_id", "left_semi"), ["document_id", "block_id"], "ingested_at", ["document_id", "block_id", "page", "reading_order", "text"])
     items = cut_lineage(raw.unionByName(mine.select("document_id", F.col("block_id").alias("item_id"), "page", F.col("reading_order").alias("place"), "text")))
