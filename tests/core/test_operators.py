@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.labels import clean_path, language_code, source_of
-from lectern.operators import association, inventory, multisets, ordering, quality, selection, structure
+from lectern.operators import association, inventory, matching, multisets, ordering, quality, selection, structure
 
 
 def one(spark, column, value, kind="string"):
@@ -186,3 +186,14 @@ def test_multisets_and_quality(spark):
     assert whole == {"d": "partially_reconstructable", "e": "unusable"}
     gaps = spark.createDataFrame([("d", 0), ("d", 2), ("e", 0), ("e", 1), ("f", None)], "document_id string, i int")
     assert sorted(r.document_id for r in quality.numbering_gaps(gaps, "document_id", "i", "gap").collect()) == ["d", "f"]
+
+
+def test_matching(spark):
+    raw = spark.createDataFrame([("d", 1, "r1", "Der Patient erhält morgens zehn Milligramm und kommt wieder"), ("d", 1, "r2", "Ein ganz anderer Satz über Wetter"), ("d", 2, "r3", "nur hier"), ("d", 1, "r4", None), ("d", 3, "r5", "gleich gleich"), ("d", 3, "r6", "gleich gleich!")], "document_id string, page int, raw_block_id string, text string")
+    blocks = spark.createDataFrame([("d", 1, "b1", "Der Paticnt erhält morgens zehn Milligramm und kommt wieder"), ("d", 1, "b2", "Etwas Drittes"), ("d", 2, "b3", " "), ("d", None, "b4", "nur hier"), ("d", 3, "b5", "gleich gleich")], "document_id string, page int, block_id string, text string")
+    assert {(r.block_id, r.raw_block_id) for r in matching.match_raw(blocks, raw).collect()} == {("b1", "r1")}
+    assert {r.raw_block_id for r in matching.pages_without_text(raw, blocks).collect()} == {"r3"}
+    refs = spark.createDataFrame([("d", "c", 0, "x"), ("d", "c", 1, "z"), ("d", "c", 2, "y"), ("d", "c", 3, "?"), ("d", "e", 0, "x"), ("d", "e", 1, "w")], "document_id string, chunk_id string, at int, block_id string")
+    order = spark.createDataFrame([("d", b, i) for i, b in enumerate("xyzw", 1)], "document_id string, block_id string, ordinal int")
+    got = {r.chunk_id: (r.references, r.unknown, r.reordered, r.gaps) for r in matching.reference_order(refs, order).collect()}
+    assert got == {"c": (4, 1, 1, 0), "e": (2, 0, 0, 2)}
