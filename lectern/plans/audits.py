@@ -66,7 +66,8 @@ def ordered_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of a document in the order in which blocks first name them."""
     o = S.reading_order(_blocks(spark, folder, "page", "reading_order", "section_id"))
     first = o.filter("section_id is not null").groupBy("document_id", "section_id").agg(F.min("ordinal").alias("first_ordinal"))
-    return number(first, ["document_id"], [], ["first_ordinal"], "place")
+    stretch = first.withColumn("stretch", F.floor(F.col("first_ordinal") / 1000))
+    return number(stretch, ["document_id"], ["stretch"], ["first_ordinal"], "place").drop("stretch")
 
 
 def audit_issues(spark: SparkSession, folder: str) -> DataFrame:

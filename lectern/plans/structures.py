@@ -73,7 +73,7 @@ def chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def neighbor_context(spark: SparkSession, folder: str) -> DataFrame:
     c = _chunks(spark, folder, "chunk_index", "text", "section_path").withColumn("path", F.array_join("section_path", "\u0001"))
-    n = number(c, ["document_id"], [], ["chunk_index", "chunk_id"])
+    n = cut_lineage(number(c.withColumn("stretch", F.floor(F.col("chunk_index") / 1000)), ["document_id"], ["stretch"], ["chunk_index", "chunk_id"]))
     return S.with_context(n.select("document_id", "chunk_id", "ordinal", "text", "path"), 120).select("document_id", "chunk_id", "context_before", "context_after")
 
 
@@ -96,7 +96,7 @@ def page_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 def heading_stack(spark: SparkSession, folder: str) -> DataFrame:
     rows = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "level"]).filter("level is not null")
-    n = number(rows, ["document_id"], [], ["section_id"])
+    n = number(rows.withColumn("start", F.left("section_id", F.lit(12))), ["document_id"], ["start"], ["section_id"])
     return S.heading_stack(n).select("document_id", "section_id", "ordinal", "parent_ordinal")
 
 
