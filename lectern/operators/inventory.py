@@ -108,3 +108,14 @@ def scan_metrics(pages: DataFrame) -> DataFrame:
     gain = F.try_divide((F.col("after") - F.col("before")) * F.lit(100.0), F.col("before").cast("double"))
     outcome = F.when(F.col("after") < 0.9 * F.col("before"), "degraded").when((F.col("after") - F.col("before") < 50) & (F.coalesce(gain, F.lit(100.0)) < 25), "no_material_improvement").otherwise("accepted")
     return p.withColumns({"gain": F.round(gain, 4), "outcome": outcome})
+
+
+def samples(files: DataFrame, kind: Column, size: str, order: list[str], most: int) -> DataFrame:
+    """A small sample of every kind: the smallest file of each, then the smallest others, ``most`` in all; null sizes come last."""
+    return representatives(files.withColumn("_size", F.coalesce(F.col(size), F.lit(2**31 - 1))), kind, ["_size", *order], most).drop("_size")
+
+
+def thirds(n: Column) -> Column:
+    """``struct<easy, medium, hard>``: n in three parts, the remainder to medium, then to easy."""
+    part, rest = F.floor(n / 3), n % 3
+    return F.struct((part + (rest >= 2).cast("int")).alias("easy"), (part + (rest >= 1).cast("int")).alias("medium"), part.alias("hard"))

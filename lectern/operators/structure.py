@@ -226,6 +226,24 @@ def spans(blocks: DataFrame, group: list[str], coarse: list[str], order: list[st
     return running(n, group, "ordinal", size, "start", whole=False).withColumn("end", F.col("start") + F.coalesce(F.length(text), F.lit(0)))
 
 
+def segments(ordered: DataFrame, group: list[str], order: list[str], head: str, size: str, most: int, joint: int = 2) -> DataFrame:
+    """``ordered`` with ``segment`` from 0: a new one begins at a heading (column ``head`` true) and before a row that would take the segment over ``most`` characters.
+
+    A streamed scan; null heads are no headings, null sizes count 0.
+    """
+
+    def step(state, row):
+        n = row[size] or 0
+        if state is None:
+            return (0, n), {"segment": 0}
+        k, total = state
+        if row[head] or total + joint + n > most:
+            return (k + 1, n), {"segment": k + 1}
+        return (k, total + joint + n), {"segment": k}
+
+    return fold(ordered, group, order, step, "segment int")
+
+
 def render_table(text: Column) -> Column:
     """Lines of cells parted by ``|`` as a full matrix: cells trimmed, short rows filled, joined by `` | ``."""
     rows = F.transform(F.filter(F.split(text, "\n"), lambda r: F.trim(r) != ""), lambda r: F.transform(F.split(r, r"\|"), lambda c: F.trim(c)))

@@ -85,7 +85,18 @@ def stage_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return latest_stage(spark, folder).groupBy("status").agg(F.count(F.lit(1)).alias("users"), F.sum("n_events").alias("events"), F.max("n_events").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_types, duplicate_files, included_files, ordered_files, representative_selection, manifest_reuse, snapshot_diff, output_path_collisions, ocr_quality, batch_histograms, latest_stage, stage_rollup)}
+def sample_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten small files of every kind (a report of fixed length)."""
+    kind = F.when(F.col("classification") == "native_text", "native").when(F.col("classification").isin("mixed", "likely_scanned"), "image").otherwise("office")
+    return I.samples(_documents(spark, folder), kind, "page_or_slide_count", ["source_relative_path", "document_id"], 10).select("document_id", "source_relative_path")
+
+
+def difficulty_mix(spark: SparkSession, folder: str) -> DataFrame:
+    n = table(spark, folder, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    return n.select("source", "documents", I.thirds(F.col("documents")).alias("t")).select("source", "documents", *[F.col(f"t.{k}").cast("bigint").alias(k) for k in ("easy", "medium", "hard")])
+
+
+QUERIES = {f.__name__: f for f in (inventory_types, duplicate_files, included_files, ordered_files, representative_selection, manifest_reuse, snapshot_diff, output_path_collisions, ocr_quality, batch_histograms, latest_stage, stage_rollup, sample_selection, difficulty_mix)}
 
 _D = f"d AS (SELECT document_id, s.* FROM (SELECT document_id, arg_max(struct_pack({', '.join(f'{c} := {c}' for c in _ABOUT)}), ingested_at) AS s FROM normalized_documents GROUP BY 1))"
 _KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in I.FILE_TYPES.items()) + "}"
@@ -115,4 +126,7 @@ SELECT CASE WHEN grouping(classification) = 0 THEN 'classification' WHEN groupin
 coalesce(classification, document_type, config_id, source) AS "value", count(*) AS files, CAST(sum(page_or_slide_count) AS BIGINT) AS pages FROM s GROUP BY GROUPING SETS ((classification), (document_type), (config_id), (source), ())""",
     "latest_stage": _STATE,
     "stage_rollup": f"SELECT status, count(*) AS users, CAST(sum(n_events) AS BIGINT) AS events, max(n_events) AS most FROM ({_STATE}) GROUP BY 1",
+    "sample_selection": f"""WITH {_D}, k AS (SELECT *, CASE WHEN classification = 'native_text' THEN 'native' WHEN classification IN ('mixed', 'likely_scanned') THEN 'image' ELSE 'office' END AS kind, coalesce(page_or_slide_count, 2147483647) AS n FROM d),
+r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY n, source_relative_path, document_id) = 1 THEN 0 ELSE 1 END AS later FROM k) SELECT document_id, source_relative_path FROM r ORDER BY later, n, source_relative_path, document_id LIMIT 10""",
+    "difficulty_mix": "SELECT source, n AS documents, n // 3 + CASE WHEN n % 3 >= 2 THEN 1 ELSE 0 END AS easy, n // 3 + CASE WHEN n % 3 >= 1 THEN 1 ELSE 0 END AS medium, n // 3 AS hard FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)",
 }

@@ -13,6 +13,8 @@ from lectern.operators.ordering import number
 from lectern.plans.hierarchies import _TREE
 from lectern.plans.texts import _key, _normal
 from lectern.session import cut_lineage
+from lectern.sources import exports
+from lectern.sources.sinks import markdown
 from lectern.sources.tables import latest, table
 
 #: Sizes of the flagship query.
@@ -153,11 +155,31 @@ def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("document_id", "chunk_id", "excerpts", F.size(F.filter("found", lambda p: p > 0)).cast("bigint").alias("located"), F.array_join(F.col("found").cast("array<string>"), ",").alias("positions"))
 
 
+def section_segments(spark: SparkSession, folder: str) -> DataFrame:
+    r = _raw(spark, folder).select("document_id", "raw_block_id", "location_number", "block_ordinal", X.is_heading(F.col("text")).alias("head"), F.length("text").alias("size"))
+    s = S.segments(r, ["document_id"], ["location_number", "block_ordinal", "raw_block_id"], "head", "size", 2000)
+    return s.groupBy("document_id", F.col("segment").cast("bigint").alias("segment")).agg(F.count(F.lit(1)).alias("blocks"), F.sum("size").alias("characters"), F.min("location_number").alias("first_page"), F.max("location_number").alias("last_page"))
+
+
+def markdown_views(spark: SparkSession, folder: str) -> DataFrame:
+    m = markdown(S.reading_order(_blocks(spark, folder, "page", "reading_order", "block_type", "text")))
+    return m.select("document_id", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").cast("bigint").alias("characters"))
+
+
+def text_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's export, read back: its header holds and its marks are counted."""
+    about = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "source_relative_path", "document_type", "title", "language"])
+    docs = about.select("document_id", F.col("source_relative_path").alias("source_path"), F.col("document_id").alias("source_sha256"), "document_type", "title", "language")
+    b = _blocks(spark, folder, "location_type", "page", "reading_order", "text").withColumn("place", F.struct("reading_order", "block_id"))
+    e = exports.render(docs, b).withColumn("h", exports.parse_header(F.col("text")))
+    return e.select("document_id", F.col("h.error").isNull().alias("valid"), F.element_at("h.header", "TITLE").alias("title"), F.element_at("h.header", "LOCATIONS").cast("bigint").alias("locations"), F.length("text").cast("bigint").alias("characters"), F.sha2("text", 256).alias("sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         greedy_chunks, reading_order, repeated_furniture, structural_units, block_atoms, chunk_dedup, neighbor_context, chunk_stats, page_ranges, heading_stack, boundary_lines, adjacent_duplicates, table_echoes, raw_spans, rendered_tables, oversize_split,
-        association_cascade, evidence_spans,
+        association_cascade, evidence_spans, section_segments, markdown_views, text_exports,
     )
 }
 
@@ -235,4 +257,21 @@ ne AS (SELECT pl.document_id, pl.object_id, min(pl.chunk_id) AS chunk_id FROM pl
 al AS (SELECT * FROM ex UNION ALL SELECT document_id, object_id, chunk_id, 2 FROM h WHERE n = 1 UNION ALL SELECT document_id, object_id, chunk_id, 3 FROM ne),
 be AS (SELECT document_id, object_id, min(struct_pack(r := rank, c := chunk_id)) AS x FROM al GROUP BY 1, 2)
 SELECT d.document_id, d.object_id, be.x.c AS chunk_id, ['explicit_block_reference', 'only_chunk_at_location', 'nearest_chunk'][be.x.r] AS method FROM (SELECT DISTINCT document_id, object_id FROM o) d LEFT JOIN be USING (document_id, object_id)""",
+    "section_segments": r"""WITH RECURSIVE r AS (SELECT DISTINCT document_id, raw_block_id, location_number, block_ordinal, text, coalesce(length(text), 0) AS n,
+  coalesce(length(text) BETWEEN 3 AND 120 AND NOT regexp_matches(text, '[.;,]$') AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND (regexp_matches(text, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}')
+  OR len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) >= 0.55), false) AS head FROM raw_blocks),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY location_number, block_ordinal, raw_block_id) AS rn FROM r),
+s AS (SELECT document_id, rn, CAST(0 AS BIGINT) AS segment, n AS total FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.document_id, o.rn, CASE WHEN o.head OR total + 2 + n > 2000 THEN segment + 1 ELSE segment END, CASE WHEN o.head OR total + 2 + n > 2000 THEN n ELSE total + 2 + n END FROM o JOIN s ON o.document_id = s.document_id AND o.rn = s.rn + 1)
+SELECT document_id, segment, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS characters, min(location_number) AS first_page, max(location_number) AS last_page FROM o JOIN s USING (document_id, rn) GROUP BY 1, 2""",
+    "markdown_views": f"""WITH {_O}, l AS (SELECT document_id, page, ordinal, CASE block_type WHEN 'title' THEN '# ' || trim(text, ' ') WHEN 'heading' THEN '### ' || trim(text, ' ') WHEN 'list_item' THEN '- ' || trim(text, ' ') ELSE trim(text, ' ') END AS line FROM o WHERE trim(coalesce(text, ''), ' ') <> ''),
+p AS (SELECT document_id, page, CASE WHEN page IS NULL THEN '' ELSE '## Page ' || page || chr(10) || chr(10) END || string_agg(line, chr(10) || chr(10) ORDER BY ordinal) AS body FROM l GROUP BY 1, 2),
+m AS (SELECT document_id, string_agg(body, chr(10) || chr(10) ORDER BY page NULLS FIRST) AS md FROM p GROUP BY 1) SELECT document_id, sha256(md) AS sha256, length(md) AS characters FROM m""",
+    "text_exports": f"""WITH {_B}, d AS (SELECT document_id, x.* FROM (SELECT document_id, arg_max(struct_pack(p := source_relative_path, t := document_type, title := title, lang := language), ingested_at) AS x FROM normalized_documents GROUP BY 1)),
+g AS (SELECT document_id, page, location_type, CASE WHEN page IS NULL THEN '===== DOCUMENT CONTENT =====' ELSE '===== ' || upper(location_type) || ' ' || page || ' =====' END || chr(10) || chr(10) || string_agg(trim(text, ' '), chr(10) || chr(10) ORDER BY reading_order NULLS FIRST, block_id) AS body FROM b WHERE trim(coalesce(text, ''), ' ') <> '' GROUP BY 1, 2, 3),
+w AS (SELECT document_id, string_agg(body, chr(10) || chr(10) ORDER BY page NULLS FIRST, body) AS body, count(*) AS n FROM g GROUP BY 1),
+e AS (SELECT document_id, regexp_replace(coalesce(title, ''), '[\t\n\x0b\f\r ]+', ' ', 'g') AS title, coalesce(n, 0) AS locations, 'SOURCE PATH: ' || p || chr(10) || 'SOURCE SHA256: ' || document_id || chr(10) || 'DOCUMENT TYPE: ' || coalesce(t, '') || chr(10) || 'TITLE: ' || regexp_replace(coalesce(title, ''), '[\t\n\x0b\f\r ]+', ' ', 'g') || chr(10)
+  || 'LANGUAGE: ' || coalesce(lang, '') || chr(10) || 'EXPORT STATUS: ' || chr(10) || 'EXTRACTION TOOL: ' || chr(10) || 'LOCATIONS: ' || coalesce(n, 0) || chr(10) || 'EXPORTED AT: ' || chr(10) || chr(10) || coalesce(body, '') || chr(10) AS text FROM d LEFT JOIN w USING (document_id))
+SELECT document_id, true AS valid, title, locations, length(text) AS characters, sha256(text) AS sha256 FROM e""",
 }
