@@ -113,7 +113,7 @@ def votes(o: str | None, r: str | None, r_lang: str | None, others: tuple[str |
     set_r, set_o = set(words_r), set(words_o)
 
     nothing = n_r == 0 or bare_r in _STAND_INS
-    empty = _vote(n_r == 0) + _vote(nothing, n_r > 0) + _vote(len(words_r) <= 2 and bool(_WRAPPED.fullmatch(r)), len(words_r) > 3)
+    empty = _vote(n_r == 0) + _vote(nothing, n_r > 0) + _vote(len(r) <= 80 and len(words_r) <= 2 and bool(_WRAPPED.fullmatch(r)), len(words_r) > 3)
 
     is_list, is_table = bool(_LIST.match(tail)) and "\n" in tail, bool(_TABLE.match(tail))
     plain = r.lower().replace("’", "'")

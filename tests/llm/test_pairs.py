@@ -50,3 +50,8 @@ def test_the_model_learns_what_a_function_is_worth():
 def test_a_defect_that_never_occurs_stays_rare():
     post = labelmodel.expectation_maximization(["--", "-0", "0-"], np.array([900.0, 50.0, 50.0]), 0.03, [(0.9, 0.01), (0.8, 0.02)])
     assert (post < 0.05).all()
+
+
+def test_very_long_texts_and_runs_of_signs():
+    for r in ("mot " * 300_000, "(" * 200_000 + "a", "." * 200_000 + "a", "-" * 200_000, "« " * 50_000):
+        assert len(pairs.votes(NOTE, r, None, (None, None, None), 0)) == 5
