@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
     """``df``, to be broadcast if its rows, which are counted, are at most ``most``; else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each context.
+
+    The driver serves an archive of the sources, as for any Python file of a
+    job; executors that join later fetch it too.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lectern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, Path("lectern") / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._lectern_shipped = True

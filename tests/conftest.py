@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lectern.session import build_session
+from lectern.session import build_session, ship_package
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,6 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     s = build_session("tests", cores=4, partitions=4)
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
     s.stop()
 
