@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.fragments import _slices
 from lectern.session import cut_lineage
 
 BODY, BREAK, HEADER, NUMBER = range(4)
@@ -204,9 +205,37 @@ def body_text(labels: str = "labels", lines: str = "lines") -> Column:
 
 
 def word_uses(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``word, uses``: in how many rows each word (three or more letters) stands; partial counts are combined before the shuffle."""
-    words = F.array_distinct(_tokens(F.col(text), r"\p{L}{3,}"))
-    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    """``word, uses``: how often each word (three or more letters, lower case) stands in all texts.
+
+    Words are counted by Arrow kernels within a task and added up by one
+    aggregation; a task hands on a word once for each million distinct words
+    it has met.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        held: list[pa.RecordBatch] = []
+
+        def merged() -> pa.Table:
+            whole = pa.Table.from_batches(held).group_by("word").aggregate([("uses", "sum")])
+            return whole.select(["word", "uses_sum"]).rename_columns(["word", "uses"])
+
+        for b in batches:
+            for piece in _slices(b.column(0)):
+                words = pc.list_flatten(pc.split_pattern_regex(pc.utf8_lower(piece), pattern=r"[^\p{L}]+"))
+                counts = pc.value_counts(words)
+                counts = counts.filter(pc.greater_equal(pc.utf8_length(counts.field(0)), 3))
+                held.append(pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], names=["word", "uses"]))
+            if sum(len(h) for h in held) > 1_000_000:
+                held = merged().combine_chunks().to_batches()
+                if len(held[0]) > 1_000_000:
+                    yield from held
+                    held = []
+        if held:
+            yield from merged().combine_chunks().to_batches()
+
+    return texts.select(text).filter(F.col(text).isNotNull()).mapInArrow(run, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))
 
 
 def readings(words: DataFrame, uses: DataFrame) -> DataFrame:

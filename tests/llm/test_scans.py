@@ -54,3 +54,9 @@ def test_viterbi_against_all_paths():
 
         best = max(np.ndindex(*[4] * len(seen)), key=score)
         assert np.isclose(score(tuple(path)), score(best))
+
+
+def test_words_are_counted(spark):
+    df = spark.createDataFrame([("Été été l'an deux-mots 12x",), (None,), ("",), ("deux",)], "text string")
+    assert {r.word: r.uses for r in scans.word_uses(df).collect()} == {"été": 2, "deux": 2, "mots": 1}
+    assert scans.word_uses(df.limit(0)).count() == 0
