@@ -63,6 +63,14 @@ def structural_units(ordered: DataFrame) -> DataFrame:
     return islands(b, ["document_id"], "ordinal", ["_scope", "_place"], "unit").withColumn("scope", F.col("_scope")).drop("_sectioned", "_provisional", "_scope", "_place")
 
 
+def captions_of(ordered: DataFrame) -> DataFrame:
+    """``document_id, object_block, caption_block`` of tables and figures: the caption after them, else the one before, of the same page."""
+    g = ["document_id"]
+    b = neighbour(neighbour(ordered, g, "ordinal", {"block_type": "a_type", "page": "a_page", "block_id": "a_id"}, 1), g, "ordinal", {"block_type": "b_type", "page": "b_page", "block_id": "b_id"}, -1)
+    side = lambda n: F.when((F.col(f"{n}_type") == "caption") & F.col(f"{n}_page").eqNullSafe(F.col("page")), F.col(f"{n}_id"))
+    return b.filter(F.col("block_type").isin("table", "figure")).select("document_id", F.col("block_id").alias("object_block"), F.coalesce(side("a"), side("b")).alias("caption_block")).filter("caption_block is not null")
+
+
 def pack(rows: DataFrame, group: list[str], order: list[str], size: str, limits: Limits, joint: int = 2) -> DataFrame:
     """``rows`` with ``pack``: rows packed greedily in order, numbered from 0 in a group.
 

@@ -140,7 +140,10 @@ def association_cascade(spark: SparkSession, folder: str) -> DataFrame:
     each = refs.select("document_id", "chunk_id", F.explode("refs").alias("r")).select("document_id", "chunk_id", F.col("r.block_id").alias("block_id"), F.col("r.page").alias("page")).join(b.select("document_id", "block_id", "bbox_top"), ["document_id", "block_id"], "left")
     about = each.groupBy("document_id", "chunk_id").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min("bbox_top").alias("top"))
     c = refs.select("document_id", "chunk_id", "chunk_index", F.col("refs.block_id").alias("blocks")).join(about, ["document_id", "chunk_id"], "left")
-    return associate(objects, c)
+    near = S.captions_of(_ordered(spark, folder, "block_type"))
+    spoken = _blocks(spark, folder, "text").select("document_id", F.col("block_id").alias("caption_block"), F.col("text").alias("caption"))
+    captions = objects.join(near, (objects["document_id"] == near["document_id"]) & (objects["block_id"] == near["object_block"])).select(objects["document_id"], "object_id", "caption_block").join(spoken, ["document_id", "caption_block"]).select("document_id", "object_id", "caption")
+    return associate(objects, c, captions, _chunks(spark, folder, "text"))
 
 
 def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,16 +250,19 @@ SELECT document_id, raw_block_id, s AS "start", s + coalesce(length(text), 0) AS
     "rendered_tables": f"""WITH {_B}, t AS (SELECT document_id, block_id, list_transform(list_filter(string_split(text, chr(10)), lambda r: trim(r, ' ') <> ''), lambda r: list_transform(string_split(r, '|'), lambda c: trim(c, ' '))) AS m FROM b WHERE block_type = 'table' AND text IS NOT NULL AND trim(text, ' ') <> ''),
 w AS (SELECT *, list_max(list_transform(m, lambda r: len(r))) AS width FROM t)
 SELECT document_id, block_id, array_to_string(list_transform(m, lambda r: array_to_string(list_transform(range(1, width + 1), lambda i: coalesce(r[i], '')), ' | ')), chr(10)) AS rendered FROM w""",
-    "association_cascade": f"""WITH {_B}, {_C}, o AS (SELECT document_id, coalesce(table_id, asset_id) AS object_id, block_id, page, bbox_top AS top FROM b WHERE table_id IS NOT NULL OR asset_id IS NOT NULL),
+    "association_cascade": f"""WITH {_O}, {_C}, oj AS (SELECT document_id, coalesce(table_id, asset_id) AS object_id, block_id, page, bbox_top AS top FROM b WHERE table_id IS NOT NULL OR asset_id IS NOT NULL),
 e AS (SELECT document_id, chunk_id, chunk_index, unnest(refs) AS r FROM c), q AS (SELECT e.document_id, e.chunk_id, e.chunk_index, e.r.block_id AS block_id, e.r.page AS page, b.bbox_top FROM e LEFT JOIN b ON b.document_id = e.document_id AND b.block_id = e.r.block_id),
 m AS (SELECT document_id, chunk_id, min(page) AS lo, max(page) AS hi, min(bbox_top) AS top FROM q GROUP BY 1, 2),
-ex AS (SELECT o.document_id, object_id, max(struct_pack(i := chunk_index, c := chunk_id)).c AS chunk_id, 1 AS rank FROM o JOIN q USING (document_id, block_id) GROUP BY 1, 2),
-pl AS (SELECT o.document_id, object_id, m.chunk_id, abs(m.top - o.top) AS d FROM o JOIN m ON m.document_id = o.document_id AND o.page BETWEEN m.lo AND m.hi),
+ex AS (SELECT o.document_id, object_id, max(struct_pack(i := chunk_index, c := chunk_id)).c AS chunk_id, 1 AS rank FROM oj o JOIN q USING (document_id, block_id) GROUP BY 1, 2),
+pl AS (SELECT o.document_id, object_id, m.chunk_id, abs(m.top - o.top) AS d FROM oj o JOIN m ON m.document_id = o.document_id AND o.page BETWEEN m.lo AND m.hi),
+nb AS (SELECT *, lead(block_type) OVER w AS aft, lead(page) OVER w AS ap, lead(text) OVER w AS ax, lag(block_type) OVER w AS bt, lag(page) OVER w AS bp, lag(text) OVER w AS bx FROM o WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
+ca AS (SELECT document_id, coalesce(table_id, asset_id) AS object_id, CASE WHEN aft = 'caption' AND ap IS NOT DISTINCT FROM page THEN ax WHEN bt = 'caption' AND bp IS NOT DISTINCT FROM page THEN bx END AS caption FROM nb WHERE block_type IN ('table', 'figure') AND (table_id IS NOT NULL OR asset_id IS NOT NULL)),
+cp AS (SELECT pl.document_id, pl.object_id, min(pl.chunk_id) AS chunk_id FROM pl JOIN ca USING (document_id, object_id) JOIN c ON c.document_id = pl.document_id AND c.chunk_id = pl.chunk_id WHERE {_key("ca.caption")} <> '' AND contains({_key("c.text")}, {_key("ca.caption")}) GROUP BY 1, 2 HAVING count(DISTINCT pl.chunk_id) = 1),
 h AS (SELECT document_id, object_id, count(DISTINCT chunk_id) AS n, min(chunk_id) AS chunk_id, min(d) AS least FROM pl GROUP BY 1, 2),
 ne AS (SELECT pl.document_id, pl.object_id, min(pl.chunk_id) AS chunk_id FROM pl JOIN h USING (document_id, object_id) WHERE pl.d = h.least GROUP BY 1, 2 HAVING count(DISTINCT pl.chunk_id) = 1),
-al AS (SELECT * FROM ex UNION ALL SELECT document_id, object_id, chunk_id, 2 FROM h WHERE n = 1 UNION ALL SELECT document_id, object_id, chunk_id, 3 FROM ne),
+al AS (SELECT * FROM ex UNION ALL SELECT document_id, object_id, chunk_id, 2 FROM cp UNION ALL SELECT document_id, object_id, chunk_id, 3 FROM h WHERE n = 1 UNION ALL SELECT document_id, object_id, chunk_id, 4 FROM ne),
 be AS (SELECT document_id, object_id, min(struct_pack(r := rank, c := chunk_id)) AS x FROM al GROUP BY 1, 2)
-SELECT d.document_id, d.object_id, be.x.c AS chunk_id, ['explicit_block_reference', 'only_chunk_at_location', 'nearest_chunk'][be.x.r] AS method FROM (SELECT DISTINCT document_id, object_id FROM o) d LEFT JOIN be USING (document_id, object_id)""",
+SELECT d.document_id, d.object_id, be.x.c AS chunk_id, ['explicit_block_reference', 'caption_text', 'only_chunk_at_location', 'nearest_chunk'][be.x.r] AS method FROM (SELECT DISTINCT document_id, object_id FROM oj) d LEFT JOIN be USING (document_id, object_id)""",
     "section_segments": r"""WITH RECURSIVE r AS (SELECT DISTINCT document_id, raw_block_id, location_number, block_ordinal, text, coalesce(length(text), 0) AS n,
   coalesce(length(text) BETWEEN 3 AND 120 AND NOT regexp_matches(text, '[.;,]$') AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND (regexp_matches(text, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}')
   OR len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) >= 0.55), false) AS head FROM raw_blocks),

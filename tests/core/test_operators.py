@@ -134,8 +134,10 @@ def test_association(spark):
         [("d", "c1", 0, ["b1"], 1, 1, 0.0), ("d", "c2", 1, ["b1"], 2, 2, 0.0), ("d", "c3", 2, ["x"], 3, 3, 9.0), ("d", "c4", 3, ["x"], 3, 3, 40.0), ("d", "c5", 4, [], 4, 4, 40.0), ("d", "c6", 5, [], 4, 4, 60.0), ("d", "c7", 6, None, None, None, None)],
         "document_id string, chunk_id string, chunk_index int, blocks array<string>, first_page int, last_page int, top double",
     )
-    got = {r.object_id: (r.chunk_id, r.method) for r in association.associate(objects, chunks).collect()}
-    assert got == {"o1": ("c2", "explicit_block_reference"), "o2": ("c2", "only_chunk_at_location"), "o3": ("c3", "nearest_chunk"), "o4": (None, None), "o5": (None, None), "o6": (None, None)}
+    captions = spark.createDataFrame([("d", "o6", "Bild 1"), ("d", "o5", "x"), ("d", "o3", None)], "document_id string, object_id string, caption string")
+    texts = spark.createDataFrame([("d", "c6", "siehe bild  1."), ("d", "c5", "nichts"), ("d", "c3", None)], "document_id string, chunk_id string, text string")
+    got = {r.object_id: (r.chunk_id, r.method) for r in association.associate(objects, chunks, captions, texts).collect()}
+    assert got == {"o1": ("c2", "explicit_block_reference"), "o2": ("c2", "only_chunk_at_location"), "o3": ("c3", "nearest_chunk"), "o4": (None, None), "o5": (None, None), "o6": ("c6", "caption_text")}
 
 
 def test_similar_sets_against_all_pairs(spark):
