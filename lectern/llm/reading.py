@@ -19,9 +19,12 @@ MOST_EXAMPLES = 5_000
 #: How much more the weights of a sentence's length and word length are shrunk than those of words and characters.
 SHAPE_RIDGE = 5.0
 
-#: Words of a sentence that count in full; shorter stretches (headings, list marks) weigh less.
+#: Words of a sentence that count in full; shorter stretches weigh less.
 FULL_WORDS = 6
 
+#: Weight of a stretch without a closing mark (a heading, a notice), which is no sentence but all that some texts have.
+UNCLOSED = 0.1
+
 _STRIP = "\"'«»“”‘’()[]{}<>.,;:!?…-–—*|/·•"
 
 
@@ -41,8 +44,8 @@ class Model:
     document: np.ndarray
 
 
-def words_and_sentences(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """All words of the rows (runs of characters other than white space), the first word of each sentence, and the first word of each row (with the end).
+def words_and_sentences(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the rows (runs of characters other than white space), the first word of each sentence, the first word of each row (with the end), and whether each sentence has a closing mark.
 
     A sentence ends at ``.``, ``!``, ``?`` or ``…`` before white space, at a
     line end and with its row. Found in passes over the bytes of the column.
@@ -77,12 +80,18 @@ def words_and_sentences(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray,
     rows = np.searchsorted(starts, offsets)
     first = np.zeros(len(starts) + 1, dtype=bool)
     first[rows] = True
+    tail = data[ends - 1] if len(ends) else data[:0]
+    closed = np.isin(tail, np.frombuffer(b".!?", dtype=np.uint8)) | ((tail == 0xA6) & (data[np.maximum(ends - 3, 0)] == 0xE2) if len(ends) else np.zeros(0, dtype=bool))
     if len(starts) > 1:
-        tail = data[ends[:-1] - 1]
-        closed = np.isin(tail, np.frombuffer(b".!?", dtype=np.uint8)) | ((tail == 0xA6) & (data[np.maximum(ends[:-1] - 3, 0)] == 0xE2))
         breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-        first[1:-1] |= closed | (breaks[starts[1:]] > breaks[ends[:-1]])
-    return words, np.flatnonzero(first[: len(starts)]), rows
+        first[1:-1] |= closed[:-1] | (breaks[starts[1:]] > breaks[ends[:-1]])
+    begins = np.flatnonzero(first[: len(starts)])
+    return words, begins, rows, closed[np.append(begins[1:], len(starts)) - 1] if len(begins) else np.zeros(0, dtype=bool)
+
+
+def _weights(sums: np.ndarray, closed: np.ndarray) -> np.ndarray:
+    """What a sentence counts for in its document."""
+    return np.minimum(sums[:, LEVELS], FULL_WORDS) / FULL_WORDS * np.where(closed, 1.0, UNCLOSED)
 
 
 class Scorer:
@@ -113,14 +122,14 @@ class Scorer:
 
     def rows(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: words, sentences, and the mean distribution of its sentences over the levels."""
-        words, first, rows = words_and_sentences(text)
+        words, first, rows, closed = words_and_sentences(text)
         n_words = np.diff(rows)
         shares = np.full((len(text), LEVELS), 1.0 / LEVELS)
         if not len(words):
             return n_words, np.zeros(len(text), dtype=np.int64), shares
         sums = np.add.reduceat(self._vectors(words.dictionary.to_pylist())[words.indices.to_numpy()], first, axis=0)
         p = sentence_probabilities(sums, self.model.shape)
-        weight = np.minimum(sums[:, LEVELS], FULL_WORDS) / FULL_WORDS
+        weight = _weights(sums, closed)
         begin = np.searchsorted(first, rows)
         run = np.concatenate([np.zeros((1, LEVELS + 1)), np.cumsum(np.column_stack([p * weight[:, None], weight]), axis=0)])
         total = run[begin[1:]] - run[begin[:-1]]
@@ -181,7 +190,7 @@ def fit(examples: list[tuple[str, int]], folds: int = 5, ridge: float = 2e-4) ->
     """
     texts = pa.array([t for t, _ in examples], pa.string())
     level = np.array([k - 1 for _, k in examples])
-    words, first, rows = words_and_sentences(texts)
+    words, first, rows, closed = words_and_sentences(texts)
     vocabulary = [w.strip(_STRIP).lower() for w in words.dictionary.to_pylist()]
     features: dict[str, int] = {}
     grams = [[features.setdefault(g, len(features)) for g in _grams(w)] if any(c.isalpha() for c in w) else [] for w in vocabulary]
@@ -206,7 +215,7 @@ def fit(examples: list[tuple[str, int]], folds: int = 5, ridge: float = 2e-4) ->
     x = vectors[:, some] * np.sqrt(values[some])
     means = np.zeros((len(examples), LEVELS))
     fold = np.arange(len(examples)) % folds
-    weight = np.minimum(sums[:, LEVELS], FULL_WORDS) / FULL_WORDS
+    weight = _weights(sums, closed)
 
     def mean(w: np.ndarray, at: np.ndarray) -> np.ndarray:
         p = _softmax(x[at] @ w) * weight[at, None]

@@ -13,15 +13,16 @@ from lectern.sources.tables import table
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab.!é \n\t  　\u0085…à中", max_size=30), max_size=5))
 def test_words_are_those_of_split(texts):
-    words, first, rows = reading.words_and_sentences(pa.array(texts, pa.string()))
+    words, first, rows, closed = reading.words_and_sentences(pa.array(texts, pa.string()))
+    assert len(closed) == len(first)
     flat = words.dictionary_decode().to_pylist() if len(words) else []
     assert [flat[a:b] for a, b in zip(rows, rows[1:])] == [t.split() for t in texts]
     assert set(rows[:-1][np.diff(rows) > 0]) <= set(first.tolist())
 
 
 def test_sentences():
-    words, first, _ = reading.words_and_sentences(pa.array(["Ein Satz. Noch einer! Und\nmehr… ja", "z"], pa.string()))
-    assert first.tolist() == [0, 2, 4, 5, 6, 7]
+    words, first, _, closed = reading.words_and_sentences(pa.array(["Ein Satz. Noch einer! Und\nmehr… ja", "z"], pa.string()))
+    assert first.tolist() == [0, 2, 4, 5, 6, 7] and closed.tolist() == [True, True, False, True, False, False]
 
 
 def test_held_out_passages_get_their_level(spark, folder):
