@@ -57,7 +57,7 @@ class FragmentTokenizer:
         mark = np.zeros(n + 1, dtype=bool)
         if n > 1:
             at = np.flatnonzero(self.cut[data[:-1].astype(np.uint16) * 256 + data[1:]]) + 1
-            mark[at[~_after_wide_space(data, at)]] = True
+            mark[at[~after_wide_space(data, at)]] = True
         mark[rows] = True
         mark[n] = True
         return np.flatnonzero(mark)
@@ -76,7 +76,7 @@ class FragmentTokenizer:
 
     def _slice(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of one slice: fragment index of each fragment, where rows begin among them, ids of the distinct ones, their lengths."""
-        offsets, data = _bytes_of(text)
+        offsets, data = bytes_of(text)
         starts = self.fragments(data, offsets)
         pieces = pa.Array.from_buffers(
             pa.string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)]
@@ -89,7 +89,7 @@ class FragmentTokenizer:
     def counts(self, text: pa.Array) -> np.ndarray:
         """Number of ids of each row; 0 for null and empty texts."""
         parts = []
-        for piece in _slices(text):
+        for piece in slices(text):
             index, begin, _, lengths = self._slice(piece)
             run = np.concatenate([[0], np.cumsum(lengths[index])])
             parts.append(run[begin[1:]] - run[begin[:-1]])
@@ -98,7 +98,7 @@ class FragmentTokenizer:
     def encode(self, text: pa.Array) -> pa.Array:
         """The ids of each row as a list of int32; an empty list for null and empty texts."""
         parts = []
-        for piece in _slices(text):
+        for piece in slices(text):
             index, begin, flat, lengths = self._slice(piece)
             first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
             each = lengths[index]
@@ -122,7 +122,7 @@ def forced_cuts(ranks: dict[bytes, int]) -> np.ndarray:
     return cut.reshape(-1)
 
 
-def _after_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def after_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether the character that ends before each position is white space beyond ASCII."""
     last, mid, lead = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     two = (mid == 0xC2) & ((last == 0x85) | (last == 0xA0))
@@ -131,7 +131,7 @@ def _after_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return two | three
 
 
-def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets and bytes of a string array; null rows are empty."""
     if text.null_count:
         text = text.fill_null("")
@@ -142,13 +142,13 @@ def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def _slices(text: pa.Array | pa.ChunkedArray) -> list[pa.Array]:
+def slices(text: pa.Array | pa.ChunkedArray) -> list[pa.Array]:
     """Slices of about SLICE_BYTES; a longer text is a slice of its own."""
     out = []
     for chunk in text.chunks if isinstance(text, pa.ChunkedArray) else [text]:
         if not len(chunk):
             continue
-        offsets, _ = _bytes_of(chunk)
+        offsets, _ = bytes_of(chunk)
         ends = [0]
         while ends[-1] < len(chunk):
             ends.append(max(ends[-1] + 1, int(np.searchsorted(offsets, offsets[ends[-1]] + SLICE_BYTES, side="right")) - 1))

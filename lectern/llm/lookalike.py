@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.fragments import _bytes_of, _slices
+from lectern.llm.fragments import bytes_of, slices
 
 #: Letters of other scripts that are drawn like a Latin letter.
 LOOKALIKES = {
@@ -165,8 +165,8 @@ def normal_array(text: pa.Array) -> pa.Array:
     table lookups and written back in one call; no row is touched by itself.
     """
     parts = []
-    for piece in _slices(text):
-        offsets, data = _bytes_of(piece)
+    for piece in slices(text):
+        offsets, data = bytes_of(piece)
         begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         points, rows = normal_points(np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32), begins)
         body = points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.fragments import _after_wide_space, _bytes_of, _slices
+from lectern.llm.fragments import after_wide_space, bytes_of, slices
 
 LEVELS = 3
 
@@ -50,14 +50,14 @@ def words_and_sentences(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray,
     A sentence ends at ``.``, ``!``, ``?`` or ``…`` before white space, at a
     line end and with its row. Found in passes over the bytes of the column.
     """
-    offsets, data = _bytes_of(text)
+    offsets, data = bytes_of(text)
     n = len(data)
     ascii_space = np.zeros(256, dtype=bool)
     ascii_space[list(b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")] = True
     space = ascii_space[data]
     last = np.flatnonzero((data == 0xA0) | (data == 0x85) | ((data >= 0x80) & (data <= 0x8A)) | (data == 0xA8) | (data == 0xA9) | (data == 0xAF) | (data == 0x9F))
     if len(last):
-        wide = last[_after_wide_space(data, last + 1)]
+        wide = last[after_wide_space(data, last + 1)]
         space[wide] = True
         space[wide - 1] = True
         three = wide[data[wide - 1] < 0xC0]
@@ -255,7 +255,7 @@ def reading_levels(documents: DataFrame, examples: DataFrame, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            parts = [scorer.rows(piece) for piece in _slices(b.column(1))]
+            parts = [scorer.rows(piece) for piece in slices(b.column(1))]
             if not parts:
                 continue
             n_words, n_sentences, shares = (np.concatenate(c) for c in zip(*parts))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.fragments import _slices
+from lectern.llm.fragments import slices
 from lectern.session import cut_lineage
 
 BODY, BREAK, HEADER, NUMBER = range(4)
@@ -222,7 +222,7 @@ def word_uses(texts: DataFrame, text: str = "text") -> DataFrame:
             return whole.select(["word", "uses_sum"]).rename_columns(["word", "uses"])
 
         for b in batches:
-            for piece in _slices(b.column(0)):
+            for piece in slices(b.column(0)):
                 words = pc.list_flatten(pc.split_pattern_regex(pc.utf8_lower(piece), pattern=r"[^\p{L}]+"))
                 counts = pc.value_counts(words)
                 counts = counts.filter(pc.greater_equal(pc.utf8_length(counts.field(0)), 3))

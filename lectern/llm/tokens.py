@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.fragments import tokenizer
+from lectern.llm.fragments import slices, tokenizer
 
 #: Where the rank file lies on every node; a parameter of each operator.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -18,17 +18,21 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     """``key, ids``: the token ids of every text, without special tokens.
 
     A narrow map over Arrow batches: no shuffle, one column read beside the
-    key. Null and empty texts give an empty list; strings of special tokens
-    are ordinary text; repeated rows and null keys are kept as they are; an
-    empty table gives no rows. Other columns, whatever their names, are not
-    read.
+    key, and ids handed on slice by slice, so a batch of long texts needs no
+    more memory than its texts. Null and empty texts give an empty list;
+    strings of special tokens are ordinary text; repeated rows and null keys
+    are kept as they are; an empty table gives no rows. Other columns, whatever
+    their names, are not read.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(ranks)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), encoder.encode(b.column(1))], names=["k", "ids"])
+            at = 0
+            for piece in slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(piece)), encoder.encode(piece)], names=["k", "ids"])
+                at += len(piece)
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
