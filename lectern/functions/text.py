@@ -96,6 +96,12 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\p{Nd}+(?:[.,]\p{Nd}+)?)"), F.lit(1))
 
 
+def number_pattern(text: Column) -> Column:
+    """A pattern that matches exactly the numbers of a text: longest first, then by value, dots escaped; empty where there are none."""
+    by = F.transform(F.array_distinct(numbers(text)), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))
+    return F.array_join(F.transform(F.array_sort(by), lambda s: F.replace(s["x"], F.lit("."), F.lit("\\."))), "|")
+
+
 def measured(text: Column) -> Column:
     """Numbers with the unit that follows them, as ``5 mg``."""
     unit = "|".join(sorted((u for u in UNITS), key=lambda u: (-len(u), u)))

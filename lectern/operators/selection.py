@@ -52,6 +52,12 @@ def strongest(rows: DataFrame, keys: list[str], status: str, ranks: dict[str, in
     return best.select(*keys, F.col("_b.s").alias(status), *gathered.values())
 
 
+def best(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """One row per key: the ``columns`` of the row that is greatest by ``order``, ties going to the greatest columns; nulls are least."""
+    rank = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], *columns)
+    return rows.groupBy(*keys).agg(F.max(rank).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in columns])
+
+
 def similar_sets(rows: DataFrame, group: str, key: str, tokens: str, least: float) -> DataFrame:
     """``group, left_key, right_key, similarity``: pairs of rows of a group whose token sets have at least the similarity ``least``, left being the smaller key.
 

@@ -234,6 +234,20 @@ def spans(blocks: DataFrame, group: list[str], coarse: list[str], order: list[st
     return running(n, group, "ordinal", size, "start", whole=False).withColumn("end", F.col("start") + F.coalesce(F.length(text), F.lit(0)))
 
 
+def rendered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, text``: blocks (``at, block_type, text``) of each key joined in order by blank lines; a caption that was given already is left out.
+
+    Repeated captions are found by the first position of each (key, caption),
+    an aggregate; a key's blocks are as few as fit its limits. Null and blank
+    texts are left out.
+    """
+    t = F.trim(F.coalesce("text", F.lit("")))
+    r = rows.select(*keys, "at", "block_type", t.alias("text")).filter("text <> ''").withColumn("caption", F.when(F.col("block_type") == "caption", F.unhex(F.md5(X.key_text(F.col("text"))))))
+    first = r.filter("caption is not null").groupBy(*keys, "caption").agg(F.min("at").alias("first_at"))
+    kept = r.join(first, [*keys, "caption"], "left").filter("caption is null or at = first_at")
+    return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def segments(ordered: DataFrame, group: list[str], order: list[str], head: str, size: str, most: int, joint: int = 2) -> DataFrame:
     """``ordered`` with ``segment`` from 0: a new one begins at a heading (column ``head`` true) and before a row that would take the segment over ``most`` characters.
 

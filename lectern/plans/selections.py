@@ -60,7 +60,20 @@ def near_duplicate_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return C.similar_sets(p, "document_id", "transformation_id", "words", 0.85)
 
 
-QUERIES = {f.__name__: f for f in (topic_rank, budgeted_selection, course_units, coverage_priority, coverage_ledger, near_duplicate_pairs)}
+def best_transformation(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ["document_id", "transformation_id"]
+    t = latest(table(spark, folder, "model_transformations"), keys, "ingested_at", [*keys, "validation_status", "confidence", "transformation_type"])
+    order = [F.col("validation_status") == "accepted", F.col("confidence")]
+    return C.best(t, ["document_id"], order, ["transformation_id", "transformation_type"])
+
+
+def first_issue(spark: SparkSession, folder: str) -> DataFrame:
+    """The first chunk of a document whose stated length is not that of its text."""
+    c = _chunks(spark, folder, "chunk_index", "text", "character_count")
+    return c.filter(~F.col("character_count").eqNullSafe(F.length(F.coalesce("text", F.lit(""))))).groupBy("document_id").agg(F.min("chunk_index").alias("first_index"), F.count(F.lit(1)).alias("issues"))
+
+
+QUERIES = {f.__name__: f for f in (topic_rank, budgeted_selection, course_units, coverage_priority, coverage_ledger, near_duplicate_pairs, best_transformation, first_issue)}
 
 _KIND = "coalesce(nullif(coalesce(list_position([" + ", ".join(f"'{k}'" for k in KINDS) + "], chunk_type), 0), 0), 99)"
 _MATCH = " + ".join(f"CASE WHEN contains(lower(coalesce(array_to_string(section_path, ' '), '')), '{t}') THEN 1 ELSE 0 END" for t in TERMS)
@@ -87,4 +100,7 @@ FROM (SELECT DISTINCT document_id FROM normalized_documents) LEFT JOIN p USING (
 h AS (SELECT document_id, ws, min(transformation_id) AS k FROM w WHERE len(ws) > 0 GROUP BY 1, 2),
 near AS (SELECT a.document_id, a.k AS left_key, b.k AS right_key, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), 6) AS similarity FROM h a JOIN h b ON a.document_id = b.document_id AND a.k < b.k WHERE len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.85)
 SELECT * FROM near UNION ALL SELECT w.document_id, h.k, w.transformation_id, 1.0 FROM w JOIN h ON w.document_id = h.document_id AND w.ws = h.ws WHERE w.transformation_id <> h.k""",
+    "best_transformation": """WITH t AS (SELECT document_id, transformation_id, x.* FROM (SELECT document_id, transformation_id, arg_max(struct_pack(s := validation_status, c := confidence, ty := transformation_type), ingested_at) AS x FROM model_transformations GROUP BY 1, 2)),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY s = 'accepted' DESC NULLS LAST, c DESC NULLS LAST, transformation_id DESC) AS rn FROM t) SELECT document_id, transformation_id, ty AS transformation_type FROM r WHERE rn = 1""",
+    "first_issue": f"WITH {_C}, n AS (SELECT document_id, chunk_id, arg_max(struct_pack(v := character_count), generated_at).v AS stated FROM chunks GROUP BY 1, 2) SELECT document_id, min(chunk_index) AS first_index, count(*) AS issues FROM c JOIN n USING (document_id, chunk_id) WHERE stated IS DISTINCT FROM length(coalesce(text, '')) GROUP BY 1",
 }

@@ -169,6 +169,12 @@ def markdown_views(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("document_id", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").cast("bigint").alias("characters"))
 
 
+def rendered_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    refs = _chunks(spark, folder, "refs").select("document_id", "chunk_id", F.posexplode("refs").alias("at", "r")).select("document_id", "chunk_id", "at", F.col("r.block_id").alias("block_id"))
+    t = S.rendered(refs.join(_blocks(spark, folder, "block_type", "text"), ["document_id", "block_id"]), ["document_id", "chunk_id"])
+    return t.select("document_id", "chunk_id", F.length("text").cast("bigint").alias("characters"), F.sha2("text", 256).alias("sha256"))
+
+
 def text_exports(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's export, read back: its header holds and its marks are counted."""
     about = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "source_relative_path", "document_type", "title", "language"])
@@ -182,7 +188,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         greedy_chunks, reading_order, repeated_furniture, structural_units, block_atoms, chunk_dedup, neighbor_context, chunk_stats, page_ranges, heading_stack, boundary_lines, adjacent_duplicates, table_echoes, raw_spans, rendered_tables, oversize_split,
-        association_cascade, evidence_spans, section_segments, markdown_views, text_exports,
+        association_cascade, evidence_spans, section_segments, markdown_views, rendered_chunks, text_exports,
     )
 }
 
@@ -271,6 +277,8 @@ s AS (SELECT document_id, rn, CAST(0 AS BIGINT) AS segment, n AS total FROM o WH
   UNION ALL
   SELECT o.document_id, o.rn, CASE WHEN o.head OR total + 2 + n > 2000 THEN segment + 1 ELSE segment END, CASE WHEN o.head OR total + 2 + n > 2000 THEN n ELSE total + 2 + n END FROM o JOIN s ON o.document_id = s.document_id AND o.rn = s.rn + 1)
 SELECT document_id, segment, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS characters, min(location_number) AS first_page, max(location_number) AS last_page FROM o JOIN s USING (document_id, rn) GROUP BY 1, 2""",
+    "rendered_chunks": f"""WITH {_B}, {_C}, e AS (SELECT document_id, chunk_id, unnest(refs) AS r, unnest(range(len(refs))) AS i FROM c), x AS (SELECT e.document_id, e.chunk_id, i, block_type, trim(text, ' ') AS t, {_key("trim(text, ' ')")} AS k FROM e JOIN b ON b.document_id = e.document_id AND b.block_id = e.r.block_id WHERE trim(coalesce(text, ''), ' ') <> ''),
+y AS (SELECT *, CASE WHEN block_type = 'caption' THEN row_number() OVER (PARTITION BY document_id, chunk_id, block_type, k ORDER BY i) ELSE 1 END AS n FROM x), z AS (SELECT document_id, chunk_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM y WHERE n = 1 GROUP BY 1, 2) SELECT document_id, chunk_id, length(text) AS characters, sha256(text) AS sha256 FROM z""",
     "markdown_views": f"""WITH {_O}, l AS (SELECT document_id, page, ordinal, CASE block_type WHEN 'title' THEN '# ' || trim(text, ' ') WHEN 'heading' THEN '### ' || trim(text, ' ') WHEN 'list_item' THEN '- ' || trim(text, ' ') ELSE trim(text, ' ') END AS line FROM o WHERE trim(coalesce(text, ''), ' ') <> ''),
 p AS (SELECT document_id, page, CASE WHEN page IS NULL THEN '' ELSE '## Page ' || page || chr(10) || chr(10) END || string_agg(line, chr(10) || chr(10) ORDER BY ordinal) AS body FROM l GROUP BY 1, 2),
 m AS (SELECT document_id, string_agg(body, chr(10) || chr(10) ORDER BY page NULLS FIRST) AS md FROM p GROUP BY 1) SELECT document_id, sha256(md) AS sha256, length(md) AS characters FROM m""",

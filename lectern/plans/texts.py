@@ -76,6 +76,10 @@ def number_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("document_id", "transformation_id", F.size(X.numbers(F.coalesce("original_text", F.lit("")))).cast("bigint").alias("original_numbers"), F.size(X.numbers(F.coalesce("reconstructed_text", F.lit("")))).cast("bigint").alias("new_numbers"), F.array_join(X.measured(F.coalesce("reconstructed_text", F.lit(""))), ";").alias("measured"))
 
 
+def number_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs(spark, folder).select("document_id", "transformation_id", X.number_pattern(F.coalesce("original_text", F.lit(""))).alias("pattern"))
+
+
 def unsupported_numbers(spark: SparkSession, folder: str) -> DataFrame:
     p = pairs(spark, folder)
     return difference(p, ["document_id", "transformation_id"], X.numbers(F.coalesce("reconstructed_text", F.lit(""))), X.numbers(F.coalesce("original_text", F.lit(""))), "number")
@@ -114,7 +118,7 @@ def common_folders(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_text_hash, file_hashes, token_stats, key_texts, cleaned_blocks, language_script, language_labels, source_names, text_ratios, heading_lines, number_tokens, unsupported_numbers, missing_words,
+        normalize_text_hash, file_hashes, token_stats, key_texts, cleaned_blocks, language_script, language_labels, source_names, text_ratios, heading_lines, number_tokens, number_patterns, unsupported_numbers, missing_words,
         changed_modality, lexical_support, identity_keys, common_folders,
     )
 }
@@ -181,6 +185,7 @@ WHERE length(line) BETWEEN 3 AND 120 AND NOT regexp_matches(line, '[.;,]$') AND
 AND (regexp_matches(line, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}') OR len(regexp_extract_all(line, '\p{Lu}')) / len(regexp_extract_all(line, '\p{L}')) >= 0.55)""",
     "number_tokens": f"""SELECT document_id, transformation_id, len({_numbers("o")}) AS original_numbers, len({_numbers("r")}) AS new_numbers,
 array_to_string(list_transform(regexp_extract_all(r, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?{_S}*(?:{_UNITS}))(?:[^\\p{{L}}\\p{{N}}]|$)', 1), lambda x: regexp_replace(x, '^([\\p{{Nd}}.,]+){_S}*', '\\1 ')), ';') AS measured FROM {_P}""",
+    "number_patterns": f"SELECT document_id, transformation_id, array_to_string(list_transform(list_sort(list_transform(list_distinct({_numbers('o')}), lambda x: struct_pack(n := -length(x), x := x))), lambda s: replace(s.x, '.', chr(92) || '.')), '|') AS pattern FROM {_P}",
     "unsupported_numbers": _minus(_numbers("r"), _numbers("o"), "number"),
     "missing_words": _minus(f"list_filter({_words('o')}, lambda w: length(w) >= 3)", f"list_filter({_words('r')}, lambda w: length(w) >= 3)", "word"),
     "changed_modality": f'SELECT * FROM (SELECT document_id, transformation_id, {_own("o")} AS "before", {_own("r")} AS "after" FROM {_P}) WHERE "before" <> "after"',
