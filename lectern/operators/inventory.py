@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 #: What a file is by its extension.
 FILE_TYPES = {
-    "pdf": "PDF document", "ppt": "PowerPoint presentation (legacy)", "pptx": "PowerPoint presentation", "doc": "Word document (legacy)", "docx": "Word document", "odt": "OpenDocument text", "odp": "OpenDocument presentation", "rtf": "Rich text",
-    "txt": "Plain text", "md": "Markdown", "csv": "CSV data", "json": "JSON data", "html": "HTML document", "htm": "HTML document", "xlsx": "Excel workbook", "xls": "Excel workbook (legacy)", "png": "PNG image", "jpg": "JPEG image", "jpeg": "JPEG image",
-    "gif": "GIF image", "tif": "TIFF image", "tiff": "TIFF image", "zip": "ZIP archive",
+    "pdf": "PDF", "docx": "Microsoft Word", "doc": "Microsoft Word", "pptx": "Microsoft PowerPoint", "ppt": "Microsoft PowerPoint", "xlsx": "Microsoft Excel", "xls": "Microsoft Excel", "odt": "OpenDocument Text", "odp": "OpenDocument Presentation", "epub": "EPUB",
+    "md": "Markdown", "html": "HTML", "htm": "HTML", "txt": "Plain Text", "rtf": "Rich Text", "png": "PNG image", "jpg": "JPEG image", "jpeg": "JPEG image", "tif": "TIFF image", "tiff": "TIFF image", "bmp": "BMP image", "webp": "WEBP image",
 }
 
 

@@ -16,7 +16,7 @@ from lectern.session import cut_lineage
 from lectern.sources.tables import table
 
 #: Phrases by which a text corrects its source, lower case.
-CORRECTIONS = ["erratum", "il faut lire", "au lieu de", "correction", "corrected", "instead of", "statt", "korrektur", "en lugar de", "corrección", "contrairement", "im gegensatz"]
+CORRECTIONS = ["likely a typo", "probable typo", "should be interpreted as", "likely an error", "erreur probable", "coquille probable", "doit être interprété", "doit etre interprete", "semble être une erreur", "semble etre une erreur"]
 
 
 def _raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +100,7 @@ LEFT JOIN (SELECT document_id, transformation_id, v, count(*) AS m FROM (SELECT
 def _measures(x: str) -> str:
     units = "|".join(sorted(X.UNITS, key=lambda u: (-len(u), u)))
     space = r"[\t\n\x0b\f\r ]"
-    return f"list_transform(regexp_extract_all({x}, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?{space}*(?:{units}))(?:[^\\p{{L}}\\p{{N}}]|$)', 1), lambda y: regexp_replace(y, '^([\\p{{Nd}}.,]+){space}*', '\\1 '))"
+    return f"list_transform(regexp_extract_all({x}, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?{space}*(?i:{units}))(?:[^\\p{{L}}\\p{{N}}]|$)', 1), lambda y: regexp_replace(y, '^([\\p{{Nd}}.,]+){space}*', '\\1 '))"
 
 
 def _numbers(x: str) -> str:

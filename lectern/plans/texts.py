@@ -184,7 +184,7 @@ round(coalesce(len(list_filter(regexp_extract_all(text, '[\p{{S}}\p{{Cc}}]'), la
 WHERE length(line) BETWEEN 3 AND 120 AND NOT regexp_matches(line, '[.;,]$') AND len(regexp_extract_all(line, '\p{L}')) >= 3
 AND (regexp_matches(line, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}') OR len(regexp_extract_all(line, '\p{Lu}')) / len(regexp_extract_all(line, '\p{L}')) >= 0.55)""",
     "number_tokens": f"""SELECT document_id, transformation_id, len({_numbers("o")}) AS original_numbers, len({_numbers("r")}) AS new_numbers,
-array_to_string(list_transform(regexp_extract_all(r, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?{_S}*(?:{_UNITS}))(?:[^\\p{{L}}\\p{{N}}]|$)', 1), lambda x: regexp_replace(x, '^([\\p{{Nd}}.,]+){_S}*', '\\1 ')), ';') AS measured FROM {_P}""",
+array_to_string(list_transform(regexp_extract_all(r, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?{_S}*(?i:{_UNITS}))(?:[^\\p{{L}}\\p{{N}}]|$)', 1), lambda x: regexp_replace(x, '^([\\p{{Nd}}.,]+){_S}*', '\\1 ')), ';') AS measured FROM {_P}""",
     "number_patterns": f"SELECT document_id, transformation_id, array_to_string(list_transform(list_sort(list_transform(list_distinct({_numbers('o')}), lambda x: struct_pack(n := -length(x), x := x))), lambda s: replace(s.x, '.', chr(92) || '.')), '|') AS pattern FROM {_P}",
     "unsupported_numbers": _minus(_numbers("r"), _numbers("o"), "number"),
     "missing_words": _minus(f"list_filter({_words('o')}, lambda w: length(w) >= 3)", f"list_filter({_words('r')}, lambda w: length(w) >= 3)", "word"),

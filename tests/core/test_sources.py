@@ -19,7 +19,7 @@ def test_discovery(spark, tmp_path):
     (root / "empty").write_bytes(b"")
     got = {r.path: r for r in files.discover(spark, str(root)).collect()}
     assert set(got) == {"a.txt", "Pôle B/b.TXT", "Pôle B/x/c"}
-    assert got["a.txt"].sha256 == hashlib.sha256(b"same").hexdigest() and got["a.txt"].file_type == "Plain text"
+    assert got["a.txt"].sha256 == hashlib.sha256(b"same").hexdigest() and got["a.txt"].file_type == "Plain Text"
     assert got["Pôle B/b.TXT"].extension == "txt" and got["Pôle B/x/c"].file_type == "Unknown" and got["Pôle B/x/c"].size == 1
 
 
