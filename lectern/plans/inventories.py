@@ -52,7 +52,7 @@ def manifest_reuse(spark: SparkSession, folder: str) -> DataFrame:
 
 def snapshot_diff(spark: SparkSession, folder: str) -> DataFrame:
     before = table(spark, folder, "cleaning_sidecars").select("source_relative_path", F.col("readiness_status").alias("status"))
-    after = _documents(spark, folder).filter("config_id <> 'cfg-quiz'").select("source_relative_path", F.when(F.col("classification") == "likely_scanned", "partially_reconstructable").otherwise("ready").alias("status"))
+    after = _documents(spark, folder).select("source_relative_path", F.when(F.col("classification") == "likely_scanned", "partially_reconstructable").otherwise("ready").alias("status"))
     one = lambda df: df.groupBy("source_relative_path").agg(F.max("status").alias("status"))
     return I.changes(one(before), one(after), "source_relative_path", "status")
 
