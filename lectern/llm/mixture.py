@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.tokens import RANKS, distinct_counts, text_key
-from lectern.session import cut_lineage
-
-#: A text that stands in more sources than this counts for its scarcest ones only, which bounds the number of patterns by (number of sources) ** WIDEST.
-WIDEST = 4
+from lectern.session import broadcast_if_small, cut_lineage
 
 #: Texts in one bucket of a pattern's order, on average.
 BUCKET = 20_000
 
-PLAN = T.StructType([T.StructField(n, t) for n, t in (("pattern", T.StringType()), ("mix_name", T.StringType()), ("source", T.StringType()), ("lo", T.LongType()), ("hi", T.LongType()), ("size", T.LongType()))])
+PLAN = T.StructType([T.StructField(n, t) for n, t in (("pattern", T.StringType()), ("mix_name", T.StringType()), ("source", T.StringType()), ("start", T.LongType()), ("lo", T.LongType()), ("hi", T.LongType()), ("size", T.LongType()))])
+
+#: Rows of the plan up to which it is broadcast.
+PLAN_ROWS = 100_000
 
 
 @dataclass
@@ -166,17 +166,14 @@ def route(sizes: dict[tuple[str, ...], int], shares: dict[str, float], repeats:
 def texts_by_pattern(documents: DataFrame, sources: list[str], key: str, text: str, source: str, ranks: str = RANKS) -> DataFrame:
     """``text_hash, n_tokens, members, pattern``: every distinct text with tokens and the document that stands for it in each source.
 
-    ``members`` is an array of (source, document) of at most ``WIDEST`` of the
-    listed sources, the scarcest first kept; ``pattern`` joins their names.
+    ``members`` is an array of (source, document) of all listed sources the
+    text stands in; ``pattern`` joins their names.
     """
     rows = documents.filter(F.col(source).isin(sources)).select(text_key(text).alias("text_hash"), F.col(source).alias("source"), F.col(key).alias("doc_id"))
     each = rows.groupBy("text_hash", "source").agg(F.min("doc_id").alias("doc_id"))
-    scarce = [r["source"] for r in each.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "source").collect()]  # one row a listed source
-    rank = F.create_map(*[F.lit(v) for i, s in enumerate(scarce) for v in (s, i)]) if scarce else F.create_map(F.lit(""), F.lit(0))
-    member = F.struct(F.try_element_at(rank, F.col("source")).alias("rank"), "source", "doc_id")
-    sets = each.groupBy("text_hash").agg(F.slice(F.array_sort(F.collect_set(member)), 1, WIDEST).alias("members"))
+    sets = each.groupBy("text_hash").agg(F.array_sort(F.collect_set(F.struct("source", "doc_id"))).alias("members"))
     counts = distinct_counts(documents.filter(F.col(source).isin(sources)), text, ranks).filter("n_tokens > 0")
-    return sets.join(counts, "text_hash").withColumn("pattern", F.array_join(F.array_sort(F.col("members.source")), "\x1f"))
+    return sets.join(counts, "text_hash").withColumn("pattern", F.array_join(F.col("members.source"), "\x1f"))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, total: int | None = None, ranks: str = RANKS) -> DataFrame:
@@ -186,11 +183,13 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", t
     that goes to the driver. Copies of a text under several documents are one
     text; it may serve any of the sources it stands in, each use being counted
     for one of them, and no source uses it more than its ``max_repeats`` times.
-    Only totals per membership pattern go to the driver (their number is
-    bounded by the sources), where :func:`route` decides how many tokens each
-    pattern gives to each source. A pattern's texts are put in a seeded order
-    and a source takes a stretch of it, wrapping round for repeats; what a
-    stretch lacks or has too much is made up by a few texts of that size.
+    Only totals per membership pattern go to the driver (as many as there are
+    different sets of listed sources), where :func:`route` decides how many
+    tokens each pattern gives to each source. For a mix, patterns that agree in
+    its own sources are one, laid end to end. A pattern's texts are put in a
+    seeded order and a source takes a stretch of it, wrapping round for
+    repeats; what a stretch lacks or has too much is made up by a few texts of
+    that size.
 
     The order's prefix sums are taken in buckets of bounded size, so a pattern
     with a third of all texts is no single task. Null and empty texts have no
@@ -203,32 +202,35 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", t
     texts = cut_lineage(texts_by_pattern(documents, sources, key, text, source, ranks))
     sums = {r["pattern"]: (r["tokens"], r["n"]) for r in texts.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).toLocalIterator()}
     plan = []
+    quotas: dict[tuple[str, str], int] = {}
     for mix in sorted({r["mix_name"] for r in wanted}):
         own = [r for r in wanted if r["mix_name"] == mix]
         names = {r["source"] for r in own}
         merged: dict[tuple[str, ...], int] = {}
-        for p, (n, _) in sums.items():
-            merged[tuple(p.split("\x1f"))] = n
-        flows = route({p: n for p, n in merged.items() if names & set(p)}, {r["source"]: r["share"] for r in own}, {r["source"]: r["repeats"] for r in own}, total)
+        parts: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        for p, (n, _) in sorted(sums.items()):
+            if inside := tuple(x for x in p.split("\x1f") if x in names):
+                parts.setdefault(inside, []).append((p, merged.get(inside, 0)))
+                merged[inside] = merged.get(inside, 0) + n
+        flows = route(merged, {r["source"]: r["share"] for r in own}, {r["source"]: r["repeats"] for r in own}, total)
         at: dict[tuple[str, ...], int] = {}
-        for (p, s), n in sorted(flows.items()):
-            plan.append(("\x1f".join(p), mix, s, at.get(p, 0), at.get(p, 0) + n, merged[p]))
-            at[p] = at.get(p, 0) + n
+        for (inside, s), n in sorted(flows.items()):
+            lo = at.get(inside, 0)
+            plan += [(p, mix, s, start, lo, lo + n, merged[inside]) for p, start in parts[inside]]
+            quotas[mix, s] = quotas.get((mix, s), 0) + n
+            at[inside] = lo + n
     buckets = max(16, sum(n for _, n in sums.values()) // BUCKET)
     placed = texts.withColumn("order", F.xxhash64(F.lit(seed), "text_hash")).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("tokens")).select("pattern", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("order", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("in_bucket", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base, ["pattern", "bucket"])
-    middle = F.col("base") + F.col("in_bucket") + F.col("n_tokens") / 2
+    middle = F.col("start") + F.col("base") + F.col("in_bucket") + F.col("n_tokens") / 2
     turns = lambda c: F.ceil((F.col(c) - middle) / F.col("size"))
-    planned = ordered.join(F.broadcast(spark.createDataFrame(plan, PLAN)), "pattern")
+    planned = ordered.join(broadcast_if_small(spark.createDataFrame(plan, PLAN), PLAN_ROWS), "pattern")
     doc = F.filter("members", lambda m: m["source"] == F.col("source"))[0]["doc_id"]
     alone = F.size("members") == 1
     chosen = cut_lineage(planned.select("mix_name", "source", "text_hash", doc.alias("doc_id"), "n_tokens", (turns("hi") - turns("lo")).cast("int").alias("copies"), alone.alias("alone")))
-    quotas: dict[tuple[str, str], int] = {}
-    for _, mix, s, lo, hi, _ in plan:
-        quotas[mix, s] = quotas.get((mix, s), 0) + hi - lo
     caps = {(r["mix_name"], r["source"]): r["repeats"] for r in wanted}
     return _settled(chosen, quotas, caps).filter("copies > 0").select("mix_name", "source", "doc_id", "n_tokens", "copies")
 
