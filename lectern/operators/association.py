@@ -6,39 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.session import cut_lineage
 
 #: Pages over which a chunk may stretch to be compared page by page.
 WIDEST_RANGE = 200
 
 
-def associate(objects: DataFrame, chunks: DataFrame, captions: DataFrame, texts: DataFrame) -> DataFrame:
+def associate(objects: DataFrame, chunks: DataFrame, captions: DataFrame, texts: DataFrame, near: str | None = None) -> DataFrame:
     """``document_id, object_id, chunk_id, method``: for each object the first method that names one chunk.
 
     ``objects``: ``document_id, object_id, block_id, page, top``; ``chunks``:
     ``document_id, chunk_id, chunk_index, blocks, first_page, last_page,
-    top``; ``captions``: ``document_id, object_id, caption``; ``texts``:
-    ``document_id, chunk_id, text``. Methods in order:
+    top`` or ``tops`` (one for each block); ``captions``: ``document_id,
+    object_id, caption``; ``texts``: ``document_id, chunk_id, text``; ``near``:
+    the column of ``objects`` that tells which of them the nearest chunk is
+    looked for, by default all. Methods in order:
     ``explicit_block_reference`` (the last chunk that holds the object's
     block), ``caption_text`` (one chunk alone on its page holds its caption),
     ``only_chunk_at_location`` (one chunk alone covers its page),
-    ``nearest_chunk`` (the chunk on its page whose top is nearest; a tie names
-    none). Objects that no method places come with nulls.
+    ``nearest_chunk`` (the chunk on its page of which a block's top is nearest;
+    a tie names none). Objects that no method places come with nulls.
 
     Blocks and pages meet by equi-joins (a chunk is exploded over its pages,
-    of which it has few), never by ranges over a whole document; the cascade
-    is one aggregate over candidates.
+    of which it has few), never by ranges over a whole document; the pairs that
+    meet on a page are written to the checkpoint folder once, and the cascade is
+    one aggregate over candidates.
     """
     at = ["document_id", "object_id"]
     refs = chunks.select("document_id", "chunk_id", "chunk_index", F.explode("blocks").alias("block_id"))
     explicit = objects.join(refs, ["document_id", "block_id"]).groupBy(*at).agg(F.max(F.struct("chunk_index", "chunk_id")).alias("x")).select(*at, F.col("x.chunk_id").alias("chunk_id"), F.lit(1).alias("rank"))
-    wide = chunks.filter(F.col("last_page") - F.col("first_page") < WIDEST_RANGE).select("document_id", "chunk_id", "top", F.explode(F.sequence("first_page", "last_page")).alias("page"))
-    place = objects.select(*at, "page", F.col("top").alias("object_top")).join(wide, ["document_id", "page"])
+    wide = chunks.filter(F.col("last_page") - F.col("first_page") < WIDEST_RANGE).select("document_id", "chunk_id", (F.col("tops") if "tops" in chunks.columns else F.array("top")).alias("tops"), F.explode(F.sequence("first_page", "last_page")).alias("page"))
+    least = F.array_min(F.transform("tops", lambda t: F.abs(t - F.col("object_top"))))
+    place = cut_lineage(objects.select(*at, "page", F.col("top").alias("object_top"), (F.col(near) if near else F.lit(True)).alias("near")).join(wide, ["document_id", "page"]).select(*at, "chunk_id", F.when(F.col("near"), least).alias("far")))
     said = captions.withColumn("caption", X.key_text(F.col("caption"))).filter("caption <> ''")
     spoken = place.select(*at, "chunk_id").join(said, at).join(texts.select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"]).filter(F.contains(X.key_text(F.col("text")), F.col("caption")))
     named = spoken.groupBy(*at).agg(F.countDistinct("chunk_id").alias("n"), F.min("chunk_id").alias("chunk_id")).filter("n = 1").select(*at, "chunk_id", F.lit(2).alias("rank"))
-    here = place.groupBy(*at).agg(F.countDistinct("chunk_id").alias("n"), F.min("chunk_id").alias("only"), F.min(F.abs(F.col("top") - F.col("object_top"))).alias("least"))
-    only = here.filter("n = 1").select(*at, F.col("only").alias("chunk_id"), F.lit(3).alias("rank"))
-    near = place.join(here.select(*at, "least"), at).filter(F.abs(F.col("top") - F.col("object_top")) == F.col("least")).groupBy(*at).agg(F.countDistinct("chunk_id").alias("n"), F.min("chunk_id").alias("chunk_id")).filter("n = 1").select(*at, "chunk_id", F.lit(4).alias("rank"))
-    best = explicit.unionByName(named).unionByName(only).unionByName(near).groupBy(*at).agg(F.min(F.struct("rank", "chunk_id")).alias("x"))
+    only = place.groupBy(*at).agg(F.countDistinct("chunk_id").alias("n"), F.min("chunk_id").alias("chunk_id")).filter("n = 1").select(*at, "chunk_id", F.lit(3).alias("rank"))
+    far = place.filter("far is not null").groupBy(*at, "far").agg(F.countDistinct("chunk_id").alias("n"), F.min("chunk_id").alias("chunk_id"))
+    nearest = far.groupBy(*at).agg(F.min(F.struct("far", "n", "chunk_id")).alias("x")).filter("x.n = 1").select(*at, F.col("x.chunk_id").alias("chunk_id"), F.lit(4).alias("rank"))
+    best = explicit.unionByName(named).unionByName(only).unionByName(nearest).groupBy(*at).agg(F.min(F.struct("rank", "chunk_id")).alias("x"))
     method = F.when(F.col("x.rank") == 1, "explicit_block_reference").when(F.col("x.rank") == 2, "caption_text").when(F.col("x.rank") == 3, "only_chunk_at_location").when(F.col("x.rank") == 4, "nearest_chunk")
     return objects.select(*at).distinct().join(best, at, "left").select(*at, F.col("x.chunk_id").alias("chunk_id"), method.alias("method"))

@@ -135,15 +135,15 @@ def oversize_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def association_cascade(spark: SparkSession, folder: str) -> DataFrame:
     b = _blocks(spark, folder, "table_id", "asset_id", "page", "bbox_top")
-    objects = b.filter("table_id is not null or asset_id is not null").select("document_id", F.coalesce("table_id", "asset_id").alias("object_id"), "block_id", "page", F.col("bbox_top").alias("top"))
+    objects = b.filter("table_id is not null or asset_id is not null").select("document_id", F.coalesce("table_id", "asset_id").alias("object_id"), "block_id", "page", F.col("bbox_top").alias("top"), F.col("table_id").isNull().alias("is_asset"))
     refs = _chunks(spark, folder, "chunk_index", "refs")
     each = refs.select("document_id", "chunk_id", F.explode("refs").alias("r")).select("document_id", "chunk_id", F.col("r.block_id").alias("block_id"), F.col("r.page").alias("page")).join(b.select("document_id", "block_id", "bbox_top"), ["document_id", "block_id"], "left")
-    about = each.groupBy("document_id", "chunk_id").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min("bbox_top").alias("top"))
+    about = each.groupBy("document_id", "chunk_id").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.collect_set("bbox_top").alias("tops"))
     c = refs.select("document_id", "chunk_id", "chunk_index", F.col("refs.block_id").alias("blocks")).join(about, ["document_id", "chunk_id"], "left")
     near = S.captions_of(_ordered(spark, folder, "block_type"))
-    spoken = _blocks(spark, folder, "text").select("document_id", F.col("block_id").alias("caption_block"), F.col("text").alias("caption"))
+    spoken = _blocks(spark, folder, F.when(F.col("block_type") == "caption", F.col("text")).alias("caption")).filter("caption is not null").withColumnRenamed("block_id", "caption_block")
     captions = objects.join(near, (objects["document_id"] == near["document_id"]) & (objects["block_id"] == near["object_block"])).select(objects["document_id"], "object_id", "caption_block").join(spoken, ["document_id", "caption_block"]).select("document_id", "object_id", "caption")
-    return associate(objects, c, captions, _chunks(spark, folder, "text"))
+    return associate(objects, c, captions, _chunks(spark, folder, "text"), "is_asset")
 
 
 def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:

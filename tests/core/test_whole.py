@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from lectern.plans import inventories
+from lectern.plans import inventories, structures
 
 _ABOUT = "document_id string, source_relative_path string, source_extension string, document_type string, title string, language string, page_or_slide_count int, classification string, config_id string, parser_name string, ingested_at timestamp"
 
@@ -15,3 +15,14 @@ def test_snapshot_diff_sees_every_document(spark, tmp_path):
     spark.createDataFrame([(f"{i}.pdf", "ready") for i in ("a", "b", "e")], "source_relative_path string, readiness_status string").write.parquet(f"{tmp_path}/cleaning_sidecars.parquet")
     got = {(r.source_relative_path, r.change) for r in inventories.snapshot_diff(spark, str(tmp_path)).collect()}
     assert got == {("b.pdf", "modified"), ("c.pdf", "added"), ("d.pdf", "added"), ("e.pdf", "removed")}
+
+
+def test_the_nearest_chunk_is_judged_by_all_its_blocks(spark, tmp_path):
+    at = datetime(2026, 1, 1)
+    blocks = [("a", 10.0, None, None), ("b", 90.0, None, None), ("c", 60.0, None, None), ("f", 95.0, None, "asset"), ("t", 95.0, "table", None)]
+    rows = [("d", i, "figure" if asset else "table" if tab else "paragraph", i, 1, n, None, "page", top, tab, asset, at) for n, (i, top, tab, asset) in enumerate(blocks)]
+    spark.createDataFrame(rows, "document_id string, block_id string, block_type string, text string, page int, reading_order int, section_id string, location_type string, bbox_top double, table_id string, asset_id string, ingested_at timestamp").write.parquet(f"{tmp_path}/blocks.parquet")
+    chunks = [("d", "wide", 0, "x", [("a", None, 1), ("b", None, 1)], at), ("d", "low", 1, "y", [("c", None, 1)], at)]
+    spark.createDataFrame(chunks, "document_id string, chunk_id string, chunk_index bigint, text string, refs array<struct<block_id: string, excerpt: string, page: int>>, generated_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.object_id: (r.chunk_id, r.method) for r in structures.association_cascade(spark, str(tmp_path)).collect()}
+    assert got == {"asset": ("wide", "nearest_chunk"), "table": (None, None)}
