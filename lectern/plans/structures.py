@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import building
 from lectern.operators import structure as S
 from lectern.operators.association import associate
 from lectern.operators.hierarchy import hierarchy
@@ -64,6 +65,18 @@ def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("document_id", F.col("unit").cast("bigint").alias("unit"), F.col("pack").cast("bigint").alias("pack"), F.size("blocks").cast("bigint").alias("blocks"), F.sha2("text", 256).alias("text_hash"), F.col("characters").cast("bigint").alias("characters"), X.token_estimate(F.col("characters")).alias("tokens"), "first_page", "last_page")
 
 
+def built_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks as chunks of typed atoms, runs and packs (see :mod:`lectern.operators.building`), in the sizes of the flagship."""
+    b = cut_lineage(_blocks(spark, folder, "page", "reading_order", "block_type", "section_id", "location_type", F.col("text").isNotNull().alias("has_text"), S.furniture_key().alias("furniture")))
+    kept = b.join(S.repeated_furniture(b).select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").drop("furniture")
+    openings = b.groupBy("document_id").agg(F.min(F.struct("page", "reading_order", "block_id")).alias("x")).select("document_id", "x.block_id")
+    text = F.when((F.col("block_type") == "table") & (F.trim("text") != ""), S.render_table(F.col("text"))).otherwise(F.col("text")).alias("text")
+    levels = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "level"])
+    c = building.build(cut_lineage(S.reading_order(kept)), openings, _blocks(spark, folder, text), levels, FLAGSHIP)
+    size = F.length("text").cast("bigint")
+    return c.select("document_id", "chunk_index", "chunk_id", "chunk_type", "unit", F.size("blocks").cast("bigint").alias("blocks"), F.sha2("text", 256).alias("text_hash"), size.alias("characters"), X.token_estimate(size).alias("tokens"), "first_page", "last_page")
+
+
 def block_atoms(spark: SparkSession, folder: str) -> DataFrame:
     a = S.atoms(_ordered(spark, folder, "block_type", "section_id"))
     return a.groupBy("document_id", F.col("atom").cast("bigint").alias("atom")).agg(F.count(F.lit(1)).alias("blocks"), F.min("block_id").alias("first_block"))
@@ -187,7 +200,7 @@ def text_exports(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        greedy_chunks, reading_order, repeated_furniture, structural_units, block_atoms, chunk_dedup, neighbor_context, chunk_stats, page_ranges, heading_stack, boundary_lines, adjacent_duplicates, table_echoes, raw_spans, rendered_tables, oversize_split,
+        greedy_chunks, built_chunks, reading_order, repeated_furniture, structural_units, block_atoms, chunk_dedup, neighbor_context, chunk_stats, page_ranges, heading_stack, boundary_lines, adjacent_duplicates, table_echoes, raw_spans, rendered_tables, oversize_split,
         association_cascade, evidence_spans, section_segments, markdown_views, rendered_chunks, text_exports,
     )
 }

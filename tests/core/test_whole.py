@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from lectern.operators import building, structure
 from lectern.plans import inventories, structures
 
 _ABOUT = "document_id string, source_relative_path string, source_extension string, document_type string, title string, language string, page_or_slide_count int, classification string, config_id string, parser_name string, ingested_at timestamp"
@@ -26,3 +27,31 @@ def test_the_nearest_chunk_is_judged_by_all_its_blocks(spark, tmp_path):
     spark.createDataFrame(chunks, "document_id string, chunk_id string, chunk_index bigint, text string, refs array<struct<block_id: string, excerpt: string, page: int>>, generated_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r.object_id: (r.chunk_id, r.method) for r in structures.association_cascade(spark, str(tmp_path)).collect()}
     assert got == {"asset": ("wide", "nearest_chunk"), "table": (None, None)}
+
+
+def test_chunks_are_built_of_atoms_runs_and_packs(spark):
+    limits = structure.Limits(soft=40, hard=60, least=10)
+    blocks = [
+        ("title", "Titel"), ("paragraph", "a" * 30), ("paragraph", "b" * 9),
+        ("heading", "Kopf"), ("table", "x | y"), ("caption", "Tafel 1"), ("paragraph", "kurz"), ("list_item", "eins"), ("list_item", "zwei"), ("caption", "Bild"), ("figure", None), ("paragraph", "Satz eins ist hier lang. " * 4), ("paragraph", "c" * 28), ("paragraph", "d" * 35), ("paragraph", "e"),
+    ]
+    rows = [("d", f"b{n:02}", kind, n, 1, None, "page", text is not None) for n, (kind, text) in enumerate(blocks)]
+    ordered = structure.reading_order(spark.createDataFrame(rows, "document_id string, block_id string, block_type string, reading_order int, page int, section_id string, location_type string, has_text boolean"))
+    texts = spark.createDataFrame([("d", f"b{n:02}", text) for n, (_, text) in enumerate(blocks)], "document_id string, block_id string, text string")
+    levels = spark.createDataFrame([], "document_id string, section_id string, level int")
+    got = building.build(ordered, spark.createDataFrame([("d", "b00")], "document_id string, block_id string"), texts, levels, limits).orderBy("chunk_index").collect()
+    assert [(r.chunk_type, [int(b[1:]) for b in r.blocks]) for r in got] == [
+        ("document_preamble", [0, 1]), ("paragraph_group", [2]), ("table_context", [3, 4, 5, 6]), ("list", [7, 8]), ("figure_context", [9, 10]), ("paragraph_group", [11]), ("paragraph_group", [11]), ("paragraph_group", [12]), ("paragraph_group", [13, 14]),
+    ]
+    assert [r.chunk_index for r in got] == list(range(9)) and len({r.chunk_id for r in got}) == 9
+    assert all(len(r.text) <= limits.hard for r in got) and got[2].text == "Kopf\n\nx | y\n\nTafel 1\n\nkurz"
+
+
+def test_plain_and_list_atoms_are_packed_apart():
+    limits = structure.Limits(soft=20, hard=25, least=5)
+    atom = lambda n, forced=None: {"rows": [], "forced": forced, "text": "x" * n, "fragment": None}
+    sizes = lambda *atoms: [([len(a["text"]) for a in p], f) for p, f, _ in building.packs_of(iter(atoms), limits)]
+    assert sizes(atom(4), atom(20), atom(9), atom(9), atom(1)) == [([4], None), ([20], None), ([9, 9], None), ([1], None)]
+    assert sizes(atom(20), atom(4), atom(18)) == [([20], None), ([4, 18], None)]
+    assert sizes(atom(9), atom(9), atom(9), atom(2, "list"), atom(3)) == [([9, 9], None), ([9], None), ([2], "list"), ([3], None)]
+    assert sizes(atom(3, "list"), atom(9)) == [([3, 9], None)]
