@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.session import cut_lineage
 
-#: Pages over which a chunk may stretch to be compared page by page.
+#: Pages in one stretch; a chunk of so many or more is met by stretches, not page by page.
 WIDEST_RANGE = 200
 
 
@@ -27,17 +27,22 @@ def associate(objects: DataFrame, chunks: DataFrame, captions: DataFrame, texts:
     ``nearest_chunk`` (the chunk on its page of which a block's top is nearest;
     a tie names none). Objects that no method places come with nulls.
 
-    Blocks and pages meet by equi-joins (a chunk is exploded over its pages,
-    of which it has few), never by ranges over a whole document; the pairs that
-    meet on a page are written to the checkpoint folder once, and the cascade is
-    one aggregate over candidates.
+    Blocks and pages meet by equi-joins (a chunk is exploded over its pages, or
+    over stretches of ``WIDEST_RANGE`` pages if it has as many), never by ranges
+    over a whole document; the pairs that meet on a page are written to the
+    checkpoint folder once, and the cascade is one aggregate over candidates.
     """
     at = ["document_id", "object_id"]
     refs = chunks.select("document_id", "chunk_id", "chunk_index", F.explode("blocks").alias("block_id"))
     explicit = objects.join(refs, ["document_id", "block_id"]).groupBy(*at).agg(F.max(F.struct("chunk_index", "chunk_id")).alias("x")).select(*at, F.col("x.chunk_id").alias("chunk_id"), F.lit(1).alias("rank"))
-    wide = chunks.filter(F.col("last_page") - F.col("first_page") < WIDEST_RANGE).select("document_id", "chunk_id", (F.col("tops") if "tops" in chunks.columns else F.array("top")).alias("tops"), F.explode(F.sequence("first_page", "last_page")).alias("page"))
+    tops = F.col("tops") if "tops" in chunks.columns else F.array("top")
+    key = lambda wide, n: F.struct(F.lit(wide).alias("wide"), n.cast("bigint").alias("n"))
+    stretch = lambda c: F.floor(F.col(c) / WIDEST_RANGE)
+    keys = F.when(F.col("last_page") - F.col("first_page") < WIDEST_RANGE, F.transform(F.sequence("first_page", "last_page"), lambda p: key(False, p))).otherwise(F.transform(F.sequence(stretch("first_page"), stretch("last_page")), lambda p: key(True, p)))
+    over = chunks.select("document_id", "chunk_id", "first_page", "last_page", tops.alias("tops"), F.explode(keys).alias("key"))
+    where = objects.select(*at, "page", F.col("top").alias("object_top"), (F.col(near) if near else F.lit(True)).alias("near"), F.explode(F.array(key(False, F.col("page")), key(True, stretch("page")))).alias("key"))
     least = F.array_min(F.transform("tops", lambda t: F.abs(t - F.col("object_top"))))
-    place = cut_lineage(objects.select(*at, "page", F.col("top").alias("object_top"), (F.col(near) if near else F.lit(True)).alias("near")).join(wide, ["document_id", "page"]).select(*at, "chunk_id", F.when(F.col("near"), least).alias("far")))
+    place = cut_lineage(where.join(over, ["document_id", "key"]).filter(F.col("page").between(F.col("first_page"), F.col("last_page"))).select(*at, "chunk_id", F.when(F.col("near"), least).alias("far")))
     said = captions.withColumn("caption", X.key_text(F.col("caption"))).filter("caption <> ''")
     spoken = place.select(*at, "chunk_id").join(said, at).join(texts.select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"]).filter(F.contains(X.key_text(F.col("text")), F.col("caption")))
     named = spoken.groupBy(*at).agg(F.countDistinct("chunk_id").alias("n"), F.min("chunk_id").alias("chunk_id")).filter("n = 1").select(*at, "chunk_id", F.lit(2).alias("rank"))

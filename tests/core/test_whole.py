@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from lectern.operators import building, structure
+from lectern.operators import association, building, structure
 from lectern.plans import inventories, structures
 
 _ABOUT = "document_id string, source_relative_path string, source_extension string, document_type string, title string, language string, page_or_slide_count int, classification string, config_id string, parser_name string, ingested_at timestamp"
@@ -55,3 +55,12 @@ def test_plain_and_list_atoms_are_packed_apart():
     assert sizes(atom(20), atom(4), atom(18)) == [([20], None), ([4, 18], None)]
     assert sizes(atom(9), atom(9), atom(9), atom(2, "list"), atom(3)) == [([9, 9], None), ([9], None), ([2], "list"), ([3], None)]
     assert sizes(atom(3, "list"), atom(9)) == [([3, 9], None)]
+
+
+def test_chunks_over_many_pages_count(spark):
+    objects = spark.createDataFrame([("d", "o1", "zz", 300, 10.0), ("d", "o2", "zz", 2, 10.0), ("d", "o3", "zz", 501, 10.0), ("e", "o4", "zz", 300, 10.0)], "document_id string, object_id string, block_id string, page int, top double")
+    chunks = spark.createDataFrame([("d", "long", 0, ["x"], 1, 500, 30.0), ("d", "short", 1, ["y"], 2, 2, 90.0)], "document_id string, chunk_id string, chunk_index int, blocks array<string>, first_page int, last_page int, top double")
+    captions = spark.createDataFrame([], "document_id string, object_id string, caption string")
+    texts = spark.createDataFrame([], "document_id string, chunk_id string, text string")
+    got = {r.object_id: (r.chunk_id, r.method) for r in association.associate(objects, chunks, captions, texts).collect()}
+    assert got == {"o1": ("long", "only_chunk_at_location"), "o2": ("long", "nearest_chunk"), "o3": (None, None), "o4": (None, None)}
