@@ -32,16 +32,14 @@ def match_raw(blocks: DataFrame, raw: DataFrame) -> DataFrame:
 
     ``blocks``: ``document_id, block_id, page, text``; ``raw``: the same with
     ``raw_block_id``. Candidates meet on (document, page) if their lengths
-    allow a match and, for texts of forty characters or more, if they share a
-    third of the words of the one with fewer; only those are compared in
-    Python. Null and blank texts match nothing.
+    allow a match or a rival; of those, Python compares the ones whose
+    characters allow it. Null and blank texts match nothing.
     """
-    key = lambda df, i: df.select("document_id", "page", F.col(i), F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ").alias("t")).filter("t <> ''").withColumns({"n": F.length("t"), "w": F.array_distinct(F.split("t", " "))})
-    b, r = key(blocks, "block_id"), key(raw, "raw_block_id").withColumnsRenamed({"t": "rt", "n": "rn", "w": "rw"})
+    key = lambda df, i: df.select("document_id", "page", F.col(i), F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ").alias("t")).filter("t <> ''").withColumn("n", F.length("t"))
+    b, r = key(blocks, "block_id"), key(raw, "raw_block_id").withColumnsRenamed({"t": "rt", "n": "rn"})
     ratio = F.pandas_udf(_ratio, "double")
     able = F.least("n", "rn") * 2.0 >= F.lit(LEAST - MARGIN) * (F.col("n") + F.col("rn"))
-    akin = (F.least("n", "rn") < 40) | (F.size(F.array_intersect("w", "rw")) * 3 >= F.least(F.size("w"), F.size("rw")))
-    met = b.join(r, ["document_id", "page"]).filter(able & akin)
+    met = b.join(r, ["document_id", "page"]).filter(able)
     same = met.filter("t = rt").select("document_id", "block_id", "raw_block_id", F.lit(1.0).alias("ratio"))
     near = met.filter("t <> rt").select("document_id", "block_id", "raw_block_id", ratio("t", "rt").alias("ratio"))
     every = same.unionByName(near.filter(F.col("ratio") > 0))

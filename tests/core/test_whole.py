@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from lectern.operators import association, building, structure
+from lectern.operators import association, building, matching, structure
 from lectern.plans import inventories, structures
 
 _ABOUT = "document_id string, source_relative_path string, source_extension string, document_type string, title string, language string, page_or_slide_count int, classification string, config_id string, parser_name string, ingested_at timestamp"
@@ -64,3 +64,11 @@ def test_chunks_over_many_pages_count(spark):
     texts = spark.createDataFrame([], "document_id string, chunk_id string, text string")
     got = {r.object_id: (r.chunk_id, r.method) for r in association.associate(objects, chunks, captions, texts).collect()}
     assert got == {"o1": ("long", "only_chunk_at_location"), "o2": ("long", "nearest_chunk"), "o3": (None, None), "o4": (None, None)}
+
+
+def test_blocks_of_misread_words_match(spark):
+    words = "pancreatite cholestase insuffisance medicament radiographie hypertension".split()
+    noisy = " ".join(w[:4] + "#" + w[5:] for w in words)
+    raw = spark.createDataFrame([("d", 1, "r1", " ".join(words)), ("d", 2, "r2", "ohnezwischenraum" * 4)], "document_id string, page int, raw_block_id string, text string")
+    blocks = spark.createDataFrame([("d", 1, "b1", noisy), ("d", 2, "b2", "ohnezwischenraum" * 3 + "ohnezwischenraom")], "document_id string, page int, block_id string, text string")
+    assert {(r.block_id, r.raw_block_id) for r in matching.match_raw(blocks, raw).collect()} == {("b1", "r1"), ("b2", "r2")}
