@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators.ordering import fold, islands, neighbour, number, running
+from lectern.operators.ordering import fold, islands, last_by_level, neighbours, number, running
 from lectern.session import cut_lineage
 
 
@@ -65,8 +65,8 @@ def structural_units(ordered: DataFrame) -> DataFrame:
 
 def captions_of(ordered: DataFrame) -> DataFrame:
     """``document_id, object_block, caption_block`` of tables and figures: the caption after them, else the one before, of the same page."""
-    g = ["document_id"]
-    b = neighbour(neighbour(ordered, g, "ordinal", {"block_type": "a_type", "page": "a_page", "block_id": "a_id"}, 1), g, "ordinal", {"block_type": "b_type", "page": "b_page", "block_id": "b_id"}, -1)
+    wanted = {f"{n}_{short}": (c, step) for n, step in (("a", 1), ("b", -1)) for short, c in (("type", "block_type"), ("page", "page"), ("id", "block_id"))}
+    b = neighbours(ordered, ["document_id"], "ordinal", wanted)
     side = lambda n: F.when((F.col(f"{n}_type") == "caption") & F.col(f"{n}_page").eqNullSafe(F.col("page")), F.col(f"{n}_id"))
     return b.filter(F.col("block_type").isin("table", "figure")).select("document_id", F.col("block_id").alias("object_block"), F.coalesce(side("a"), side("b")).alias("caption_block")).filter("caption_block is not null")
 
@@ -100,14 +100,12 @@ def atoms(ordered: DataFrame) -> DataFrame:
     A table, figure or formula takes the caption before or after it, the
     explaining paragraph after it and the one heading or paragraph before it,
     all of the same section and page; any other block is an atom by itself.
-    Each block needs only the three blocks on either side, which come by
-    equi-joins on the position, so no document is a task.
+    Each block needs only the two blocks before it and the one after it, which
+    are looked up by stretches of positions, so no document is a task.
     """
     g = ["document_id"]
-    b = ordered
-    for k in (-2, -1, 1, 2):
-        name = f"{'b' if k < 0 else 'a'}{abs(k)}"
-        b = neighbour(b, g, "ordinal", {"block_type": f"{name}_type", "section_id": f"{name}_section", "page": f"{name}_page"}, k)
+    sides = {"b2": -2, "b1": -1, "a1": 1}
+    b = neighbours(ordered, g, "ordinal", {f"{n}_{short}": (c, step) for n, step in sides.items() for short, c in (("type", "block_type"), ("section", "section_id"), ("page", "page"))})
     near = lambda n: F.col(f"{n}_section").eqNullSafe(F.col("section_id")) & F.col(f"{n}_page").eqNullSafe(F.col("page"))
     main = lambda t: t.isin("table", "figure", "formula")
     is_main, kind = main(F.col("block_type")), F.col("block_type")
@@ -154,9 +152,7 @@ def duplicate_chunks(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def with_context(chunks: DataFrame, most: int, same_path: bool = True) -> DataFrame:
     """Chunks (``document_id, ordinal, text, path``) with the end of the previous and the start of the next one, by default only of the same section path."""
-    g = ["document_id"]
-    b = neighbour(chunks, g, "ordinal", {"text": "_before", "path": "_before_path"}, -1)
-    b = neighbour(b, g, "ordinal", {"text": "_after", "path": "_after_path"}, 1)
+    b = neighbours(chunks, ["document_id"], "ordinal", {"_before": ("text", -1), "_before_path": ("path", -1), "_after": ("text", 1), "_after_path": ("path", 1)})
     side = lambda n: F.col(f"_{n}_path").eqNullSafe(F.col("path")) if same_path else F.lit(True)
     return b.withColumns({
         "context_before": F.when(side("before"), X.trailing(X.normalize_text(F.coalesce("_before", F.lit(""))), most)),
@@ -171,16 +167,28 @@ def page_ranges(blocks: DataFrame, ancestors: DataFrame) -> DataFrame:
     return own.unionByName(up).groupBy("document_id", "section_id").agg(F.min("lo").alias("first_page"), F.max("hi").alias("last_page"))
 
 
+#: Levels up to which headings are resolved by running maxima, one for each level.
+LEVELS = 64
+
+
 def heading_stack(lines: DataFrame) -> DataFrame:
     """Headings with ``parent_ordinal``: the nearest heading before of a smaller level. ``lines``: ``document_id, ordinal, level``.
 
-    The scan keeps the open headings only, at most one for each level.
+    The nearest one is the greatest ordinal before among all smaller levels,
+    so it is a running maximum for each level that occurs, by stretches of the
+    document. The driver gets the distinct levels; should there be more than
+    ``LEVELS``, a streamed scan that keeps the open headings does the same. A
+    heading without a level has no parent and is none.
     """
+    found = sorted(r["level"] for r in lines.select("level").filter("level is not null").distinct().limit(LEVELS + 1).collect())
+    if len(found) <= LEVELS:
+        return last_by_level(lines, ["document_id"], "ordinal", "level", found, "parent_ordinal")
 
     def step(state, row):
-        open_ones = [x for x in (state or []) if x[0] < row["level"]] if row["level"] is not None else (state or [])
-        parent = open_ones[-1][1] if open_ones else None
-        return [*open_ones, (row["level"], row["ordinal"])] if row["level"] is not None else open_ones, {"parent_ordinal": parent}
+        if row["level"] is None:
+            return state, {"parent_ordinal": None}
+        above = [x for x in state or [] if x[0] < row["level"]]
+        return [*above, (row["level"], row["ordinal"])], {"parent_ordinal": above[-1][1] if above else None}
 
     return fold(lines, ["document_id"], ["ordinal"], step, "parent_ordinal bigint")
 
@@ -208,7 +216,7 @@ def adjacent_duplicates(ordered: DataFrame) -> DataFrame:
     hash of it; null for blocks without text, which stand between no others).
     """
     b = cut_lineage(number(ordered.filter("key is not null"), ["document_id"], ["page"], ["ordinal"], "n"))
-    back = neighbour(b, ["document_id"], "n", {"key": "_key", "page": "_page"}, -1)
+    back = neighbours(b, ["document_id"], "n", {"_key": ("key", -1), "_page": ("page", -1)})
     return back.filter(F.col("_page").eqNullSafe(F.col("page")) & (F.col("_key") == F.col("key"))).select("document_id", "block_id")
 
 
@@ -248,22 +256,25 @@ def rendered(rows: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def segments(ordered: DataFrame, group: list[str], order: list[str], head: str, size: str, most: int, joint: int = 2) -> DataFrame:
-    """``ordered`` with ``segment`` from 0: a new one begins at a heading (column ``head`` true) and before a row that would take the segment over ``most`` characters.
+def segments(ordered: DataFrame, group: list[str], ordinal: str, head: str, size: str, most: int, joint: int = 2) -> DataFrame:
+    """``ordered`` with ``part`` and ``segment``: a new segment begins at a heading (column ``head`` true) and before a row that would take it over ``most`` characters.
 
-    A streamed scan; null heads are no headings, null sizes count 0.
+    ``part`` counts the headings so far (a running sum by stretches) and
+    ``segment`` the segments of a part from 0. Only within a part does a
+    segment depend on the one before it; parts are streamed apart. Null heads
+    are no headings, null sizes count 0.
     """
+    parts = running(ordered, group, ordinal, F.coalesce(F.col(head), F.lit(False)).cast("bigint"), "part")
 
     def step(state, row):
         n = row[size] or 0
         if state is None:
             return (0, n), {"segment": 0}
         k, total = state
-        if row[head] or total + joint + n > most:
-            return (k + 1, n), {"segment": k + 1}
-        return (k, total + joint + n), {"segment": k}
+        more = total + joint + n
+        return ((k + 1, n), {"segment": k + 1}) if more > most else ((k, more), {"segment": k})
 
-    return fold(ordered, group, order, step, "segment int")
+    return fold(parts, [*group, "part"], [ordinal], step, "segment int")
 
 
 def render_table(text: Column) -> Column:

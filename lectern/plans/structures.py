@@ -16,7 +16,7 @@ from lectern.plans.texts import _key, _normal
 from lectern.session import cut_lineage
 from lectern.sources import exports
 from lectern.sources.sinks import markdown
-from lectern.sources.tables import latest, table
+from lectern.sources.tables import latest, latest_texts, table
 
 #: Sizes of the flagship query.
 FLAGSHIP = S.Limits(soft=1500, hard=2500, least=200)
@@ -27,7 +27,8 @@ _COLUMNS = ["block_type", "text", "page", "reading_order", "section_id", "locati
 def _blocks(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
     """The latest delivery of every block with the named columns; computed ones are made before anything moves."""
     keys = ["document_id", "block_id"]
-    return latest(table(spark, folder, "blocks").select(*keys, *(columns or _COLUMNS), "ingested_at"), keys, "ingested_at").drop("ingested_at")
+    pick = latest_texts if not columns or any(isinstance(c, str) and c == "text" for c in columns) else latest
+    return pick(table(spark, folder, "blocks").select(*keys, *(columns or _COLUMNS), "ingested_at"), keys, "ingested_at").drop("ingested_at")
 
 
 def _ordered(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
@@ -37,7 +38,8 @@ def _ordered(spark: SparkSession, folder: str, *columns: str | Column) -> DataFr
 
 def _chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     keys = ["document_id", "chunk_id"]
-    return latest(table(spark, folder, "chunks"), keys, "generated_at", [*keys, *columns])
+    pick = latest_texts if "text" in columns or "refs" in columns else latest
+    return pick(table(spark, folder, "chunks").select(*keys, *columns, "generated_at"), keys, "generated_at", [*keys, *columns])
 
 
 def _raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,8 +175,10 @@ def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def section_segments(spark: SparkSession, folder: str) -> DataFrame:
     r = _raw(spark, folder).select("document_id", "raw_block_id", "location_number", "block_ordinal", X.is_heading(F.col("text")).alias("head"), F.length("text").alias("size"))
-    s = S.segments(r, ["document_id"], ["location_number", "block_ordinal", "raw_block_id"], "head", "size", 2000)
-    return s.groupBy("document_id", F.col("segment").cast("bigint").alias("segment")).agg(F.count(F.lit(1)).alias("blocks"), F.sum("size").alias("characters"), F.min("location_number").alias("first_page"), F.max("location_number").alias("last_page"))
+    n = number(r, ["document_id"], ["location_number"], ["block_ordinal", "raw_block_id"])
+    s = S.segments(n, ["document_id"], "ordinal", "head", "size", 2000)
+    g = s.groupBy("document_id", "part", "segment").agg(F.count(F.lit(1)).alias("blocks"), F.sum("size").alias("characters"), F.min("location_number").alias("first_page"), F.max("location_number").alias("last_page"))
+    return number(g, ["document_id"], ["part"], ["segment"], "_n").select("document_id", (F.col("_n") - 1).alias("segment"), "blocks", "characters", "first_page", "last_page")
 
 
 def markdown_views(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.labels import language_code, source_of
 from lectern.operators.multisets import difference
-from lectern.sources.tables import latest, table
+from lectern.sources.tables import latest, latest_texts, table
 
 
 def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The latest delivery of every block."""
     keys = ["document_id", "block_id"]
-    return latest(table(spark, folder, "blocks"), keys, "ingested_at", [*keys, *columns])
+    return latest_texts(table(spark, folder, "blocks").select(*keys, *columns, "ingested_at"), keys, "ingested_at", [*keys, *columns])
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["document_id", "transformation_id"]
-    return latest(table(spark, folder, "model_transformations"), keys, "ingested_at", [*keys, "original_text", "reconstructed_text"])
+    return latest_texts(table(spark, folder, "model_transformations"), keys, "ingested_at", [*keys, "original_text", "reconstructed_text"])
 
 
 def normalize_text_hash(spark: SparkSession, folder: str) -> DataFrame:

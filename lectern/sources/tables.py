@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
+#: Hashes of re-delivered keys that are broadcast at most (8 bytes each).
+REDELIVERED = 2_000_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``<folder>/<name>.parquet``, a file or a folder of files."""
@@ -28,3 +33,23 @@ def latest(df: DataFrame, keys: list[str], stamp: str, columns: list[str] | None
     if columns is None or stamp in columns:
         named.append(F.col("_row._stamp").alias(stamp))
     return best.select(*keys, *named)
+
+
+def latest_texts(df: DataFrame, keys: list[str], stamp: str, columns: list[str] | None = None) -> DataFrame:
+    """As :func:`latest`, for rows with long texts of which few are re-delivered.
+
+    The hashes of the keys that stand in several rows are found first, from
+    the key columns alone, and counted. If they are few enough to be broadcast
+    (``REDELIVERED``), rows of other keys are handed on without a shuffle or a
+    sort and only the rest, with any key of the same hash, is aggregated; else
+    everything is.
+    """
+    key = F.xxhash64(*[F.col(k) for k in keys])
+    again = cut_lineage(df.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"))
+    if again.count() > REDELIVERED:
+        return latest(df, keys, stamp, columns)
+    wanted = [c for c in (columns or df.columns) if c not in keys and (c != stamp or columns is None or stamp in columns)]
+    hashed = df.withColumn("_key", key)
+    sole = hashed.join(F.broadcast(again), "_key", "left_anti").select(*keys, *wanted)
+    several = latest(hashed.join(F.broadcast(again), "_key", "left_semi").drop("_key"), keys, stamp, columns or df.columns)
+    return sole.unionByName(several.select(*keys, *wanted))
