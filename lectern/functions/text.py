@@ -1,9 +1,11 @@
-"""Scalar functions on text as column expressions, all inside the JVM."""
+"""Scalar functions on text as column expressions, inside the JVM but for texts whose characters have to be composed or folded."""
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,17 +19,85 @@ STOP_WORDS = ["avec", "dans", "des", "elle", "est", "les", "leur", "mais", "pour
 NEGATIONS = ["ne", "pas", "jamais", "aucun", "sans", "ni"]
 MODALS = ["toujours", "jamais", "obligatoire", "obligatoirement", "contre-indiqué", "contre-indiquée", "recommandé", "recommandée"]
 
-#: Bullet glyphs, private-use ones of presentation fonts included.
-BULLETS = "•◦▪▫●○■□‣⁃\uf0d8\uf0fc\uf0b7\uf0a7\uf0ae"
-
-#: Marks of a scanner and words that begin a caption.
-SCANNER = r"(?i)(?<!\p{L})(?:CamScanner|Scanned\s+with|scanner)(?!\p{L})"
-CAPTION = r"(?i)(?<!\p{L})(?:figure|fig\.|sch[ée]ma|image|radiographie|scanner|photo)\s*\p{Nd}*"
-AMBIGUOUS_NUMBER = r"\p{Nd}\s{2,}(?:[eE]\s*)?\p{Nd}"
-BROKEN_FONT = r"&[A-Za-z]{3,}|\x{FFFD}|\x00|(?<![A-Za-z])[A-Za-z](?:\s+[A-Za-z]){3}(?![A-Za-z])"
+#: Words that a rewriting may add to present its text.
+PRESENTATION_WORDS = [
+    "page", "slide", "table", "titre", "auteur", "enseignant", "institution", "contenu", "probablement", "dépendant", "image", "consulter", "document", "original", "texte", "incomplet", "illisible", "source", "extraite",
+]
+
+#: A letter, digit or underscore before or after the place; what ``\b`` and ``\w`` mean for them in Unicode.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+#: White space of every kind.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+#: Bullet glyphs, private-use ones of presentation fonts included, and the line begin that is one.
+BULLETS = "[-–—•●▪▫◦‣⁃❖\uf0d8\uf0fc✓]+|[-–—]?\\s*[\uf0b7\uf0a7\uf0ae]"
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+SPLIT_WORD = r"(?<=[\p{L}\p{N}_])-\s*\n\s*(?=[a-zà-öø-ÿ])"
+
+#: Marks of a scanner, words that begin a caption or name a flow chart, notations that can't be trusted.
+SCANNER = rf"(?i){_BEFORE}(?:CamScanner|Scanned\s+with|scanner){_AFTER}"
+SCANNER_ONLY = r"(?i)^(?:CamScanner|Scanned\s+with\s+CamScanner)$"
+CAPTION = rf"(?iu){_BEFORE}(?:figure|fig\.|sch[ée]ma|image|radiographie|scanner|photo)\s*\p{{Nd}}*"
+FLOW = rf"(?iu){_BEFORE}(?:arbre|algorithme|conduite\s+[àa]\s+tenir|cause\s+[ée]vidente){_AFTER}"
+AMBIGUOUS_NUMBER = rf"(?i){_BEFORE}\p{{Nd}}+\s{{2,}}(?:e\s*)?\p{{Nd}}+{_AFTER}"
+BROKEN_FONT = rf"&[A-Za-z]{{3,}}|\x{{FFFD}}|\x00|{_BEFORE}[A-Za-z]\s+[A-Za-z]\s+[A-Za-z]\s+[A-Za-z]{_AFTER}"
+MALFORMED_HEADING = r"^(?:I{1,4}|IV|V|VI{0,3}|IX|X)(?=[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ])"
+
+#: What marks a teacher, an institution and an academic year.
+TEACHER = rf"(?iu){_BEFORE}(?:(?:Pr(?:of(?:esseur)?)?\.?|Dr\.?)\s+[A-ZÀ-ÖØ-Þ]|Auteur\s*:)"
+INSTITUTION = rf"(?iu){_BEFORE}(?:facult[ée]|universit[ée]|h[oô]pital|chu{_AFTER}|service\s+de|minist[eè]re|centre\s+r[ée]gional)"
+ACADEMIC_YEAR = rf"{_BEFORE}(?:19|20)\p{{Nd}}{{2}}\s*[-–/]\s*(?:19|20)?\p{{Nd}}{{2}}{_AFTER}"
+
+#: Page numbers, and numbers before a heading.
 PAGE_NUMBER = r"^(?:page\s*)?\p{Nd}+(?:\s*/\s*\p{Nd}+)?$"
 HEADING_NUMBER = r"^\s*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])\s+\p{L}"
 
+#: Numbers of a text, and numbers with their sign, comparison and per cent.
+NUMBER = rf"{_BEFORE}(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?){_AFTER}"
+SIGNED_NUMBER = rf"{_BEFORE}([<>≤≥±+\-]?\p{{Nd}}+(?:[.,]\p{{Nd}}+)?(?:\s*[%‰])?){_AFTER}"
+
+
+@lru_cache(maxsize=1)
+def _unsettled() -> str:
+    """A pattern of the characters that a composed, caseless form may change: marks, conjoining letters, and those whose own form or folding differs."""
+    changed = [c for c in range(0x80, 0x110000) if not 0xAC00 <= c <= 0xD7A3 and not 0xD800 <= c <= 0xDFFF and (not unicodedata.is_normalized("NFC", x := chr(c)) or x.casefold() != x.lower())]
+    runs: list[list[int]] = []
+    for c in changed:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return r"[\p{M}\x{1100}-\x{11ff}" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def _composed(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+
+
+def _caseless(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t).casefold() for t in text.to_pylist()], pa.string())
+
+
+def _settled(text: Column, plain: Column, rare) -> Column:
+    """``plain``, but ``rare`` (an Arrow function) of texts with characters that need it; only those leave the JVM."""
+    return F.coalesce(F.arrow_udf(rare, "string")(F.when(text.rlike(_unsettled()), text)), plain)
+
+
+def nfc(text: Column) -> Column:
+    """The text in composed form (NFC)."""
+    return _settled(text, text, _composed)
+
+
+def fold_case(text: Column) -> Column:
+    """The text composed and case-folded: what compares equal whatever its case."""
+    return _settled(text, F.lower(text), _caseless)
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+
 
 def line_ends(text: Column) -> Column:
     """All line ends as ``\\n``: CR LF, CR, next line, line and paragraph separators."""
@@ -35,10 +105,10 @@ def line_ends(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Paragraphs (parted by blank lines) as single lines with single spaces, joined by a blank line. Null stays null."""
-    paragraphs = F.split(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\r", "\n"), r"\n\s*\n")
-    one = lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), " ")
-    return F.array_join(F.filter(F.transform(paragraphs, one), lambda x: x != ""), "\n\n")
+    """The composed text with paragraphs (parted by blank lines) as single lines with single spaces, joined by a blank line. Null stays null."""
+    lines = F.regexp_replace(nfc(text), "\r\n?", "\n")
+    one = lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(F.split(lines, rf"\n{SPACE}*\n"), one), lambda x: x != ""), "\n\n")
 
 
 def text_hash(text: Column) -> Column:
@@ -48,7 +118,7 @@ def text_hash(text: Column) -> Column:
 
 def token_estimate(characters: Column) -> Column:
     """A quarter of the characters, rounded up."""
-    return F.expr("1").isNotNull().cast("int") * F.floor((characters + 3) / 4).cast("bigint")
+    return F.floor((characters + 3) / 4).cast("bigint")
 
 
 def leading(text: Column, most: int) -> Column:
@@ -67,17 +137,39 @@ def trailing(text: Column, most: int) -> Column:
 
 
 def key_text(text: Column) -> Column:
-    """Lower case with ``ß`` as ``ss`` and single spaces (no-break spaces count): what makes two lines equal."""
-    return F.trim(F.replace(F.lower(F.regexp_replace(text, "[\\s\u00a0]+", " ")), F.lit("ß"), F.lit("ss")))
+    """The composed, case-folded text with single spaces: what makes two lines equal."""
+    return F.trim(F.regexp_replace(fold_case(text), rf"{SPACE}+", " "))
+
+
+def cleaned(text: Column) -> Column:
+    """``struct<text, transformation, reason>`` of one block of raw text.
+
+    Line ends, control characters, words broken at a hyphen, white space and
+    bullets are put right; lines are joined by a space unless some are table
+    rows or bullets. The transformation is null where nothing changed.
+    """
+    plain = F.regexp_replace(line_ends(text), CONTROLS, "")
+    whole = F.regexp_replace(plain, SPLIT_WORD, "")
+    tidy = lambda x: strip(F.regexp_replace(x, "[ \\t\u00a0]+", " "))
+    pointed = lambda x: F.when(x.rlike(f"^(?:{BULLETS})"), F.concat(F.lit("- "), F.regexp_replace(x, rf"^(?:{BULLETS}){SPACE}*", ""))).otherwise(x)
+    lines = F.filter(F.transform(F.split(whole, "\n"), lambda x: pointed(tidy(x))), lambda x: x != "")
+    rows = F.exists(lines, lambda x: F.contains(x, F.lit("|")) | F.startswith(x, F.lit("- ")))
+    done = strip(F.when(rows, F.array_join(lines, "\n")).otherwise(F.array_join(lines, " ")))
+    kind = F.when(done == text, None).when(whole != plain, "split_word_repair").otherwise("paragraph_reassembly")
+    why = F.when(kind == "split_word_repair", "words broken at line ends were joined").when(kind == "paragraph_reassembly", "white space and lines were put right")
+    return F.struct(done.alias("text"), F.when(text.isNotNull(), kind).alias("transformation"), F.when(text.isNotNull(), why).alias("reason"))
 
 
 def clean_block(text: Column) -> Column:
-    """One block of raw text: line ends, control characters, words broken at a hyphen, white space, bullets; lines joined by a space unless they are table rows or bullets."""
-    t = F.regexp_replace(line_ends(text), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}_])-\s*\n\s*(?=[a-zà-öø-ÿ])", "")
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[ \\t\u00a0]+", " "), f"^ ?[{BULLETS}] ?", "- "))), lambda x: x != "")
-    rows = F.exists(lines, lambda x: F.contains(x, F.lit("|")) | F.startswith(x, F.lit("- ")))
-    return F.when(rows, F.array_join(lines, "\n")).otherwise(F.array_join(lines, " "))
+    """The text of :func:`cleaned`."""
+    return cleaned(text)["text"]
+
+
+def metadata_class(text: Column, ordinal: Column) -> Column:
+    """What a block is: ``teacher_name``, ``institution``, ``academic_year``, ``course_title`` (one of the first 18 blocks that looks like a title) or ``body_content``; ``ordinal`` counts from 0."""
+    bare = F.regexp_replace(text, "^[ :-]+|[ :-]+$", "")
+    title = (ordinal < 18) & F.length(bare).between(3, 180) & ~bare.rlike(r"^-|[.;]$") & (count_of(bare, r"\p{L}") >= 3)
+    return F.when(text.rlike(TEACHER), "teacher_name").when(text.rlike(INSTITUTION), "institution").when(text.rlike(ACADEMIC_YEAR), "academic_year").when(title, "course_title").otherwise("body_content")
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -85,13 +177,24 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, one apostrophe allowed inside, in key form."""
-    return F.regexp_extract_all(key_text(text), F.lit(r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?)"), F.lit(1))
+    """Runs of letters and digits, one apostrophe allowed inside, composed and case-folded."""
+    return F.regexp_extract_all(fold_case(text), F.lit(r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?)"), F.lit(1))
 
 
 def numbers(text: Column) -> Column:
-    """Plain numbers with an optional decimal part."""
-    return F.regexp_extract_all(text, F.lit(r"(\p{Nd}+(?:[.,]\p{Nd}+)?)"), F.lit(1))
+    """Plain numbers with an optional decimal part that stand by themselves (``G1`` holds none)."""
+    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
+
+
+def signed_numbers(text: Column) -> Column:
+    """Numbers with the sign or comparison before and the per cent or per mille behind them, white space inside as one space."""
+    return F.transform(F.regexp_extract_all(text, F.lit(SIGNED_NUMBER), F.lit(1)), lambda x: F.regexp_replace(x, rf"{SPACE}+", " "))
+
+
+def units(text: Column) -> Column:
+    """The units that stand as words of their own, in lower case."""
+    listed = "|".join(sorted((u for u in UNITS if u != "%"), key=lambda u: (-len(u), u)))
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?iu){_BEFORE}({listed}){_AFTER}"), F.lit(1)), F.lower)
 
 
 def number_pattern(text: Column) -> Column:
@@ -110,7 +213,7 @@ def measured(text: Column) -> Column:
 def claim_words(text: Column) -> Column:
     """The set of words of three or more letters that are no stop words."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{3,})"), F.lit(1))), stop)
+    return F.array_except(F.array_distinct(F.regexp_extract_all(fold_case(text), F.lit(r"(\p{L}{3,})"), F.lit(1))), stop)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -157,13 +260,30 @@ def identity(*parts: Column) -> Column:
     return F.sha2(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts]), "\u0001"), 256)
 
 
-def common_prefix(paths: Column) -> Column:
-    """The folders that all paths of an array share, as one path."""
-    split = F.transform(paths, lambda p: F.slice(F.split(p, "/"), F.lit(1), F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0))))
-    same = lambda a, b: F.transform(F.filter(F.arrays_zip(a.alias("a"), b.alias("b"), F.sequence(F.lit(1), F.greatest(F.size(a), F.size(b), F.lit(1))).alias("i")), lambda z: F.slice(a, F.lit(1), z["i"]) == F.slice(b, F.lit(1), z["i"])), lambda z: z["a"])
-    agreed = F.aggregate(split, F.get(split, F.lit(0)), lambda acc, x: F.filter(same(acc, x), lambda y: y.isNotNull()))
-    return F.array_join(agreed, "/")
+def shared_folders(first: Column, last: Column) -> Column:
+    """The folders that two paths (arrays of parts) share, as one path; for the least and the greatest of a set, those that all share."""
+    upto = F.filter(F.sequence(F.lit(1), F.least(F.size(first), F.size(last))), lambda i: F.slice(first, F.lit(1), i) == F.slice(last, F.lit(1), i))
+    return F.array_join(F.slice(first, F.lit(1), F.size(upto)), "/")
+
+
+def location_marker(kind: Column, number: Column, original: Column, mode: str) -> Column:
+    """The mark of a location in a cleaned text: none (``remove``, and for whole documents), as it was (``keep``) or ``[Page n]`` (``compact``)."""
+    if mode not in ("keep", "compact", "remove"):
+        raise ValueError(f"no such mode: {mode}")
+    if mode == "remove":
+        return F.lit(None).cast("string")
+    short = F.concat(F.when(kind == "page", "[Page ").otherwise("[Slide "), number.cast("string"), F.lit("]"))
+    return F.when(~kind.isin("document", "source"), original if mode == "keep" else short)
+
+
+def prompt_size(*parts: Column) -> Column:
+    """``struct<characters, tokens>`` of a prompt made of these texts; null parts are empty."""
+    n = F.lit(0)
+    for p in parts:
+        n = n + F.length(F.coalesce(p, F.lit("")))
+    return F.struct(n.cast("bigint").alias("characters"), token_estimate(n).alias("tokens"))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def utc_stamp(at: Column) -> Column:
+    """An instant as ISO 8601 in UTC."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

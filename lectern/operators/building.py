@@ -27,29 +27,19 @@ _MADE = "document_id string, unit bigint, pack bigint, forced string, first bool
 
 
 def fragments(text: str, most: int) -> list[str]:
-    """Sentences and lines packed up to ``most`` characters; a longer sentence by words."""
-    out, now = [], ""
-    for s in [x for x in re.split(r"(?<=[.!?])\s+|\n+", text.replace("\r\n", "\n").replace("\r", "\n").strip()) if x]:
-        if len(s) > most:
-            if now:
-                out.append(now)
-                now = ""
-            words = ""
-            for w in s.split(" "):
-                more = f"{words} {w}".strip()
-                if words and len(more) > most:
-                    out.append(words)
-                    words = w
-                else:
-                    words = more
-            if words:
-                out.append(words)
-        elif now and len(more := f"{now} {s}".strip()) > most:
-            out.append(now)
-            now = s
+    """Sentences and lines packed up to ``most`` characters; a longer sentence by its words, apart from the others."""
+    pieces = []
+    for n, sentence in enumerate(re.split(r"(?<=[.!?])\s+|\n+", re.sub("\r\n?", "\n", text).strip()), 1):
+        pieces += [(n, word) for word in sentence.split(" ")] if len(sentence) > most else [(0, sentence)]
+    packed, owner = [""], 0
+    for own, piece in pieces:
+        more = f"{packed[-1]} {piece}".strip()
+        if own == owner and (not packed[-1] or len(more) <= most):
+            packed[-1] = more
         else:
-            now = f"{now} {s}".strip()
-    return [*out, now] if now else out
+            packed.append(piece)
+        owner = own
+    return [p for p in packed if p]
 
 
 def _join(parts: list[str]) -> str:

@@ -65,7 +65,8 @@ def output_path_collisions(spark: SparkSession, folder: str) -> DataFrame:
 def ocr_quality(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "raw_blocks").select("document_id", "raw_block_id", F.col("location_number").alias("page"), "text").distinct().groupBy("document_id", "page").agg(F.sum(F.length("text")).alias("before"))
     keys = ["document_id", "block_id"]
-    made = latest(table(spark, folder, "blocks"), keys, "ingested_at", [*keys, "page", "text"]).groupBy("document_id", "page").agg(F.sum(F.length("text")).alias("after"))
+    sized = table(spark, folder, "blocks").select(*keys, "page", F.length("text").alias("size"), "ingested_at")
+    made = latest(sized, keys, "ingested_at").groupBy("document_id", "page").agg(F.sum("size").alias("after"))
     return I.scan_metrics(raw.join(made, ["document_id", "page"], "left"))
 
 
@@ -111,7 +112,7 @@ SQL = {
     "representative_selection": f"WITH {_D}, r AS (SELECT *, CASE WHEN {_FIRST} = 1 THEN 0 ELSE 1 END AS later FROM d) SELECT document_id, source_relative_path FROM r ORDER BY later, source_relative_path, document_id LIMIT 20",
     "manifest_reuse": f"WITH {_D} SELECT d.document_id, CASE WHEN c.source_sha256 IS NULL THEN 'new' WHEN d.source_relative_path IS NOT DISTINCT FROM c.source_relative_path AND d.language IS NOT DISTINCT FROM c.detected_language THEN 'current' ELSE 'stale' END AS state FROM d LEFT JOIN cleaning_sidecars c ON c.source_sha256 = d.document_id",
     "snapshot_diff": f"""WITH {_D}, b AS (SELECT source_relative_path, max(readiness_status) AS s FROM cleaning_sidecars GROUP BY 1),
-a AS (SELECT source_relative_path, max(CASE WHEN classification = 'likely_scanned' THEN 'partially_reconstructable' ELSE 'ready' END) AS s FROM d WHERE config_id <> 'cfg-quiz' GROUP BY 1)
+a AS (SELECT source_relative_path, max(CASE WHEN classification = 'likely_scanned' THEN 'partially_reconstructable' ELSE 'ready' END) AS s FROM d GROUP BY 1)
 SELECT coalesce(a.source_relative_path, b.source_relative_path) AS source_relative_path, CASE WHEN b.source_relative_path IS NULL THEN 'added' WHEN a.source_relative_path IS NULL THEN 'removed' ELSE 'modified' END AS change
 FROM b FULL JOIN a USING (source_relative_path) WHERE b.source_relative_path IS NULL OR a.source_relative_path IS NULL OR a.s IS DISTINCT FROM b.s""",
     "output_path_collisions": rf"""WITH {_D}, f AS (SELECT regexp_replace(source_relative_path, '-\d+\.', '.') AS path, document_id FROM d),

@@ -13,7 +13,7 @@ from lectern.operators.hierarchy import hierarchy
 from lectern.operators.ordering import number
 from lectern.plans.hierarchies import _TREE
 from lectern.plans.texts import _key, _normal
-from lectern.session import cut_lineage
+from lectern.session import broadcast_if_small, cut_lineage
 from lectern.sources import exports
 from lectern.sources.sinks import markdown
 from lectern.sources.tables import latest, latest_texts, table
@@ -21,6 +21,9 @@ from lectern.sources.tables import latest, latest_texts, table
 #: Sizes of the flagship query.
 FLAGSHIP = S.Limits(soft=1500, hard=2500, least=200)
 
+#: Ids of documents with tables or assets that are broadcast at most.
+OBJECT_DOCUMENTS = 200_000
+
 _COLUMNS = ["block_type", "text", "page", "reading_order", "section_id", "location_type", "bbox_top", "table_id", "asset_id"]
 
 
@@ -149,16 +152,23 @@ def oversize_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def association_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    b = _blocks(spark, folder, "table_id", "asset_id", "page", "bbox_top")
-    objects = b.filter("table_id is not null or asset_id is not null").select("document_id", F.coalesce("table_id", "asset_id").alias("object_id"), "block_id", "page", F.col("bbox_top").alias("top"), F.col("table_id").isNull().alias("is_asset"))
-    refs = _chunks(spark, folder, "chunk_index", "refs")
-    each = refs.select("document_id", "chunk_id", F.explode("refs").alias("r")).select("document_id", "chunk_id", F.col("r.block_id").alias("block_id"), F.col("r.page").alias("page")).join(b.select("document_id", "block_id", "bbox_top"), ["document_id", "block_id"], "left")
-    about = each.groupBy("document_id", "chunk_id").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.collect_set("bbox_top").alias("tops"))
-    c = refs.select("document_id", "chunk_id", "chunk_index", F.col("refs.block_id").alias("blocks")).join(about, ["document_id", "chunk_id"], "left")
-    near = S.captions_of(_ordered(spark, folder, "block_type"))
-    spoken = _blocks(spark, folder, F.when(F.col("block_type") == "caption", F.col("text")).alias("caption")).filter("caption is not null").withColumnRenamed("block_id", "caption_block")
-    captions = objects.join(near, (objects["document_id"] == near["document_id"]) & (objects["block_id"] == near["object_block"])).select(objects["document_id"], "object_id", "caption_block").join(spoken, ["document_id", "caption_block"]).select("document_id", "object_id", "caption")
-    return associate(objects, c, captions, _chunks(spark, folder, "text"), "is_asset")
+    """Tables and assets with their chunks; only documents that have any are looked at, and their blocks are kept once, without texts."""
+    raw = table(spark, folder, "blocks")
+    own = broadcast_if_small(cut_lineage(raw.filter("table_id is not null or asset_id is not null").select("document_id").distinct()), OBJECT_DOCUMENTS)
+    columns = ["block_type", "page", "reading_order", "bbox_top", "table_id", "asset_id"]
+    key = F.nullif(X.normalize_text(F.col("text")), F.lit(""))
+    keyed = raw.join(own, "document_id", "left_semi").select("document_id", "block_id", *columns, F.unhex(F.sha2(key, 256)).alias("key"), "ingested_at")
+    b = cut_lineage(S.reading_order(latest(keyed, ["document_id", "block_id"], "ingested_at", ["document_id", "block_id", *columns, "key"])))
+    carried = b.filter("table_id is not null or asset_id is not null").select("document_id", F.coalesce("table_id", "asset_id").alias("object_id"), F.col("table_id").isNull().alias("is_asset"), "block_id", "page", "ordinal", F.col("bbox_top").alias("top"))
+    heads = carried.groupBy("document_id", "object_id").agg(F.min(F.struct("ordinal", "block_id", "page", "top", "is_asset")).alias("x")).select("document_id", "object_id", "x.*")
+    beside = S.captions_of(b).withColumnsRenamed({"object_block": "block_id", "caption_block": "caption_id"})
+    spoken = b.filter("block_type = 'caption'").select("document_id", F.col("block_id").alias("caption_id"), F.col("key").alias("caption"))
+    objects = cut_lineage(heads.join(beside.join(spoken, ["document_id", "caption_id"]).select("document_id", "block_id", "caption"), ["document_id", "block_id"], "left"))
+    c = table(spark, folder, "chunks").join(own, "document_id", "left_semi").select("document_id", "chunk_id", "chunk_index", F.transform("refs", lambda r: F.struct(r["block_id"].alias("block_id"), r["page"].alias("page"))).alias("refs"), "generated_at")
+    refs = cut_lineage(latest(c, ["document_id", "chunk_id"], "generated_at", ["document_id", "chunk_id", "chunk_index", "refs"]))
+    chunks = refs.select("document_id", "chunk_id", F.array_min("refs.page").alias("first_page"), F.array_max("refs.page").alias("last_page"))
+    members = refs.select("document_id", "chunk_id", "chunk_index", F.explode("refs.block_id").alias("block_id")).join(b.select("document_id", "block_id", F.col("bbox_top").alias("top"), "key"), ["document_id", "block_id"], "left")
+    return associate(objects, carried.filter("is_asset").select("document_id", "object_id", "block_id"), chunks, cut_lineage(members))
 
 
 def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,19 +283,22 @@ SELECT document_id, raw_block_id, s AS "start", s + coalesce(length(text), 0) AS
     "rendered_tables": f"""WITH {_B}, t AS (SELECT document_id, block_id, list_transform(list_filter(string_split(text, chr(10)), lambda r: trim(r, ' ') <> ''), lambda r: list_transform(string_split(r, '|'), lambda c: trim(c, ' '))) AS m FROM b WHERE block_type = 'table' AND text IS NOT NULL AND trim(text, ' ') <> ''),
 w AS (SELECT *, list_max(list_transform(m, lambda r: len(r))) AS width FROM t)
 SELECT document_id, block_id, array_to_string(list_transform(m, lambda r: array_to_string(list_transform(range(1, width + 1), lambda i: coalesce(r[i], '')), ' | ')), chr(10)) AS rendered FROM w""",
-    "association_cascade": f"""WITH {_O}, {_C}, oj AS (SELECT document_id, coalesce(table_id, asset_id) AS object_id, block_id, page, bbox_top AS top FROM b WHERE table_id IS NOT NULL OR asset_id IS NOT NULL),
-e AS (SELECT document_id, chunk_id, chunk_index, unnest(refs) AS r FROM c), q AS (SELECT e.document_id, e.chunk_id, e.chunk_index, e.r.block_id AS block_id, e.r.page AS page, b.bbox_top FROM e LEFT JOIN b ON b.document_id = e.document_id AND b.block_id = e.r.block_id),
-m AS (SELECT document_id, chunk_id, min(page) AS lo, max(page) AS hi, min(bbox_top) AS top FROM q GROUP BY 1, 2),
-ex AS (SELECT o.document_id, object_id, max(struct_pack(i := chunk_index, c := chunk_id)).c AS chunk_id, 1 AS rank FROM oj o JOIN q USING (document_id, block_id) GROUP BY 1, 2),
-pl AS (SELECT o.document_id, object_id, m.chunk_id, abs(m.top - o.top) AS d FROM oj o JOIN m ON m.document_id = o.document_id AND o.page BETWEEN m.lo AND m.hi),
+    "association_cascade": f"""WITH {_O}, {_C}, oj AS (SELECT document_id, coalesce(table_id, asset_id) AS object_id, table_id IS NULL AS is_asset, block_id, page, ordinal, bbox_top AS top FROM o WHERE table_id IS NOT NULL OR asset_id IS NOT NULL),
 nb AS (SELECT *, lead(block_type) OVER w AS aft, lead(page) OVER w AS ap, lead(text) OVER w AS ax, lag(block_type) OVER w AS bt, lag(page) OVER w AS bp, lag(text) OVER w AS bx FROM o WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
-ca AS (SELECT document_id, coalesce(table_id, asset_id) AS object_id, CASE WHEN aft = 'caption' AND ap IS NOT DISTINCT FROM page THEN ax WHEN bt = 'caption' AND bp IS NOT DISTINCT FROM page THEN bx END AS caption FROM nb WHERE block_type IN ('table', 'figure') AND (table_id IS NOT NULL OR asset_id IS NOT NULL)),
-cp AS (SELECT pl.document_id, pl.object_id, min(pl.chunk_id) AS chunk_id FROM pl JOIN ca USING (document_id, object_id) JOIN c ON c.document_id = pl.document_id AND c.chunk_id = pl.chunk_id WHERE {_key("ca.caption")} <> '' AND contains({_key("c.text")}, {_key("ca.caption")}) GROUP BY 1, 2 HAVING count(DISTINCT pl.chunk_id) = 1),
-h AS (SELECT document_id, object_id, count(DISTINCT chunk_id) AS n, min(chunk_id) AS chunk_id, min(d) AS least FROM pl GROUP BY 1, 2),
-ne AS (SELECT pl.document_id, pl.object_id, min(pl.chunk_id) AS chunk_id FROM pl JOIN h USING (document_id, object_id) WHERE pl.d = h.least GROUP BY 1, 2 HAVING count(DISTINCT pl.chunk_id) = 1),
-al AS (SELECT * FROM ex UNION ALL SELECT document_id, object_id, chunk_id, 2 FROM cp UNION ALL SELECT document_id, object_id, chunk_id, 3 FROM h WHERE n = 1 UNION ALL SELECT document_id, object_id, chunk_id, 4 FROM ne),
+ca AS (SELECT document_id, block_id, {_normal("CASE WHEN aft = 'caption' AND ap IS NOT DISTINCT FROM page THEN ax WHEN bt = 'caption' AND bp IS NOT DISTINCT FROM page THEN bx END")} AS caption FROM nb WHERE block_type IN ('table', 'figure')),
+h AS (SELECT document_id, object_id, x.* FROM (SELECT document_id, object_id, arg_min(struct_pack(block_id := block_id, page := page, top := top, is_asset := is_asset), ordinal) AS x FROM oj GROUP BY 1, 2)),
+g AS (SELECT h.*, ca.caption FROM h LEFT JOIN ca USING (document_id, block_id)),
+e AS (SELECT document_id, chunk_id, chunk_index, unnest(refs) AS r FROM c), q AS (SELECT e.document_id, e.chunk_id, e.chunk_index, e.r.block_id AS block_id, e.r.page AS page, b.bbox_top, {_normal("b.text")} AS t FROM e LEFT JOIN b ON b.document_id = e.document_id AND b.block_id = e.r.block_id),
+m AS (SELECT document_id, chunk_id, min(page) AS lo, max(page) AS hi FROM q GROUP BY 1, 2),
+pl AS (SELECT g.*, m.chunk_id FROM g JOIN m ON m.document_id = g.document_id AND g.page BETWEEN m.lo AND m.hi),
+d AS (SELECT pl.document_id, pl.object_id, pl.chunk_id, min(abs(q.bbox_top - pl.top)) AS far FROM pl JOIN q ON q.document_id = pl.document_id AND q.chunk_id = pl.chunk_id WHERE pl.is_asset AND pl.top IS NOT NULL AND q.bbox_top IS NOT NULL GROUP BY 1, 2, 3),
+al AS (SELECT g.document_id, object_id, max(struct_pack(i := chunk_index, c := chunk_id)).c AS chunk_id, 1 AS rank FROM g JOIN q USING (document_id, block_id) WHERE NOT is_asset GROUP BY 1, 2
+UNION ALL SELECT oj.document_id, object_id, min(chunk_id), 1 FROM oj JOIN q USING (document_id, block_id) WHERE is_asset GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) = 1
+UNION ALL SELECT document_id, object_id, min(chunk_id), 2 FROM (SELECT DISTINCT pl.document_id, pl.object_id, pl.chunk_id FROM pl JOIN q ON q.document_id = pl.document_id AND q.chunk_id = pl.chunk_id WHERE pl.caption <> '' AND q.t = pl.caption) GROUP BY 1, 2 HAVING count(*) = 1
+UNION ALL SELECT document_id, object_id, min(chunk_id), 3 FROM (SELECT *, min(far) OVER (PARTITION BY document_id, object_id) AS least FROM d) WHERE far = least GROUP BY 1, 2 HAVING count(*) = 1
+UNION ALL SELECT document_id, object_id, min(chunk_id), 4 FROM pl GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) = 1),
 be AS (SELECT document_id, object_id, min(struct_pack(r := rank, c := chunk_id)) AS x FROM al GROUP BY 1, 2)
-SELECT d.document_id, d.object_id, be.x.c AS chunk_id, ['explicit_block_reference', 'caption_text', 'only_chunk_at_location', 'nearest_chunk'][be.x.r] AS method FROM (SELECT DISTINCT document_id, object_id FROM oj) d LEFT JOIN be USING (document_id, object_id)""",
+SELECT h.document_id, h.object_id, be.x.c AS chunk_id, ['explicit_block_reference', 'caption_relationship', 'spatial_nearest', 'unique_same_location'][be.x.r] AS method FROM h LEFT JOIN be USING (document_id, object_id)""",
     "section_segments": r"""WITH RECURSIVE r AS (SELECT DISTINCT document_id, raw_block_id, location_number, block_ordinal, text, coalesce(length(text), 0) AS n,
   coalesce(length(text) BETWEEN 3 AND 120 AND NOT regexp_matches(text, '[.;,]$') AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND (regexp_matches(text, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}')
   OR len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) >= 0.55), false) AS head FROM raw_blocks),

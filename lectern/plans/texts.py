@@ -109,10 +109,11 @@ def identity_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def common_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """The folders that all files of a source share: those that the least and the greatest folder share."""
     d = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "source_relative_path"])
-    folders = F.regexp_replace("source_relative_path", "/[^/]*$", "")
-    kinds = d.groupBy(F.split("source_relative_path", "/")[0].alias("source")).agg(F.collect_set(folders).alias("folders"))
-    return kinds.select("source", X.common_prefix(F.transform("folders", lambda p: F.concat(p, F.lit("/x")))).alias("common"), F.size("folders").cast("bigint").alias("folders"))
+    parts = F.split(F.regexp_replace("source_relative_path", "/[^/]*$", ""), "/").alias("parts")
+    each = d.select(F.split("source_relative_path", "/")[0].alias("source"), parts).groupBy("source").agg(F.min("parts").alias("lo"), F.max("parts").alias("hi"), F.countDistinct("parts").alias("folders"))
+    return each.select("source", X.shared_folders(F.col("lo"), F.col("hi")).alias("common"), "folders")
 
 
 QUERIES = {
@@ -130,26 +131,62 @@ _R = "(SELECT DISTINCT document_id, raw_block_id, text FROM raw_blocks)"
 _S = r"[\t\n\x0b\f\r ]"
 
 
+#: White space of every kind, and any character that is no letter, digit or underscore, for DuckDB.
+_SPACE = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_OUT = r"[^\p{L}\p{N}_]"
+
+
+def _fold(x: str) -> str:
+    x = f"lower(nfc_normalize({x}))"
+    for a, b in {"ß": "ss", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
 def _normal(x: str) -> str:
-    lines = "array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t]+', ' ', 'g'))), lambda l: l <> ''), ' ')".replace("\\\\", "\\")
-    return f"array_to_string(list_filter(list_transform(regexp_split_to_array(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{_S}*\\n'), lambda p: {lines}), lambda p: p <> ''), chr(10) || chr(10))"
+    lines = "array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda l: " + _strip("regexp_replace(l, '[ \\t]+', ' ', 'g')") + "), lambda l: l <> ''), ' ')"
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array(replace(replace(nfc_normalize({x}), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{_SPACE}*\\n'), lambda p: {lines}), lambda p: p <> ''), chr(10) || chr(10))"
 
 
 def _key(x: str) -> str:
-    return f"replace(lower(trim(regexp_replace({x}, '[\\t\\n\\x0b\\f\\r  ]+', ' ', 'g'))), 'ß', 'ss')"
+    return f"trim(regexp_replace({_fold(x)}, '{_SPACE}+', ' ', 'g'), ' ')"
 
 
 def _words(x: str) -> str:
-    return f"regexp_extract_all({_key(x)}, '([\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)?)', 1)"
+    return f"regexp_extract_all({_fold(x)}, '([\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)?)', 1)"
+
+
+def _twice(x: str) -> str:
+    """Every character between words doubled, since a match may eat one on either side."""
+    return f"regexp_replace({x}, '({_OUT})', '\\1\\1', 'g')"
 
 
 def _numbers(x: str) -> str:
-    return f"regexp_extract_all({x}, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?)', 1)"
+    found = f"regexp_extract_all({_twice(x)}, '(?:^|{_OUT})(\\p{{Nd}}+(?:\\.\\.\\p{{Nd}}+|,,\\p{{Nd}}+)?)(?:{_OUT}|$)', 1)"
+    return f"list_transform({found}, lambda y: replace(replace(y, '..', '.'), ',,', ','))"
+
+
+def _signed(x: str) -> str:
+    free = f"regexp_replace({x}, '([\\p{{L}}\\p{{N}}_])[<>≤≥±+\\-]', '\\1;', 'g')"
+    found = f"regexp_extract_all({_twice(free)}, '(?:^|{_OUT})((?:<<|>>|≤≤|≥≥|±±|\\+\\+|--)?\\p{{Nd}}+(?:\\.\\.\\p{{Nd}}+|,,\\p{{Nd}}+)?(?:{_SPACE}*(?:%%|‰‰))?)(?:{_OUT}|$)', 1)"
+    single = "y"
+    for sign in "<>≤≥±+-.,%‰":
+        single = f"replace({single}, '{sign}{sign}', '{sign}')"
+    return f"list_transform({found}, lambda y: regexp_replace({single}, '{_SPACE}+', ' ', 'g'))"
+
+
+def _units(x: str) -> str:
+    listed = "|".join(sorted((u for u in X.UNITS if u != "%"), key=lambda u: (-len(u), u)))
+    return f"list_transform(regexp_extract_all({_twice(x)}, '(?:^|{_OUT})((?i:{listed}))(?:{_OUT}|$)', 1), lambda y: lower(y))"
 
 
 def _claims(x: str) -> str:
     stop = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-    return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '(\\p{{L}}{{3,}})', 1)), lambda w: NOT list_contains([{stop}], w))"
+    return f"list_filter(list_distinct(regexp_extract_all({_fold(x)}, '(\\p{{L}}{{3,}})', 1)), lambda w: NOT list_contains([{stop}], w))"
 
 
 def _minus(a: str, b: str, name: str) -> str:
@@ -192,6 +229,7 @@ array_to_string(list_transform(regexp_extract_all(r, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}
     "lexical_support": f"""SELECT document_id, transformation_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS support,
 round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM (SELECT document_id, transformation_id, {_claims("r")} AS a, {_claims("o")} AS b FROM {_P})""",
     "identity_keys": f"SELECT document_id, sha256(source_relative_path || chr(1) || coalesce(title, chr(2)) || chr(1) || coalesce(CAST(page_or_slide_count AS VARCHAR), chr(2))) AS identity FROM {_D}",
-    "common_folders": f"""WITH f AS (SELECT DISTINCT split_part(source_relative_path, '/', 1) AS source, regexp_replace(source_relative_path, '/[^/]*$', '') AS folder FROM {_D})
-SELECT source, CASE WHEN count(*) = 1 THEN min(folder) WHEN min(split_part(folder, '/', 2)) = max(split_part(folder, '/', 2)) THEN min(source || '/' || split_part(folder, '/', 2)) ELSE source END AS common, count(*) AS folders FROM f GROUP BY 1""",
+    "common_folders": f"""WITH f AS (SELECT split_part(source_relative_path, '/', 1) AS source, string_split(regexp_replace(source_relative_path, '/[^/]*$', ''), '/') AS parts FROM {_D}),
+g AS (SELECT source, min(parts) AS lo, max(parts) AS hi, count(DISTINCT parts) AS folders FROM f GROUP BY 1)
+SELECT source, array_to_string(lo[1:coalesce(list_max(list_filter(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[1:i] = hi[1:i])), 0)], '/') AS common, folders FROM g""",
 }

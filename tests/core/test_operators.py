@@ -24,7 +24,11 @@ def test_text_functions(spark):
     assert one(spark, lambda c: X.leading(c, 5), "abc def") == "abc" and one(spark, lambda c: X.leading(c, 3), "abcdef") == "abc" and one(spark, lambda c: X.leading(c, 9), "ab") == "ab"
     assert one(spark, lambda c: X.trailing(c, 5), "abc def") == "def" and one(spark, lambda c: X.trailing(c, 0), "abc") is None and one(spark, lambda c: X.trailing(c, 3), "abcdef") == "def"
     assert one(spark, X.measured, "5mg et 2,5 ml/j, 7 chats, 50 %") == ["5 mg", "2,5 ml", "50 %"]
-    assert one(spark, X.numbers, "G1 2,5") == ["1", "2,5"] and one(spark, X.words, "L'été; 2x") == ["l'été", "2x"]
+    assert one(spark, X.numbers, "G1 2,5 1.5x .7") == ["2,5", "1", "7"] and one(spark, X.words, "L'e\u0301té; 2x") == ["l'été", "2x"]
+    assert one(spark, X.signed_numbers, "-5 3-5 >5 5 % 7‰ G1 a+2 (±3,5)") == ["-5", "3", "5", ">5", "5 %", "7‰", "2", "±3,5"]
+    assert one(spark, X.units, "5 mg, MMHG; 3 cmx") == ["mg", "mmhg"] and one(spark, X.text_hash, "e\u0301te\u0301") == one(spark, X.text_hash, "été")
+    assert one(spark, X.key_text, "ﬂOTO\u00a0 É") == "floto é" == one(spark, X.key_text, "ﬂoto E\u0301")
+    assert [one(spark, lambda c: X.metadata_class(c, F.lit(3)), t) for t in ("Dr Nadia", "Université X", "2019 - 2020", "Ein Titel", "Ein Satz.")] == ["teacher_name", "institution", "academic_year", "course_title", "body_content"]
     assert one(spark, X.claim_words, "Les deux reins et LES reins") == ["deux", "reins"]
     assert one(spark, X.single_letter_ratio, "") == 1.0 and one(spark, X.alpha_ratio, "") == 0.0 and one(spark, X.symbol_ratio, "a+") == 0.5
     assert one(spark, X.script, "طب du") == "fr+ar" and one(spark, X.script, "1") == "fr"
@@ -32,7 +36,8 @@ def test_text_functions(spark):
     assert [one(spark, X.token_estimate, n, "int") for n in (0, 1, 4, 5)] == [0, 1, 1, 2]
     two = spark.createDataFrame([(["a"], ["a", "b"]), ([], [])], "a array<string>, b array<string>").select(X.jaccard(F.col("a"), F.col("b")).alias("j"), X.contained(F.col("a"), F.col("b")).alias("c")).collect()
     assert [(r.j, r.c) for r in two] == [(0.5, 1.0), (1.0, 0.0)]
-    assert one(spark, X.common_prefix, ["a/b/x", "a/b/c/y", "a/bb/z"], "array<string>") == "a"
+    folders = spark.createDataFrame([(["a", "b"], ["a", "bb"]), (["a"], ["a", "b"]), ([""], ["x"])], "a array<string>, b array<string>")
+    assert [r.r for r in folders.select(X.shared_folders(F.col("a"), F.col("b")).alias("r")).collect()] == ["a", "a", ""]
     ids = spark.createDataFrame([("a", None), ("a", ""), ("", "a")], "a string, b string").select(X.identity(F.col("a"), F.col("b")).alias("i")).collect()
     assert len({r.i for r in ids}) == 3
 
@@ -128,16 +133,25 @@ def test_table_echoes_and_rendering(spark):
     assert one(spark, structure.render_table, "a|b\n\nc") == "a | b\nc | "
 
 
+def placed(spark, objects, chunks, members, holders=()):
+    """Objects: id, asset?, block, page, top, caption; chunks: id, first, last page; members: chunk, index, block, top, key."""
+    df = lambda rows, columns: spark.createDataFrame([("d", *r) for r in rows], "document_id string, " + columns)
+    got = association.associate(
+        df(objects, "object_id string, is_asset boolean, block_id string, page int, top double, caption string"), df(holders, "object_id string, block_id string"),
+        df(chunks, "chunk_id string, first_page int, last_page int"), df(members, "chunk_id string, chunk_index int, block_id string, top double, key string"),
+    )
+    return {r.object_id: (r.chunk_id, r.method) for r in got.collect()}
+
+
 def test_association(spark):
-    objects = spark.createDataFrame([("d", "o1", "b1", 1, 10.0), ("d", "o2", "zz", 2, 10.0), ("d", "o3", "zz", 3, 10.0), ("d", "o4", "zz", 9, 1.0), ("d", "o5", "zz", None, None), ("d", "o6", "zz", 4, 50.0)], "document_id string, object_id string, block_id string, page int, top double")
-    chunks = spark.createDataFrame(
-        [("d", "c1", 0, ["b1"], 1, 1, 0.0), ("d", "c2", 1, ["b1"], 2, 2, 0.0), ("d", "c3", 2, ["x"], 3, 3, 9.0), ("d", "c4", 3, ["x"], 3, 3, 40.0), ("d", "c5", 4, [], 4, 4, 40.0), ("d", "c6", 5, [], 4, 4, 60.0), ("d", "c7", 6, None, None, None, None)],
-        "document_id string, chunk_id string, chunk_index int, blocks array<string>, first_page int, last_page int, top double",
-    )
-    captions = spark.createDataFrame([("d", "o6", "Bild 1"), ("d", "o5", "x"), ("d", "o3", None)], "document_id string, object_id string, caption string")
-    texts = spark.createDataFrame([("d", "c6", "siehe bild  1."), ("d", "c5", "nichts"), ("d", "c3", None)], "document_id string, chunk_id string, text string")
-    got = {r.object_id: (r.chunk_id, r.method) for r in association.associate(objects, chunks, captions, texts).collect()}
-    assert got == {"o1": ("c2", "explicit_block_reference"), "o2": ("c2", "only_chunk_at_location"), "o3": ("c3", "nearest_chunk"), "o4": (None, None), "o5": (None, None), "o6": ("c6", "caption_text")}
+    objects = [("t1", False, "b1", 1, 10.0, None), ("t2", False, "zz", 2, 10.0, None), ("t3", False, "zz", 3, 10.0, None), ("t4", False, "zz", 4, 1.0, "bild 1"), ("t5", False, "zz", None, None, "x"), ("a1", True, "f1", 3, 480.0, None), ("a2", True, "f2", 3, 30.0, None), ("a3", True, "f3", 3, None, None), ("a4", True, "f4", 1, 5.0, None)]
+    chunks = [("c1", 1, 1), ("c2", 2, 2), ("c3", 3, 3), ("c4", 3, 3), ("c5", 4, 4), ("c6", 4, 4), ("c7", None, None)]
+    members = [("c1", 0, "b1", 0.0, "x"), ("c2", 1, "b1", 0.0, None), ("c3", 2, "m", 10.0, None), ("c3", 2, "n", 500.0, None), ("c4", 3, "o", 440.0, None), ("c4", 3, "p", 50.0, None), ("c5", 4, "q", None, "bild 1 zeigt"), ("c6", 5, "r", None, "bild 1"), ("c2", 1, "f4", None, None)]
+    assert placed(spark, objects, chunks, members, [("a4", "f4")]) == {
+        "t1": ("c2", "explicit_block_reference"), "t2": ("c2", "unique_same_location"), "t3": (None, None), "t4": ("c6", "caption_relationship"), "t5": (None, None), "a1": ("c3", "spatial_nearest"), "a2": (None, None), "a3": (None, None), "a4": ("c2", "explicit_block_reference"),
+    }
+    assert placed(spark, [("o", True, "x", 300, 10.0, None)], [("long", 1, 500), ("short", 299, 299)], []) == {"o": ("long", "unique_same_location")}
+    assert placed(spark, [], chunks, members) == {}
 
 
 def test_similar_sets_against_all_pairs(spark):

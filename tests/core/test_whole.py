@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from lectern.operators import association, building, matching, structure
+from lectern.operators import building, matching, structure
 from lectern.plans import inventories, structures
 
 _ABOUT = "document_id string, source_relative_path string, source_extension string, document_type string, title string, language string, page_or_slide_count int, classification string, config_id string, parser_name string, ingested_at timestamp"
@@ -26,7 +26,7 @@ def test_the_nearest_chunk_is_judged_by_all_its_blocks(spark, tmp_path):
     chunks = [("d", "wide", 0, "x", [("a", None, 1), ("b", None, 1)], at), ("d", "low", 1, "y", [("c", None, 1)], at)]
     spark.createDataFrame(chunks, "document_id string, chunk_id string, chunk_index bigint, text string, refs array<struct<block_id: string, excerpt: string, page: int>>, generated_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r.object_id: (r.chunk_id, r.method) for r in structures.association_cascade(spark, str(tmp_path)).collect()}
-    assert got == {"asset": ("wide", "nearest_chunk"), "table": (None, None)}
+    assert got == {"asset": ("wide", "spatial_nearest"), "table": (None, None)}
 
 
 def test_chunks_are_built_of_atoms_runs_and_packs(spark):
@@ -57,15 +57,6 @@ def test_plain_and_list_atoms_are_packed_apart():
     assert sizes(atom(3, "list"), atom(9)) == [([3, 9], None)]
 
 
-def test_chunks_over_many_pages_count(spark):
-    objects = spark.createDataFrame([("d", "o1", "zz", 300, 10.0), ("d", "o2", "zz", 2, 10.0), ("d", "o3", "zz", 501, 10.0), ("e", "o4", "zz", 300, 10.0)], "document_id string, object_id string, block_id string, page int, top double")
-    chunks = spark.createDataFrame([("d", "long", 0, ["x"], 1, 500, 30.0), ("d", "short", 1, ["y"], 2, 2, 90.0)], "document_id string, chunk_id string, chunk_index int, blocks array<string>, first_page int, last_page int, top double")
-    captions = spark.createDataFrame([], "document_id string, object_id string, caption string")
-    texts = spark.createDataFrame([], "document_id string, chunk_id string, text string")
-    got = {r.object_id: (r.chunk_id, r.method) for r in association.associate(objects, chunks, captions, texts).collect()}
-    assert got == {"o1": ("long", "only_chunk_at_location"), "o2": ("long", "nearest_chunk"), "o3": (None, None), "o4": (None, None)}
-
-
 def test_blocks_of_misread_words_match(spark):
     words = "pancreatite cholestase insuffisance medicament radiographie hypertension".split()
     noisy = " ".join(w[:4] + "#" + w[5:] for w in words)
