@@ -229,47 +229,61 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", t
     turns = lambda c: F.ceil((F.col(c) - middle) / F.col("size"))
     planned = ordered.join(broadcast_if_small(spark.createDataFrame(plan, PLAN), PLAN_ROWS), "pattern")
     doc = F.filter("members", lambda m: m["source"] == F.col("source"))[0]["doc_id"]
-    alone = F.size("members") == 1
-    chosen = cut_lineage(planned.select("mix_name", "source", "text_hash", doc.alias("doc_id"), "n_tokens", (turns("hi") - turns("lo")).cast("int").alias("copies"), alone.alias("alone")))
     caps = {(r["mix_name"], r["source"]): r["repeats"] for r in wanted}
+    cap = F.create_map(*[v for (m, x), n in sorted(caps.items()) for v in (F.concat_ws("\x1f", F.lit(m), F.lit(x)), F.lit(n))]) if caps else F.create_map().cast("map<string,int>")
+    most = F.array_max(F.transform("members", lambda m: F.coalesce(F.try_element_at(cap, F.concat_ws("\x1f", "mix_name", m["source"])), F.lit(0))))
+    used = planned.select("mix_name", "source", "text_hash", doc.alias("doc_id"), "n_tokens", (turns("hi") - turns("lo")).cast("int").alias("copies"), (F.size("members") == 1).alias("alone"), most.alias("most"))
+    shared = used.filter("not alone").groupBy("mix_name", "text_hash").agg(F.sum("copies").alias("_uses"))
+    chosen = cut_lineage(used.join(shared, ["mix_name", "text_hash"], "left").withColumn("uses", F.coalesce("_uses", F.col("copies").cast("bigint"))).drop("_uses"))
     return _settled(chosen, quotas, caps).filter("copies > 0").select("mix_name", "source", "doc_id", "n_tokens", "copies")
 
 
-#: Rounds in which the selection of a mix and source may change by one text.
-SETTLING = 4
-
 _STEPS = T.StructType([T.StructField(n, t) for n, t in (("mix_name", T.StringType()), ("source", T.StringType()), ("text_hash", T.BinaryType()), ("step", T.IntegerType()))])
+_SHIFTS = T.StructType([T.StructField(n, t) for n, t in (("mix_name", T.StringType()), ("text_hash", T.BinaryType()), ("shift", T.IntegerType()))])
 
 
 def _settled(chosen: DataFrame, quotas: dict[tuple[str, str], int], caps: dict[tuple[str, str], int]) -> DataFrame:
-    """``chosen`` with a few texts more or less in each mix and source, where that brings its tokens nearer to the quota.
+    """``chosen`` with a few texts more or less in each mix and source, until none would bring its tokens nearer to the quota.
 
     A stretch ends within half a text of its quota, which matters where a
-    quota is a few texts. In each of ``SETTLING`` rounds one copy of the text
-    whose size is nearest to what is missing or too much is added or taken
-    away; texts of several sources are only taken away, since a further use
-    might be one too many. The driver gets two rows a round for each mix and
-    source.
+    quota is a few texts. In each round one copy of the text whose size is
+    nearest to what is missing or too much is added or taken away. A text may
+    be added while its source's ``max_repeats`` and, over all its sources in
+    the mix, the greatest of theirs allow (``uses`` below ``most``); of two
+    sources that would add the same text in a round the first does, the other
+    waits for the next. Every step brings a source strictly nearer to its
+    quota, so the rounds end. The driver gets two rows a round for each mix
+    and source that is still off.
     """
     spark = chosen.sparkSession
     steps: dict[tuple[str, str, bytes], int] = {}
     now = chosen
-    for _ in range(SETTLING):
+    while True:
         got = {(r["mix_name"], r["source"]): r["n"] for r in now.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
         open_rows = [(m, s, q - got.get((m, s), 0), caps[m, s]) for (m, s), q in quotas.items() if q != got.get((m, s), 0)]
         lack = F.broadcast(spark.createDataFrame(open_rows, "mix_name string, source string, lack long, cap int"))
         far = F.abs(F.col("n_tokens") - F.abs("lack"))
-        able = F.when(F.col("lack") > 0, F.col("alone") & (F.col("copies") < F.col("cap"))).otherwise(F.col("copies") > 0)
+        able = F.when(F.col("lack") > 0, (F.col("copies") < F.col("cap")) & (F.col("uses") < F.col("most"))).otherwise(F.col("copies") > 0)
         near = now.join(lack, ["mix_name", "source"]).filter(able & (far < F.abs("lack")))
         best = near.groupBy("mix_name", "source").agg(F.min(F.struct(far.alias("far"), "text_hash", F.signum("lack").cast("int").alias("step"))).alias("b")).collect()
         if not best:
-            break
-        for r in best:
-            k = (r["mix_name"], r["source"], bytes(r["b"]["text_hash"]))
-            steps[k] = steps.get(k, 0) + r["b"]["step"]
+            return now
+        added: set[tuple[str, bytes]] = set()
+        for r in sorted(best, key=lambda r: (r["mix_name"], r["source"])):
+            text, step = (r["mix_name"], bytes(r["b"]["text_hash"])), r["b"]["step"]
+            if step > 0 and text in added:
+                continue
+            if step > 0:
+                added.add(text)
+            k = (r["mix_name"], r["source"], text[1])
+            steps[k] = steps.get(k, 0) + step
+        shifts: dict[tuple[str, bytes], int] = {}
+        for (m, _, h), n in steps.items():
+            shifts[m, h] = shifts.get((m, h), 0) + n
         changed = F.broadcast(spark.createDataFrame([(*k, n) for k, n in sorted(steps.items())], _STEPS))
-        now = chosen.join(changed, ["mix_name", "source", "text_hash"], "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step")
-    return now
+        moved = F.broadcast(spark.createDataFrame([(*k, n) for k, n in sorted(shifts.items())], _SHIFTS))
+        now = chosen.join(changed, ["mix_name", "source", "text_hash"], "left").join(moved, ["mix_name", "text_hash"], "left")
+        now = now.withColumns({"copies": F.col("copies") + F.coalesce("step", F.lit(0)), "uses": F.col("uses") + F.coalesce("shift", F.lit(0))}).drop("step", "shift")
 
 
 def actual_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:

@@ -42,3 +42,14 @@ def test_selection(spark):
     assert mixture.mix_sources(docs.limit(0), targets).count() == 0
     again = mixture.mix_sources(docs.repartition(3), targets)
     assert chosen.exceptAll(again).count() == 0 and again.exceptAll(chosen).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(tokens.RANKS), reason="no tokenizer files here")
+def test_settling_goes_on_until_no_text_helps(spark):
+    rows = [(i, f"b{i}", "s", 2**i, 0, True, 2, 0) for i in range(12)] + [(99, "z", "t", 3, 0, False, 1, 0), (99, "z", "u", 3, 0, False, 1, 0)]
+    schema = "doc_id int, h string, source string, n_tokens int, copies int, alone boolean, most int, uses long"
+    chosen = spark.createDataFrame(rows, schema).selectExpr("'m' as mix_name", "source", "cast(h as binary) as text_hash", "doc_id", "n_tokens", "copies", "alone", "most", "uses")
+    quotas = {("m", "s"): 682, ("m", "t"): 3, ("m", "u"): 3}
+    got = mixture._settled(chosen, quotas, {k: 2 for k in quotas}).filter("copies > 0").collect()
+    assert sum(r.n_tokens * r.copies for r in got if r.source == "s") == 682
+    assert [(r.source, r.copies) for r in got if r.source != "s"] == [("t", 1)]
