@@ -41,6 +41,7 @@ found AS (SELECT k.document_id, k.block_id, k.line_no FROM k JOIN kept USING (so
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": "SELECT DISTINCT c.document_id, c.chunk_id FROM chunks c JOIN chunking_configurations g USING (config_id) WHERE length(c.text) > g.hard_max_characters",
+        "p3_checks": "SELECT DISTINCT c.document_id, c.chunk_id, true AS whole, true AS within, true AS shared FROM chunks c JOIN chunking_configurations g USING (config_id) WHERE length(c.text) > g.hard_max_characters",
         "p4_found": _NOTICES + "SELECT document_id, block_id, CAST(line_no AS INTEGER) AS line_no FROM found",
         "p4_texts": _NOTICES
         + f""", t AS (SELECT document_id, block_id, b.text AS text FROM ({_BLOCKS})),

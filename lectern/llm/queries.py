@@ -72,6 +72,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).filter("part_no = 1 and n_parts > 1").select("document_id", "chunk_id")
 
 
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """``document_id, chunk_id, whole, within, shared``: whether a chunk's pieces make up its text, keep its limit, and share no more than they may."""
+    keys = ["document_id", "chunk_id"]
+    o = cut_lineage(_oversized(spark, folder))
+    pieces = splitting.split_oversized(o, keys, "text", "hard_max_characters", "maximum_context_characters_per_side", "section_path")
+    row = F.struct("part_no", F.expr("substr(part, core_start - start + 1)").alias("core"))
+    made = pieces.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["core"]), "").alias("made"), F.max(F.length("part")).alias("most"), F.max(F.col("core_start") - F.col("start")).alias("most_shared"))
+    fits = lambda a, b: F.col(a) <= F.coalesce(F.col(b), F.lit(0))
+    return o.join(made, keys, "left").select(*keys, (F.col("made") == F.col("text")).alias("whole"), fits("most", "hard_max_characters").alias("within"), fits("most_shared", "maximum_context_characters_per_side").alias("shared"))
+
+
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
     """``document_id, source`` of the documents that are not likely scans."""
     d = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "source_relative_path", "classification"])
@@ -165,4 +176,4 @@ def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids, p9_selection, p9_shares, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p3_checks, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids, p9_selection, p9_shares, p10_found, p10_levels)}

@@ -20,7 +20,7 @@ IMBALANCE, PIECE = 2.0, 1.0
 
 _PLACES = [
     ("paragraph", re.compile(r"\n[^\S\n]*\n\s*")),
-    ("line", re.compile(r"\r?\n")),
+    ("line", re.compile(r"\n\s*")),
     ("sentence", re.compile(r"[.!?…؟。！？]+[\"'»”’)\]]*\s+")),
     ("clause", re.compile(r"[,;:،؛、，；：|–—]\s+")),
     ("word", re.compile(r"\s+")),
@@ -53,32 +53,44 @@ def _safe(text: str, i: int) -> int:
     return i
 
 
+def _filled(text: str, at: np.ndarray, kind: np.ndarray, far: int, step: int, place) -> tuple[np.ndarray, np.ndarray]:
+    """The places with ``inside`` places every ``step`` characters where neighbours lie further apart than ``far``; ``place`` shifts or refuses (-1) one."""
+    ends = np.concatenate([[0], at, [len(text)]])
+    wide = np.flatnonzero(np.diff(ends) > far)
+    extra = {p for i in wide.tolist() for q in range(int(ends[i]) + step, int(ends[i + 1]), step) if (p := place(q)) > ends[i]}
+    if not extra:
+        return at, kind
+    more = np.setdiff1d(np.fromiter(extra, dtype=np.int64), at)
+    at, kind = np.concatenate([at, more]), np.concatenate([kind, np.full(len(more), len(KINDS) - 1)])
+    order = np.argsort(at, kind="stable")
+    return at[order], kind[order]
+
+
 def candidates(text: str, titles: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places for the program: sentence ends and better, and lesser ones only where those lie too far apart for a piece."""
+    """Places for the program, of which consecutive ones lie at most ``limit`` apart.
+
+    Sentence ends and better are all offered; clause and word ends only where
+    those lie more than a quarter of the limit apart, places inside words only
+    where word ends do more than half of it, and a place between a letter and
+    its marks only in runs of marks longer than the limit. The program's
+    result is the best over these places.
+    """
     at, kind = boundaries(text, titles)
-    for worst, far in ((3, limit // 4), (5, limit // 3)):
-        keep = kind <= worst
-        strong = np.concatenate([[0], at[keep], [len(text)]])
-        gap = np.searchsorted(strong, at, side="right")
-        wide = (strong[np.minimum(gap, len(strong) - 1)] - strong[gap - 1]) > far
-        if worst == 3:
-            chosen = keep | wide
-            at, kind = at[chosen], kind[chosen]
-    ends = np.concatenate([[0], at, [len(text)]])
-    step, extra = max(1, limit // 40), []
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        if b - a > limit // 2:
-            extra += [p for q in range(a + step, b, step) if (p := _safe(text, q)) > a]
-    if extra:
-        more = np.setdiff1d(np.array(extra, dtype=np.int64), at)
-        at, kind = np.concatenate([at, more]), np.concatenate([kind, np.full(len(more), len(KINDS) - 1)])
-        order = np.argsort(at, kind="stable")
-        at, kind = at[order], kind[order]
-    return at, kind
+    strong = np.concatenate([[0], at[kind <= 3], [len(text)]])
+    gap = np.searchsorted(strong, at, side="right")
+    offered = (kind <= 3) | (strong[np.minimum(gap, len(strong) - 1)] - strong[gap - 1] > limit // 4)
+    step = max(1, limit // 40)
+    at, kind = _filled(text, at[offered], kind[offered], limit // 2, step, lambda q: _safe(text, q))
+    return _filled(text, at, kind, limit, step, lambda q: q)
 
 
 def overlap_starts(text: str, cuts: np.ndarray, context: int) -> np.ndarray:
-    """For each cut the place, at most ``context`` before it, where the next piece begins: the first sentence there, else the first word, else that many characters."""
+    """For each cut the place, at most ``context`` before it, where the next piece begins.
+
+    The first sentence or line there, if it gives half the context or more;
+    else the first word; else that many characters, moved forward where that
+    would part a letter from its marks.
+    """
     if context <= 0:
         return cuts.copy()
     at, kind = boundaries(text, [])
@@ -86,9 +98,10 @@ def overlap_starts(text: str, cuts: np.ndarray, context: int) -> np.ndarray:
     for c in cuts.tolist():
         lo, hi = np.searchsorted(at, c - context), np.searchsorted(at, c)
         near, what = at[lo:hi], kind[lo:hi]
-        if len(good := near[what <= 3]):
+        good = near[what <= 3]
+        if len(good) and c - good[0] >= context // 2:
             out.append(int(good[0]))
-        elif len(near):
+        elif len(near) and c - near[0] >= context // 2:
             out.append(int(near[0]))
         else:
             i = max(0, c - context)
@@ -102,8 +115,10 @@ def split_text(text: str, limit: int, context: int = 0, titles: list[str] | None
     """``(core start, start, end, kind of the cut before it)`` of the pieces of one text.
 
     Dynamic programming over the candidate places: the sum of cut costs, of
-    squared deviations from the mean size and of a cost per piece is least,
-    while no piece, overlap included, is longer than ``limit``. Cores tile the
+    squared deviations from the mean size and of a cost per piece is least
+    over the places of :func:`candidates`, while no piece, overlap included,
+    is longer than ``limit``; since places lie close enough, there always is
+    such a set. Cores tile the
     text; a piece begins at most ``context`` characters before its core. A
     context of half the limit or more is cut down to less than half of it.
     """
@@ -125,8 +140,6 @@ def split_text(text: str, limit: int, context: int = 0, titles: list[str] | None
         i = int(np.argmin(total)) if len(total) else 0
         if len(total) and np.isfinite(total[i]):
             best[j], back[j] = total[i] + cost[j], lo + i
-    if not np.isfinite(best[-1]):  # no place fits (marks without end): cut by length alone
-        return [(i, i, min(n, i + limit), "inside") for i in range(0, n, limit)]
     path = [len(p) - 1]
     while path[-1]:
         path.append(int(back[path[-1]]))

@@ -47,6 +47,18 @@ def test_a_text_without_any_place_is_cut_by_length():
     check("a/b_c" * 3_000, 1_200, 80)
 
 
+def test_the_overlap_is_real_at_paragraph_cuts():
+    text = "\n\n".join("Ein Satz mit Worten steht hier und geht noch weiter. " * 5 for _ in range(6))
+    for core, start, _, kind in check(text, 400, 100)[1:]:
+        assert core - start >= 50 and not text[start].isspace()
+        assert kind != "paragraph" or text[core - 1] == "\n"
+
+
+def test_marks_without_end_keep_limit_and_overlap():
+    parts = check("a" + "\u0301" * 700, 100, 20)
+    assert len(parts) > 7
+
+
 def brute(text, limit):
     """The least cost over all sets of places, without overlap."""
     at, kind = splitting.candidates(text, [], limit)
