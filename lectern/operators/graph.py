@@ -23,15 +23,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     loops = e.select("u").union(e.select("v")).distinct()
     now = cut_lineage(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = _fingerprint(now)
     for _ in range(rounds):
-        print_before = _fingerprint(now)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         now = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        if _fingerprint(now) == print_before:
+        last, before = before, _fingerprint(now)
+        if last == before:
             return loops.join(now.withColumnsRenamed({"u": "node", "v": "component"}), loops["u"] == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
