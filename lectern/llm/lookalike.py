@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.fragments import bytes_of, slices
@@ -23,29 +23,54 @@ LOOKALIKES = {
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     # other letters and signs
     "ı": "i", "ɡ": "g", "ɑ": "a", "ո": "n", "ս": "u", "օ": "o", "հ": "h", "µ": "μ", "Ω": "Ω", "ʼ": "'",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
     "‐": "-", "‑": "-", "−": "-", "﹣": "-", "⁃": "-",
 }
 
-#: Characters that are not drawn at all (soft hyphen, zero-width characters, marks of direction, variation selectors).
-UNSEEN = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
+#: Format characters that are drawn after all (signs of Arabic and other numbers, marks of annotations).
+DRAWN = [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, *range(0xFFF9, 0xFFFC), 0x110BD, 0x110CD]
+
+#: Characters that are not drawn at all: format characters, variation selectors, tags, fillers of syllables.
+UNSEEN = sorted(
+    {c for c in (*range(0x80, 0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) == "Cf" and not 0x13430 <= c <= 0x1345F}.difference(DRAWN)
+    | {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+)
+
+#: Letters between which a zero-width non-joiner is seen, since they would join (Arabic, Syriac, N'Ko, Mongolian, scripts of India), and those between which a joiner is.
+BOUND = "\u0900-\u0dff"
+JOINED = "\u0620-\u064a\u066e-\u06d3\u06fa-\u06ff\u0710-\u074f\u0750-\u077f\u07ca-\u07ea\u08a0-\u08c9\u1820-\u1878" + BOUND
 
 #: Compatibility forms that look the same as the plain letters; superscripts, fractions and the like do not.
 SAME_FORMS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-TOP = 0x30000
+TOP = 0x110000
+
+
+def _ranges(listed: str) -> list[tuple[int, int]]:
+    return [(ord(a), ord(b)) for a, b in zip(listed[::3], listed[2::3])]
+
+
+def _within(points: np.ndarray, listed: str) -> np.ndarray:
+    out = np.zeros(len(points), dtype=bool)
+    for a, b in _ranges(listed):
+        out |= (points >= a) & (points <= b)
+    return out
+
+
+_UNSEEN = frozenset(UNSEEN)
 
 
 def _expansion(c: int, seen: frozenset[int] = frozenset()) -> list[int]:
     """The characters to which ``c`` is opened: canonical parts, plain forms, look-alikes."""
     char = chr(c)
-    if c in UNSEEN:
+    if c in _UNSEEN:
         return []
     if unicodedata.category(char) == "Zs":
         return [0x20]
     if char in LOOKALIKES and c not in seen:
         return [x for y in LOOKALIKES[char] for x in _expansion(ord(y), seen | {c})]
     parts = unicodedata.decomposition(char).split()
-    if not parts or (parts[0][0] == "<" and parts[0] not in SAME_FORMS and not 0xFB00 <= c <= 0xFB06):
+    if not parts or (parts[0][0] == "<" and parts[0] not in SAME_FORMS and not (0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F)):
         return [c]
     return [x for p in parts[parts[0][0] == "<" :] for x in _expansion(int(p, 16), seen | {c})]
 
@@ -56,7 +81,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarra
     length, flat, change = np.ones(TOP, dtype=np.int64), [], []
     order = np.zeros(TOP, dtype=np.uint8)
     pairs: dict[int, int] = {}
-    for c in range(TOP):
+    for c in (*range(0x30000), *range(0xE0000, 0xE0200)):  # nothing else is opened or composes
         if 0xAC00 <= c <= 0xD7A3:  # Hangul syllables stay composed
             continue
         char = chr(c)
@@ -81,12 +106,21 @@ def normal_points(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.
     length, start, flat, order, keys, composed = _tables()
     safe = np.where(points < TOP, points, 0).astype(np.int64)
     each = np.where(points < TOP, length[safe], 1)
+    if (joiner := (points == 0x200C) | (points == 0x200D)).any():
+        at = np.flatnonzero(joiner)
+        at = at[(at > 0) & (at < len(points) - 1)]
+        at = at[~np.isin(at, rows) & ~np.isin(at + 1, rows)]
+        free = np.where(points[at] == 0x200C, _within(points[at - 1], JOINED) & _within(points[at + 1], JOINED), _within(points[at - 1], BOUND) & _within(points[at + 1], BOUND))
+        drawn = at[free]
+        each[drawn] = 1
+    else:
+        drawn = np.zeros(0, dtype=np.int64)
     each[(points == 0x0D) & (np.append(points[1:], 0) == 0x0A)] = 0  # a line end of two characters looks like one of one
     run = np.concatenate([[0], np.cumsum(each)])
     origin = np.repeat(np.arange(len(points)), each)
     within = np.arange(run[-1]) - np.repeat(run[:-1], each)
     out, first = points[origin].copy(), start[safe][origin]
-    opened = (first >= 0) & (points[origin] < TOP)
+    opened = (first >= 0) & (points[origin] < TOP) & ~np.isin(origin, drawn)
     out[opened] = flat[first[opened] + within[opened]]
     out[out == 0x0D] = 0x0A
     rows = run[rows]
@@ -200,14 +234,20 @@ def one_form(df: DataFrame, columns: list[str], suffix: str = "_form") -> DataFr
     return rest.mapInArrow(run, schema)
 
 
+def not_literal(text: str, part: str) -> Column:
+    """Whether ``part`` is no literal part of ``text``; false where either is null."""
+    return F.coalesce(~F.contains(text, part), F.lit(False))
+
+
 def disguised_excerpts(df: DataFrame, keys: list[str], text: str, excerpt: str) -> DataFrame:
     """``keys`` of the rows whose excerpt is no literal part of the text but looks like a part of it.
 
     Literal containment is tested in the JVM on every row; only rows that fail
     it are brought to one form, and the comparison of the forms is again a JVM
-    expression. Null texts or excerpts and excerpts in which nothing is drawn
-    make no case.
+    expression. Rows that are open need no Python unless they fail the first
+    test. Null texts or excerpts and excerpts in which nothing is drawn make
+    no case.
     """
-    open_rows = df.select(*keys, F.col(text).alias("_text"), F.col(excerpt).alias("_part")).filter(F.col("_part").isNotNull() & F.col("_text").isNotNull() & ~F.contains("_text", "_part"))
+    open_rows = df.select(*keys, F.col(text).alias("_text"), F.col(excerpt).alias("_part")).filter(not_literal("_text", "_part"))
     seen = one_form(open_rows, ["_text", "_part"])
     return seen.filter((F.trim("_part_form") != "") & F.contains("_text_form", "_part_form")).select(*keys)

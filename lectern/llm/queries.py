@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.labels import clean_path, language_code, source_of
 from lectern.llm import boilerplate, lookalike, mixture, pairs, reading, scans, splitting, tokens
 from lectern.session import broadcast_if_small, cut_lineage
-from lectern.sources.tables import latest, table
+from lectern.sources.tables import latest, latest_texts, table
 
 
 #: So many ids of scanned documents at most (about 10 MB) are broadcast to tell scans from other texts; more are joined by shuffle.
@@ -90,22 +90,31 @@ def _sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _boilerplate(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The occurrences of boilerplate lines and the boilerplate blocks."""
     sources = _sources(spark, folder)
     columns = ["document_id", "block_id", "block_type", "page", "reading_order", "text"]
     b = table(spark, folder, "blocks").select(*columns).filter(~F.coalesce(F.col("block_type"), F.lit("")).isin("title", "heading"))
-    return b, boilerplate.boilerplate(b, sources)
+    return boilerplate.boilerplate(b, sources)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _boilerplate(spark, folder)[1].select("document_id", "block_id", F.col("line_no").cast("int").alias("line_no"))
+    return _boilerplate(spark, folder)[0].select("document_id", "block_id", F.col("line_no").cast("int").alias("line_no"))
 
 
 def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.without_lines(blocks(spark, folder, "text"), _boilerplate(spark, folder)[1])
+    return boilerplate.without_lines(blocks(spark, folder, "text"), _boilerplate(spark, folder)[0])
+
+
+def p4_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The boilerplate blocks: how many lines each holds and in how many documents and pieces it stands."""
+    return _boilerplate(spark, folder)[1].select("source", "lines", "documents", "pieces")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return lookalike.disguised_excerpts(blocks(spark, folder, "text", "source_excerpt"), ["document_id", "block_id"], "text", "source_excerpt")
+    """Deliveries of a block have the same text and excerpt, so literal containment is tested before the deliveries are compared and only rows that fail it are shuffled."""
+    b = table(spark, folder, "blocks").select("document_id", "block_id", "text", "source_excerpt", "ingested_at")
+    keys = ["document_id", "block_id"]
+    return lookalike.disguised_excerpts(latest(b.filter(lookalike.not_literal("text", "source_excerpt")), keys, "ingested_at"), keys, "text", "source_excerpt")
 
 
 def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,8 +181,8 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
 def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The latest delivery of every block, with the named columns."""
     keys = ["document_id", "block_id"]
-    return latest(table(spark, folder, "blocks").select(*keys, *columns, "ingested_at"), keys, "ingested_at", [*keys, *columns])
+    return latest_texts(table(spark, folder, "blocks").select(*keys, *columns, "ingested_at"), keys, "ingested_at", [*keys, *columns])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p3_checks, p4_found, p4_texts, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids, p9_selection, p9_shares, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p3_checks, p4_found, p4_texts, p4_blocks, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids, p9_selection, p9_shares, p10_found, p10_levels)}

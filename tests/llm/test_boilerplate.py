@@ -17,10 +17,11 @@ def test_lines_are_found_and_removed(spark):
     rows += [rows[0], ("d0", "b2", None, None, None), ("d1", "b2", 1, 1, ""), ("d2", "b2", 1, 2, "zwei worte"), ("lost", "b1", 1, 0, "© Alle Rechte vorbehalten"), ("null", "b1", 1, 0, "© Alle Rechte vorbehalten")]
     df = spark.createDataFrame(rows, BLOCKS)
     sources = spark.createDataFrame([(f"d{i}", "s") for i in range(6)] + [("null", None)], "document_id string, source string")
-    found = boilerplate.boilerplate(df.selectExpr("*", "'x' as line", "1 as line_no"), sources)
+    found, listed = boilerplate.boilerplate(df.selectExpr("*", "'x' as line", "1 as line_no"), sources)
     got = sorted((r.document_id, r.block_id, r.line_no) for r in found.collect())
     assert got == sorted((f"d{i}", "b1", n) for i in range(6) for n in (1, 2))
     assert len({r.component for r in found.collect()}) == 1
+    assert [(r.source, r["lines"], r.documents, r.pieces) for r in listed.collect()] == [("s", 2, 6, 6)]
     texts = {(r.document_id, r.block_id): r.text for r in boilerplate.without_lines(df, found).collect()}
     assert texts["d3", "b1"] == "Eigener Satz nummer d" and texts["d0", "b2"] is None and texts["d1", "b2"] == ""
     assert texts["lost", "b1"] == "© Alle Rechte vorbehalten"
@@ -29,14 +30,23 @@ def test_lines_are_found_and_removed(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], BLOCKS)
     sources = spark.createDataFrame([], "document_id string, source string")
-    assert boilerplate.boilerplate(none, sources).count() == 0
+    assert boilerplate.boilerplate(none, sources)[0].count() == 0
+
+
+def test_edges_make_blocks(spark):
+    """Two lines that always follow each other are one block; a third that stands elsewhere is its own; without edges there would be three."""
+    rows = [(f"d{i}", "b", 1, 0, "eins zwei drei\nvier fünf sechs") for i in range(6)] + [(f"d{i}", "c", 2, 1, "sieben acht neun") for i in range(6)]
+    rows += [("d0", "x", 3, 2, "vier fünf sechs\nsieben acht neun")]
+    found, listed = boilerplate.boilerplate(spark.createDataFrame(rows, BLOCKS), spark.createDataFrame([(f"d{i}", "s") for i in range(6)], "document_id string, source string"))
+    assert sorted((r["lines"], r.documents, r.pieces) for r in listed.collect()) == [(1, 6, 7), (2, 6, 7)]
+    assert found.count() == 20 and len({r.component for r in found.collect()}) == 2
 
 
 def test_many_lines_are_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(boilerplate, "BROADCAST_LINES", -1)
     df = spark.createDataFrame([(f"d{i}", "b", 1, 0, "eins zwei drei") for i in range(4)], BLOCKS)
     sources = spark.createDataFrame([(f"d{i}", "s") for i in range(4)], "document_id string, source string")
-    assert boilerplate.boilerplate(df, sources).count() == 4
+    assert boilerplate.boilerplate(df, sources)[0].count() == 4
 
 
 def test_against_brute_force(spark, folder):

@@ -19,6 +19,11 @@ def test_what_looks_the_same_becomes_the_same():
     assert set(form(*same)) == {"déjà office"}
 
 
+def test_undrawn_characters_of_all_planes_go():
+    assert form("a\U000e0100b\U000e0041c\u3164d\uffa0\u115f", "Ⅻ Ꭺ") == ["abcd", "XII A"]
+    assert form("می\u200cخواهم", "a\u200cb", "ب\u200dب", "क्\u200dष", "\u200cب") == ["می\u200cخواهم", "ab", "بب", "क्\u200dष", "ب"]
+
+
 def test_what_looks_different_stays_different():
     kept = ["m2", "m²", "M2", "deja", "déjà", "a  b", "a b", "a\nb", "½", "Straße", "(1)", "①"]
     assert form(*kept) == kept
