@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
+from lectern.functions.labels import LANGUAGE_NAMES
 from lectern.llm.lookalike import BOUND, JOINED, LOOKALIKES, UNSEEN
 
 _FROM = "".join(LOOKALIKES) + "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -30,6 +31,17 @@ def _form(x: str) -> str:
     return f"nfc_normalize(translate(translate({x}, {quoted(_SPACES)}, {quoted(' ' * len(_SPACES))}), {quoted(_FROM)}, {quoted(_TO)}))"
 
 
+def _language(x: str) -> str:
+    known = "MAP {" + ", ".join(f"'{name}': '{code}'" for code, names in LANGUAGE_NAMES.items() for name in names) + "}"
+    base = r"regexp_extract(trim(y, ' '), '^(\p{L}+)', 1)"
+    joined = f"array_to_string(list_filter(list_transform(string_split(lower(trim({x}, ' ')), '+'), lambda y: coalesce({known}[{base}], {base})), lambda y: y <> ''), '+')"
+    return f"CASE WHEN {x} IS NULL OR {joined} IN ('', 'unknown', 'none', 'null', 'mul', 'zxx') THEN 'und' ELSE {joined} END"
+
+
+def _path(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(trim(lower(url_decode({x})), ' '), ' *[\\/]+ *', '/', 'g'), '^(\./)+', ''), '^/', '')"
+
+
 _BLOCKS = "SELECT document_id, block_id, arg_max(struct_pack(text := text, source_excerpt := source_excerpt), ingested_at) AS b FROM blocks GROUP BY 1, 2"
 
 _NOTICES = r"""WITH d AS (SELECT document_id, arg_max(split_part(source_relative_path, '/', 1), ingested_at) AS source, arg_max(classification, ingested_at) AS classification FROM normalized_documents GROUP BY 1),
@@ -62,6 +74,12 @@ reach AS (SELECT source, line_key AS node, line_key AS r FROM kept UNION SELECT
 comp AS (SELECT source, node AS line_key, min(r) AS component FROM reach GROUP BY 1, 2),
 o2 AS (SELECT source, document_id, component, CASE WHEN component IS DISTINCT FROM lag(component) OVER (PARTITION BY source, document_id, page ORDER BY reading_order NULLS FIRST, block_id, line_no) THEN 1 ELSE 0 END AS fresh FROM occ JOIN comp USING (source, line_key))
 SELECT source, lines, documents, pieces FROM (SELECT source, component, count(*) AS lines FROM comp GROUP BY 1, 2) JOIN (SELECT source, component, count(DISTINCT document_id) AS documents, CAST(sum(fresh) AS BIGINT) AS pieces FROM o2 GROUP BY 1, 2) USING (source, component)""",
+        "p7_counts": f"""WITH n AS (SELECT document_id, arg_max(struct_pack(v := language), ingested_at).v AS lang FROM normalized_documents GROUP BY 1),
+c AS (SELECT chunk_id, x.* FROM (SELECT chunk_id, arg_max(struct_pack(document_id := document_id, t := coalesce(text, ''), p := source_relative_path, d := document_type), generated_at) AS x FROM chunks GROUP BY 1)),
+i AS (SELECT 'chunk' AS item_kind, t, nullif(split_part({_path("p")}, '/', 1), '') AS source, {_language("lang")} AS language, NULL AS domain, lower(trim(d, ' ')) AS document_type FROM c LEFT JOIN n USING (document_id)
+UNION ALL SELECT 'document', coalesce(text, ''), {_path("source")}, {_language("lang")}, lower(trim(domain, ' ')), lower(trim(document_type, ' ')) FROM documents)
+SELECT item_kind, dimension, slice, count(*) AS items, count(DISTINCT t) AS texts FROM (SELECT item_kind, t, unnest([struct_pack(k := 'source', v := source), struct_pack(k := 'language', v := language), struct_pack(k := 'domain', v := domain), struct_pack(k := 'document_type', v := document_type)]) AS s FROM i) CROSS JOIN LATERAL (SELECT s.k AS dimension, coalesce(s.v, '(none)') AS slice) WHERE item_kind <> 'chunk' OR dimension <> 'domain' GROUP BY 1, 2, 3""",
+        "p9_limits": "SELECT DISTINCT mix_name, source, true AS repeats_kept, true AS shares_whole FROM mixture_targets",
         "p6_found": f"""SELECT document_id, block_id FROM ({_BLOCKS})
 WHERE NOT contains(b.text, b.source_excerpt) AND trim({_form("b.source_excerpt")}) <> '' AND contains({_form("b.text")}, {_form("b.source_excerpt")})""",
         "p6_texts": f"SELECT document_id, block_id, {_form('b.text')} AS text_form, {_form('b.source_excerpt')} AS source_excerpt_form FROM ({_BLOCKS})",

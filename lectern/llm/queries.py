@@ -123,14 +123,13 @@ def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks and documents as items of one shape; each slice under one name."""
+    """Chunks and documents as items of one shape, with the hash of their text; each slice under one name. The texts do not move."""
     lang = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "language"])
-    chunks = latest(
-        table(spark, folder, "chunks").select("chunk_id", "document_id", "text", "source_relative_path", "document_type", "generated_at"), ["chunk_id"], "generated_at", ["chunk_id", "document_id", "text", "source_relative_path", "document_type"]
-    ).join(lang, "document_id", "left")
-    docs = table(spark, folder, "documents")
+    hashed = table(spark, folder, "chunks").select("chunk_id", "document_id", tokens.text_key().alias("text_hash"), "source_relative_path", "document_type", "generated_at")
+    chunks = latest(hashed, ["chunk_id"], "generated_at").join(lang, "document_id", "left")
+    docs = table(spark, folder, "documents").select("doc_id", tokens.text_key().alias("text_hash"), "source", "lang", "domain", "document_type")
     shape = lambda df, kind, key, source, language, domain, kind_of: df.select(
-        F.lit(kind).alias("item_kind"), key.cast("string").alias("item_id"), "text", source.alias("source"), language_code(language).alias("language"), domain.alias("domain"), kind_of.alias("document_type")
+        F.lit(kind).alias("item_kind"), key.cast("string").alias("item_id"), "text_hash", source.alias("source"), language_code(language).alias("language"), domain.alias("domain"), kind_of.alias("document_type")
     )
     none = F.lit(None).cast("string")
     return shape(chunks, "chunk", F.col("chunk_id"), source_of(F.col("source_relative_path")), F.col("language"), none, F.lower(F.trim("document_type"))).unionByName(
@@ -138,15 +137,29 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every distinct text of chunks and documents; a text that stands in both is tokenized once."""
+    return tokens.distinct_counts(table(spark, folder, "chunks").select("text").unionByName(table(spark, folder, "documents").select("text")))
+
+
 def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
-    items = _items(spark, folder)
     dims = {d: d for d in ("source", "language", "domain", "document_type")}
-    both = [tokens.token_totals(items.filter(F.col("item_kind") == k), {n: c for n, c in dims.items() if (k, n) != ("chunk", "domain")}).select(F.lit(k).alias("item_kind"), "*") for k in ("chunk", "document")]
-    return both[0].unionByName(both[1])
+    return tokens.slice_totals(_items(spark, folder), _token_counts(spark, folder), dims, ["item_kind"]).filter("item_kind <> 'chunk' or dimension <> 'domain'")
+
+
+def p7_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of every combination of source, language and domain (of chunks the document type)."""
+    items = _items(spark, folder).withColumn("domain", F.when(F.col("item_kind") == "chunk", F.col("document_type")).otherwise(F.col("domain")))
+    return tokens.cell_totals(items, _token_counts(spark, folder), ["item_kind", "source", "language", "domain"])
 
 
 def p7_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.token_table(_items(spark, folder), ["item_kind", "item_id"])
+    return _items(spark, folder).select("item_kind", "item_id", "text_hash").join(_token_counts(spark, folder), "text_hash").select("item_kind", "item_id", "n_tokens")
+
+
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The items and distinct texts of the slices of ``p7_totals``, which SQL can count too."""
+    return p7_totals(spark, folder).select("item_kind", "dimension", "slice", "items", "texts")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,6 +179,13 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.actual_shares(_mixed(spark, folder), table(spark, folder, "mixture_targets"))
 
 
+def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """``mix_name, source, repeats_kept, shares_whole``: whether no text is used too often and the shares of a mix add up to one."""
+    s = p9_shares(spark, folder)
+    whole = s.groupBy("mix_name").agg((F.abs(F.sum("actual_share") - 1) < 1e-9).alias("shares_whole"))
+    return s.join(whole, "mix_name").select("mix_name", "source", (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), "shares_whole")
+
+
 def _levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_examples"))
 
@@ -185,4 +205,4 @@ def blocks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p3_checks, p4_found, p4_texts, p4_blocks, p6_found, p6_texts, p7_totals, p7_tokens, p8_ids, p9_selection, p9_shares, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_paragraphs, p3_found, p3_pieces, p3_checks, p4_found, p4_texts, p4_blocks, p6_found, p6_texts, p7_totals, p7_cells, p7_tokens, p7_counts, p8_ids, p9_selection, p9_shares, p9_limits, p10_found, p10_levels)}
