@@ -46,16 +46,34 @@ def expectation_maximization(patterns: list[str], counts: np.ndarray, share: flo
     return post
 
 
-def validated_cutoff(post: np.ndarray, counts: np.ndarray) -> float:
-    """The cutoff of greatest expected F1 on rows with these posteriors; 0.5 where no pattern is likely a defect."""
-    best, cut = 0.0, 0.5  # the best cutoff for F1 is half the F1 reached, so never above 0.5
-    for c in sorted({round(float(p), 6) for p in post if p >= 0.2}):
-        chosen = post >= c - 1e-6
-        true = np.sum(post[chosen] * counts[chosen])
-        f1 = 2 * true / max(1e-9, counts[chosen].sum() + np.sum(post * counts))
-        if f1 > best:
-            best, cut = f1, c
-    return min(cut, 0.5)
+def validated_cutoff(patterns: list[str], fitted: np.ndarray, held: np.ndarray, share: float, hits: list[tuple[float, float]]) -> float:
+    """The cutoff at which the model agrees best with labelling functions it has not seen.
+
+    Each function is left out in turn: the model is fitted without it on the
+    rows counted in ``fitted``, and its posteriors are held against the left
+    out function's votes on the rows counted in ``held``. The cutoff is the
+    one of greatest F1 over all functions together, each weighted by how much
+    more often it is believed to vote 1 on defective rows than on sound ones;
+    of equal cutoffs the one nearest to a half. Where no function votes 1 on
+    held rows it is a half.
+    """
+    grid = np.round(np.arange(0.05, 1.0, 0.05), 2)
+    hit, named, true = np.zeros(len(grid)), np.zeros(len(grid)), 0.0
+    for k, (on, off) in enumerate(hits):
+        rest = [p[:k] + p[k + 1 :] for p in patterns]
+        if not rest or not rest[0]:
+            continue
+        post = expectation_maximization(rest, fitted, share, hits[:k] + hits[k + 1 :])
+        vote = np.array(["-0+".index(p[k]) - 1 for p in patterns])
+        n = held * (vote != 0) * max(0.0, on - off)
+        true += float((n * (vote > 0)).sum())
+        for i, c in enumerate(grid):
+            hit[i] += (n * ((post >= c) & (vote > 0))).sum()
+            named[i] += (n * (post >= c)).sum()
+    if not true:
+        return 0.5
+    f1 = np.round(2 * hit / np.maximum(named + true, 1e-9), 4)
+    return float(min(grid[f1 == f1.max()], key=lambda c: (abs(c - 0.5), c)))
 
 
 def label(rows: DataFrame, defects: list[Defect], keys: list[str]) -> DataFrame:
@@ -64,7 +82,7 @@ def label(rows: DataFrame, defects: list[Defect], keys: list[str]) -> DataFrame:
     ``rows`` has, for each defect, a column of its name with the votes of its
     functions as a string such as ``+0-``. One aggregation counts the patterns of all defects, split by a hash of the
     keys into two halves: the model is fitted on all rows, its cutoffs are
-    taken from posteriors fitted on one half and counted on the other. The
+    validated on one half with models fitted on the other. The
     driver gets at most 2 * 3**functions counts for each defect.
     """
     half = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(2)).cast("int")
@@ -83,7 +101,7 @@ def label(rows: DataFrame, defects: list[Defect], keys: list[str]) -> DataFrame:
             halves[r["_half"], patterns.index(r["pattern"])] = r["n"]
         hits = list(d.functions.values())
         post = expectation_maximization(patterns, halves.sum(0), d.share, hits)
-        cut = validated_cutoff(expectation_maximization(patterns, halves[0], d.share, hits), halves[1])
+        cut = validated_cutoff(patterns, halves[0], halves[1], d.share, hits)
         known = F.create_map(*[F.lit(v) for p, q in zip(patterns, post) for v in (p, float(q))])
         q = F.try_element_at(known, F.col(f"_{d.name}"))
         labels.append(F.when(q >= cut - 1e-6, F.struct(F.lit(d.name).alias("defect"), q.alias("posterior"))))

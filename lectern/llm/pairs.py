@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,7 +17,7 @@ from lectern.session import cut_lineage
 STAND_INS = [
     "na", "nan", "nil", "none", "null", "empty", "blank", "nothing", "nooutput", "nocontent", "notext", "noanswer", "noresponse", "notavailable", "notapplicable", "undefined", "tbd", "todo", "missing", "placeholder", "emptystring", "emptyoutput", "noresult", "eos", "endoftext", "pad",
     "vide", "rien", "néant", "aucun", "aucunesortie", "aucuntexte", "aucunereponse", "aucuneréponse", "sanscontenu", "pasdetexte", "nonrenseigné", "sansobjet", "nd",
-    "leer", "nichts", "keine", "keinausgabe", "keineausgabe", "keintext", "keineantwort", "keininhalt", "ohneinhalt", "entfällt", "kA",
+    "leer", "nichts", "keine", "keinausgabe", "keineausgabe", "keintext", "keineantwort", "keininhalt", "ohneinhalt", "entfällt", "ka",
     "vacío", "vacio", "nada", "ninguno", "sincontenido", "sintexto", "sinsalida", "sinrespuesta", "nodisponible", "noaplica",
     "فارغ", "لاشيء", "لايوجد",
 ]
@@ -65,12 +66,16 @@ FUNCTION_WORDS = {
     "es": ["el", "los", "las", "una", "y", "cuando", "con", "para", "del", "que", "se", "por", "no", "después", "enfermo", "paciente", "veces", "al", "día", "semanas"],
 }
 
-#: Learnt words kept for each language.
-LANGUAGE_WORDS = 300
+#: Learnt words kept for each language, and rows by which a word's share is drawn towards 0.
+LANGUAGE_WORDS, SMOOTHING = 300, 10
+
+#: The weight of a known function word, and the greatest of a learnt one.
+KNOWN = 0.1
 
 _WORDS, _NOT_ALNUM, _FIGURES = re.compile(r"(?:[^\W\d_]|')+"), re.compile(r"[\W_]+"), re.compile(r"\d+")
 _LIST, _TABLE, _CLOSED = re.compile(r"\s*[-•*] "), re.compile(r"\s*\|"), re.compile(r"[.!?؟。][\"'»”)\]]*$")
-_CUT, _WRAPPED, _ARABIC = re.compile(CUT_MARK), re.compile(r"\W*(?:[<\[({«\"`].{0,24}[>\])}»\"`])?\W*", re.DOTALL), re.compile(r"[\u0600-\u06ff]")
+_CUT, _WORD_CHAR, _ARABIC = re.compile(CUT_MARK), re.compile(r"\w"), re.compile(r"[\u0600-\u06ff]")
+_OPENS, _CLOSES = re.compile(r"[<\[({«\"`]"), re.compile(r"[>\])}»\"`]")
 _REFUSALS = {k: re.compile("|".join(v)) for k, v in REFUSALS.items()}
 _STAND_INS, _SELF, _OPEN = frozenset(STAND_INS), frozenset(SELF_WORDS), frozenset(OPEN_WORDS)
 
@@ -88,32 +93,61 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def language_of(words: set[str], text: str, marks: dict[str, list[str]]) -> str | None:
-    """The language most of whose words stand in the text: two at least, and more than of any other; else none. ``marks`` gives the languages of a word."""
+def language_of(words: set[str], text: str, marks: dict[str, list[tuple[str, float]]]) -> str | None:
+    """The language whose words in the text weigh most: two at least, and more than those of any other; else none. ``marks`` gives the languages of a word and its weight in each."""
     if len(_ARABIC.findall(text)) * 2 > len(text) > 0:
         return "ar"
-    score: dict[str, int] = {}
+    score: dict[str, list[float]] = {}
     for w in words:
-        for k in marks.get(w, ()):
-            score[k] = score.get(k, 0) + 1
-    order = sorted(score.items(), key=lambda x: (-x[1], x[0]))
-    return order[0][0] if order and order[0][1] >= 2 and (len(order) == 1 or order[0][1] > order[1][1]) else None
+        for k, weight in marks.get(w, ()):
+            s = score.setdefault(k, [0.0, 0])
+            s[0] += weight
+            s[1] += 1
+    order = sorted(((round(v, 9), n, k) for k, (v, n) in score.items()), key=lambda x: (-x[0], x[2]))
+    return order[0][2] if order and order[0][1] >= 2 and (len(order) == 1 or order[0][0] > order[1][0]) else None
 
 
 def _vote(yes: bool, no: bool | None = None) -> str:
     return "+" if yes else "-" if no is None or no else "0"
 
 
-def votes(o: str | None, r: str | None, r_lang: str | None, others: tuple[str | None, str | None, str | None], end_uses: int) -> list[str]:
-    """The votes of the labelling functions of every defect, in the order of BELIEFS; ``others`` are the languages of the original, of the document and of its other originals."""
+def wrapped(text: str) -> bool:
+    """Whether nothing but one pair of brackets or quotes, with whatever is in it, or no word at all makes up the text."""
+    begin = _OPENS.search(text)
+    if not begin:
+        return not _WORD_CHAR.search(text)
+    end = max((text.rfind(c) for c in ">])}»\"`"), default=-1)
+    outside = text[: begin.start()] + (text[end + 1 :] if end > begin.start() else text[begin.start() :])
+    return not _WORD_CHAR.search(outside)
+
+
+@dataclass(frozen=True)
+class Seen:
+    """What one look at a pair shows: the votes of all functions but three, which other rows decide, and what those are about."""
+
+    votes: list[str]
+    language: str | None
+    original_language: str | None
+    end: str
+    loose_end: bool
+    closed: bool
+
+
+def look_at(o: str | None, r: str | None, marks: dict[str, list[tuple[str, float]]]) -> Seen:
+    """Look at an original and its rewriting once.
+
+    ``votes`` are those of ``empty``, ``refusal``, ``copy`` and ``truncated``
+    in the order of BELIEFS, without ``rare_end``.
+    """
     o, r = o or "", r or ""
     bare_o, bare_r = _NOT_ALNUM.sub("", o.lower()), _NOT_ALNUM.sub("", r.lower())
     n_o, n_r, tail = len(bare_o), len(bare_r), r.rstrip()
     words_r, words_o = words_of(r), words_of(o)
     set_r, set_o = set(words_r), set(words_o)
+    r_lang, o_lang = language_of(set_r, r, marks), language_of(set_o, o, marks)
 
     nothing = n_r == 0 or bare_r in _STAND_INS
-    empty = _vote(n_r == 0) + _vote(nothing, n_r > 0) + _vote(len(r) <= 80 and len(words_r) <= 2 and bool(_WRAPPED.fullmatch(r)), len(words_r) > 3)
+    empty = _vote(n_r == 0) + _vote(nothing, n_r > 0) + _vote(len(words_r) <= 2 and wrapped(r), len(words_r) > 3)
 
     is_list, is_table = bool(_LIST.match(tail)) and "\n" in tail, bool(_TABLE.match(tail))
     plain = r.lower().replace("’", "'")
@@ -135,39 +169,37 @@ def votes(o: str | None, r: str | None, r_lang: str | None, others: tuple[str |
     ragged = is_table and (lines[-1].count("|") < lines[0].count("|") or not tail.endswith("|") or len(lines) < 2)
     prose = not (is_list or is_table or heading or nothing)
     loose = not closed and len(words_r) > 2 and (words_r[-1] in _OPEN or r.count("(") > r.count(")"))
-    rare = not closed and not is_table and not nothing and len(words_r) > 2 and end_uses < 3
-    truncated = _vote((prose and not closed) or ragged, closed or (is_table and not ragged)) + _vote(marked) + _vote(loose, closed) + _vote(rare, closed or end_uses >= 10)
-
-    other = "".join("0" if r_lang is None or x is None else _vote(x != r_lang) for x in others)
-    return [empty, refusal, copy, truncated, other]
+    truncated = _vote((prose and not closed) or ragged, closed or (is_table and not ragged)) + _vote(marked) + _vote(loose, closed)
+    return Seen([empty, refusal, copy, truncated], r_lang, o_lang, words_r[-1] if words_r else "", not closed and not is_table and not nothing and len(words_r) > 2, closed)
 
 
-def language_words(rows: DataFrame, language: str, texts: list[str], per_language: int = LANGUAGE_WORDS) -> dict[str, list[str]]:
-    """For each language the words that mark it most, learnt from all labelled rows.
+def language_words(rows: DataFrame, language: str, texts: list[str], per_language: int = LANGUAGE_WORDS) -> dict[str, dict[str, float]]:
+    """For each language that labels any row the words that mark it most with their weights, learnt from all labelled rows.
 
-    A word's weight is its share of the rows of the language less its greatest
-    share in any other. Counts are made over all rows; the driver gets at most
-    ``per_language`` words for each of the languages that label one row in
-    fifty or more, at most fifty.
+    A word's weight is its share of the rows of the language, drawn towards 0
+    by ``SMOOTHING`` rows, less its greatest share in any other. Counts are
+    made over all rows and all languages; the driver gets ``per_language``
+    words (the size of a language's model) for each. Known function words
+    weigh ``KNOWN``, learnt ones no more, since words of a subject can mark a
+    language as much as words of the language.
     """
     told = rows.filter(F.col(language).isNotNull())
-    by_size = told.groupBy(language).agg(F.count(F.lit(1)).alias("rows"))
-    most = by_size.orderBy(F.desc("rows"), language).limit(50).collect()
-    kept = {r[language]: r["rows"] for r in most if r["rows"] * 50 >= sum(x["rows"] for x in most)}
+    kept = {r[language]: r["rows"] for r in told.groupBy(language).agg(F.count(F.lit(1)).alias("rows")).collect()}
     if not kept:
-        return {k: sorted(v) for k, v in sorted(FUNCTION_WORDS.items())}
-    size = F.create_map(*[F.lit(v) for x in sorted(kept.items()) for v in x])
+        return {k: dict.fromkeys(v, KNOWN) for k, v in FUNCTION_WORDS.items()}
+    size = F.create_map(*[F.lit(v) for k, n in sorted(kept.items()) for v in (k, n + SMOOTHING)])
     both = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(r"[\p{L}\p{M}']+"), F.lit(0)))
-    uses = told.filter(F.col(language).isin(*kept)).select(language, F.explode(both).alias("word")).filter(F.length("word") > 1).groupBy("word", language).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    uses = told.select(language, F.explode(both).alias("word")).filter(F.length("word") > 1).groupBy("word", language).agg(F.count(F.lit(1)).alias("n"))
     shares = uses.select("word", F.struct((F.col("n") / size[F.col(language)]).alias("share"), F.col(language).alias("l")).alias("x"))
-    by = shares.groupBy("word").agg(F.sort_array(F.collect_list("x"), asc=False).alias("by"))
-    second = F.coalesce(F.get(F.col("by"), F.lit(1))["share"], F.lit(0.0))
-    ranked = by.select("word", F.col("by")[0]["l"].alias("l"), (F.col("by")[0]["share"] - second).alias("weight")).filter("weight > 0.004")
+    by = shares.groupBy("word").agg(F.max("x").alias("top"))
+    second = shares.join(by.select("word", F.col("top.l").alias("l"), F.col("top.share").alias("share")), "word").filter(F.col("x.l") != F.col("l")).groupBy("word").agg(F.max("x.share").alias("second"))
+    ranked = by.select("word", F.col("top.l").alias("l"), F.col("top.share").alias("share")).join(second, "word", "left").select("word", "l", (F.col("share") - F.coalesce("second", F.lit(0.0))).alias("weight")).filter("weight > 0")
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("weight"), "word"))
-    learnt: dict[str, list[str]] = {}
+    learnt: dict[str, dict[str, float]] = {k: dict.fromkeys(v, KNOWN) for k, v in FUNCTION_WORDS.items()}
     for r in ranked.withColumn("place", place).filter(F.col("place") <= per_language).collect():
-        learnt.setdefault(r["l"], []).append(r["word"])
-    return {k: sorted({*learnt.get(k, []), *FUNCTION_WORDS.get(k, [])}) for k in sorted({*learnt, *FUNCTION_WORDS})}
+        own = learnt.setdefault(r["l"], {})
+        own.setdefault(r["word"], min(r["weight"], KNOWN))
+    return learnt
 
 
 def defective_pairs(pairs: DataFrame, languages: DataFrame) -> DataFrame:
@@ -181,35 +213,37 @@ def defective_pairs(pairs: DataFrame, languages: DataFrame) -> DataFrame:
     answer is no full answer in another language. A null or blank rewriting is
     empty, a null original can't be copied; pairs of unknown language make no
     case of ``other_language``; repeated rows are labelled repeatedly.
+
+    Texts are read twice, for the words of the languages and for one look in
+    Python, and never shuffled here: what other rows decide (how often a text
+    ends on a word, what the originals of a document are written in) is joined
+    to the votes, and only for rows that are in doubt.
     """
     told = languages.select("document_id", F.regexp_extract(language_code(F.col("language")), r"^([a-z]+)", 1).alias("doc_lang")).withColumn("doc_lang", F.nullif("doc_lang", F.lit("und")))
     base = pairs.select("document_id", "transformation_id", F.col("original_text").alias("o"), F.col("reconstructed_text").alias("r")).join(told, "document_id", "left")
-    marks: dict[str, list[str]] = {}
-    for k, ws in language_words(base, "doc_lang", ["o", "r"]).items():
-        for w in ws:
-            marks.setdefault(w, []).append(k)
+    marks: dict[str, list[tuple[str, float]]] = {}
+    for k, ws in sorted(language_words(base, "doc_lang", ["o", "r"]).items()):
+        for w, weight in ws.items():
+            marks.setdefault(w, []).append((k, weight))
 
-    @F.pandas_udf("struct<o_lang:string,r_lang:string,end:string>")
+    @F.pandas_udf("struct<votes:array<string>,r_lang:string,o_lang:string,end:string,loose_end:boolean,closed:boolean>")
     def look(o: pd.Series, r: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(o, r):
-            a, b = a or "", b or ""
-            end = words_of(b[-200:])
-            out.append((language_of(set(words_of(a)), a, marks), language_of(set(words_of(b)), b, marks), end[-1] if end else ""))
-        return pd.DataFrame(out, columns=["o_lang", "r_lang", "end"])
-
-    @F.pandas_udf("array<string>")
-    def vote(o: pd.Series, r: pd.Series, r_lang: pd.Series, o_lang: pd.Series, doc_lang: pd.Series, main_lang: pd.Series, end_uses: pd.Series) -> pd.Series:
-        return pd.Series([votes(a, b, c, (d, e, f), int(n)) for a, b, c, d, e, f, n in zip(o, r, r_lang, o_lang, doc_lang, main_lang, end_uses)])
-
-    seen = cut_lineage(base.withColumn("x", look("o", "r")).select("document_id", "transformation_id", "o", "r", "doc_lang", "x.*"))
+        each = [look_at(a, b, marks) for a, b in zip(o, r)]
+        return pd.DataFrame([(x.votes, x.language, x.original_language, x.end, x.loose_end, x.closed) for x in each], columns=["votes", "r_lang", "o_lang", "end", "loose_end", "closed"])
+
+    seen = cut_lineage(base.withColumn("x", look("o", "r")).select("document_id", "transformation_id", "doc_lang", "x.*"))
     main = seen.filter("o_lang is not null").groupBy("document_id", "o_lang").agg(F.count(F.lit(1)).alias("n")).groupBy("document_id").agg(F.max_by("o_lang", F.struct("n", "o_lang")).alias("main_lang"))
-    ends = seen.groupBy("end").agg(F.count(F.lit(1)).alias("end_uses"))
-    rows = seen.join(main, "document_id", "left").join(ends, "end").withColumn("v", vote("o", "r", "r_lang", "o_lang", "doc_lang", "main_lang", "end_uses"))
-    voted = rows.select("document_id", "transformation_id", "v").select("document_id", "transformation_id", *[F.col("v")[i].alias(d.name) for i, d in enumerate(BELIEFS)])
+    ends = seen.filter("end <> ''").groupBy("end").agg(F.count(F.lit(1)).alias("end_uses"))
+    doubt = lambda c: F.when(~F.col("closed") & (F.col("end") != ""), F.col(c))
+    rows = seen.withColumn("asked", doubt("end")).join(ends.withColumnRenamed("end", "asked"), "asked", "left").join(main, "document_id", "left")
+    rare = F.when(F.col("closed"), "-").when(F.col("loose_end") & (F.col("end_uses") < 3), "+").when(F.col("end_uses") >= 10, "-").otherwise("0")
+    other = F.concat(*[F.when(F.col("r_lang").isNull() | F.col(c).isNull(), "0").when(F.col("r_lang") != F.col(c), "+").otherwise("-") for c in ("o_lang", "doc_lang", "main_lang")])
+    columns = [F.col("votes")[i].alias(d.name) for i, d in enumerate(BELIEFS[:3])]
+    voted = rows.select("document_id", "transformation_id", *columns, F.concat(F.col("votes")[3], rare).alias("truncated"), other.alias("other_language"))
     return label(cut_lineage(voted), BELIEFS, ["document_id", "transformation_id"])
 
 
 def one_defect(labelled: DataFrame) -> DataFrame:
-    """``document_id, transformation_id, defect`` of every pair with a label: the first."""
-    return labelled.filter(F.size("labels") > 0).select("document_id", "transformation_id", F.col("labels")[0]["defect"].alias("defect"))
+    """``document_id, transformation_id, defect`` of every pair with a label: the likeliest, of posteriors that agree in two decimals the first."""
+    by = F.transform("labels", lambda x, i: F.struct((-F.round(x["posterior"], 2)).alias("p"), i.alias("i"), x["defect"].alias("defect")))
+    return labelled.filter(F.size("labels") > 0).select("document_id", "transformation_id", F.array_min(by)["defect"].alias("defect"))

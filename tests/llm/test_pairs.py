@@ -34,6 +34,19 @@ def test_empty_table(spark):
     assert pairs.defective_pairs(df, langs).count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    rows = [("d", f"g{i}", NOTE, GOOD) for i in range(300)]
+    finnish = "Potilas saa lääkettä kolme kertaa päivässä ja hänet tutkitaan uudelleen yhdeksän viikon kuluttua."
+    rows += [("f", f"f{i}", NOTE, finnish) for i in range(2)] + [("d", "odd", NOTE, finnish), ("d", "none", NOTE, "[" + "x" * 300 + "]")]
+    df = spark.createDataFrame(rows, "document_id string, transformation_id string, original_text string, reconstructed_text string")
+    told = spark.createDataFrame([("d", "fr"), ("f", "fi")], "document_id string, language string")
+    words = pairs.language_words(df.join(told, "document_id"), "language", ["reconstructed_text"])
+    assert {"potilas", "lääkettä"} <= set(words["fi"])
+    got = {r.transformation_id: r.defect for r in pairs.one_defect(pairs.defective_pairs(df, told)).collect()}
+    assert got["odd"] == "other_language" and "g0" not in got
+    assert pairs.wrapped("[" + "y" * 5000 + "]") and not pairs.wrapped("word [x]") and pairs.wrapped(" - ")
+
+
 def test_the_model_learns_what_a_function_is_worth():
     r = np.random.default_rng(5)
     truth = r.random(20_000) < 0.1
@@ -42,7 +55,7 @@ def test_the_model_learns_what_a_function_is_worth():
     keys, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     patterns = ["".join("-0+"[v + 1] for v in k) for k in keys]
     post = labelmodel.expectation_maximization(patterns, counts.astype(float), 0.05, [(0.7, 0.1), (0.7, 0.1), (0.7, 0.3)])
-    cut = labelmodel.validated_cutoff(post, counts)
+    cut = labelmodel.validated_cutoff(patterns, counts / 2, counts / 2, 0.05, [(0.7, 0.1), (0.7, 0.1), (0.7, 0.3)])
     found = post[back.reshape(-1)] >= cut
     assert (found & truth).sum() / found.sum() > 0.72 and (found & truth).sum() / truth.sum() > 0.75
 
@@ -54,4 +67,4 @@ def test_a_defect_that_never_occurs_stays_rare():
 
 def test_very_long_texts_and_runs_of_signs():
     for r in ("mot " * 300_000, "(" * 200_000 + "a", "." * 200_000 + "a", "-" * 200_000, "« " * 50_000):
-        assert len(pairs.votes(NOTE, r, None, (None, None, None), 0)) == 5
+        assert len(pairs.look_at(NOTE, r, {}).votes) == 4
