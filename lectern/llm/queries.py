@@ -34,11 +34,11 @@ def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
 def _scans(spark: SparkSession, folder: str) -> scans.ScanText:
     """Raw blocks and the blocks of likely scans as items; a missing title is taken from the document's first page."""
     about = latest(table(spark, folder, "normalized_documents"), ["document_id"], "ingested_at", ["document_id", "title", "classification"])
-    raw = table(spark, folder, "raw_blocks").select("document_id", F.col("raw_block_id").alias("item_id"), F.col("location_number").alias("page"), F.col("block_ordinal").alias("place"), "text").distinct()
+    raw = table(spark, folder, "raw_blocks").select("document_id", F.col("raw_block_id").alias("item_id"), F.col("location_number").alias("page"), F.col("block_ordinal").alias("place"), F.lit(None).cast("double").alias("top"), "text", F.lit("raw").alias("origin")).distinct()
     scanned = broadcast_if_small(cut_lineage(about.filter("classification = 'likely_scanned'").select("document_id")), SCANNED_IDS)
-    every = table(spark, folder, "blocks").select("document_id", "block_id", "page", "reading_order", "text", "ingested_at")
-    mine = latest(every.join(scanned, "document_id", "left_semi"), ["document_id", "block_id"], "ingested_at", ["document_id", "block_id", "page", "reading_order", "text"])
-    items = cut_lineage(raw.unionByName(mine.select("document_id", F.col("block_id").alias("item_id"), "page", F.col("reading_order").alias("place"), "text")))
+    every = table(spark, folder, "blocks").select("document_id", "block_id", "page", "reading_order", "bbox_top", "text", "ingested_at")
+    mine = latest(every.join(scanned, "document_id", "left_semi"), ["document_id", "block_id"], "ingested_at", ["document_id", "block_id", "page", "reading_order", "bbox_top", "text"])
+    items = cut_lineage(raw.unionByName(mine.select("document_id", F.col("block_id").alias("item_id"), "page", F.col("reading_order").alias("place"), F.col("bbox_top").alias("top"), "text", F.lit("block").alias("origin"))))
     first = items.filter((F.col("page") == 1) & (F.trim("text") != "")).groupBy("document_id").agg(F.min_by("text", F.struct("place", "item_id")).alias("first"))
     short = F.when((F.length("first") < 150) & ~F.col("first").rlike(r"[.!?]\s|\n"), F.col("first"))
     titles = first.join(about.select("document_id", "title"), "document_id", "full").select("document_id", F.coalesce("title", short).alias("title"))
@@ -50,7 +50,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return _scans(spark, folder).repaired()
+    return _scans(spark, folder).paragraphs()
 
 
 def _oversized(spark: SparkSession, folder: str) -> DataFrame:

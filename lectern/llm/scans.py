@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.fragments import slices
+from lectern.operators.ordering import neighbours, number, running
 from lectern.session import cut_lineage
 
 BODY, BREAK, HEADER, NUMBER = range(4)
@@ -40,11 +41,11 @@ CONFUSIONS = [
 #: A word is misread if it has so many characters at least and a reading that occurs so often and so many times as often.
 LEAST_LENGTH, LEAST_USES, TIMES = 5, 5, 20
 
-#: Items of a page that are labelled as one sequence; a longer page is several sequences.
-SEGMENT = 64
+#: Places of a page that are labelled in one go, and those lent from either side, which carry the state in and out.
+SEGMENT, MARGIN = 64, 16
 
-_T, _N, _H, _P = 2, 3, 2, 4
-SYMBOLS = _T * _N * _H * _P
+_T, _N, _H, _P, _B = 2, 3, 2, 4, 4
+SYMBOLS = _T * _N * _H * _P * _B
 
 
 @dataclass(frozen=True)
@@ -58,15 +59,15 @@ class Model:
 
 def first_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pseudo-counts of starts, moves and emissions from layout alone, before any text is seen."""
-    features = {  # title match | number form: none, other, the page's | broken end | place in the item: inside, top, bottom, alone
-        BODY: ([0.999, 0.001], [0.998, 0.0018, 0.0002], [0.999, 0.001], [0.5, 0.2, 0.2, 0.1]),
-        BREAK: ([0.999, 0.001], [0.999, 0.0005, 0.0005], [0.0005, 0.9995], [0.6, 0.3, 0.05, 0.05]),
-        HEADER: ([0.002, 0.998], [0.98, 0.01, 0.01], [0.99, 0.01], [0.02, 0.48, 0.02, 0.48]),
-        NUMBER: ([0.99, 0.01], [0.0001, 0.0499, 0.95], [0.999, 0.001], [0.02, 0.04, 0.47, 0.47]),
+    features = {  # title match | number form: none, other, the page's | broken end | place in the item: inside, top, bottom, alone | height on the page: unknown, top, bottom, between
+        BODY: ([0.999, 0.001], [0.998, 0.0018, 0.0002], [0.999, 0.001], [0.5, 0.2, 0.2, 0.1], [0.4, 0.1, 0.1, 0.4]),
+        BREAK: ([0.999, 0.001], [0.999, 0.0005, 0.0005], [0.0005, 0.9995], [0.6, 0.3, 0.05, 0.05], [0.4, 0.1, 0.1, 0.4]),
+        HEADER: ([0.002, 0.998], [0.98, 0.01, 0.01], [0.99, 0.01], [0.02, 0.48, 0.02, 0.48], [0.4, 0.3, 0.1, 0.2]),
+        NUMBER: ([0.99, 0.01], [0.0001, 0.0499, 0.95], [0.999, 0.001], [0.02, 0.04, 0.47, 0.47], [0.4, 0.1, 0.3, 0.2]),
     }
     emit = np.zeros((4, SYMBOLS))
-    for s, (t, n, h, p) in features.items():
-        emit[s] = np.einsum("t,n,h,p->phnt", t, n, h, p).reshape(-1)
+    for s, (t, n, h, p, b) in features.items():
+        emit[s] = np.einsum("t,n,h,p,b->bphnt", t, n, h, p, b).reshape(-1)
     start = np.array([0.55, 0.05, 0.35, 0.05])
     move = np.array([[0.80, 0.15, 0.01, 0.04], [0.80, 0.19, 0.002, 0.008], [0.80, 0.15, 0.01, 0.04], [0.50, 0.05, 0.35, 0.10]])
     return start, move, emit
@@ -113,18 +114,28 @@ def _letters(x: Column) -> Column:
 
 
 def page_lines(items: DataFrame, titles: DataFrame) -> DataFrame:
-    """``document_id, page, segment, items``: the lines of each page with the symbol of each.
-
-    ``items``: ``document_id, item_id, page, place, text`` (one row per item);
-    ``titles``: ``document_id, title``. A segment holds at most a bounded
-    number of places of a page, so no group grows with a document; items
-    without a place are segments of their own. The words "title" and "page
-    number" are tested by letters only, so case, spacing and a number beside
-    the title do not matter; a title may have one letter in ten misread.
+    """``document_id, origin, page, segment, items, symbols, lead, core``: the lines of each page with the symbol of each.
+
+    ``items``: ``document_id, item_id, page, place, text`` (one row per item),
+    and, where they are known, ``origin`` (items of different origin are
+    different sequences) and ``top`` (distance from the page's upper edge);
+    ``titles``: ``document_id, title``. A page is labelled by segments of
+    ``SEGMENT`` places, so no group grows with a document; each is lent the
+    ``MARGIN`` places before and after it, whose labels are dropped again:
+    ``lead`` symbols stand before the segment's own ``core`` ones, and the state
+    is carried through them. Items without a place are sequences of their own.
+    The words "title" and "page number" are tested by letters only, so case,
+    spacing and a number beside the title do not matter; a title may have one
+    letter in ten misread. ``top`` is held against the greatest of the
+    document: the upper and the lower tenth of it are the edges of a page.
     """
+    for name, kind in (("origin", "string"), ("top", "double")):
+        items = items if name in items.columns else items.withColumn(name, F.lit(None).cast(kind))
     lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
-    own = items.filter("text is not null").select("document_id", "item_id", "page", "place", "text")
-    i = own.join(titles.select("document_id", "title"), "document_id", "left").withColumns({"lines": lines, "head": _letters(F.col("title"))})
+    own = items.filter("text is not null").select("document_id", "origin", "item_id", "page", "place", "top", "text")
+    heights = own.filter("top is not null").groupBy("document_id").agg(F.max("top").alias("height"))
+    i = own.join(titles.select("document_id", "title"), "document_id", "left").join(heights, "document_id", "left").withColumns({"lines": lines, "head": _letters(F.col("title"))})
+    band = F.when(F.col("top").isNull() | (F.col("height") <= 0), 0).when(F.col("top") <= 0.1 * F.col("height"), 1).when(F.col("top") >= 0.9 * F.col("height"), 2).otherwise(3)
 
     def symbol(x: Column, at: Column) -> Column:
         own, last = _letters(x), F.size("lines") - 1
@@ -136,24 +147,30 @@ def page_lines(items: DataFrame, titles: DataFrame) -> DataFrame:
         broken = x.rlike(_ENDS_BROKEN) & (at < last) & F.get(F.col("lines"), at + 1).rlike(r"^\p{Ll}")
         place = F.when(last == 0, 3).when(at == 0, 1).when(at == last, 2).otherwise(0)
         bit = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-        return (bit(title) + number * _T + bit(broken) * _T * _N + place * _T * _N * _H).cast("int")
-
-    segment = F.coalesce(F.floor(F.col("place") / SEGMENT).cast("string"), F.concat(F.lit("item "), "item_id"))
-    return (
-        i.select("document_id", "page", segment.alias("segment"), F.struct("place", "item_id", "lines", F.transform("lines", symbol).alias("symbols")).alias("item"))
-        .groupBy("document_id", "page", "segment")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-        .withColumn("symbols", F.flatten("items.symbols"))
+        return (bit(title) + number * _T + bit(broken) * _T * _N + place * _T * _N * _H + F.col("band") * _T * _N * _H * _P).cast("int")
+
+    home, inside = F.floor(F.col("place") / SEGMENT), F.pmod("place", F.lit(SEGMENT))
+    homes = F.array_compact(F.array(home, F.when(inside < MARGIN, home - 1), F.when(inside >= SEGMENT - MARGIN, home + 1)))
+    lent = F.when(F.col("place").isNull(), F.array(F.struct(F.concat(F.lit("item "), "item_id").alias("segment"), F.lit(0).alias("side")))).otherwise(F.transform(homes, lambda h: F.struct(h.cast("string").alias("segment"), F.signum(home - h).cast("int").alias("side"))))
+    g = (
+        i.withColumn("band", band)
+        .select("document_id", "origin", "page", F.struct("place", "item_id", "lines", F.transform("lines", symbol).alias("symbols")).alias("item"), F.explode(lent).alias("at"))
+        .select("document_id", "origin", "page", F.col("at.segment").alias("segment"), F.struct("item.place", "item.item_id", "at.side", F.when(F.col("at.side") == 0, F.col("item.lines")).alias("lines"), "item.symbols").alias("item"))
+        .groupBy("document_id", "origin", "page", "segment")
+        .agg(F.array_sort(F.collect_list("item")).alias("items"), F.max(F.col("item.side") == 0).alias("own"))
+        .filter("own")
     )
+    count = lambda side: F.aggregate(F.filter("items", lambda x: x["side"] == side), F.lit(0), lambda n, x: n + F.size(x["symbols"]))
+    return g.select("document_id", "origin", "page", "segment", F.filter("items", lambda x: x["side"] == 0).alias("items"), F.flatten("items.symbols").alias("symbols"), count(-1).alias("lead"), count(0).alias("core"))
 
 
 def fit(segments: DataFrame, rounds: int = 2) -> Model:
     """Re-estimate the model over all segments by Viterbi training.
 
-    A round labels every sequence and adds up starts, moves and emissions (a
-    fixed number of sums per task, of which the driver gets the totals); the
-    layout's pseudo-counts, a hundredth of the weight at least, keep the
-    meaning of the states.
+    A round labels every sequence and adds up starts, moves and emissions of
+    the segments' own places (a fixed number of sums per task, of which the
+    driver gets the totals); the layout's pseudo-counts, a hundredth of the
+    weight at least, keep the meaning of the states.
     """
     prior = first_model()
     model = _model(prior)
@@ -163,32 +180,42 @@ def fit(segments: DataFrame, rounds: int = 2) -> Model:
         def count(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size)
             for b in batches:
-                rows = [np.asarray(r, dtype=np.int64) for r in b.column(0).to_pylist()]
-                for seen, labels in zip(rows, viterbi(m, rows)):
-                    if len(seen):
-                        total[labels[0]] += 1
-                        np.add.at(total, 4 + labels[:-1] * 4 + labels[1:], 1)
-                        np.add.at(total, 20 + labels * SYMBOLS + seen, 1)
+                rows = _sequences(b.column(0))
+                for seen, labels, lead, core in zip(rows, viterbi(m, rows), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    own, end = labels[lead : lead + core], lead + core
+                    if not core:
+                        continue
+                    if not lead:
+                        total[own[0]] += 1
+                    first = max(lead, 1)
+                    np.add.at(total, 4 + labels[first - 1 : end - 1] * 4 + labels[first:end], 1)
+                    np.add.at(total, 20 + own * SYMBOLS + seen[lead:end], 1)
             yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], names=["i", "n"])
 
         sums = np.zeros(size)
-        for r in segments.select("symbols").mapInArrow(count, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in segments.select("symbols", "lead", "core").mapInArrow(count, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
             sums[r["i"]] = r["n"]
         parts = (sums[:4], sums[4:20].reshape(4, 4), sums[20:].reshape(4, SYMBOLS))
         model = _model(tuple(c + p * np.maximum(100.0, 0.01 * c.sum(-1, keepdims=True)) for c, p in zip(parts, prior)))
     return model
 
 
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column of integers as views of one array."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def label_lines(segments: DataFrame, model: Model) -> DataFrame:
-    """``document_id, page, item_id, lines, labels`` of every item."""
+    """``document_id, origin, page, place, item_id, lines, labels`` of every item."""
 
     @F.pandas_udf("array<int>")
     def labels(symbols: pd.Series) -> pd.Series:
         return pd.Series(viterbi(model, [np.asarray(s, dtype=np.int64) for s in symbols]))
 
-    begin = lambda i: F.aggregate(F.slice("items", 1, i), F.lit(1), lambda n, x: n + F.size(x["lines"]))
-    each = F.transform("items", lambda x, i: F.struct(x["item_id"].alias("item_id"), x["lines"].alias("lines"), F.slice("labels", begin(i), F.size(x["lines"])).alias("labels")))
-    return segments.withColumn("labels", labels("symbols")).select("document_id", "page", F.explode(each).alias("x")).select("document_id", "page", "x.*")
+    begin = lambda i: F.aggregate(F.slice("items", 1, i), F.col("lead") + 1, lambda n, x: n + F.size(x["lines"]))
+    each = F.transform("items", lambda x, i: F.struct(x["place"].alias("place"), x["item_id"].alias("item_id"), x["lines"].alias("lines"), F.slice("labels", begin(i), F.size(x["lines"])).alias("labels")))
+    return segments.withColumn("labels", labels("symbols")).select("document_id", "origin", "page", F.explode(each).alias("x")).select("document_id", "origin", "page", "x.*")
 
 
 def _tokens(text: Column, pattern: str) -> Column:
@@ -244,19 +271,47 @@ def readings(words: DataFrame, uses: DataFrame) -> DataFrame:
     A reading undoes one confusion at one place. It holds if it is a word of
     the clean texts, used often enough and many times as often as the word
     itself; the most used reading is taken. Words are reduced to distinct ones
-    first and compared by equi-joins.
+    first, and those that are longer by more than a confusion than any word of
+    the clean texts are left out, since nothing can be read for them: a run of
+    signs without end makes no candidates. Candidates are rows of their own
+    and compared by equi-joins.
     """
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CONFUSIONS])
-    at = lambda p: F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length(p["a"])) == p["a"])
-    made = F.flatten(F.transform(pairs, lambda p: F.transform(at(p), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), p["b"], F.substring(F.col("word"), i + F.length(p["a"]), F.length("word"))))))
+    known = cut_lineage(uses.filter(F.col("uses") >= LEAST_USES).withColumnRenamed("word", "reading"))
+    longest = (known.agg(F.max(F.length("reading")).alias("n")).first()["n"] or 0) + 1
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
-    once = words.filter((F.length("word") >= LEAST_LENGTH) & (letters >= 3)).select("word").distinct().join(uses.withColumnRenamed("uses", "own"), "word", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    known = uses.filter(F.col("uses") >= LEAST_USES).withColumnRenamed("word", "reading")
-    tried = once.select("word", "own", F.explode(F.array_distinct(made)).alias("reading"))
-    good = tried.join(known, "reading").filter(F.col("uses") >= TIMES * F.col("own"))
+    once = words.filter(F.length("word").between(LEAST_LENGTH, longest) & (letters >= 3)).select("word").distinct().join(uses.withColumnRenamed("uses", "own"), "word", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CONFUSIONS])
+    present = F.filter(pairs, lambda p: F.contains(F.col("word"), p["a"]))
+    at = once.select("word", "own", F.explode(present).alias("p")).select("word", "own", "p", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).filter(F.substring("word", F.col("i"), F.length("p.a")) == F.col("p.a"))
+    made = F.concat(F.substring("word", F.lit(1), F.col("i") - 1), F.col("p.b"), F.substring("word", F.col("i") + F.length("p.a"), F.length("word")))
+    good = at.select("word", "own", made.alias("reading")).join(known, "reading").filter(F.col("uses") >= TIMES * F.col("own"))
     return good.groupBy("word").agg(F.max_by("reading", F.struct("uses", "reading")).alias("reading"))
 
 
+def _mend(text: pd.Series, fixes: pd.Series) -> pd.Series:
+    """Texts with the misread words of ``fixes`` (maps) replaced; a capital stays one."""
+    import regex
+
+    find = regex.compile(_SEEN)
+
+    def one(t: str | None, f) -> str | None:
+        if t is None or not f:
+            return t
+        f = dict(f)
+
+        def put(m) -> str:
+            r = f.get(m.group(0).lower())
+            return m.group(0) if r is None else r.capitalize() if m.group(0)[0].isupper() else r
+
+        return find.sub(put, t)
+
+    return pd.Series([one(t, f) for t, f in zip(text, fixes)], dtype=object)
+
+
+#: A hyphen on the last letter of a text; a sentence, list or quotation that has ended; what goes on in the middle of a sentence.
+_HANGS, _ENDED, _GOES_ON = r"\p{L} ?[-‐­¬]$", r"[.!?:;…؟。][\"'»”)\]]*$", r"^[\p{Ll}\p{Nd}(]"
+
+
 @dataclass(frozen=True)
 class ScanText:
     """Labelled items and the misread words of their running text."""
@@ -274,41 +329,46 @@ class ScanText:
         return self.items.select("document_id", "item_id", F.explode(F.array_distinct(_tokens(body_text(), _SEEN))).alias("word"))
 
     def repaired(self) -> DataFrame:
-        """``document_id, item_id, page, text``: each item's running text as one paragraph.
+        """``document_id, item_id, origin, page, place, text``: each item's running text.
 
         Headers and page numbers are gone, broken words joined, misread words
-        replaced (a capital stays one), line ends are spaces. An item that was
-        nothing but furniture has an empty text.
+        replaced, line ends within a paragraph are spaces and blank lines part
+        paragraphs. An item that was nothing but furniture has an empty text.
         """
         fixes = self._words().join(self.misread, "word").groupBy("document_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "reading"))).alias("fixes"))
-        flat = F.trim(F.regexp_replace(body_text(), r"\s+", " "))
-
-        @F.pandas_udf("string")
-        def mend(text: pd.Series, fixes: pd.Series) -> pd.Series:
-            import regex
-
-            find = regex.compile(_SEEN.replace(r"€", "€"))
-
-            def one(t: str | None, f) -> str | None:
-                if t is None or not f:
-                    return t
-                f = dict(f)
-
-                def put(m) -> str:
-                    r = f.get(m.group(0).lower())
-                    return m.group(0) if r is None else r.capitalize() if m.group(0)[0].isupper() else r
-
-                return find.sub(put, t)
-
-            return pd.Series([one(t, f) for t, f in zip(text, fixes)], dtype=object)
-
-        return self.items.join(fixes, ["document_id", "item_id"], "left").select("document_id", "item_id", "page", mend(flat, "fixes").alias("text"))
+        parts = F.transform(F.split(body_text(), r"\n[^\S\n]*\n\s*"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+        flat = F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
+        mend = F.pandas_udf(_mend, "string")
+        return self.items.join(fixes, ["document_id", "item_id"], "left").select("document_id", "item_id", "origin", "page", "place", mend(flat, "fixes").alias("text"))
+
+    def paragraphs(self) -> DataFrame:
+        """``document_id, origin, paragraph_no, first_item, items, page, last_page, text``: the continuous paragraphs of each document, in order.
+
+        Paragraphs are read in the order of pages and places. One that breaks
+        off (no closing mark, or a hyphen on its last letter) is joined with the
+        next of its document if that goes on in the middle of a sentence, over
+        items and pages, whatever furniture stood between them; so a sentence
+        over two pages is one text. Items are cut at blank lines. What is
+        gathered in one row is one paragraph.
+        """
+        parts = self.repaired().filter("text <> ''").select("document_id", "origin", "item_id", "page", "place", F.posexplode(F.split("text", "\n\n")).alias("at", "text"))
+        ordered = cut_lineage(number(parts, ["document_id", "origin"], ["page"], ["place", "item_id", "at"]))
+        flags = ordered.select("document_id", "origin", "ordinal", F.col("text").rlike(_HANGS).alias("hangs"), (~F.col("text").rlike(_ENDED)).alias("open"), F.col("text").rlike(_GOES_ON).alias("goes_on"), F.col("text").rlike(r"^\p{Ll}").alias("small"))
+        back = neighbours(flags, ["document_id", "origin"], "ordinal", {"b_hangs": ("hangs", -1), "b_open": ("open", -1)})
+        joined = F.coalesce((F.col("b_hangs") & F.col("small")) | (F.col("b_open") & F.col("goes_on")), F.lit(False))
+        runs = running(back.withColumn("joined", joined), ["document_id", "origin"], "ordinal", (~F.col("joined")).cast("bigint"), "paragraph_no").withColumn("glued", F.coalesce(F.col("b_hangs") & F.col("small"), F.lit(False)))
+        key = F.struct("document_id", "origin", "ordinal").alias("key")
+        whole = ordered.select(key, "ordinal", "item_id", "text", "page").join(runs.select(key, "paragraph_no", "glued"), "key").select("key.document_id", "key.origin", "paragraph_no", F.struct("ordinal", "item_id", "glued", "text").alias("x"), "page")
+        g = whole.groupBy("document_id", "origin", "paragraph_no").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.min("page").alias("page"), F.max("page").alias("last_page"))
+        text = F.aggregate("xs", F.lit(""), lambda t, x: F.when(t == "", x["text"]).when(x["glued"], F.concat(F.regexp_replace(t, " ?[-‐­¬]$", ""), x["text"])).otherwise(F.concat(t, F.lit(" "), x["text"])))
+        return g.select("document_id", "origin", "paragraph_no", F.col("xs")[0]["item_id"].alias("first_item"), F.size(F.array_distinct("xs.item_id")).alias("items"), "page", "last_page", text.alias("text"))
 
 
 def scan_text(items: DataFrame, titles: DataFrame, clean: DataFrame, rounds: int = 2) -> ScanText:
     """Label all lines of scanned items and find their misread words.
 
-    ``items``: ``document_id, item_id, page, place, text``, one row per item;
+    ``items``: ``document_id, item_id, page, place, text`` and, where known,
+    ``origin`` and ``top`` (see :func:`page_lines`), one row per item;
     ``clean``: texts (column ``text``) that were not scanned, of which all
     words are counted. Null texts carry no noise; an empty text is one empty
     body line; a null page can have no running header; documents without a

@@ -34,6 +34,38 @@ def test_paragraphs_are_continuous(spark):
     assert ("d", "i7") not in got and got["d", "i8"] == ""
 
 
+def test_paragraphs_go_over_items_and_pages(spark):
+    items = [
+        ("d", "i1", 1, 0, "Erster Absatz endet.\n\nDer zweite geht über\ndie Seite, weil er lang"), ("d", "i2", 1, 1, "- 1 -"), ("d", "i3", 2, 0, "Cours sur la zelmiome"),
+        ("d", "i4", 2, 1, "ist und ein Wort bri-"), ("d", "i5", 2, 2, "cht."), ("d", "i6", 2, 3, "Dritter."), ("e", "i1", 1, 0, "fängt klein an"), ("e", "i2", None, None, "Ohne Seite"),
+    ]
+    got = [(r.document_id, r.paragraph_no, r.first_item, r["items"], r.page, r.last_page, r.text) for r in run(spark, items).paragraphs().orderBy("document_id", "paragraph_no").collect()]
+    assert got == [
+        ("d", 1, "i1", 1, 1, 1, "Erster Absatz endet."), ("d", 2, "i1", 3, 1, 2, "Der zweite geht über die Seite, weil er lang ist und ein Wort bricht."), ("d", 3, "i6", 1, 2, 2, "Dritter."),
+        ("e", 1, "i2", 2, 1, 1, "Ohne Seite fängt klein an"),
+    ]
+    assert run(spark, []).paragraphs().count() == 0
+
+
+def test_a_long_page_is_labelled_as_one_sequence(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    kinds = ["Cours sur la zelmiome", "le pati-\nent va", "61 %", "- 2 -", "2", "iii", "Texte plein.", "Cours sur la zelmione", "x"]
+    items = [("d", f"i{n:03}", 2, n, str(r.choice(kinds))) for n in range(200)]
+    labels = []
+    for segment in (64, 7, 1000):
+        monkeypatch.setattr(scans, "SEGMENT", segment)
+        monkeypatch.setattr(scans, "MARGIN", min(16, segment))
+        found = run(spark, items).items.collect()
+        labels.append(sorted((x.item_id, tuple(x.labels)) for x in found))
+    assert len(labels[0]) == 200 and labels[0] == labels[1] == labels[2]
+
+
+def test_a_word_without_end_makes_no_candidates(spark):
+    words = spark.createDataFrame([("c" * 2_000_000,), ("paticnt",)], "word string")
+    uses = spark.createDataFrame([("patient", 50)], "word string, uses bigint")
+    assert [tuple(r) for r in scans.readings(words, uses).collect()] == [("paticnt", "patient")]
+
+
 def test_empty_table_and_long_text(spark):
     assert run(spark, []).noise().count() == 0
     long = "\n".join(["le pati-", "ent"] * 20_000)
