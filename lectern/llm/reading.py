@@ -241,9 +241,8 @@ def reading_levels(documents: DataFrame, examples: DataFrame, key: str = "doc_id
     ``reading_level`` the likeliest, ``difficulty`` the mean level. The model
     is fitted on the driver from the graded passages (at most MOST_EXAMPLES,
     more are an error); documents are scored by a narrow map over Arrow
-    batches, each distinct word once in a batch. Null and empty texts have no
-    words and an even distribution of which the first level is taken; repeated
-    rows are scored repeatedly.
+    batches, each distinct word once in a batch. Null texts and texts
+    without words have no level: nulls; repeated rows are scored repeatedly.
     """
     graded = [(r[0], r[1]) for r in examples.select(text, level).filter(f"`{text}` is not null and `{level}` is not null").limit(MOST_EXAMPLES + 1).collect()]
     if not graded or len(graded) > MOST_EXAMPLES:
@@ -260,8 +259,8 @@ def reading_levels(documents: DataFrame, examples: DataFrame, key: str = "doc_id
                 continue
             n_words, n_sentences, shares = (np.concatenate(c) for c in zip(*parts))
             p = _softmax(np.column_stack([shares, np.ones(len(shares))]) @ model.document)
-            p[n_words == 0] = 1.0 / LEVELS
-            columns = [b.column(0), pa.array(n_words, pa.int32()), pa.array(n_sentences, pa.int32()), *[pa.array(p[:, i]) for i in range(LEVELS)], pa.array(p.argmax(1) + 1, pa.int32()), pa.array(p @ np.arange(1.0, LEVELS + 1))]
+            none = n_words == 0
+            columns = [b.column(0), pa.array(n_words, pa.int32()), pa.array(n_sentences, pa.int32()), *[pa.array(p[:, i], mask=none) for i in range(LEVELS)], pa.array(p.argmax(1) + 1, pa.int32(), mask=none), pa.array(p @ np.arange(1.0, LEVELS + 1), mask=none)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"k {kind}, n_words int, n_sentences int, p1 double, p2 double, p3 double, reading_level int, difficulty double"
