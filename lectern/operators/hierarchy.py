@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import cut_lineage
@@ -12,36 +12,70 @@ from lectern.session import cut_lineage
 #: One node in so many is a splitter.
 SPLITTER_EVERY = 8
 
-_NO_GROUP = "\x00"
-
 
 @dataclass(frozen=True)
 class Hierarchy:
-    """``nodes``: every node whose chain ends, with ``path`` (titles from the root), ``ancestors`` (ids, nearest first), ``depth`` (0 for a root) and ``root_id``.
-
-    ``cycles``: every node whose chain never ends, with ``cycle_id`` (the
-    smallest id on the cycle reached) and ``on_cycle``.
+    """Resolved trees of all groups.
+
+    ``base``: every node with a number ``u``, its group, id and title;
+    ``ended``: ``u, top, via`` of every node below a root (numbers of the root
+    and of all ancestors, nearest first); ``cycles``: every node whose chain
+    never ends, with ``cycle_id`` (the smallest id on the cycle reached) and
+    ``on_cycle``. Ids and titles are joined to numbers only where they are
+    asked for.
     """
 
-    nodes: DataFrame
+    base: DataFrame
+    ended: DataFrame
     cycles: DataFrame
     group: str
     node: str
 
+    def _pairs(self) -> DataFrame:
+        return self.ended.select("u", F.posexplode("via").alias("at", "above"))
+
+    def _named(self, *columns: Column) -> DataFrame:
+        """Nodes with their root: ``u``, group, node, ``root``, ``top`` and the columns wanted; nodes on or above cycles are left out."""
+        own = self.base.join(self.ended.select("u", "top", "via"), "u", "left").filter("root or top is not null")
+        top = self.base.select(F.col("u").alias("top"), F.col("id").alias("root_id"))
+        return own.select("u", "g", "id", "t", "root", F.coalesce("top", "u").alias("top"), *columns).join(top, "top")
+
+    @property
+    def nodes(self) -> DataFrame:
+        """``group, node, path, ancestors, depth, root_id`` of every node whose chain ends: titles from the root, ids of ancestors nearest first, 0 for a root's depth."""
+        about = self.base.select(F.col("u").alias("above"), F.col("id").alias("above_id"), F.col("t").alias("above_t"))
+        named = self._pairs().join(about, "above").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("at", "above_id", "above_t"))).alias("ups"))
+        none = F.array().cast("array<string>")
+        whole = self._named().join(named, "u", "left")
+        path = F.concat(F.reverse(F.coalesce(F.col("ups.above_t"), none)), F.array("t"))
+        return whole.select(F.col("g").alias(self.group), F.col("id").alias(self.node), path.alias("path"), F.coalesce(F.col("ups.above_id"), none).alias("ancestors"), F.coalesce(F.size("ups"), F.lit(0)).alias("depth"), "root_id")
+
+    def depths(self) -> DataFrame:
+        """``group, node, depth, root_id`` of every node whose chain ends, without titles or ancestors."""
+        return self._named(F.coalesce(F.size("via"), F.lit(0)).alias("depth")).select(F.col("g").alias(self.group), F.col("id").alias(self.node), "depth", "root_id")
+
     def descendants(self) -> DataFrame:
         """``group, node, descendant_id, distance``: a row for every node and each node below it."""
-        pair = F.posexplode("ancestors").alias("at", "_above")
-        return self.nodes.select(self.group, F.col(self.node).alias("descendant_id"), pair).select(self.group, F.col("_above").alias(self.node), "descendant_id", (F.col("at") + 1).alias("distance"))
+        below = self.base.select("u", "g", F.col("id").alias("descendant_id"))
+        about = self.base.select(F.col("u").alias("above"), F.col("id").alias(self.node))
+        return self._pairs().join(about, "above").join(below, "u").select(F.col("g").alias(self.group), self.node, "descendant_id", (F.col("at") + 1).alias("distance"))
 
     def paths(self) -> DataFrame:
-        """``group, node, path, depth, root_id, n_descendants``; a node whose chain never ends has nulls."""
-        below = self.descendants().groupBy(F.col(self.group).alias("_g"), F.col(self.node).alias("_n")).agg(F.count(F.lit(1)).alias("n_descendants"))
-        same = F.col(self.group).eqNullSafe(F.col("_g")) & (F.col(self.node) == F.col("_n"))
-        done = self.nodes.join(below, same, "left").select(self.group, self.node, "path", "depth", "root_id", F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"))
+        """``group, node, path, depth, root_id, n_descendants``; a node whose chain never ends has nulls.
+
+        Descendants are counted by the numbers of the ancestors, combined
+        before they move.
+        """
+        below = self._pairs().groupBy("above").agg(F.count(F.lit(1)).alias("n_descendants")).withColumnRenamed("above", "u")
+        titles = self.base.select(F.col("u").alias("above"), F.col("t").alias("above_t"))
+        named = self._pairs().join(titles, "above").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("at", "above_t"))).alias("ups"))
+        whole = self._named().join(named, "u", "left").join(below, "u", "left")
+        path = F.concat(F.reverse(F.coalesce(F.col("ups.above_t"), F.array().cast("array<string>"))), F.array("t"))
+        done = whole.select(F.col("g").alias(self.group), F.col("id").alias(self.node), path.alias("path"), F.coalesce(F.size("ups"), F.lit(0)).alias("depth"), "root_id", F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"))
         return done.unionByName(self.cycles.select(self.group, self.node), allowMissingColumns=True)
 
 
-def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, every: int = SPLITTER_EVERY, paths: bool = True) -> Hierarchy:
+def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, every: int = SPLITTER_EVERY) -> Hierarchy:
     """Resolve the trees of all groups at once.
 
     A hash of its key makes one node in ``every`` a splitter. Every node walks
@@ -49,84 +83,76 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, e
     pointers (a graph ``every`` times smaller) are doubled up to the roots,
     and a node's path is its walk followed by its splitter's. Walks that meet
     no splitter, and splitters that meet no root, end in cycles and are
-    resolved by themselves. Within the steps a group is a 16-byte hash of its
-    name. All steps are equi-joins on (group, id) in which
-    the looked-up side has one row per key; nothing is grouped by tree, so a
-    group or a parent with a third of all rows is only a skewed probe side,
-    which adaptive execution splits. Each round is cut by a checkpoint; the
-    rounds grow with the logarithm of the depth.
+    resolved by themselves. Nodes are numbered once, and keys compared as
+    strings only to find each node's parent; all steps after that are
+    equi-joins on numbers, in which the looked-up side has one row per key.
+    Nothing is grouped by tree, so a group or a parent with a third of all rows
+    is only a skewed probe side, which adaptive execution splits. Each round is
+    cut by a checkpoint; the rounds grow with the logarithm of the depth.
 
     A chain ends at a null parent or at one that names no node of the group.
     Nodes are unique by (group, id): repeated rows count once, and of rows that
     differ the greatest (parent, title) holds. A null group is a group of its
     own; rows with a null id name no node and are left out; null titles stay
-    nulls in paths. An empty table gives empty results. Without ``paths`` the
-    walks carry no titles or ancestors: ``cycles``, ``depth`` and ``root_id``
-    are what is wanted.
+    nulls in paths. An empty table gives empty results.
     """
-    kind = rows.schema[group].dataType
-    key = F.coalesce(F.col(group).cast("string"), F.lit(_NO_GROUP))
-    flat = rows.filter(F.col(node).isNotNull()).groupBy(F.unhex(F.md5(key)).alias("g"), F.col(node).alias("id")).agg(F.max(F.struct(F.col(parent).alias("p"), F.col(title).alias("t"))).alias("r"), F.min(key).alias("name"))
-    flat = cut_lineage(flat.select("g", "id", "name", F.col("r.p").alias("p"), F.col("r.t").alias("t") if paths else F.lit(None).cast("string").alias("t")))
-    known = flat.select("g", F.col("id").alias("p"), F.lit(True).alias("found"))
-    base = cut_lineage(flat.join(known, ["g", "p"], "left").select("g", "id", "name", "p", "t", F.col("found").isNull().alias("root")))
-    above = base.select("g", F.col("id").alias("p"), F.col("t").alias("pt"), F.col("root").alias("pend"))
-    links = base.filter("not root").join(above, ["g", "p"]).select("g", "id", F.col("p").alias("nxt"), F.col("pend").alias("end"), F.array(F.struct(F.col("p").alias("id"), F.col("pt").alias("t"))).alias("via") if paths else F.lit(1).alias("via"))
-    join = F.concat if paths else (lambda a, b: F.col(a) + F.col(b))
-    splits = lambda c: F.pmod(F.xxhash64("g", c), F.lit(every)) == 0
-
-    walked = _chase(links.withColumn("stop", F.col("end") | splits("nxt")), F.col("end") | splits("nxt"), join)
+    flat = rows.filter(F.col(node).isNotNull()).groupBy(F.col(group).alias("g"), F.col(node).alias("id")).agg(F.max(F.struct(F.col(parent).alias("p"), F.col(title).alias("t"))).alias("r"))
+    flat = cut_lineage(flat.select(F.monotonically_increasing_id().alias("u"), "g", "id", F.col("r.p").alias("p"), F.col("r.t").alias("t")))
+    split = F.pmod(F.xxhash64("g", "id"), F.lit(every)) == 0
+    above = flat.select(F.struct("g", "id").alias("k"), F.col("u").alias("nxt"), split.alias("ns"))
+    up = cut_lineage(flat.filter("p is not null").select("u", F.struct("g", F.col("p").alias("id")).alias("k"), split.alias("s")).join(above, "k").select("u", "s", "nxt", "ns"))
+    parts = max(1, up.rdd.getNumPartitions())
+    further = up.select(F.col("u").alias("nxt"), F.lit(True).alias("goes_on"))
+    links = cut_lineage(up.join(further, "nxt", "left").select("u", "s", "nxt", "ns", F.col("goes_on").isNull().alias("end"), F.array("nxt").alias("via")).coalesce(parts))
+
+    walked = _chase(links.withColumn("stop", F.col("end") | F.col("ns")), F.col("end") | F.col("ns"), parts)
     settled = walked.filter("stop")
-    top = _chase(settled.filter(splits("id")).withColumn("stop", F.col("end")), F.col("end"), join).filter("end")
-    top = top.select("g", F.col("id").alias("nxt"), F.col("nxt").alias("up"), F.col("via").alias("more"))
-    far = settled.filter("not end").join(top, ["g", "nxt"]).select("g", "id", F.col("up").alias("nxt"), join("via", "more").alias("via"))
-    ended = cut_lineage(settled.filter("end").select("g", "id", "nxt", "via").unionByName(far))
-
-    back = F.when(F.col("name") != _NO_GROUP, F.col("name")).cast(kind).alias(group)
-    own = base.select("g", "id", "name", "t", "root")
-    none = F.array().cast("array<string>")
-    extra = [F.concat(F.reverse(F.coalesce(F.col("via.t"), none)), F.array("t")).alias("path"), F.coalesce(F.col("via.id"), none).alias("ancestors"), F.coalesce(F.size("via"), F.lit(0)).alias("depth")] if paths else [F.coalesce("via", F.lit(0)).alias("depth")]
-    whole = own.join(ended, ["g", "id"], "left").filter("root or nxt is not null").select(back, F.col("id").alias(node), *extra, F.coalesce("nxt", "id").alias("root_id"))
-    loose = links.select("g", "id", "nxt").join(ended.select("g", "id"), ["g", "id"], "left_anti")
-    turning = _cycles(loose).join(base.select("g", "id", "name"), ["g", "id"])
-    return Hierarchy(whole, turning.select(back, F.col("id").alias(node), F.col("low").alias("cycle_id"), F.col("on_cycle").cast("int").alias("on_cycle")), group, node)
-
-
-def _chase(rows: DataFrame, arrived, join) -> DataFrame:
+    top = _chase(settled.filter("s").withColumn("stop", F.col("end")), F.col("end"), parts).filter("end").select(F.col("u").alias("nxt"), F.col("nxt").alias("up"), F.col("via").alias("more"))
+    far = settled.filter("not end").join(top, "nxt").select("u", F.col("up").alias("top"), F.concat("via", "more").alias("via"))
+    ended = cut_lineage(settled.filter("end").select("u", F.col("nxt").alias("top"), "via").unionByName(far).coalesce(parts))
+
+    loose = links.select("u", "nxt").join(ended.select("u"), "u", "left_anti")
+    about = flat.select("u", "g", "id")
+    turning = _cycles(loose.join(about.select("u", "id"), "u"), parts).join(about, "u")
+    base = flat.join(up.select("u", F.lit(False).alias("root")), "u", "left").select("u", "g", "id", "t", F.coalesce("root", F.lit(True)).alias("root"))
+    return Hierarchy(base, ended, turning.select(F.col("g").alias(group), F.col("id").alias(node), F.col("low").alias("cycle_id"), F.col("on_cycle").cast("int").alias("on_cycle")), group, node)
+
+
+def _chase(rows: DataFrame, arrived: Column, parts: int) -> DataFrame:
     """Double the pointers of ``rows`` until each stops or lies on a walk without end.
 
     While any walk that ends is still open, each round stops at least one more
-    row; so once a round stops none, the open rest runs in cycles.
+    row; so once a round stops none, the open rest runs in cycles. Rounds are
+    kept in ``parts`` partitions.
     """
     now = cut_lineage(rows)
     open_rows = now.filter("not stop").count()
     while open_rows:
-        step = now.select("g", F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("end").alias("end2"), F.col("via").alias("via2"))
-        moved = now.filter("not stop").join(step, ["g", "nxt"]).select("g", "id", F.col("nxt2").alias("nxt"), F.col("end2").alias("end"), join("via", "via2").alias("via"))
-        now = cut_lineage(now.filter("stop").unionByName(moved.withColumn("stop", arrived)))
+        step = now.select(F.col("u").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("ns").alias("ns2"), F.col("end").alias("end2"), F.col("via").alias("via2"))
+        moved = now.filter("not stop").join(step, "nxt").select("u", "s", F.col("nxt2").alias("nxt"), F.col("ns2").alias("ns"), F.col("end2").alias("end"), F.concat("via", "via2").alias("via"))
+        now = cut_lineage(now.filter("stop").unionByName(moved.withColumn("stop", arrived)).coalesce(parts))
         before, open_rows = open_rows, now.filter("not stop").count()
         if open_rows == before:
             break
     return now
 
 
-def _cycles(links: DataFrame) -> DataFrame:
-    """``g, id, low, on_cycle`` for a set of links in which every chain runs into a cycle.
+def _cycles(links: DataFrame, parts: int) -> DataFrame:
+    """``u, low, on_cycle`` for links ``u, nxt, id`` in which every chain runs into a cycle.
 
     After enough doublings the ends of the walks are exactly the nodes on
     cycles (their number stands still) and the smallest id seen on a walk from
     such a node is the smallest of its cycle (none changes any more).
     """
-    now = cut_lineage(links.select("g", "id", "nxt", F.col("id").alias("low")))
+    now = cut_lineage(links.select("u", "nxt", F.col("id").alias("low")).coalesce(parts))
     state = None
     while True:
-        seen = now.agg(F.countDistinct("g", "nxt"), F.sum(F.xxhash64("g", "id", "low").cast("decimal(38,0)"))).first()
+        seen = now.agg(F.countDistinct("nxt"), F.sum(F.xxhash64("u", "low").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
             break
         state = seen
-        step = now.select("g", F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"))
-        now = cut_lineage(now.join(step, ["g", "nxt"]).select("g", "id", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low")))
-    ends = now.select("g", F.col("nxt").alias("id")).distinct().withColumn("on", F.lit(True))
-    marked = now.join(ends, ["g", "id"], "left")
-    lows = now.select("g", F.col("id").alias("nxt"), F.col("low").alias("cycle"))
-    return marked.join(lows, ["g", "nxt"]).select("g", "id", F.col("cycle").alias("low"), F.col("on").isNotNull().alias("on_cycle"))
+        step = now.select(F.col("u").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"))
+        now = cut_lineage(now.join(step, "nxt").select("u", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low")).coalesce(parts))
+    ends = now.select(F.col("nxt").alias("u")).distinct().withColumn("on", F.lit(True))
+    lows = now.select(F.col("u").alias("nxt"), F.col("low").alias("cycle"))
+    return now.join(ends, "u", "left").join(lows, "nxt").select("u", F.col("cycle").alias("low"), F.col("on").isNotNull().alias("on_cycle"))

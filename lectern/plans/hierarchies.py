@@ -9,13 +9,13 @@ from lectern.operators.hierarchy import Hierarchy, hierarchy
 from lectern.sources.tables import latest, table
 
 
-def _sections(spark: SparkSession, folder: str, paths: bool = True) -> Hierarchy:
+def _sections(spark: SparkSession, folder: str) -> Hierarchy:
     rows = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "parent_section_id", "title"])
-    return hierarchy(rows, "document_id", "section_id", "parent_section_id", "title", paths=paths)
+    return hierarchy(rows, "document_id", "section_id", "parent_section_id", "title")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _sections(spark, folder, paths=False).cycles.select("document_id", "section_id", F.col("cycle_id").alias("cycle_section_id"), "on_cycle")
+    return _sections(spark, folder).cycles.select("document_id", "section_id", F.col("cycle_id").alias("cycle_section_id"), "on_cycle")
 
 
 def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,7 +44,7 @@ SQL = {
     + """, loose AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.document_id = n.document_id AND w.section_id = n.section_id)),
 c AS (SELECT document_id, section_id, parent AS cur, 1 AS k FROM loose
       UNION ALL
-      SELECT c.document_id, c.section_id, l.parent, k + 1 FROM c JOIN loose l ON l.document_id = c.document_id AND l.section_id = c.cur WHERE k < 120),
+      SELECT c.document_id, c.section_id, l.parent, k + 1 FROM c JOIN loose l ON l.document_id = c.document_id AND l.section_id = c.cur WHERE k <= (SELECT max(n) FROM (SELECT count(*) AS n FROM loose GROUP BY document_id))),
 onc AS (SELECT DISTINCT document_id, section_id FROM c WHERE cur = section_id),
 r AS (SELECT c.document_id, c.section_id, min(c.cur) AS cycle_section_id FROM c JOIN onc ON onc.document_id = c.document_id AND onc.section_id = c.cur GROUP BY 1, 2)
 SELECT r.document_id, r.section_id, r.cycle_section_id, CAST(onc.section_id IS NOT NULL AS INTEGER) AS on_cycle

@@ -50,9 +50,9 @@ def test_against_a_walk_of_every_node(spark, seed):
     paths = {(r.g, r.id): r.n_descendants for r in h.paths().collect()}
     assert len(paths) == len(nodes) + len(cycles) and all(paths[k] is None for k in cycles)
     for every in (1, 1_000_000):
-        again = hierarchy(df, "g", "id", "parent", "title", every=every, paths=False)
+        again = hierarchy(df, "g", "id", "parent", "title", every=every)
         assert {(r.g, r.id): (r.cycle_id, r.on_cycle) for r in again.cycles.collect()} == cycles
-        assert {(r.g, r.id): (r.depth, r.root_id) for r in again.nodes.collect()} == {k: v[2:] for k, v in nodes.items()}
+        assert {(r.g, r.id): (r.depth, r.root_id) for r in again.depths().collect()} == {k: v[2:] for k, v in nodes.items()}
 
 
 def test_empty_table_null_ids_and_repeated_rows(spark):
