@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import cut_lineage
+from lectern.session import broadcast_if_small, cut_lineage
 
 #: One node in so many is a splitter.
 SPLITTER_EVERY = 8
 
+#: Numbers of nodes on and above cycles that are broadcast at most (8 bytes each); more are joined by shuffle.
+LOOSE_NODES = 1_000_000
+
 
 @dataclass(frozen=True)
 class Hierarchy:
@@ -19,14 +22,15 @@ class Hierarchy:
 
     ``base``: every node with a number ``u``, its group, id and title;
     ``ended``: ``u, top, via`` of every node below a root (numbers of the root
-    and of all ancestors, nearest first); ``cycles``: every node whose chain
-    never ends, with ``cycle_id`` (the smallest id on the cycle reached) and
+    and of all ancestors, nearest first); ``loose``: ``u`` of every node whose
+    chain never ends; ``cycles``: these nodes with ``cycle_id`` (the smallest id on the cycle reached) and
     ``on_cycle``. Ids and titles are joined to numbers only where they are
     asked for.
     """
 
     base: DataFrame
     ended: DataFrame
+    loose: DataFrame
     cycles: DataFrame
     group: str
     node: str
@@ -34,25 +38,31 @@ class Hierarchy:
     def _pairs(self) -> DataFrame:
         return self.ended.select("u", F.posexplode("via").alias("at", "above"))
 
-    def _named(self, *columns: Column) -> DataFrame:
-        """Nodes with their root: ``u``, group, node, ``root``, ``top`` and the columns wanted; nodes on or above cycles are left out."""
-        own = self.base.join(self.ended.select("u", "top", "via"), "u", "left").filter("root or top is not null")
-        top = self.base.select(F.col("u").alias("top"), F.col("id").alias("root_id"))
-        return own.select("u", "g", "id", "t", "root", F.coalesce("top", "u").alias("top"), *columns).join(top, "top")
+    def _named(self, *more: DataFrame) -> DataFrame:
+        """``u, g, id, t, root_id`` of every node whose chain ends, with what ``more`` (by ``u``) tells of it."""
+        ids = self.base.select(F.col("u").alias("top"), F.col("id").alias("root_id"))
+        own = self.base.join(self.loose, "u", "left_anti").join(self.ended.select("u", "top").join(ids, "top").select("u", "root_id"), "u", "left")
+        for m in more:
+            own = own.join(m, "u", "left")
+        return own.withColumn("root_id", F.coalesce("root_id", "id"))
+
+    def _titled(self, *about: str) -> DataFrame:
+        """``u, ups``: the ancestors of every node below a root, nearest first, with ``about`` of each."""
+        above = self.base.select(F.col("u").alias("above"), *about)
+        return self._pairs().join(above, "above").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("at", *about))).alias("ups"))
 
     @property
     def nodes(self) -> DataFrame:
         """``group, node, path, ancestors, depth, root_id`` of every node whose chain ends: titles from the root, ids of ancestors nearest first, 0 for a root's depth."""
-        about = self.base.select(F.col("u").alias("above"), F.col("id").alias("above_id"), F.col("t").alias("above_t"))
-        named = self._pairs().join(about, "above").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("at", "above_id", "above_t"))).alias("ups"))
+        whole = self._named(self._titled("id", "t").withColumnRenamed("ups", "_ups"))
         none = F.array().cast("array<string>")
-        whole = self._named().join(named, "u", "left")
-        path = F.concat(F.reverse(F.coalesce(F.col("ups.above_t"), none)), F.array("t"))
-        return whole.select(F.col("g").alias(self.group), F.col("id").alias(self.node), path.alias("path"), F.coalesce(F.col("ups.above_id"), none).alias("ancestors"), F.coalesce(F.size("ups"), F.lit(0)).alias("depth"), "root_id")
+        path = F.concat(F.reverse(F.coalesce(F.col("_ups.t"), none)), F.array("t"))
+        return whole.select(F.col("g").alias(self.group), F.col("id").alias(self.node), path.alias("path"), F.coalesce(F.col("_ups.id"), none).alias("ancestors"), F.coalesce(F.size("_ups"), F.lit(0)).alias("depth"), "root_id")
 
     def depths(self) -> DataFrame:
         """``group, node, depth, root_id`` of every node whose chain ends, without titles or ancestors."""
-        return self._named(F.coalesce(F.size("via"), F.lit(0)).alias("depth")).select(F.col("g").alias(self.group), F.col("id").alias(self.node), "depth", "root_id")
+        depth = self.ended.select("u", F.size("via").alias("depth"))
+        return self._named(depth).select(F.col("g").alias(self.group), F.col("id").alias(self.node), F.coalesce("depth", F.lit(0)).alias("depth"), "root_id")
 
     def descendants(self) -> DataFrame:
         """``group, node, descendant_id, distance``: a row for every node and each node below it."""
@@ -67,10 +77,8 @@ class Hierarchy:
         before they move.
         """
         below = self._pairs().groupBy("above").agg(F.count(F.lit(1)).alias("n_descendants")).withColumnRenamed("above", "u")
-        titles = self.base.select(F.col("u").alias("above"), F.col("t").alias("above_t"))
-        named = self._pairs().join(titles, "above").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("at", "above_t"))).alias("ups"))
-        whole = self._named().join(named, "u", "left").join(below, "u", "left")
-        path = F.concat(F.reverse(F.coalesce(F.col("ups.above_t"), F.array().cast("array<string>"))), F.array("t"))
+        whole = self._named(self._titled("t"), below)
+        path = F.concat(F.reverse(F.coalesce(F.col("ups.t"), F.array().cast("array<string>"))), F.array("t"))
         done = whole.select(F.col("g").alias(self.group), F.col("id").alias(self.node), path.alias("path"), F.coalesce(F.size("ups"), F.lit(0)).alias("depth"), "root_id", F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"))
         return done.unionByName(self.cycles.select(self.group, self.node), allowMissingColumns=True)
 
@@ -83,8 +91,8 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, e
     pointers (a graph ``every`` times smaller) are doubled up to the roots,
     and a node's path is its walk followed by its splitter's. Walks that meet
     no splitter, and splitters that meet no root, end in cycles and are
-    resolved by themselves. Nodes are numbered once, and keys compared as
-    strings only to find each node's parent; all steps after that are
+    resolved by themselves. Nodes are numbered once, and keys compared (by
+    16-byte hashes) only to find each node's parent; all steps after that are
     equi-joins on numbers, in which the looked-up side has one row per key.
     Nothing is grouped by tree, so a group or a parent with a third of all rows
     is only a skewed probe side, which adaptive execution splits. Each round is
@@ -98,9 +106,10 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, e
     """
     flat = rows.filter(F.col(node).isNotNull()).groupBy(F.col(group).alias("g"), F.col(node).alias("id")).agg(F.max(F.struct(F.col(parent).alias("p"), F.col(title).alias("t"))).alias("r"))
     flat = cut_lineage(flat.select(F.monotonically_increasing_id().alias("u"), "g", "id", F.col("r.p").alias("p"), F.col("r.t").alias("t")))
+    key = lambda c: F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("g"), F.col("g").cast("string")), F.lit("")), F.lit("\x00"), F.col(c).cast("string")))).alias("k")
     split = F.pmod(F.xxhash64("g", "id"), F.lit(every)) == 0
-    above = flat.select(F.struct("g", "id").alias("k"), F.col("u").alias("nxt"), split.alias("ns"))
-    up = cut_lineage(flat.filter("p is not null").select("u", F.struct("g", F.col("p").alias("id")).alias("k"), split.alias("s")).join(above, "k").select("u", "s", "nxt", "ns"))
+    above = flat.select(key("id"), F.col("u").alias("nxt"), split.alias("ns"))
+    up = cut_lineage(flat.filter("p is not null").select("u", key("p"), split.alias("s")).join(above, "k").select("u", "s", "nxt", "ns"))
     parts = max(1, up.rdd.getNumPartitions())
     further = up.select(F.col("u").alias("nxt"), F.lit(True).alias("goes_on"))
     links = cut_lineage(up.join(further, "nxt", "left").select("u", "s", "nxt", "ns", F.col("goes_on").isNull().alias("end"), F.array("nxt").alias("via")).coalesce(parts))
@@ -111,11 +120,11 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, title: str, e
     far = settled.filter("not end").join(top, "nxt").select("u", F.col("up").alias("top"), F.concat("via", "more").alias("via"))
     ended = cut_lineage(settled.filter("end").select("u", F.col("nxt").alias("top"), "via").unionByName(far).coalesce(parts))
 
-    loose = links.select("u", "nxt").join(ended.select("u"), "u", "left_anti")
-    about = flat.select("u", "g", "id")
+    loose = cut_lineage(links.select("u", "nxt").join(ended.select("u"), "u", "left_anti").coalesce(parts))
+    ids = broadcast_if_small(loose.select("u"), LOOSE_NODES)
+    about = cut_lineage(flat.select("u", "g", "id").join(ids, "u", "left_semi"))
     turning = _cycles(loose.join(about.select("u", "id"), "u"), parts).join(about, "u")
-    base = flat.join(up.select("u", F.lit(False).alias("root")), "u", "left").select("u", "g", "id", "t", F.coalesce("root", F.lit(True)).alias("root"))
-    return Hierarchy(base, ended, turning.select(F.col("g").alias(group), F.col("id").alias(node), F.col("low").alias("cycle_id"), F.col("on_cycle").cast("int").alias("on_cycle")), group, node)
+    return Hierarchy(flat.select("u", "g", "id", "t"), ended, ids, turning.select(F.col("g").alias(group), F.col("id").alias(node), F.col("low").alias("cycle_id"), F.col("on_cycle").cast("int").alias("on_cycle")), group, node)
 
 
 def _chase(rows: DataFrame, arrived: Column, parts: int) -> DataFrame:
