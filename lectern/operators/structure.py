@@ -220,21 +220,6 @@ def adjacent_duplicates(ordered: DataFrame) -> DataFrame:
     return back.filter(F.col("_page").eqNullSafe(F.col("page")) & (F.col("_key") == F.col("key"))).select("document_id", "block_id")
 
 
-def table_echoes(ordered: DataFrame, window: int = 8, least: int = 4) -> DataFrame:
-    """Paragraphs whose words a table up to ``window`` blocks before holds as often: ``document_id, block_id, table_block_id``, the nearest table.
-
-    Candidates meet by an equi-join on the position for each distance, which
-    is bounded; the bags of words are compared in the row.
-    """
-    b = ordered.select("document_id", "ordinal", "block_id", "block_type", X.words(F.coalesce("text", F.lit(""))).alias("w")).filter(F.size("w") >= least)
-    tables = b.filter("block_type = 'table'").select("document_id", F.explode(F.sequence(F.col("ordinal") + 1, F.col("ordinal") + window)).alias("ordinal"), F.col("ordinal").alias("t_ordinal"), F.col("block_id").alias("table_block_id"), F.col("w").alias("tw"))
-    near = b.filter("block_type = 'paragraph'").join(tables, ["document_id", "ordinal"])
-    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    inside = F.forall(F.array_distinct("w"), lambda x: times(F.col("w"), x) <= times(F.col("tw"), x))
-    best = near.filter(inside).groupBy("document_id", "block_id").agg(F.max_by("table_block_id", F.struct("t_ordinal", "table_block_id")).alias("table_block_id"))
-    return best
-
-
 def spans(blocks: DataFrame, group: list[str], coarse: list[str], order: list[str], text: str = "text", joint: int = 2) -> DataFrame:
     """Blocks with ``start`` and ``end``: the place of each in the text of its group, blocks joined by ``joint`` characters; null texts have no width and no joint."""
     n = number(blocks, group, coarse, order)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import building
 from lectern.operators import structure as S
 from lectern.operators.association import associate
+from lectern.operators.cleaning import echoes
 from lectern.operators.hierarchy import hierarchy
 from lectern.operators.ordering import number
 from lectern.plans.hierarchies import _TREE
-from lectern.plans.texts import _key, _normal
+from lectern.plans.texts import _fold, _key, _normal
 from lectern.session import broadcast_if_small, cut_lineage
 from lectern.sources import exports
 from lectern.sources.sinks import markdown
@@ -132,8 +133,9 @@ def adjacent_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_echoes(spark: SparkSession, folder: str) -> DataFrame:
-    short = F.when(F.col("block_type").isin("table", "paragraph"), F.col("text")).alias("text")
-    return S.table_echoes(_ordered(spark, folder, "block_type", short))
+    b = _blocks(spark, folder, "page", "reading_order", "text")
+    at = F.row_number().over(Window.partitionBy("document_id", "page").orderBy("reading_order", "block_id")) - 1
+    return echoes(b.filter(F.col("text") != "").withColumn("at", at))
 
 
 def raw_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,6 +280,10 @@ p AS (SELECT document_id, count(DISTINCT page) AS pages FROM t GROUP BY 1)
 SELECT document_id, "key", side, count(DISTINCT page) AS places FROM s JOIN p USING (document_id) WHERE "key" <> '' GROUP BY 1, 2, 3, pages HAVING count(DISTINCT page) >= greatest(2, (pages + 1) // 2)""",
     "adjacent_duplicates": f"""WITH {_O}, k AS (SELECT *, {_key("text")} AS k FROM o WHERE text IS NOT NULL), w AS (SELECT *, lag(k) OVER v AS lk, lag(page) OVER v AS lp, lag(ordinal) OVER v AS lo FROM k WHERE k <> '' WINDOW v AS (PARTITION BY document_id ORDER BY ordinal))
 SELECT document_id, block_id FROM w WHERE lo IS NOT NULL AND lk = k AND lp IS NOT DISTINCT FROM page""",
+    "table_echoes": f"""WITH {_B}, x AS (SELECT document_id, block_id, page, row_number() OVER w - 1 AS at, contains(text, '|') AS bar, contains(text, '|') OR regexp_matches(text, '^===== TABLE [1-9][0-9]* =====$') AS stop, regexp_extract_all({_fold("text")}, '[\\p{{L}}\\p{{N}}]+') AS t FROM b WHERE text <> '' WINDOW w AS (PARTITION BY document_id, page ORDER BY reading_order NULLS FIRST, block_id)),
+s AS (SELECT c.document_id, c.block_id, t.block_id AS table_block_id, c.t AS cw, t.t AS tw FROM x c JOIN x t ON t.document_id = c.document_id AND t.page IS NOT DISTINCT FROM c.page AND t.bar AND t.at > 0 AND c.at > t.at AND c.at - t.at <= 8 AND NOT c.stop AND len(c.t) >= 4 AND len(t.t) >= 4
+  WHERE NOT EXISTS (SELECT 1 FROM x z WHERE z.document_id = c.document_id AND z.page IS NOT DISTINCT FROM c.page AND z.stop AND z.at > t.at AND z.at < c.at))
+SELECT document_id, block_id, table_block_id FROM s WHERE len(list_filter(list_distinct(cw), lambda y: len(list_filter(cw, lambda z: z = y)) > len(list_filter(tw, lambda z: z = y)))) = 0""",
     "raw_spans": """WITH r AS (SELECT DISTINCT document_id, raw_block_id, location_number, block_ordinal, text, raw_start, raw_end FROM raw_blocks)
 SELECT document_id, raw_block_id, s AS "start", s + coalesce(length(text), 0) AS "end" FROM (SELECT *, CAST(coalesce(sum(coalesce(length(text) + 2, 0)) OVER (PARTITION BY document_id ORDER BY location_number, block_ordinal, raw_block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM r)""",
     "rendered_tables": f"""WITH {_B}, t AS (SELECT document_id, block_id, list_transform(list_filter(string_split(text, chr(10)), lambda r: trim(r, ' ') <> ''), lambda r: list_transform(string_split(r, '|'), lambda c: trim(c, ' '))) AS m FROM b WHERE block_type = 'table' AND text IS NOT NULL AND trim(text, ' ') <> ''),

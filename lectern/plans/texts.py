@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.labels import language_code, source_of
+from lectern.operators.cleaning import clean_pages, clean_texts
 from lectern.operators.multisets import difference
 from lectern.sources.tables import latest, latest_texts, table
 
@@ -46,6 +47,20 @@ def cleaned_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("document_id", "raw_block_id", X.clean_block(F.col("text")).alias("cleaned"))
 
 
+def _cleaning(spark: SparkSession, folder: str) -> DataFrame:
+    raw = table(spark, folder, "raw_blocks").select("document_id", F.col("raw_block_id").alias("block_id"), F.col("location_number").alias("page"), F.col("block_ordinal").alias("place"), "text").distinct()
+    return clean_pages(raw)
+
+
+def cleaning_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of every raw block and why."""
+    return _cleaning(spark, folder).select("document_id", "block_id", "page", "ordinal", F.sha2("text", 256).alias("text_hash"), "classification", "retained", "reason")
+
+
+def cleaned_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_texts(_cleaning(spark, folder)).select("document_id", F.length("text").cast("bigint").alias("characters"), F.sha2("text", 256).alias("sha256"))
+
+
 def language_script(spark: SparkSession, folder: str) -> DataFrame:
     b = blocks(spark, folder, "text").filter("text is not null")
     return b.groupBy(X.script(F.col("text")).alias("script")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("characters"))
@@ -119,7 +134,7 @@ def common_folders(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_text_hash, file_hashes, token_stats, key_texts, cleaned_blocks, language_script, language_labels, source_names, text_ratios, heading_lines, number_tokens, number_patterns, unsupported_numbers, missing_words,
+        normalize_text_hash, file_hashes, token_stats, key_texts, cleaned_blocks, cleaning_decisions, cleaned_texts, language_script, language_labels, source_names, text_ratios, heading_lines, number_tokens, number_patterns, unsupported_numbers, missing_words,
         changed_modality, lexical_support, identity_keys, common_folders,
     )
 }
@@ -184,6 +199,18 @@ def _units(x: str) -> str:
     return f"list_transform(regexp_extract_all({_twice(x)}, '(?:^|{_OUT})((?i:{listed}))(?:{_OUT}|$)', 1), lambda y: lower(y))"
 
 
+def _clean(x: str) -> str:
+    t = f"regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '[\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')"
+    t = f"regexp_replace({t}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')"
+    t = f"regexp_replace({t}, '([\\p{{L}}\\p{{N}}_])-{_SPACE}*\\n{_SPACE}*([a-zà-öø-ÿ])', '\\1\\2', 'g')"
+    bullets = X.BULLETS.replace("\\s", _SPACE)
+    single = "regexp_replace(l, '[ \\t\\x{a0}]+', ' ', 'g')"
+    line = f"regexp_replace({_strip(single)}, '^(?:{bullets}){_SPACE}*', '- ')"
+    lines = f"list_filter(list_transform(string_split({t}, chr(10)), lambda l: {line}), lambda l: l <> '')"
+    rows = f"len(list_filter({lines}, lambda l: contains(l, '|') OR starts_with(l, '- '))) > 0"
+    return _strip(f"CASE WHEN {rows} THEN array_to_string({lines}, chr(10)) ELSE array_to_string({lines}, ' ') END")
+
+
 def _claims(x: str) -> str:
     stop = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
     return f"list_filter(list_distinct(regexp_extract_all({_fold(x)}, '(\\p{{L}}{{3,}})', 1)), lambda w: NOT list_contains([{stop}], w))"
@@ -204,11 +231,39 @@ def _own(x: str) -> str:
     return f"array_to_string(list_sort(list_distinct(list_filter({_words(x)}, lambda w: list_contains([{_MODAL}], w)))), ' ')"
 
 
+_EDGE = "(?:^|[^\\p{L}\\p{N}_])"
+_TEACHER = _EDGE + "(?:(?:pr(?:of(?:esseur)?)?\\.?|dr\\.?)[\\t\\n\\x0b\\f\\r ]+[a-zà-öø-þ]|auteur[\\t\\n\\x0b\\f\\r ]*:)"
+_PLACE = _EDGE + "(?:facult[ée]|universit[ée]|h[oô]pital|chu(?:[^\\p{L}\\p{N}_]|$)|service[\\t\\n\\x0b\\f\\r ]+de|minist[eè]re|centre[\\t\\n\\x0b\\f\\r ]+r[ée]gional)"
+_YEAR = _EDGE + "(?:19|20)\\p{Nd}{2}[\\t\\n\\x0b\\f\\r ]*[-–/][\\t\\n\\x0b\\f\\r ]*(?:19|20)?\\p{Nd}{2}(?:[^\\p{L}\\p{N}_]|$)"
+_CLEANING = f"""WITH r AS (SELECT DISTINCT document_id, raw_block_id AS block_id, location_number AS page, block_ordinal AS place, coalesce(text, '') AS raw FROM raw_blocks),
+c0 AS (SELECT *, {_clean("raw")} AS c FROM r),
+c1 AS (SELECT *, {_strip("regexp_replace(c, '^(TITLE|CONTENT|NOTES):( |$)', ' ')")} AS bare FROM c0),
+c AS (SELECT document_id, block_id, page, place, CASE WHEN regexp_matches(bare, '(?i)^(?:CamScanner|Scanned +with +CamScanner)$') THEN '' ELSE bare END AS text FROM c1),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page NULLS FIRST, place NULLS FIRST, block_id) AS ordinal, row_number() OVER (PARTITION BY document_id, page ORDER BY place NULLS FIRST, block_id) - 1 AS at, {_key("text")} AS k, contains(text, '|') AS bar, contains(text, '|') OR regexp_matches(text, '^===== TABLE [1-9][0-9]* =====$') AS stop, regexp_extract_all({_fold("text")}, '[\\p{{L}}\\p{{N}}]+') AS t FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY ordinal) AS n, count(*) OVER (PARTITION BY document_id, page) AS total FROM o WHERE text <> '' AND NOT regexp_matches(text, '^===== TABLE [1-9][0-9]* =====$')),
+pg AS (SELECT document_id, count(DISTINCT page) AS pages FROM e GROUP BY 1),
+sd AS (SELECT document_id, page, k, true AS head FROM e WHERE n <= 4 AND length(text) < 220 UNION ALL SELECT document_id, page, k, false FROM e WHERE n > total - 2 AND length(text) < 220),
+bk AS (SELECT document_id, k, bool_or(head) AS head FROM (SELECT document_id, k, head FROM sd JOIN pg USING (document_id) GROUP BY document_id, k, head, pages HAVING count(DISTINCT page) >= greatest(2, (pages + 1) // 2)) GROUP BY 1, 2),
+fi AS (SELECT o.document_id, o.k, head, min(ordinal) AS first FROM o JOIN bk ON bk.document_id = o.document_id AND bk.k = o.k WHERE o.text <> '' GROUP BY 1, 2, 3),
+ec AS (SELECT DISTINCT c.document_id, c.block_id FROM o c JOIN o t ON t.document_id = c.document_id AND t.page IS NOT DISTINCT FROM c.page AND t.bar AND t.at > 0 AND c.at > t.at AND c.at - t.at <= 8 AND NOT c.stop AND len(c.t) >= 4 AND len(t.t) >= 4
+  WHERE NOT EXISTS (SELECT 1 FROM o z WHERE z.document_id = c.document_id AND z.page IS NOT DISTINCT FROM c.page AND z.stop AND z.at > t.at AND z.at < c.at) AND len(list_filter(list_distinct(c.t), lambda y: len(list_filter(c.t, lambda z: z = y)) > len(list_filter(t.t, lambda z: z = y)))) = 0),
+m AS (SELECT o.*, fi.head, o.text <> '' AND coalesce(o.ordinal > fi.first, false) AS again, ec.block_id IS NOT NULL AS echo FROM o LEFT JOIN fi ON fi.document_id = o.document_id AND fi.k = o.k LEFT JOIN ec ON ec.document_id = o.document_id AND ec.block_id = o.block_id),
+l AS (SELECT *, last_value(CASE WHEN text <> '' AND NOT again AND NOT echo THEN k END IGNORE NULLS) OVER (PARTITION BY document_id, page ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lk FROM m),
+done AS (SELECT document_id, block_id, page, ordinal, text, CASE WHEN again THEN CASE WHEN head THEN 'repeated_header' ELSE 'repeated_footer' END WHEN regexp_matches(lower(text), '{_TEACHER}') THEN 'teacher_name' WHEN regexp_matches(lower(text), '{_PLACE}') THEN 'institution' WHEN regexp_matches(text, '{_YEAR}') THEN 'academic_year'
+  WHEN ordinal <= 18 AND length(trim(text, ' :-')) BETWEEN 3 AND 180 AND NOT regexp_matches(trim(text, ' :-'), '^-|[.;]$') AND len(regexp_extract_all(trim(text, ' :-'), '\\p{{L}}')) >= 3 THEN 'course_title' ELSE 'body_content' END AS classification,
+  CASE WHEN again THEN CASE WHEN head THEN 'repeated header' ELSE 'repeated footer' END WHEN text <> '' AND lk = k THEN 'repeats the block before' WHEN echo THEN 'repeats a table' END AS reason FROM l)
+"""
+
 SQL = {
     "normalize_text_hash": f"SELECT document_id, block_id, sha256({_normal('b.text')}) AS text_hash, length({_normal('b.text')}) AS characters FROM {_B} WHERE b.text IS NOT NULL",
     "file_hashes": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "token_stats": "SELECT source, count(*) AS documents, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS characters, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens, min(length(coalesce(text, ''))) AS least, max(length(coalesce(text, ''))) AS most FROM documents GROUP BY 1",
     "key_texts": f"SELECT {_key('b.text')} AS key_text, count(*) AS blocks, count(DISTINCT document_id) AS documents FROM {_B} WHERE b.block_type IN ('header', 'footer', 'title', 'heading') AND b.text IS NOT NULL GROUP BY 1",
+    "cleaned_blocks": f"SELECT document_id, raw_block_id, {_clean('text')} AS cleaned FROM {_R}",
+    "cleaning_decisions": _CLEANING + "SELECT document_id, block_id, page, ordinal, sha256(text) AS text_hash, classification, reason IS NULL AS retained, reason FROM done",
+    "cleaned_texts": _CLEANING
+    + """, p AS (SELECT document_id, page, '[Page ' || page || ']' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS body FROM done WHERE reason IS NULL AND text <> '' GROUP BY 1, 2),
+w AS (SELECT document_id, string_agg(body, chr(10) || chr(10) ORDER BY page) || chr(10) AS text FROM p GROUP BY 1) SELECT document_id, length(text) AS characters, sha256(text) AS sha256 FROM w""",
     "language_script": f"""SELECT CASE WHEN regexp_matches(b.text, '[؀-ۿ]') AND regexp_matches(b.text, '[A-Za-zÀ-ÿ]') THEN 'fr+ar' WHEN regexp_matches(b.text, '[؀-ۿ]') THEN 'ar' ELSE 'fr' END AS script,
 count(*) AS blocks, CAST(sum(length(b.text)) AS BIGINT) AS characters FROM {_B} WHERE b.text IS NOT NULL GROUP BY 1""",
     "language_labels": f"SELECT {_LABELS} AS language, count(*) AS documents, count(DISTINCT coalesce(lang, '')) AS labels FROM documents GROUP BY 1",
