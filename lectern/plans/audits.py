@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import matching as M
 from lectern.operators import structure as S
-from lectern.operators.multisets import difference
-from lectern.operators.ordering import neighbour, number
+from lectern.operators.ordering import neighbours, number
+from lectern.operators.quality import fragment_follows
 from lectern.plans.structures import _B, _O, _blocks, _chunks
-from lectern.plans.texts import _P, _own, _words, pairs
+from lectern.plans.texts import _SPACE, _signed, _units, _words
 from lectern.session import cut_lineage
-from lectern.sources.tables import table
+from lectern.sources.tables import latest_texts, table
 
 #: Phrases by which a text corrects its source, lower case.
 CORRECTIONS = ["likely a typo", "probable typo", "should be interpreted as", "likely an error", "erreur probable", "coquille probable", "doit être interprété", "doit etre interprete", "semble être une erreur", "semble etre une erreur"]
@@ -39,11 +39,13 @@ def ocr_eligibility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def broken_fragments(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbouring raw blocks of a page of which the first stops without a mark and the next goes on in small letters."""
-    n = cut_lineage(number(_raw(spark, folder).filter("text is not null").select("document_id", "page", "block_ordinal", "raw_block_id", F.substring(F.trim("text"), 1, 1).alias("head"), F.right(F.trim("text"), F.lit(1)).alias("tail")), ["document_id"], ["page"], ["block_ordinal", "raw_block_id"]))
-    nxt = neighbour(n, ["document_id"], "ordinal", {"head": "next_head", "page": "next_page"}, 1)
-    cut = (F.col("page") == F.col("next_page")) & F.col("tail").rlike(r"^[\p{L}\p{N},]$") & F.col("next_head").rlike(r"^\p{Ll}$")
-    return nxt.groupBy("document_id", "page").agg(F.count_if(cut).alias("fragments")).filter("fragments > 0")
+    """Pages on which neighbouring blocks break off and go on, and how often."""
+    value = X.strip(F.regexp_replace("text", rf"{X.SPACE}+", " "))
+    b = _blocks(spark, folder, "page", "reading_order", value.alias("value")).filter("value <> ''")
+    n = cut_lineage(number(b.select("document_id", "page", "reading_order", "block_id", F.left("value", F.lit(25)).alias("head"), F.right("value", F.lit(1)).alias("tail")), ["document_id"], ["page"], ["reading_order", "block_id"]))
+    nxt = neighbours(n, ["document_id"], "ordinal", {"next_head": ("head", 1), "next_page": ("page", 1)})
+    broken = fragment_follows(F.concat("head", "tail"), F.col("next_head")) & (F.length("head") >= 25) & F.col("next_page").eqNullSafe(F.col("page"))
+    return nxt.groupBy("document_id", "page").agg(F.count_if(broken).alias("fragments")).filter("fragments > 0")
 
 
 def correction_phrases(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,20 +72,31 @@ def ordered_sections(spark: SparkSession, folder: str) -> DataFrame:
     return number(stretch, ["document_id"], ["stretch"], ["first_ordinal"], "place").drop("stretch")
 
 
+#: Codes of what a rewriting added, lost or changed.
+AUDIT_CODES = ["unsupported_numerical_token", "unsupported_unit", "unsupported_lexical_addition", "informative_source_tokens_missing", "changed_negation", "changed_modal_word", "missing_transformation_support_basis"]
+
+
 def audit_issues(spark: SparkSession, folder: str) -> DataFrame:
-    """What a rewriting added, lost or changed, by kind and pair."""
-    p, keys = pairs(spark, folder), ["document_id", "transformation_id"]
+    """``document_id, transformation_id, code, n``: what a rewriting added, lost or changed, and how many values that concerns.
+
+    All bags of a pair (numbers, units, words to either side) are compared in
+    one aggregation of signed counts.
+    """
+    keys = ["document_id", "transformation_id"]
+    t = latest_texts(table(spark, folder, "model_transformations").select(*keys, "original_text", "reconstructed_text", "support_basis", "ingested_at"), keys, "ingested_at", [*keys, "original_text", "reconstructed_text", "support_basis"])
     o, r = F.coalesce("original_text", F.lit("")), F.coalesce("reconstructed_text", F.lit(""))
-    longer = lambda c, n: F.filter(X.words(c), lambda w: F.length(w) >= n)
-    kinds = {"unsupported_number": (X.numbers(r), X.numbers(o)), "unsupported_measure": (X.measured(r), X.measured(o)), "unsupported_word": (longer(r, 4), longer(o, 4)), "missing_word": (longer(o, 3), longer(r, 3))}
-    out = None
-    for code, (a, b) in kinds.items():
-        one = difference(p, keys, a, b, "value").groupBy(*keys).agg(F.sum("surplus").alias("n")).withColumn("code", F.lit(code))
-        out = one if out is None else out.unionByName(one)
-    listed = F.array(*[F.lit(w) for w in [*X.NEGATIONS, *X.MODALS]])
-    own = lambda c: F.array_sort(F.array_intersect(X.words(c), listed))
-    changed = p.filter(own(o) != own(r)).select(*keys, F.lit(1).cast("bigint").alias("n"), F.lit("changed_modality").alias("code"))
-    return out.unionByName(changed)
+    t = t.select(*keys, F.coalesce(F.trim("support_basis"), F.lit("")).alias("basis"), X.words(o).alias("ow"), X.words(r).alias("rw"), X.signed_numbers(o).alias("on"), X.signed_numbers(r).alias("rn"), X.units(o).alias("ou"), X.units(r).alias("ru"))
+    listed = lambda words: F.array(*[F.lit(w) for w in words])
+    worth = lambda c, n: F.filter(c, lambda w: (F.length(w) >= n) & ~w.rlike(r"^\p{Nd}+$"))
+    own = lambda c: F.filter(worth(c, 4), lambda w: ~F.array_contains(listed(X.PRESENTATION_WORDS), w))
+    bags = dict(zip(AUDIT_CODES, ((F.col("rn"), F.col("on")), (F.col("ru"), F.col("ou")), (own("rw"), own("ow")), (worth("ow", 3), worth("rw", 3)))))
+    signed = lambda code, a, n: F.transform(a, lambda v: F.struct(F.lit(code).alias("code"), v.alias("v"), F.lit(n).alias("n")))
+    each = t.select(*keys, F.explode(F.concat(*[signed(code, side, n) for code, sides in bags.items() for side, n in zip(sides, (1, -1))])).alias("x"))
+    extra = each.groupBy(*keys, "x.code", "x.v").agg(F.sum("x.n").alias("n")).filter("n > 0").groupBy(*keys, "code").agg(F.sum("n").alias("n"))
+    differ = lambda words: F.array_sort(F.array_intersect(F.col("ow"), listed(words))) != F.array_sort(F.array_intersect(F.col("rw"), listed(words)))
+    flags = {"changed_negation": differ(X.NEGATIONS), "changed_modal_word": differ(X.MODALS), "missing_transformation_support_basis": F.col("basis") == ""}
+    flagged = t.select(*keys, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in flags.items()]))).alias("code"), F.lit(1).cast("bigint").alias("n"))
+    return extra.unionByName(flagged)
 
 
 QUERIES = {f.__name__: f for f in (raw_fallback, raw_matches, ocr_eligibility, broken_fragments, correction_phrases, evidence_order, unique_references, ordered_sections, audit_issues)}
@@ -92,36 +105,35 @@ _RAW = "r AS (SELECT DISTINCT document_id, raw_block_id, location_number AS page
 _CHUNKS = "c AS (SELECT document_id, chunk_id, arg_max(refs, generated_at) AS refs FROM chunks GROUP BY 1, 2)"
 
 
+_T = "p AS (SELECT document_id, transformation_id, coalesce(x.o, '') AS o, coalesce(x.r, '') AS r, coalesce(trim(x.b, ' '), '') AS b FROM (SELECT document_id, transformation_id, arg_max(struct_pack(o := original_text, r := reconstructed_text, b := support_basis), ingested_at) AS x FROM model_transformations GROUP BY 1, 2))"
+
+
 def _lost(a: str, b: str, code: str) -> str:
     return f"""SELECT document_id, transformation_id, CAST(sum(greatest(n - coalesce(m, 0), 0)) AS BIGINT) AS n, '{code}' AS code FROM (SELECT document_id, transformation_id, v, count(*) AS n FROM (SELECT document_id, transformation_id, unnest({a}) AS v FROM p) GROUP BY ALL)
 LEFT JOIN (SELECT document_id, transformation_id, v, count(*) AS m FROM (SELECT document_id, transformation_id, unnest({b}) AS v FROM p) GROUP BY ALL) USING (document_id, transformation_id, v) GROUP BY 1, 2 HAVING sum(greatest(n - coalesce(m, 0), 0)) > 0"""
 
 
-def _measures(x: str) -> str:
-    units = "|".join(sorted(X.UNITS, key=lambda u: (-len(u), u)))
-    space = r"[\t\n\x0b\f\r ]"
-    return f"list_transform(regexp_extract_all({x}, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?{space}*(?i:{units}))(?:[^\\p{{L}}\\p{{N}}]|$)', 1), lambda y: regexp_replace(y, '^([\\p{{Nd}}.,]+){space}*', '\\1 '))"
-
-
-def _numbers(x: str) -> str:
-    return f"regexp_extract_all({x}, '(\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?)', 1)"
+def _worth(x: str, n: int, apart: list[str] | None = None) -> str:
+    other = f" AND NOT list_contains([{', '.join(repr(w) for w in apart)}], w)" if apart else ""
+    return f"list_filter({_words(x)}, lambda w: length(w) >= {n} AND NOT regexp_matches(w, '^\\p{{Nd}}+$'){other})"
 
 
-def _longer(x: str, n: int) -> str:
-    return f"list_filter({_words(x)}, lambda w: length(w) >= {n})"
+def _changed(words: list[str], code: str) -> str:
+    own = lambda x: f"list_sort(list_distinct(list_filter({_words(x)}, lambda w: list_contains([{', '.join(repr(w) for w in words)}], w))))"
+    return f"SELECT document_id, transformation_id, 1::BIGINT AS n, '{code}' AS code FROM p WHERE {own('o')} <> {own('r')}"
 
 
 SQL = {
     "raw_fallback": f"WITH {_B}, {_RAW} SELECT document_id, page, raw_block_id FROM r WHERE trim(coalesce(text, ''), ' ') <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.document_id = r.document_id AND b.page = r.page AND trim(coalesce(b.text, ''), ' ') <> '')",
     "ocr_eligibility": f"""WITH {_B}, p AS (SELECT document_id, page, sum(length(coalesce(text, ''))) AS n, count(asset_id) AS images FROM b WHERE page IS NOT NULL GROUP BY 1, 2), g AS (SELECT document_id, count(*) AS pages, count(*) FILTER (n < 100 AND images > 0) AS low FROM p GROUP BY 1)
 SELECT document_id, pages, low, CASE WHEN low / pages >= 0.5 THEN 'required' WHEN low > 0 THEN 'recommended' ELSE 'not_needed' END AS decision FROM g""",
-    "broken_fragments": f"""WITH {_RAW}, n AS (SELECT document_id, page, right(trim(text, ' '), 1) AS tail, lead(left(trim(text, ' '), 1)) OVER w AS next_head, lead(page) OVER w AS next_page FROM r WHERE text IS NOT NULL WINDOW w AS (PARTITION BY document_id ORDER BY page, block_ordinal, raw_block_id))
-SELECT document_id, page, count(*) AS fragments FROM n WHERE page = next_page AND regexp_matches(tail, '^[\\p{{L}}\\p{{N}},]$') AND regexp_matches(next_head, '^\\p{{Ll}}$') GROUP BY 1, 2""",
+    "broken_fragments": f"""WITH {_B}, v AS (SELECT document_id, page, reading_order, block_id, regexp_replace(regexp_replace(text, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS v FROM b), n AS (SELECT document_id, page, v, lead(v) OVER w AS nv, lead(page) OVER w AS np, lead(block_id) OVER w AS nb FROM v WHERE v <> '' WINDOW w AS (PARTITION BY document_id ORDER BY page NULLS FIRST, reading_order NULLS FIRST, block_id))
+SELECT document_id, page, count(*) AS fragments FROM n WHERE nb IS NOT NULL AND page IS NOT DISTINCT FROM np AND length(v) >= 25 AND NOT regexp_matches(v, '^-|^===== TABLE') AND NOT regexp_matches(v, '[.:;?!)]$') AND regexp_matches(nv, '^\\p{{Ll}}') GROUP BY 1, 2""",
     "correction_phrases": "SELECT doc_id, phrase FROM (SELECT doc_id, lower(text) AS t, unnest([" + ", ".join(f"'{p}'" for p in CORRECTIONS) + "]) AS phrase FROM documents WHERE text IS NOT NULL) WHERE contains(t, phrase)",
     "evidence_order": f"""WITH {_O}, {_CHUNKS}, e AS (SELECT document_id, chunk_id, unnest(refs) AS r, unnest(range(len(refs))) AS i FROM c), k AS (SELECT e.*, o.ordinal FROM e LEFT JOIN o ON o.document_id = e.document_id AND o.block_id = e.r.block_id),
 s AS (SELECT *, lag(ordinal) OVER (PARTITION BY document_id, chunk_id ORDER BY i) AS before FROM k WHERE ordinal IS NOT NULL), t AS (SELECT document_id, chunk_id, count(*) FILTER (ordinal < before) AS reordered FROM s GROUP BY 1, 2)
 SELECT k.document_id, k.chunk_id, count(*) AS "references", count(*) FILTER (ordinal IS NULL) AS unknown, coalesce(any_value(t.reordered), 0) AS reordered, coalesce(max(ordinal) - min(ordinal) + 1 - count(DISTINCT ordinal), 0) AS gaps FROM k LEFT JOIN t USING (document_id, chunk_id) GROUP BY 1, 2""",
     "unique_references": f'WITH {_CHUNKS} SELECT document_id, chunk_id, coalesce(len(refs), 0) AS "references", coalesce(len(list_distinct(refs)), 0) AS distinct_references FROM c',
     "ordered_sections": f"WITH {_O}, f AS (SELECT document_id, section_id, min(ordinal) AS first_ordinal FROM o WHERE section_id IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY first_ordinal) AS place FROM f",
-    "audit_issues": f"WITH p AS {_P} {_lost(_numbers('r'), _numbers('o'), 'unsupported_number')} UNION ALL {_lost(_measures('r'), _measures('o'), 'unsupported_measure')} UNION ALL {_lost(_longer('r', 4), _longer('o', 4), 'unsupported_word')} UNION ALL {_lost(_longer('o', 3), _longer('r', 3), 'missing_word')} UNION ALL SELECT document_id, transformation_id, 1::BIGINT, 'changed_modality' FROM p WHERE {_own('o')} <> {_own('r')}",
+    "audit_issues": f"WITH {_T} {_lost(_signed('r'), _signed('o'), 'unsupported_numerical_token')} UNION ALL {_lost(_units('r'), _units('o'), 'unsupported_unit')} UNION ALL {_lost(_worth('r', 4, X.PRESENTATION_WORDS), _worth('o', 4, X.PRESENTATION_WORDS), 'unsupported_lexical_addition')} UNION ALL {_lost(_worth('o', 3), _worth('r', 3), 'informative_source_tokens_missing')} UNION ALL {_changed(X.NEGATIONS, 'changed_negation')} UNION ALL {_changed(X.MODALS, 'changed_modal_word')} UNION ALL SELECT document_id, transformation_id, 1::BIGINT, 'missing_transformation_support_basis' FROM p WHERE b = ''",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.labels import clean_path, language_code, source_of
-from lectern.operators import association, inventory, matching, multisets, ordering, quality, selection, structure
+from lectern.operators import association, cleaning, inventory, matching, multisets, ordering, quality, selection, structure
 
 
 def one(spark, column, value, kind="string"):
@@ -126,10 +126,23 @@ def test_split_paragraph(spark):
     assert {i: [t for _, t in sorted(v)] for i, v in got.items()} == {i: b for i, t in enumerate(texts) if t and (b := split_brute(t, 24))}
 
 
-def test_table_echoes_and_rendering(spark):
-    rows = [("d", 1, "t", "table", "alpha | beta\ngamma | delta | eins"), ("d", 2, "p", "paragraph", "alpha beta gamma delta"), ("d", 3, "q", "paragraph", "alpha alpha beta gamma"), ("d", 12, "r", "paragraph", "alpha beta gamma delta"), ("d", 4, "n", "paragraph", None)]
-    df = spark.createDataFrame(rows, "document_id string, ordinal long, block_id string, block_type string, text string")
-    assert [(r.block_id, r.table_block_id) for r in structure.table_echoes(df).collect()] == [("p", "t")]
+def test_cleaning(spark):
+    rows = [
+        ("d", "a1", 1, 0, "CamScanner"), ("d", "a2", 1, 1, "Dr Nadia Zelm"), ("d", "a3", 1, 2, "TITLE: Nieren\u00a0heute"), ("d", "a4", 1, 3, "Ein carci-\nnome wächst."), ("d", "a5", 1, 4, "ein  carcinome wächst."),
+        ("d", "b1", 2, 0, "dr nadia zelm"), ("d", "b2", 2, 1, "alpha | beta | gamma | delta"), ("d", "b3", 2, 2, "Delta gamma beta alpha"), ("d", "b4", 2, 3, "alpha | beta"), ("d", "b5", 2, 4, "Delta gamma beta alpha"), ("d", "b6", 2, 5, "delta gamma beta alpha"), ("d", "b7", 2, 6, None),
+    ]
+    raw = spark.createDataFrame(rows, "document_id string, block_id string, page int, place int, text string").selectExpr("*", "1 as ordinal", "'x' as key")
+    c = cleaning.clean_pages(raw)
+    got = {r.block_id: (r.text, r.classification, r.retained, r.reason) for r in c.collect()}
+    assert got == {
+        "a1": ("", "body_content", True, None), "a2": ("Dr Nadia Zelm", "teacher_name", True, None), "a3": ("Nieren heute", "course_title", True, None), "a4": ("Ein carcinome wächst.", "body_content", True, None), "a5": ("ein carcinome wächst.", "body_content", False, "repeats the block before"),
+        "b1": ("dr nadia zelm", "repeated_header", False, "repeated header"), "b2": ("alpha | beta | gamma | delta", "course_title", True, None), "b3": ("Delta gamma beta alpha", "course_title", False, "repeats a table"), "b4": ("alpha | beta", "course_title", True, None),
+        "b5": ("Delta gamma beta alpha", "course_title", True, None), "b6": ("delta gamma beta alpha", "course_title", False, "repeats the block before"), "b7": ("", "body_content", True, None),
+    }
+    assert {r.transformation for r in c.filter("block_id in ('a4')").collect()} == {"split_word_repair"} and c.filter("block_id = 'a1' and transformation = 'metadata_classification'").count() == 1
+    assert cleaning.clean_texts(c).first().text.startswith("[Page 1]\n\nDr Nadia Zelm\n\nNieren heute")
+    assert "===== SLIDE 2 =====" in cleaning.clean_texts(c, spark.createDataFrame([("d", "slide")], "document_id string, location_type string"), "keep").first().text
+    assert "Page" not in cleaning.clean_texts(c, mode="remove").first().text and cleaning.clean_pages(raw.limit(0)).count() == 0
     assert one(spark, structure.render_table, "a|b\n\nc") == "a | b\nc | "
 
 
@@ -195,11 +208,16 @@ def test_inventory(spark):
 def test_multisets_and_quality(spark):
     df = spark.createDataFrame([(1, ["a", "a", "b"], ["a"]), (2, None, ["x"]), (3, ["z"], None)], "i int, l array<string>, r array<string>")
     assert {(x.i, x.v, x.surplus) for x in multisets.difference(df, ["i"], F.col("l"), F.col("r"), "v").collect()} == {(1, "a", 1), (1, "b", 1), (3, "z", 1)}
-    pages = spark.createDataFrame([("d", 1, "CamScanner\n\nFigure 1", 2), ("d", 2, None, 0), ("d", 3, "Une page entière. " * 20, 1), ("e", 1, "# @ + $ % ~ = < > | a 1", 1)], "document_id string, page int, raw string, blocks int")
-    got = {(r.document_id, r.page): r.status for r in quality.readiness(pages).collect()}
-    assert got == {("d", 1): "image_dependent", ("d", 2): "unusable", ("d", 3): "ready", ("e", 1): "unusable"}
+    whole = "Une page entière. " * 30
+    rows = [("d", 1, "CamScanner\n\nFigure 1", "", ["CamScanner", "Figure 1"], 0), ("d", 2, None, None, [], None), ("d", 3, whole, whole, [whole], 0), ("e", 1, "# @ + $ % ~ = < > | a 1", "# @ + $ % ~ = < > | a 1", ["x"], 0), ("f", 1, whole + "10  8 BK", whole, [whole], 1), ("f", 2, whole, whole, ["IVEinleitung und so weiter", "dies ist ein langer Block ohne Ende", "und so weiter geht es hier noch", "bis zum Schluss"], 0), ("f", 3, "EIN TITEL DER SEITE HIER", "EIN TITEL DER SEITE HIER", ["t"], 0)]
+    pages = spark.createDataFrame(rows, "document_id string, page int, raw string, cleaned string, blocks array<string>, burden int")
+    got = {(r.document_id, r.page): (r.status, r.reasons) for r in quality.readiness(pages).collect()}
+    assert got == {
+        ("d", 1): ("image_dependent", "caption_without_recoverable_visual_content,scanner_watermark,sparse_or_empty_location"), ("d", 2): ("unusable", "sparse_or_empty_location"), ("d", 3): ("ready", ""), ("e", 1): ("unusable", "probable_ocr_gibberish,sparse_location"),
+        ("f", 1): ("ready_with_noise", "ambiguous_numerical_notation,duplicate_extraction_burden"), ("f", 2): ("ready_with_noise", "broken_sentence_fragments,malformed_heading"), ("f", 3): ("ready", "title_only_location"),
+    }
     whole = {r.document_id: r.status for r in quality.document_readiness(quality.readiness(pages)).collect()}
-    assert whole == {"d": "partially_reconstructable", "e": "unusable"}
+    assert whole == {"d": "partially_reconstructable", "e": "unusable", "f": "ready_with_noise"}
     gaps = spark.createDataFrame([("d", 0), ("d", 2), ("e", 0), ("e", 1), ("f", None)], "document_id string, i int")
     assert sorted(r.document_id for r in quality.numbering_gaps(gaps, "document_id", "i", "gap").collect()) == ["d", "f"]
 
