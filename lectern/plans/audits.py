@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import matching as M
 from lectern.operators import structure as S
+from lectern.operators.auditing import CORRECTIONS, corrections
 from lectern.operators.ordering import neighbours, number
 from lectern.operators.quality import fragment_follows
 from lectern.plans.structures import _B, _O, _blocks, _chunks
@@ -15,10 +16,6 @@ from lectern.plans.texts import _SPACE, _signed, _units, _words
 from lectern.session import cut_lineage
 from lectern.sources.tables import latest_texts, table
 
-#: Phrases by which a text corrects its source, lower case.
-CORRECTIONS = ["likely a typo", "probable typo", "should be interpreted as", "likely an error", "erreur probable", "coquille probable", "doit être interprété", "doit etre interprete", "semble être une erreur", "semble etre une erreur"]
-
-
 def _raw(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_blocks").select("document_id", "raw_block_id", F.col("location_number").alias("page"), "block_ordinal", "text").distinct()
 
@@ -49,9 +46,10 @@ def broken_fragments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def correction_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.lower("text").alias("t"))
-    found = F.filter(F.array(*[F.lit(p) for p in CORRECTIONS]), lambda p: F.contains(F.col("t"), p))
-    return d.select("doc_id", F.explode(found).alias("phrase"))
+    """Phrases of correction in rewritten texts."""
+    keys = ["document_id", "transformation_id"]
+    t = latest_texts(table(spark, folder, "model_transformations").select(*keys, "reconstructed_text", "ingested_at"), keys, "ingested_at")
+    return t.select(*keys, F.explode(corrections(F.coalesce("reconstructed_text", F.lit("")))).alias("phrase"))
 
 
 def evidence_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +127,7 @@ SQL = {
 SELECT document_id, pages, low, CASE WHEN low / pages >= 0.5 THEN 'required' WHEN low > 0 THEN 'recommended' ELSE 'not_needed' END AS decision FROM g""",
     "broken_fragments": f"""WITH {_B}, v AS (SELECT document_id, page, reading_order, block_id, regexp_replace(regexp_replace(text, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS v FROM b), n AS (SELECT document_id, page, v, lead(v) OVER w AS nv, lead(page) OVER w AS np, lead(block_id) OVER w AS nb FROM v WHERE v <> '' WINDOW w AS (PARTITION BY document_id ORDER BY page NULLS FIRST, reading_order NULLS FIRST, block_id))
 SELECT document_id, page, count(*) AS fragments FROM n WHERE nb IS NOT NULL AND page IS NOT DISTINCT FROM np AND length(v) >= 25 AND NOT regexp_matches(v, '^-|^===== TABLE') AND NOT regexp_matches(v, '[.:;?!)]$') AND regexp_matches(nv, '^\\p{{Ll}}') GROUP BY 1, 2""",
-    "correction_phrases": "SELECT doc_id, phrase FROM (SELECT doc_id, lower(text) AS t, unnest([" + ", ".join(f"'{p}'" for p in CORRECTIONS) + "]) AS phrase FROM documents WHERE text IS NOT NULL) WHERE contains(t, phrase)",
+    "correction_phrases": f"WITH {_T} SELECT document_id, transformation_id, phrase FROM (SELECT document_id, transformation_id, lower(nfc_normalize(r)) AS t, unnest([" + ", ".join(f"'{p}'" for p in CORRECTIONS) + "]) AS phrase FROM p) WHERE contains(t, phrase)",
     "evidence_order": f"""WITH {_O}, {_CHUNKS}, e AS (SELECT document_id, chunk_id, unnest(refs) AS r, unnest(range(len(refs))) AS i FROM c), k AS (SELECT e.*, o.ordinal FROM e LEFT JOIN o ON o.document_id = e.document_id AND o.block_id = e.r.block_id),
 s AS (SELECT *, lag(ordinal) OVER (PARTITION BY document_id, chunk_id ORDER BY i) AS before FROM k WHERE ordinal IS NOT NULL), t AS (SELECT document_id, chunk_id, count(*) FILTER (ordinal < before) AS reordered FROM s GROUP BY 1, 2)
 SELECT k.document_id, k.chunk_id, count(*) AS "references", count(*) FILTER (ordinal IS NULL) AS unknown, coalesce(any_value(t.reordered), 0) AS reordered, coalesce(max(ordinal) - min(ordinal) + 1 - count(DISTINCT ordinal), 0) AS gaps FROM k LEFT JOIN t USING (document_id, chunk_id) GROUP BY 1, 2""",
