@@ -60,5 +60,5 @@ def reference_order(references: DataFrame, ordered: DataFrame) -> DataFrame:
     row = F.struct("at", "ordinal")
     g = known.groupBy("document_id", "chunk_id").agg(F.array_sort(F.collect_list(row)).alias("r"), F.count(F.lit(1)).alias("references"), F.count_if(F.col("ordinal").isNull()).alias("unknown"), F.countDistinct("ordinal").alias("_d"), F.min("ordinal").alias("_lo"), F.max("ordinal").alias("_hi"))
     steps = F.filter(F.col("r.ordinal"), lambda x: x.isNotNull())
-    back = F.size(F.filter(F.zip_with(steps, F.slice(steps, 2, 1_000_000), lambda a, b: b < a), lambda x: F.coalesce(x, F.lit(False))))
+    back = F.size(F.filter(F.zip_with(steps, F.slice(steps, F.lit(2), F.greatest(F.size(steps), F.lit(1))), lambda a, b: b < a), lambda x: F.coalesce(x, F.lit(False))))
     return g.select("document_id", "chunk_id", "references", "unknown", back.cast("bigint").alias("reordered"), F.coalesce(F.col("_hi") - F.col("_lo") + 1 - F.col("_d"), F.lit(0)).cast("bigint").alias("gaps"))

@@ -65,9 +65,9 @@ def similar_sets(rows: DataFrame, group: str, key: str, tokens: str, least: floa
     as pairs with that key and similarity 1, not with each other. Classes are
     compared by prefix filtering: tokens are ordered from rare to frequent
     within the group and two sets can only be that similar if they share a
-    token among the first ``n - ceil(least * n) + 1``; only such pairs of about
-    the same size meet, through an equi-join on (group, token, length band).
-    Exact: every candidate is verified. Empty sets and null groups pair with none.
+    token among the first ``n - ceil(least * n) + 1``; only such pairs meet,
+    through an equi-join on (group, token), and those of sizes too far apart
+    are left out. Exact: every candidate is verified. Empty sets and null groups pair with none.
     """
     sets = rows.filter(F.col(group).isNotNull() & (F.size(tokens) > 0)).select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_sort(F.array_distinct(F.col(tokens))).alias("t"))
     ident = F.sha2(F.array_join("t", "\u0001"), 256)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import audits, collections, hierarchies, inventories, qualities, selections, structures, texts
+from lectern.plans import audits, collections, hierarchies, inventories, planted, qualities, selections, structures, texts
 
-_PARTS = [structures, texts, hierarchies, inventories, selections, qualities, audits, collections]
+_PARTS = [structures, texts, hierarchies, inventories, selections, qualities, audits, collections, planted]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The header's keys in their order.
@@ -38,38 +38,62 @@ def parse_header(text: Column) -> Column:
     """``struct<header map, body, body_start, error>`` of an export; ``error`` names the first line that is not the expected key."""
     lines = F.slice(F.split(text, "\n"), 1, len(HEADER) + 1)
     wrong = F.array_compact(F.array(*[F.when(~F.coalesce(F.startswith(F.get(lines, F.lit(i)), F.lit(f"{k}: ")), F.lit(False)), F.lit(k)) for i, k in enumerate(HEADER)]))
-    values = F.map_from_arrays(F.array(*[F.lit(k) for k in HEADER]), F.array(*[F.substring(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), F.lit(len(k) + 3), F.lit(1_000_000)) for i, k in enumerate(HEADER)]))
+    values = F.map_from_arrays(F.array(*[F.lit(k) for k in HEADER]), F.array(*[F.substring(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), F.lit(len(k) + 3), F.length(text)) for i, k in enumerate(HEADER)]))
     start = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x) + 1)
     error = F.when(F.size(wrong) > 0, wrong[0]).when(F.get(lines, F.lit(len(HEADER))) != "", "BLANK LINE")
     return F.struct(values.alias("header"), F.substring(text, start + 1, F.length(text)).alias("body"), start.alias("body_start"), error.alias("error"))
 
 
 def locations(exports: DataFrame) -> DataFrame:
-    """``path, location_no, kind, number, start, end, text``: the parts of each body, with the place of their text in the whole export.
+    """``path, location_no, kind, number, start, end, text, error``: the parts of each body, with the place of their text in the whole export.
 
-    ``exports``: ``path, body, body_start``. Lines are numbered inside their
-    row and summed up by path, so the offsets are exact: the text between
-    ``start`` and ``end`` of the export is ``text``. What stands before the
-    first mark is location 0 without a kind.
+    ``exports``: ``path, body, body_start``. A body is cut at its marks inside
+    its row (a row is one export, which is one text); places are sums of the
+    lengths before, so the text between ``start`` and ``end`` of the export is
+    ``text``. Text before the first mark, or without any, is location 0 with
+    the error ``text_before_first_mark``; blank text there is none.
     """
-    l = exports.select("path", "body_start", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))  # noqa: E741
-    by_path = Window.partitionBy("path").orderBy("line_no")
-    l = l.withColumns({"mark": F.col("line").rlike(MARK).cast("int"), "width": F.length("line") + 1})  # noqa: E741
-    l = l.withColumns({"location_no": F.sum("mark").over(by_path), "at": F.col("body_start") + F.coalesce(F.sum("width").over(by_path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})  # noqa: E741
-    g = l.groupBy("path", "location_no").agg(
-        F.max(F.when(F.col("mark") == 1, F.regexp_extract("line", MARK, 1))).alias("kind"),
-        F.max(F.when(F.col("mark") == 1, F.nullif(F.regexp_extract("line", MARK, 2), F.lit("")))).cast("int").alias("number"),
-        F.min(F.when(F.col("mark") == 0, F.col("at"))).alias("start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("mark") == 0, F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("text"),
-    )
-    full = g.withColumn("start", F.coalesce("start", F.lit(0)))
-    return full.select("path", "location_no", "kind", "number", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+    lines = F.split("body", "\n")
+    flagged = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(MARK).alias("mark")))
+    start = F.struct(F.array().cast("array<struct<mark:string,at:int,text:string>>").alias("done"), F.lit(None).cast("string").alias("mark"), F.lit(0).alias("at"), F.lit(0).alias("next"), F.array().cast("array<string>").alias("open"))
+    closed = lambda a: F.array_append(a["done"], F.struct(a["mark"].alias("mark"), a["at"].alias("at"), F.array_join(a["open"], "\n").alias("text")))
+
+    def step(a, x):
+        after = a["next"] + F.length(x["line"]) + 1
+        return F.struct(
+            F.when(x["mark"], closed(a)).otherwise(a["done"]).alias("done"), F.when(x["mark"], x["line"]).otherwise(a["mark"]).alias("mark"), F.when(x["mark"], after).otherwise(a["at"]).alias("at"), after.alias("next"),
+            F.when(x["mark"], F.array().cast("array<string>")).otherwise(F.array_append(a["open"], x["line"])).alias("open"),
+        )
+
+    parts = F.aggregate(flagged, start, step, closed)
+    l = exports.select("path", "body_start", F.posexplode(parts).alias("location_no", "p"))  # noqa: E741
+    kind, n = F.regexp_extract("p.mark", MARK, 1), F.regexp_extract("p.mark", MARK, 2)
+    lost = F.when(F.col("p.mark").isNull() & (F.trim(F.regexp_replace("p.text", r"\s+", " ")) != ""), "text_before_first_mark")
+    out = l.select("path", "location_no", kind.alias("kind"), F.nullif(n, F.lit("")).cast("int").alias("number"), (F.col("body_start") + F.col("p.at")).alias("start"), F.col("p.text").alias("text"), lost.alias("error"))
+    return out.filter("location_no > 0 or error is not null").select("path", "location_no", "kind", "number", "start", (F.col("start") + F.length("text")).alias("end"), "text", "error")
+
+
+def page_numbers_hold(parts: DataFrame) -> DataFrame:
+    """``path, holds``: whether the pages or slides of an export are numbered 1, 2, ... in order, none missing; exports of other kinds hold with one location."""
+    g = parts.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count("number").alias("numbered"), F.count_if(F.col("number") == F.col("location_no")).alias("right"), F.count("error").alias("errors"))
+    return g.select("path", ((F.col("errors") == 0) & (((F.col("numbered") == 0) & (F.col("n") == 1)) | (F.col("right") == F.col("n")))).alias("holds"))
 
 
 def location_blocks(parts: DataFrame) -> DataFrame:
-    """``path, location_no, block_no, start, end, text``: the runs of lines between blank lines of each location, with their places in the export."""
-    pieces = F.filter(F.regexp_extract_all("text", F.lit(r"((?:[^\n]*[^\s\n][^\n]*(?:\n|$))+)"), F.lit(1)), lambda x: F.trim(x) != "")
-    b = parts.select("path", "location_no", "start", "text", F.posexplode(pieces).alias("at", "raw"), pieces.alias("all"))
-    folded = F.expr("aggregate(slice(all, 1, at + 1), struct(1 as p, 0 as s), (acc, x) -> struct(locate(x, text, acc.p) + char_length(x) as p, locate(x, text, acc.p) as s), acc -> acc.s)")
-    body = F.regexp_replace("raw", r"\n+$", "")
-    return b.select("path", "location_no", (F.col("at") + 1).alias("block_no"), (F.col("start") + folded - 1).alias("start"), (F.col("start") + folded - 1 + F.length(body)).alias("end"), body.alias("text"))
+    """``path, location_no, block_no, start, end, text``: the runs of lines between blank lines of each location, with their places in the export.
+
+    Blocks are cut inside the row in one pass that carries the place, and only
+    then exploded, so a row's work grows with its text.
+    """
+    flagged = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), (F.trim(F.regexp_replace(x, r"\s+", " ")) == "").alias("blank")))
+    start = F.struct(F.array().cast("array<struct<at:int,text:string>>").alias("done"), F.lit(0).alias("at"), F.lit(0).alias("next"), F.array().cast("array<string>").alias("open"))
+    closed = lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], F.struct(a["at"].alias("at"), F.array_join(a["open"], "\n").alias("text")))).otherwise(a["done"])
+
+    def step(a, x):
+        fresh = F.size(a["open"]) == 0
+        return F.struct(
+            F.when(x["blank"], closed(a)).otherwise(a["done"]).alias("done"), F.when(~x["blank"] & fresh, a["next"]).otherwise(a["at"]).alias("at"), (a["next"] + F.length(x["line"]) + 1).alias("next"), F.when(x["blank"], F.array().cast("array<string>")).otherwise(F.array_append(a["open"], x["line"])).alias("open"),
+        )
+
+    b = parts.select("path", "location_no", "start", F.posexplode(F.aggregate(flagged, start, step, closed)).alias("at", "b"))
+    return b.select("path", "location_no", (F.col("at") + 1).alias("block_no"), (F.col("start") + F.col("b.at")).alias("start"), (F.col("start") + F.col("b.at") + F.length("b.text")).alias("end"), F.col("b.text").alias("text"))

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
+import os
+from collections.abc import Iterator
+from datetime import datetime
+from urllib.parse import urlparse
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +22,74 @@ def _relative(root: str) -> Column:
     return F.substring(F.col("path"), F.instr(F.col("path"), base) + F.length(base), F.length("path"))
 
 
+_LISTED = "address string, size bigint, modified timestamp"
+
+
+def _listing(spark: SparkSession, root: str, pattern: str | None) -> DataFrame:
+    """``address, size, modified`` of every regular file below ``root``, whatever its name or size; symbolic links are no files of the tree.
+
+    The driver asks the file system for the names, as for any table of files,
+    and hands them on in slices.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    at = hadoop.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)  # noqa: SLF001
+    rows, out = [], spark.createDataFrame([], _LISTED)
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().getName()
+        address = f.getPath().toString()
+        if f.isSymlink() or name.endswith(".crc") or (pattern and not fnmatch.fnmatchcase(name, pattern)) or os.path.islink(f.getPath().toUri().getPath()):
+            continue
+        rows.append((address, f.getLen(), datetime.fromtimestamp(f.getModificationTime() / 1000)))
+        if len(rows) >= 100_000:
+            out, rows = out.unionByName(spark.createDataFrame(rows, _LISTED)), []
+    return out.unionByName(spark.createDataFrame(rows, _LISTED)) if rows else out
+
+
 def discover(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """``path, filename, extension, file_type, size, sha256, modified``: every regular file below ``root``, by its path relative to it.
+    """``path, filename, extension, file_type, size, sha256, modified, error``: every regular file below ``root``, by its path relative to it.
 
-    Files are read by Spark's binary source, one row each, so hashing spreads
-    over the cluster; only the hash leaves the scan. An empty folder gives no
-    rows, and a file of no bytes none either (the reader passes over it). Paths sort by bytes, as Spark compares strings.
+    Empty files and files whose names begin with ``_`` or ``.`` are listed like
+    any other. Bytes are read by the executors, file by file, and only the hash
+    leaves a task; a file that can't be read gives an error in its row, never a
+    failure of the job. An empty folder gives no rows. Paths sort by bytes, as
+    Spark compares strings.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    f = reader.load(root)
-    return f.select(_relative(root).alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), extension(F.col("path")).alias("extension"), file_type(F.col("path")).alias("file_type"), "size", F.sha2("content", 256).alias("sha256"), "modified"
-    )
+    listed = _listing(spark, root, pattern)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums, errors = [], []
+            for address in b["address"]:
+                digest, error = hashlib.sha256(), None
+                try:
+                    with open(urlparse(address).path if ":" in address else address, "rb") as f:
+                        while block := f.read(1 << 20):
+                            digest.update(block)
+                except OSError as e:
+                    error = type(e).__name__
+                sums.append(None if error else digest.hexdigest())
+                errors.append(error)
+            yield b.assign(sha256=sums, error=errors)
+
+    def by_spark(files: DataFrame) -> DataFrame:
+        """On file systems that only Spark reads, it reads what its index admits; the rest come without a hash."""
+        seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("address"), F.sha2("content", 256).alias("sha256"))
+        empty = F.when(F.col("size") == 0, F.sha2(F.lit(""), 256))
+        return files.join(seen, "address", "left").withColumn("sha256", F.coalesce("sha256", empty)).withColumn("error", F.when(F.col("sha256").isNull(), "not_read"))
+
+    local = (urlparse(root).scheme or "file") == "file"
+    whole = listed.repartition("address").mapInPandas(hashed, _LISTED + ", sha256 string, error string") if local else by_spark(listed)
+    f = whole.withColumn("path", F.col("address")).withColumn("path", _relative(root))
+    return f.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), extension(F.col("path")).alias("extension"), file_type(F.col("path")).alias("file_type"), "size", "sha256", "modified", "error")
+
+
+def directories(files: DataFrame, path: str = "path") -> DataFrame:
+    """``directory, files``: every folder that holds files, itself or below, and how many."""
+    parts = F.split(F.col(path), "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return files.filter(F.size(parts) > 1).select(F.explode(ups).alias("directory")).groupBy("directory").agg(F.count(F.lit(1)).alias("files"))
 
 
 def decoded(content: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.labels import clean_path, language_code, source_of
-from lectern.operators import association, cleaning, inventory, matching, multisets, ordering, quality, selection, structure
+from lectern.operators import association, cleaning, inventory, matching, multisets, ordering, progress, quality, selection, structure
 
 
 def one(spark, column, value, kind="string"):
@@ -231,3 +231,32 @@ def test_matching(spark):
     order = spark.createDataFrame([("d", b, i) for i, b in enumerate("xyzw", 1)], "document_id string, block_id string, ordinal int")
     got = {r.chunk_id: (r.references, r.unknown, r.reordered, r.gaps) for r in matching.reference_order(refs, order).collect()}
     assert got == {"c": (4, 1, 1, 0), "e": (2, 0, 0, 2)}
+
+
+def test_progress_ladders(spark):
+    ladder = {"a": ["reconstructed", "needs_human_review"], "b": ["unchanged_clean"], "c": ["unchanged_clean"], "d": ["model_failure", "reconstructed"], "e": ["unusable", "image_dependent"], "f": ["unusable"], "g": ["reconstructed", "image_dependent"], "h": ["reconstructed", "unchanged_clean"], "k": ["model_unavailable"]}
+    parts = spark.createDataFrame([(d, s) for d, ss in ladder.items() for s in ss], "document_id string, status string")
+    ready = spark.createDataFrame([(d, "partially_reconstructable" if d == "c" else "human_review_required" if d == "j" else "ready") for d in "abcdefghijk"], "document_id string, readiness string")
+    got = {r.document_id: r.status for r in progress.reconstruction_status(parts, ready).collect()}
+    assert got == {
+        "a": "needs_human_review", "b": "unchanged_clean", "c": "partially_reconstructable", "d": "model_failure", "e": "image_dependent", "f": "unusable", "g": "reconstructed_with_warnings", "h": "reconstructed", "i": "unusable", "j": "needs_human_review", "k": "model_unavailable",
+    }
+    df = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    reached = {r.id: (r.stage, r.complete) for r in progress.furthest(df("a", "b", "c", "c"), {"one": df("a", "b", "b"), "two": df("a", "c")}, "id").collect()}
+    assert reached == {"a": ("two", True), "b": ("one", False), "c": ("source", False)}
+    manifest = spark.createDataFrame([("a", "h", "exported"), ("b", "h", "failed"), ("c", "x", "exported")], "path string, sha256 string, status string")
+    found = progress.discovered(spark.createDataFrame([(p, "h") for p in "abcd"], "path string, sha256 string"), manifest)
+    assert {r.path: r.state for r in found.collect()} == {"a": "ok", "b": "not_successful", "c": "hash_differs", "d": "not_in_manifest"}
+
+
+def test_number_moves_rows_once(spark):
+    """One exchange of the rows; the totals' are small and of their own columns."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = spark.range(50).selectExpr("cast(id % 3 as string) g", "cast(id % 7 as int) page", "id", "'x' as text")
+    plans = []
+    for made in (ordering.number(df, ["g"], ["page"], ["id"]), ordering.islands(df.withColumn("n", F.col("id")), ["g"], "n", ["page"])):
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [sum("text" in line for line in p.split("\n") if "Exchange" in line) for p in plans]
+    assert [p.count("Exchange") for p in plans][0] <= 4 and moved == [0, 0]

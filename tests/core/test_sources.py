@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import logging
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.sources import exports, files, sinks
-from lectern.sources.tables import latest
+from lectern.sources import exports, files, sinks, tables
+from lectern.sources.tables import latest, latest_texts
 from lectern.streaming import incremental
 
 
@@ -17,8 +19,16 @@ def test_discovery(spark, tmp_path):
     (root / "Pôle B" / "b.TXT").write_bytes(b"same")
     (root / "Pôle B" / "x" / "c").write_bytes(b"z")
     (root / "empty").write_bytes(b"")
+    (root / "_under").write_bytes(b"u")
+    (root / ".dot").write_bytes(b"")
+    (root / "link").symlink_to(root / "a.txt")
     got = {r.path: r for r in files.discover(spark, str(root)).collect()}
-    assert set(got) == {"a.txt", "Pôle B/b.TXT", "Pôle B/x/c"}
+    assert set(got) == {"a.txt", "Pôle B/b.TXT", "Pôle B/x/c", "empty", "_under", ".dot"}
+    assert got["empty"].sha256 == hashlib.sha256(b"").hexdigest() and got["_under"].size == 1 and all(r.error is None for r in got.values())
+    assert {r.directory: r.files for r in files.directories(files.discover(spark, str(root))).collect()} == {"Pôle B": 2, "Pôle B/x": 1}
+    assert [r.path for r in files.discover(spark, str(root), "*.txt").collect()] == ["a.txt"]
+    (tmp_path / "none").mkdir()
+    assert files.discover(spark, str(tmp_path / "none")).count() == 0
     assert got["a.txt"].sha256 == hashlib.sha256(b"same").hexdigest() and got["a.txt"].file_type == "Plain Text"
     assert got["Pôle B/b.TXT"].extension == "txt" and got["Pôle B/x/c"].file_type == "Unknown" and got["Pôle B/x/c"].size == 1
 
@@ -57,6 +67,39 @@ def test_exports_round_trip(spark):
     assert broken.error == "SOURCE SHA256"
 
 
+def test_text_before_marks_and_page_numbers(spark):
+    bodies = [("a", "===== PAGE 1 =====\n\nx\n===== PAGE 2 =====\ny"), ("b", "verloren\n===== PAGE 1 =====\nx"), ("c", "===== PAGE 2 =====\nx"), ("d", "===== DOCUMENT CONTENT =====\nx"), ("e", ""), ("f", "nur Text")]
+    parts = exports.locations(spark.createDataFrame(bodies, "path string, body string").withColumn("body_start", F.lit(0))).cache()
+    assert {(r.path, r.location_no, r.error) for r in parts.filter("error is not null").collect()} == {("b", 0, "text_before_first_mark"), ("f", 0, "text_before_first_mark")}
+    assert {r.path: r.holds for r in exports.page_numbers_hold(parts).collect()} == {"a": True, "b": False, "c": False, "d": True, "f": False}
+    for r in parts.collect():
+        assert dict(bodies)[r.path][r.start : r.end] == r.text
+
+
+def test_more_writers(spark, tmp_path):
+    df = spark.createDataFrame([("d", 1, "x", "accepted"), ("d", 0, "y", "rejected")], "document_id string, chunk_index int, text string, status string")
+    sinks.write_equal(df, str(tmp_path / "equal"))
+    assert spark.read.parquet(str(tmp_path / "equal")).count() == 2
+    for _ in range(2):
+        sinks.append_failures(df, str(tmp_path / "failures"))
+    assert spark.read.json(str(tmp_path / "failures")).count() == 4
+    sinks.write_dataset(spark.createDataFrame([("d", "t"), ("e", None)], "document_id string, title string"), df.drop("status"), str(tmp_path / "data"))
+    made = {r["document_id"]: r for r in map(json.loads, (r.value for r in spark.read.text(str(tmp_path / "data")).collect()))}
+    assert [c["text"] for c in made["d"]["chunks"]] == ["y", "x"] and made["e"]["chunk_count"] == 0
+    assert sinks.write_accepted([df, df], str(tmp_path / "bank")) == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_accepted([df], str(tmp_path / "bank"))
+    inventory = spark.createDataFrame([("a", "h", "ok", None), ("b", "h", "unsupported", None), ("c", None, "unreadable", "bad")], "path string, sha256 string, status string, error string")
+    sinks.write_library(inventory, str(tmp_path / "library"))
+    count = lambda n: spark.read.json(str(tmp_path / "library" / f"{n}.json")).count()
+    assert [count(n) for n in ("inventory", "duplicates", "errors", "unsupported")] == [3, 2, 1, 1]
+    chunks = spark.createDataFrame([("d", 0, "list", ["A", "B"], 1, 2, " x ")], "document_id string, chunk_index int, chunk_type string, path array<string>, first_page int, last_page int, text string")
+    assert sinks.chunks_markdown(chunks).first().markdown == "## A / B (list, pages 1-2)\n\nx"
+    record = logging.LogRecord("n", logging.INFO, "f", 1, "Größe %d", (3,), None)
+    line = json.loads(sinks.JsonLines().format(record))
+    assert line["message"] == "Größe 3" and line["level"] == "INFO" and line["timestamp"].endswith("+00:00")
+
+
 def test_roots_must_be_apart():
     sinks.check_roots("/a/b", "/a/c", "/d")
     for bad in (("/a", "/a/b"), ("/a", "/a"), ("/a", "/b", "/b/c")):
@@ -91,12 +134,19 @@ def test_markdown_and_labels(spark):
     assert [r.l for r in p.collect()] == ["document", "page 3", "pages 3-5"]
 
 
-def test_latest(spark):
+def test_latest(spark, monkeypatch):
     rows = [("a", 1, "x", "k"), ("a", 2, "y", None), ("a", 2, "y", None), ("b", None, None, "k"), (None, 1, "n", "k")]
     df = spark.createDataFrame(rows, "id string, t int, v string, _row string")
     got = {r.id: (r.v, r._row) for r in latest(df, ["id"], "t").collect()}
     assert got == {"a": ("y", None), "b": (None, "k"), None: ("n", "k")}
     assert latest(df.limit(0), ["id"], "t", ["id", "v"]).columns == ["id", "v"]
+    monkeypatch.setattr(tables, "REDELIVERED", 10)
+    for most in (10, 0):
+        monkeypatch.setattr(tables, "REDELIVERED", most)
+        again = latest_texts(df, ["id"], "t")
+        assert again.columns == ["id", "t", "v", "_row"] or set(again.columns) == {"id", "t", "v", "_row"}
+        assert {r.id: (r.v, r._row) for r in again.collect()} == got
+        assert latest_texts(df.limit(0), ["id"], "t", ["id", "v"]).columns == ["id", "v"]
 
 
 def test_stream_takes_each_content_once(spark, tmp_path):
