@@ -50,7 +50,7 @@ INSTITUTION = rf"(?iu){_BEFORE}(?:facult[ée]|universit[ée]|h[oô]pital|chu{_AF
 ACADEMIC_YEAR = rf"{_BEFORE}(?:19|20)\p{{Nd}}{{2}}\s*[-–/]\s*(?:19|20)?\p{{Nd}}{{2}}{_AFTER}"
 
 #: Page numbers, and numbers before a heading.
-PAGE_NUMBER = r"^(?:page\s*)?\p{Nd}+(?:\s*/\s*\p{Nd}+)?$"
+PAGE_NUMBER = r"(?i)^(?:page\s*)?\p{Nd}+(?:\s*/\s*\p{Nd}+)?$"
 HEADING_NUMBER = r"^\s*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])\s+\p{L}"
 
 #: Numbers of a text, and numbers with their sign, comparison and per cent.

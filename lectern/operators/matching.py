@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
 #: A block is matched if one raw block of its page is so similar and no other comes so near.
 LEAST, MARGIN = 0.82, 0.05
 
@@ -33,7 +35,8 @@ def match_raw(blocks: DataFrame, raw: DataFrame) -> DataFrame:
     ``blocks``: ``document_id, block_id, page, text``; ``raw``: the same with
     ``raw_block_id``. Candidates meet on (document, page) if their lengths
     allow a match or a rival; of those, Python compares the ones whose
-    characters allow it. Null and blank texts match nothing.
+    characters allow it. Ratios are written to the checkpoint folder, so each
+    pair is compared once. Null and blank texts match nothing.
     """
     key = lambda df, i: df.select("document_id", "page", F.col(i), F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ").alias("t")).filter("t <> ''").withColumn("n", F.length("t"))
     b, r = key(blocks, "block_id"), key(raw, "raw_block_id").withColumnsRenamed({"t": "rt", "n": "rn"})
@@ -42,7 +45,7 @@ def match_raw(blocks: DataFrame, raw: DataFrame) -> DataFrame:
     met = b.join(r, ["document_id", "page"]).filter(able)
     same = met.filter("t = rt").select("document_id", "block_id", "raw_block_id", F.lit(1.0).alias("ratio"))
     near = met.filter("t <> rt").select("document_id", "block_id", "raw_block_id", ratio("t", "rt").alias("ratio"))
-    every = same.unionByName(near.filter(F.col("ratio") > 0))
+    every = cut_lineage(same.unionByName(near.filter(F.col("ratio") > 0)))
     top = every.groupBy("document_id", "block_id").agg(F.max(F.struct("ratio", "raw_block_id")).alias("best"))
     rivals = every.join(top, ["document_id", "block_id"]).filter((F.col("raw_block_id") != F.col("best.raw_block_id")) & (F.col("ratio") > F.col("best.ratio") - MARGIN)).select("document_id", "block_id").distinct()
     good = top.filter(F.col("best.ratio") >= LEAST).join(rivals, ["document_id", "block_id"], "left_anti")

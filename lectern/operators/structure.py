@@ -26,18 +26,26 @@ class Limits:
             raise ValueError("sizes must satisfy 0 < least <= soft <= hard and context >= 0")
 
 
+#: Reading orders in one stretch, by which blocks are sorted first.
+ORDERS = 512
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``ordinal``: 1, 2, ... by (page, reading order, id) within a document; null pages and orders first."""
-    return number(blocks, ["document_id"], ["page"], ["reading_order", "block_id"])
+    """Blocks with ``ordinal``: 1, 2, ... by (reading order, page, id) within a document; null orders and pages first.
+
+    Documents are numbered by stretches of the reading order, so one without
+    pages is no single task either.
+    """
+    return number(blocks.withColumn("_stretch", F.floor(F.col("reading_order") / ORDERS)), ["document_id"], ["_stretch"], ["reading_order", "page", "block_id"]).drop("_stretch")
 
 
 def furniture_key(block_type: str = "block_type", text: str = "text") -> Column:
-    """The key text of headers and footers, null for other blocks and null texts."""
-    return F.when(F.col(block_type).isin("header", "footer"), X.key_text(F.col(text)))
+    """The normalised text of headers and footers, null for other blocks and texts that say nothing."""
+    return F.when(F.col(block_type).isin("header", "footer"), F.nullif(X.normalize_text(F.col(text)), F.lit("")))
 
 
 def repeated_furniture(blocks: DataFrame, least: int = 2) -> DataFrame:
-    """Headers and footers that are page numbers or stand at ``least`` places: ``document_id, block_id, reason``.
+    """Headers and footers that stand at ``least`` places, or are page numbers: ``document_id, block_id, reason``.
 
     ``blocks``: ``document_id, block_id, page, furniture`` (see
     :func:`furniture_key`). A null page is a place. Places are counted over
@@ -47,7 +55,7 @@ def repeated_furniture(blocks: DataFrame, least: int = 2) -> DataFrame:
     place = F.coalesce(F.col("page"), F.lit(-1)).alias("place")
     often = f.select("document_id", "key", place).distinct().groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     joined = f.join(often, ["document_id", "key"], "left")
-    reason = F.when(F.col("key").rlike(X.PAGE_NUMBER), "page_number").when(F.col("n").isNotNull(), "repeated")
+    reason = F.when(F.col("n").isNotNull(), "repeated").when(F.col("key").rlike(X.PAGE_NUMBER), "page_number")
     return joined.select("document_id", "block_id", reason.alias("reason")).filter("reason is not null")
 
 
@@ -160,11 +168,17 @@ def with_context(chunks: DataFrame, most: int, same_path: bool = True) -> DataFr
     }).drop("_before", "_before_path", "_after", "_after_path")
 
 
-def page_ranges(blocks: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """``document_id, section_id, first_page, last_page`` over a section and all below it; ``ancestors``: ``document_id, section_id, descendant_id``."""
-    own = blocks.filter("section_id is not null").groupBy("document_id", "section_id").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
+def page_ranges(ordered: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """``document_id, section_id, first_page, last_page`` of a section and all below it: the pages of the first and last block, in reading order, that have one.
+
+    ``ordered``: ``document_id, section_id, ordinal, page``; ``ancestors``:
+    ``document_id, section_id, descendant_id``. Each section is reduced to its
+    first and last block before its ancestors hear of them.
+    """
+    at = F.when(F.col("page").isNotNull(), F.struct("ordinal", "page"))
+    own = ordered.filter("section_id is not null").groupBy("document_id", "section_id").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
     up = own.join(ancestors.select("document_id", F.col("section_id").alias("above"), F.col("descendant_id").alias("section_id")), ["document_id", "section_id"]).select("document_id", F.col("above").alias("section_id"), "lo", "hi")
-    return own.unionByName(up).groupBy("document_id", "section_id").agg(F.min("lo").alias("first_page"), F.max("hi").alias("last_page"))
+    return own.unionByName(up).groupBy("document_id", "section_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("document_id", "section_id", F.col("lo.page").alias("first_page"), F.col("hi.page").alias("last_page"))
 
 
 #: Levels up to which headings are resolved by running maxima, one for each level.

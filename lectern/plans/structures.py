@@ -75,7 +75,7 @@ def built_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The blocks as chunks of typed atoms, runs and packs (see :mod:`lectern.operators.building`), in the sizes of the flagship."""
     b = cut_lineage(_blocks(spark, folder, "page", "reading_order", "block_type", "section_id", "location_type", F.col("text").isNotNull().alias("has_text"), S.furniture_key().alias("furniture")))
     kept = b.join(S.repeated_furniture(b).select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").drop("furniture")
-    openings = b.groupBy("document_id").agg(F.min(F.struct("page", "reading_order", "block_id")).alias("x")).select("document_id", "x.block_id")
+    openings = b.groupBy("document_id").agg(F.min(F.struct("reading_order", "page", "block_id")).alias("x")).select("document_id", "x.block_id")
     text = F.when((F.col("block_type") == "table") & (F.trim("text") != ""), S.render_table(F.col("text"))).otherwise(F.col("text")).alias("text")
     levels = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "level"])
     c = building.build(cut_lineage(S.reading_order(kept)), openings, _blocks(spark, folder, text), levels, FLAGSHIP)
@@ -112,7 +112,7 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_ranges(spark: SparkSession, folder: str) -> DataFrame:
     rows = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "parent_section_id", "title"])
-    return S.page_ranges(_blocks(spark, folder, "section_id", "page"), hierarchy(rows, "document_id", "section_id", "parent_section_id", "title").descendants())
+    return S.page_ranges(S.reading_order(_blocks(spark, folder, "section_id", "page", "reading_order")), hierarchy(rows, "document_id", "section_id", "parent_section_id", "title").descendants())
 
 
 def heading_stack(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,11 +223,11 @@ QUERIES = {
 
 _COLS = "block_type, text, page, reading_order, section_id, location_type, bbox_top, table_id, asset_id"
 _B = f"b AS (SELECT document_id, block_id, s.* FROM (SELECT document_id, block_id, arg_max(struct_pack({', '.join(f'{c} := {c}' for c in _COLS.split(', '))}), ingested_at) AS s FROM blocks GROUP BY 1, 2))"
-_O = _B + ", o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page NULLS FIRST, reading_order NULLS FIRST, block_id) AS ordinal FROM b)"
-_FURNITURE = rf"""f0 AS (SELECT document_id, block_id, page, {_key("text")} AS k FROM b WHERE block_type IN ('header', 'footer') AND text IS NOT NULL),
+_O = _B + ", o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY reading_order NULLS FIRST, page NULLS FIRST, block_id) AS ordinal FROM b)"
+_FURNITURE = rf"""f0 AS (SELECT document_id, block_id, page, {_normal("text")} AS k FROM b WHERE block_type IN ('header', 'footer') AND {_normal("coalesce(text, '')")} <> ''),
 f1 AS (SELECT document_id, k FROM f0 GROUP BY 1, 2 HAVING count(DISTINCT coalesce(page, -1)) >= 2),
-furniture AS (SELECT f0.document_id, f0.block_id, CASE WHEN regexp_matches(f0.k, '^(?:page *)?\p{{Nd}}+(?: */ *\p{{Nd}}+)?$') THEN 'page_number' ELSE 'repeated' END AS reason FROM f0 LEFT JOIN f1 USING (document_id, k)
-  WHERE f1.k IS NOT NULL OR regexp_matches(f0.k, '^(?:page *)?\p{{Nd}}+(?: */ *\p{{Nd}}+)?$'))"""
+furniture AS (SELECT f0.document_id, f0.block_id, CASE WHEN f1.k IS NOT NULL THEN 'repeated' ELSE 'page_number' END AS reason FROM f0 LEFT JOIN f1 USING (document_id, k)
+  WHERE f1.k IS NOT NULL OR regexp_matches(f0.k, '(?i)^(?:page *)?\p{{Nd}}+(?: */ *\p{{Nd}}+)?$'))"""
 _UNITS = """u0 AS (SELECT *, bool_or(section_id IS NOT NULL) OVER (PARTITION BY document_id) AS sectioned FROM o),
 u1 AS (SELECT *, sum(CASE WHEN NOT sectioned AND block_type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ordinal) AS prov FROM u0),
 u2 AS (SELECT *, coalesce(section_id, CASE WHEN NOT sectioned AND prov > 0 THEN 'provisional-' || prov END) AS scope, CASE WHEN section_id IS NULL OR location_type = 'slide' THEN page END AS place FROM u1),
@@ -241,7 +241,7 @@ SQL = {
     "repeated_furniture": f"WITH {_B}, {_FURNITURE} SELECT * FROM furniture",
     "structural_units": f"WITH {_O}, {_UNITS} SELECT document_id, block_id, scope, unit FROM u",
     "greedy_chunks": f"""WITH RECURSIVE {_B}, {_FURNITURE},
-o AS (SELECT b.*, row_number() OVER (PARTITION BY b.document_id ORDER BY page NULLS FIRST, reading_order NULLS FIRST, b.block_id) AS ordinal FROM b LEFT JOIN furniture f ON f.document_id = b.document_id AND f.block_id = b.block_id WHERE f.block_id IS NULL), {_UNITS},
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.document_id ORDER BY reading_order NULLS FIRST, page NULLS FIRST, b.block_id) AS ordinal FROM b LEFT JOIN furniture f ON f.document_id = b.document_id AND f.block_id = b.block_id WHERE f.block_id IS NULL), {_UNITS},
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id, unit ORDER BY ordinal) AS rn, length(coalesce(text, '')) AS n FROM u),
 p AS (SELECT document_id, unit, rn, CAST(0 AS BIGINT) AS pack, n AS total FROM r WHERE rn = 1
   UNION ALL
@@ -269,9 +269,9 @@ CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM c GROU
 SELECT d.document_id, coalesce(chunks, 0) AS chunks, coalesce(sections, 0) AS sections, coalesce(eligible, 0) AS eligible, coalesce(least, 0) AS least, coalesce(most, 0) AS most, coalesce(mean, 0.0) AS mean, coalesce(tokens, 0) AS tokens, coalesce(pages, 0) AS pages
 FROM (SELECT DISTINCT document_id FROM normalized_documents) d LEFT JOIN g USING (document_id) LEFT JOIN p USING (document_id)""",
     "page_ranges": _TREE
-    + f""", {_B}, own AS (SELECT document_id, section_id, min(page) AS lo, max(page) AS hi FROM b WHERE section_id IS NOT NULL GROUP BY 1, 2),
+    + f""", {_O}, own AS (SELECT document_id, section_id, min(struct_pack(o := ordinal, p := page)) FILTER (page IS NOT NULL) AS lo, max(struct_pack(o := ordinal, p := page)) FILTER (page IS NOT NULL) AS hi FROM o WHERE section_id IS NOT NULL GROUP BY 1, 2),
 up AS (SELECT w.document_id, unnest(w.ids[1:len(w.ids) - 1]) AS section_id, own.lo, own.hi FROM w JOIN own USING (document_id, section_id))
-SELECT document_id, section_id, min(lo) AS first_page, max(hi) AS last_page FROM (SELECT * FROM own UNION ALL SELECT * FROM up) GROUP BY 1, 2""",
+SELECT document_id, section_id, min(lo).p AS first_page, max(hi).p AS last_page FROM (SELECT * FROM own UNION ALL SELECT * FROM up) GROUP BY 1, 2""",
     "heading_stack": """WITH s AS (SELECT document_id, section_id, arg_max(level, ingested_at) AS level FROM sections GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section_id) AS ordinal FROM s WHERE level IS NOT NULL)
 SELECT a.document_id, a.section_id, a.ordinal, max(b.ordinal) AS parent_ordinal FROM n a LEFT JOIN n b ON b.document_id = a.document_id AND b.ordinal < a.ordinal AND b.level < a.level GROUP BY 1, 2, 3""",
     "boundary_lines": f"""WITH {_B}, t AS (SELECT * FROM b WHERE text IS NOT NULL), x AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY reading_order NULLS FIRST, block_id) AS n, count(*) OVER (PARTITION BY document_id, page) AS total, {_key("text")} AS "key" FROM t),
@@ -305,6 +305,22 @@ UNION ALL SELECT document_id, object_id, min(chunk_id), 3 FROM (SELECT *, min(fa
 UNION ALL SELECT document_id, object_id, min(chunk_id), 4 FROM pl GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) = 1),
 be AS (SELECT document_id, object_id, min(struct_pack(r := rank, c := chunk_id)) AS x FROM al GROUP BY 1, 2)
 SELECT h.document_id, h.object_id, be.x.c AS chunk_id, ['explicit_block_reference', 'caption_relationship', 'spatial_nearest', 'unique_same_location'][be.x.r] AS method FROM h LEFT JOIN be USING (document_id, object_id)""",
+    "oversize_split": rf"""WITH RECURSIVE {_C}, t AS (SELECT document_id, chunk_id, replace(replace(trim(text, ' '), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM c WHERE length(text) > 1000),
+s AS (SELECT document_id, chunk_id, unnest(list_filter(string_split(regexp_replace(regexp_replace(t, '([.!?])[\t\n\x0b\f\r ]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: x <> '')) AS s, generate_subscripts(list_filter(string_split(regexp_replace(regexp_replace(t, '([.!?])[\t\n\x0b\f\r ]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: x <> ''), 1) AS i FROM t),
+w AS (SELECT document_id, chunk_id, i, CASE WHEN length(s) > 1000 THEN i ELSE 0 END AS own, unnest(CASE WHEN length(s) > 1000 THEN string_split(s, ' ') ELSE [s] END) AS p, generate_subscripts(CASE WHEN length(s) > 1000 THEN string_split(s, ' ') ELSE [s] END, 1) AS j FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY i, j) AS rn FROM w),
+f AS (SELECT document_id, chunk_id, rn, own, trim(p, ' ') AS now, CAST(1 AS BIGINT) AS fragment_no FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.document_id, r.chunk_id, r.rn, r.own, CASE WHEN f.now <> '' AND (length(trim(f.now || ' ' || p, ' ')) > 1000 OR f.own <> r.own) THEN p ELSE trim(f.now || ' ' || p, ' ') END, CASE WHEN f.now <> '' AND (length(trim(f.now || ' ' || p, ' ')) > 1000 OR f.own <> r.own) THEN fragment_no + 1 ELSE fragment_no END
+  FROM r JOIN f ON r.document_id = f.document_id AND r.chunk_id = f.chunk_id AND r.rn = f.rn + 1),
+g AS (SELECT document_id, chunk_id, fragment_no, arg_max(now, rn) AS fragment FROM f GROUP BY 1, 2, 3)
+SELECT document_id, chunk_id, fragment_no, length(fragment) AS characters, md5(fragment) AS fragment FROM g WHERE fragment <> ''""",
+    "evidence_spans": f"""WITH RECURSIVE {_C}, e AS (SELECT document_id, chunk_id, text, list_filter(list_transform(refs, lambda r: r.excerpt), lambda x: x IS NOT NULL AND x <> '') AS xs FROM c WHERE text IS NOT NULL AND len(refs) > 0),
+s AS (SELECT document_id, chunk_id, 0 AS i, 1 AS pos, []::BIGINT[] AS found FROM e
+  UNION ALL
+  SELECT e.document_id, e.chunk_id, i + 1, CASE WHEN instr(substr(text, pos), xs[i + 1]) = 0 THEN pos ELSE pos + instr(substr(text, pos), xs[i + 1]) - 1 + length(xs[i + 1]) END, list_append(found, CASE WHEN instr(substr(text, pos), xs[i + 1]) = 0 THEN 0 ELSE pos + instr(substr(text, pos), xs[i + 1]) - 1 END)
+  FROM s JOIN e ON e.document_id = s.document_id AND e.chunk_id = s.chunk_id WHERE i < len(xs))
+SELECT s.document_id, s.chunk_id, len(xs) AS excerpts, len(list_filter(found, lambda p: p > 0)) AS located, array_to_string(found, ',') AS positions FROM s JOIN e ON e.document_id = s.document_id AND e.chunk_id = s.chunk_id WHERE i = len(xs)""",
     "section_segments": r"""WITH RECURSIVE r AS (SELECT DISTINCT document_id, raw_block_id, location_number, block_ordinal, text, coalesce(length(text), 0) AS n,
   coalesce(length(text) BETWEEN 3 AND 120 AND NOT regexp_matches(text, '[.;,]$') AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND (regexp_matches(text, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}')
   OR len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) >= 0.55), false) AS head FROM raw_blocks),
