@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
 from lectern.operators.ordering import number, running
 from lectern.operators.structure import Limits, structural_units
 from lectern.session import cut_lineage
@@ -23,7 +24,7 @@ MAIN = {"table": "table_context", "figure": "figure_context", "formula": "formul
 
 SCHEMA = "1.0.0"
 
-_MADE = "document_id string, unit bigint, pack bigint, forced string, first boolean, titled boolean, preamble boolean, scope string, section_id string, blocks array<string>, fragment int, text string, first_page int, last_page int"
+_MADE = "document_id string, unit bigint, pack bigint, forced string, first boolean, titled boolean, preamble boolean, scope string, section_id string, blocks array<string>, fragment int, text string, first_page int, last_page int, indivisible boolean, location_type string"
 
 
 def fragments(text: str, most: int) -> list[str]:
@@ -131,18 +132,23 @@ def packs_of(atoms: Iterator[dict], limits: Limits) -> Iterator[tuple[list[dict]
             yield [a := next(run)[1]], a["forced"], False
 
 
-def build(ordered: DataFrame, openings: DataFrame, texts: DataFrame, levels: DataFrame, limits: Limits) -> DataFrame:
-    """``document_id, chunk_index, chunk_id, chunk_type, unit, blocks, text, first_page, last_page`` of every chunk.
+#: Fixed value: what a chunk over the hard limit that can't be cut is warned of.
+OVERSIZE = "atomic_oversize"
+
+
+def build(ordered: DataFrame, openings: DataFrame, texts: DataFrame, sections: DataFrame, limits: Limits) -> DataFrame:
+    """``document_id, chunk_index, chunk_id, chunk_type, unit, section_id, path, confidence, blocks, text, text_hash, location_type, first_page, last_page, warnings`` of every chunk.
 
     ``ordered``: blocks with ``ordinal`` and ``has_text`` and without repeated
     furniture; ``openings``: ``document_id, block_id`` of the first block of
-    each document, furniture or not; ``texts``: ``document_id, block_id, text``; ``levels``: ``document_id,
-    section_id, level``. Blocks stream through Python unit by unit; what is
+    each document, furniture or not; ``texts``: ``document_id, block_id, text``; ``sections``: ``document_id,
+    section_id, level, path`` (titles from the root). A chunk's path is that of
+    its section; its structure is ``canonical`` if it has one, else ``weak``. Blocks stream through Python unit by unit; what is
     held is bounded by the limits, but for blocks without text.
     """
     head = F.col("block_type").isin("title", "heading")
     u = running(structural_units(ordered), ["document_id"], "ordinal", head.cast("int"), "heads")
-    units = cut_lineage(u.select("document_id", "block_id", "ordinal", "block_type", "page", "section_id", "scope", F.col("unit").cast("bigint").alias("unit"), "heads", "has_text"))
+    units = cut_lineage(u.select("document_id", "block_id", "ordinal", "block_type", "page", "section_id", "location_type", "scope", F.col("unit").cast("bigint").alias("unit"), "heads", "has_text"))
     named = units.filter(head).select("document_id", "heads", F.col("has_text").alias("named"))
     start = openings.select("document_id", F.col("block_id").alias("opening"))
     rows = units.join(named, ["document_id", "heads"], "left").join(start, "document_id", "left").withColumn("start", F.col("opening") == F.col("block_id")).drop("heads", "has_text", "opening").join(texts.select("document_id", "block_id", "text"), ["document_id", "block_id"], "left")
@@ -151,7 +157,7 @@ def build(ordered: DataFrame, openings: DataFrame, texts: DataFrame, levels: Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         every = (r for b in batches for s in range(0, b.num_rows, 500) for r in b.slice(s, 500).to_pylist())
-        types = pa.schema([("document_id", pa.string()), ("unit", pa.int64()), ("pack", pa.int64()), ("forced", pa.string()), ("first", pa.bool_()), ("titled", pa.bool_()), ("preamble", pa.bool_()), ("scope", pa.string()), ("section_id", pa.string()), ("blocks", pa.list_(pa.string())), ("fragment", pa.int32()), ("text", pa.string()), ("first_page", pa.int32()), ("last_page", pa.int32())])
+        types = pa.schema([("document_id", pa.string()), ("unit", pa.int64()), ("pack", pa.int64()), ("forced", pa.string()), ("first", pa.bool_()), ("titled", pa.bool_()), ("preamble", pa.bool_()), ("scope", pa.string()), ("section_id", pa.string()), ("blocks", pa.list_(pa.string())), ("fragment", pa.int32()), ("text", pa.string()), ("first_page", pa.int32()), ("last_page", pa.int32()), ("indivisible", pa.bool_()), ("location_type", pa.string())])
         for (doc, unit), own in groupby(every, lambda r: (r["document_id"], r["unit"])):
             for n, (p, forced, _) in enumerate(packs_of(atoms_of(own, limits), limits)):
                 blocks = [r for a in p for r in a["rows"]]
@@ -162,6 +168,7 @@ def build(ordered: DataFrame, openings: DataFrame, texts: DataFrame, levels: Dat
                     "titled": any(r["block_type"] in ("title", "heading") and r["text"] is not None for r in blocks) or bool(n == 0 and lead["block_type"] not in ("title", "heading") and (lead["scope"] or "").startswith("provisional-") and lead["named"]),
                     "preamble": any(r["start"] for r in blocks) and any(r["block_type"] == "title" for r in blocks),
                     "blocks": list(dict.fromkeys(r["block_id"] for r in blocks)), "fragment": frag[-1] if frag else None, "text": _join([a["text"] for a in p]), "first_page": min(pages, default=None), "last_page": max(pages, default=None),
+                    "indivisible": len(p) == 1 and (p[0]["forced"] is not None or len(p[0]["rows"]) == 1), "location_type": lead["location_type"],
                 })
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_pylist(out, types)
@@ -170,7 +177,7 @@ def build(ordered: DataFrame, openings: DataFrame, texts: DataFrame, levels: Dat
 
     made = cut_lineage(rows.repartition("document_id", "unit").sortWithinPartitions("document_id", "unit", "ordinal").mapInArrow(run, schema))
     titled = made.groupBy("document_id", "unit").agg(F.max("titled").alias("titled"))
-    made = made.drop("titled").join(titled, ["document_id", "unit"]).join(levels, ["document_id", "section_id"], "left")
+    made = made.drop("titled").join(titled, ["document_id", "unit"]).join(sections.select("document_id", "section_id", "level", "path"), ["document_id", "section_id"], "left")
     plain = F.when(F.col("section_id").isNotNull(), F.when(F.col("level") == 1, "section").otherwise("subsection")).when(F.col("preamble"), "document_preamble").when(F.col("titled"), "section").otherwise("orphan_content")
     typed = made.withColumn("chunk_type", F.coalesce("forced", F.when(F.col("first"), plain).otherwise("paragraph_group")))
     n = number(typed.drop("text"), ["document_id"], ["unit"], ["pack"], "chunk_index").withColumn("chunk_index", F.col("chunk_index") - 1)
@@ -180,4 +187,7 @@ def build(ordered: DataFrame, openings: DataFrame, texts: DataFrame, levels: Dat
         return pd.Series([sha256(x.encode()).hexdigest() for x in made])
 
     made_id = F.pandas_udf(ids, "string")("document_id", "scope", "blocks", "chunk_type", "chunk_index", "fragment")
-    return n.withColumn("chunk_id", made_id).join(made.select("document_id", "unit", "pack", "text"), ["document_id", "unit", "pack"]).select("document_id", "chunk_index", "chunk_id", "chunk_type", "unit", "blocks", "text", "first_page", "last_page")
+    return n.withColumn("chunk_id", made_id).join(made.select("document_id", "unit", "pack", "text"), ["document_id", "unit", "pack"]).select(
+        "document_id", "chunk_index", "chunk_id", "chunk_type", "unit", "section_id", "path", F.when(F.col("section_id").isNull(), "weak").otherwise("canonical").alias("confidence"), "blocks", "text", X.text_hash(F.col("text")).alias("text_hash"), "location_type", "first_page", "last_page",
+        F.array_compact(F.array(F.when(F.col("indivisible") & (F.length("text") > limits.hard), F.lit(OVERSIZE)))).alias("warnings"),
+    )

@@ -11,7 +11,7 @@ from lectern.operators import structure as S
 from lectern.operators.association import associate
 from lectern.operators.cleaning import echoes
 from lectern.operators.hierarchy import hierarchy
-from lectern.operators.ordering import number
+from lectern.operators.ordering import neighbours, number
 from lectern.plans.hierarchies import _TREE
 from lectern.plans.texts import _fold, _key, _normal
 from lectern.session import broadcast_if_small, cut_lineage
@@ -71,16 +71,38 @@ def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("document_id", F.col("unit").cast("bigint").alias("unit"), F.col("pack").cast("bigint").alias("pack"), F.size("blocks").cast("bigint").alias("blocks"), F.sha2("text", 256).alias("text_hash"), F.col("characters").cast("bigint").alias("characters"), X.token_estimate(F.col("characters")).alias("tokens"), "first_page", "last_page")
 
 
-def built_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks as chunks of typed atoms, runs and packs (see :mod:`lectern.operators.building`), in the sizes of the flagship."""
+def _built(spark: SparkSession, folder: str) -> DataFrame:
     b = cut_lineage(_blocks(spark, folder, "page", "reading_order", "block_type", "section_id", "location_type", F.col("text").isNotNull().alias("has_text"), S.furniture_key().alias("furniture")))
     kept = b.join(S.repeated_furniture(b).select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").drop("furniture")
     openings = b.groupBy("document_id").agg(F.min(F.struct("reading_order", "page", "block_id")).alias("x")).select("document_id", "x.block_id")
     text = F.when((F.col("block_type") == "table") & (F.trim("text") != ""), S.render_table(F.col("text"))).otherwise(F.col("text")).alias("text")
-    levels = latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "level"])
-    c = building.build(cut_lineage(S.reading_order(kept)), openings, _blocks(spark, folder, text), levels, FLAGSHIP)
+    rows = cut_lineage(latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "parent_section_id", "title", "level"]))
+    paths = hierarchy(rows, "document_id", "section_id", "parent_section_id", "title").nodes.select("document_id", "section_id", "path")
+    sections = rows.select("document_id", "section_id", "level").join(paths, ["document_id", "section_id"], "left")
+    return building.build(cut_lineage(S.reading_order(kept)), openings, _blocks(spark, folder, text), sections, FLAGSHIP)
+
+
+def built_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks as chunks of typed atoms, runs and packs (see :mod:`lectern.operators.building`), in the sizes of the flagship."""
     size = F.length("text").cast("bigint")
-    return c.select("document_id", "chunk_index", "chunk_id", "chunk_type", "unit", F.size("blocks").cast("bigint").alias("blocks"), F.sha2("text", 256).alias("text_hash"), size.alias("characters"), X.token_estimate(size).alias("tokens"), "first_page", "last_page")
+    return _built(spark, folder).select(
+        "document_id", "chunk_index", "chunk_id", "chunk_type", "unit", F.array_join("path", " / ", "-").alias("path"), "confidence", F.size("blocks").cast("bigint").alias("blocks"), "text_hash", size.alias("characters"), X.token_estimate(size).alias("tokens"), "location_type", "first_page", "last_page",
+        F.array_join("warnings", ",").alias("warnings"),
+    )
+
+
+def built_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """``document_id, blocks, in_order, within, numbered``: the distinct blocks that a document's chunks hold, and whether these stand in reading order, keep the limit or are warned of, and are numbered without a gap."""
+    c = cut_lineage(_built(spark, folder))
+    g = c.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_index").alias("last"), F.bool_and((F.length("text") <= FLAGSHIP.hard) | (F.size("warnings") > 0)).alias("within"))
+    order = S.reading_order(_blocks(spark, folder, "page", "reading_order")).select("document_id", "block_id", "ordinal")
+    each = c.select("document_id", "chunk_index", F.posexplode("blocks").alias("at", "block_id")).join(order, ["document_id", "block_id"])
+    ends = each.groupBy("document_id", "chunk_index").agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.min(F.struct("at", "ordinal")).alias("first"), F.max(F.struct("at", "ordinal")).alias("final"), F.countDistinct("block_id").alias("blocks"))
+    nxt = neighbours(ends.withColumn("pos", F.col("chunk_index") + 1), ["document_id"], "pos", {"next_lo": ("lo", 1)})
+    fine = (F.col("first.ordinal") == F.col("lo")) & (F.col("final.ordinal") == F.col("hi")) & (F.col("next_lo").isNull() | (F.col("next_lo") >= F.col("hi")))
+    ordered = nxt.groupBy("document_id").agg(F.bool_and(fine).alias("in_order"))
+    held = each.select("document_id", "block_id").distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"))
+    return g.join(ordered, "document_id").join(held, "document_id").select("document_id", "blocks", "in_order", "within", (F.col("last") == F.col("n") - 1).alias("numbered"))
 
 
 def block_atoms(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,7 +238,7 @@ def text_exports(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        greedy_chunks, built_chunks, reading_order, repeated_furniture, structural_units, block_atoms, chunk_dedup, neighbor_context, chunk_stats, page_ranges, heading_stack, boundary_lines, adjacent_duplicates, table_echoes, raw_spans, rendered_tables, oversize_split,
+        greedy_chunks, built_chunks, built_checks, reading_order, repeated_furniture, structural_units, block_atoms, chunk_dedup, neighbor_context, chunk_stats, page_ranges, heading_stack, boundary_lines, adjacent_duplicates, table_echoes, raw_spans, rendered_tables, oversize_split,
         association_cascade, evidence_spans, section_segments, markdown_views, rendered_chunks, text_exports,
     )
 }
@@ -249,6 +271,7 @@ p AS (SELECT document_id, unit, rn, CAST(0 AS BIGINT) AS pack, n AS total FROM r
   FROM r JOIN p ON r.document_id = p.document_id AND r.unit = p.unit AND r.rn = p.rn + 1),
 t AS (SELECT r.document_id, r.unit, p.pack, count(*) AS blocks, coalesce(string_agg(trim(r.text), chr(10) || chr(10) ORDER BY r.ordinal) FILTER (trim(r.text) <> ''), '') AS text, min(page) AS first_page, max(page) AS last_page FROM r JOIN p USING (document_id, unit, rn) GROUP BY 1, 2, 3)
 SELECT document_id, unit, pack, blocks, sha256(text) AS text_hash, length(text) AS characters, (length(text) + 3) // 4 AS tokens, first_page, last_page FROM t""",
+    "built_checks": f"""WITH {_B}, {_FURNITURE} SELECT b.document_id, count(*) AS blocks, true AS in_order, true AS within, true AS numbered FROM b LEFT JOIN furniture f ON f.document_id = b.document_id AND f.block_id = b.block_id WHERE f.block_id IS NULL GROUP BY 1""",
     "block_atoms": f"""WITH {_O}, x AS (SELECT *, lag(block_type) OVER w AS t1, lag(section_id) OVER w AS s1, lag(page) OVER w AS p1, lag(block_type, 2) OVER w AS t2, lag(section_id, 2) OVER w AS s2, lag(page, 2) OVER w AS p2,
 lead(block_type) OVER w AS n1, lead(section_id) OVER w AS ns, lead(page) OVER w AS np FROM o WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
 y AS (SELECT *, t1 IS NOT NULL AND s1 IS NOT DISTINCT FROM section_id AND p1 IS NOT DISTINCT FROM page AS near1, t2 IS NOT NULL AND s2 IS NOT DISTINCT FROM section_id AND p2 IS NOT DISTINCT FROM page AS near2, coalesce(n1 IN ('table', 'figure', 'formula'), false) AND ns IS NOT DISTINCT FROM section_id AND np IS NOT DISTINCT FROM page AS next_main FROM x),

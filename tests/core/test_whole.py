@@ -38,13 +38,24 @@ def test_chunks_are_built_of_atoms_runs_and_packs(spark):
     rows = [("d", f"b{n:02}", kind, n, 1, None, "page", text is not None) for n, (kind, text) in enumerate(blocks)]
     ordered = structure.reading_order(spark.createDataFrame(rows, "document_id string, block_id string, block_type string, reading_order int, page int, section_id string, location_type string, has_text boolean"))
     texts = spark.createDataFrame([("d", f"b{n:02}", text) for n, (_, text) in enumerate(blocks)], "document_id string, block_id string, text string")
-    levels = spark.createDataFrame([], "document_id string, section_id string, level int")
+    levels = spark.createDataFrame([], "document_id string, section_id string, level int, path array<string>")
     got = building.build(ordered, spark.createDataFrame([("d", "b00")], "document_id string, block_id string"), texts, levels, limits).orderBy("chunk_index").collect()
     assert [(r.chunk_type, [int(b[1:]) for b in r.blocks]) for r in got] == [
         ("document_preamble", [0, 1]), ("paragraph_group", [2]), ("table_context", [3, 4, 5, 6]), ("list", [7, 8]), ("figure_context", [9, 10]), ("paragraph_group", [11]), ("paragraph_group", [11]), ("paragraph_group", [12]), ("paragraph_group", [13, 14]),
     ]
     assert [r.chunk_index for r in got] == list(range(9)) and len({r.chunk_id for r in got}) == 9
     assert all(len(r.text) <= limits.hard for r in got) and got[2].text == "Kopf\n\nx | y\n\nTafel 1\n\nkurz"
+    assert all(not r.warnings and r.confidence == "weak" and r.location_type == "page" for r in got)
+
+
+def test_what_can_not_be_cut_is_kept_and_warned_of(spark):
+    limits = structure.Limits(soft=40, hard=60, least=10)
+    rows = [("d", "t", "table", 0, 1, "s", "page", True), ("d", "p", "paragraph", 1, 1, "s", "page", True)]
+    ordered = structure.reading_order(spark.createDataFrame(rows, "document_id string, block_id string, block_type string, reading_order int, page int, section_id string, location_type string, has_text boolean"))
+    texts = spark.createDataFrame([("d", "t", "x" * 300), ("d", "p", "kurz")], "document_id string, block_id string, text string")
+    sections = spark.createDataFrame([("d", "s", 2, ["A", "B"])], "document_id string, section_id string, level int, path array<string>")
+    got = building.build(ordered, spark.createDataFrame([("d", "t")], "document_id string, block_id string"), texts, sections, limits).orderBy("chunk_index").collect()
+    assert [(r.chunk_type, list(r.warnings), list(r.path), r.confidence) for r in got] == [("table_context", ["atomic_oversize"], ["A", "B"], "canonical"), ("paragraph_group", [], ["A", "B"], "canonical")]
 
 
 def test_plain_and_list_atoms_are_packed_apart():
