@@ -97,16 +97,26 @@ def target_paths(files: DataFrame, path: str, content: str) -> DataFrame:
 
 
 def scan_metrics(pages: DataFrame) -> DataFrame:
-    """``document_id, pages, before, after, low_pages, gain, outcome`` from ``document_id, page, before, after`` (characters of each page).
+    """``document_id, pages, before, after, low_pages, gain, outcome`` from ``document_id, page, before, after`` (characters of each page, null where there is no such page).
 
-    ``gain`` is in per cent, null where there was nothing before. A result that
-    keeps less than nine tenths is ``degraded``, one that gains less than 50
-    characters and less than a quarter ``no_material_improvement``.
+    ``gain`` is in per cent, null where there was nothing before. Pages that
+    only one side has make a result ``invalid``. One that keeps less than nine
+    tenths is ``degraded``, one that gains less than 50 characters and less
+    than a quarter ``no_material_improvement``; else it is ``accepted``, with
+    warnings if a page of under 100 characters is left.
     """
-    p = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce("before", F.lit(0))).alias("before"), F.sum(F.coalesce("after", F.lit(0))).alias("after"), F.count_if(F.coalesce("before", F.lit(0)) < 100).alias("low_pages"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    p = pages.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(n("before")).alias("before"), F.sum(n("after")).alias("after"), F.count_if(n("before") < 100).alias("low_pages"), F.count_if(n("after") < 100).alias("_low_after"), F.count_if(F.col("before").isNull() | F.col("after").isNull()).alias("_odd"),
+    )
     gain = F.try_divide((F.col("after") - F.col("before")) * F.lit(100.0), F.col("before").cast("double"))
-    outcome = F.when(F.col("after") < 0.9 * F.col("before"), "degraded").when((F.col("after") - F.col("before") < 50) & (F.coalesce(gain, F.lit(100.0)) < 25), "no_material_improvement").otherwise("accepted")
-    return p.withColumns({"gain": F.round(gain, 4), "outcome": outcome})
+    outcome = F.when(F.col("_odd") > 0, "invalid").when(F.col("after") < 0.9 * F.col("before"), "degraded").when((F.col("after") - F.col("before") < 50) & (F.coalesce(gain, F.lit(0.0)) < 25), "no_material_improvement").when(F.col("_low_after") > 0, "accepted_with_warnings").otherwise("accepted")
+    return p.select("document_id", "pages", "before", "after", "low_pages", F.round(gain, 4).alias("gain"), outcome.alias("outcome"))
+
+
+def lowest(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """``keys, ident, choices``: the smallest id of each key and how many there were to choose from; more than one is worth a warning."""
+    return rows.groupBy(*keys).agg(F.min(ident).alias(ident), F.countDistinct(ident).alias("choices"))
 
 
 def samples(files: DataFrame, kind: Column, size: str, order: list[str], most: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators.ordering import fold
 
 #: Budgets of a selection.
-BUDGET = {"items": 10, "characters": 12_000}
+BUDGET = {"items": 10, "characters": 12_000, "tokens": 3_000}
 
 
 def topic_matches(terms: list[str], *texts: str) -> Column:
@@ -20,29 +20,36 @@ def topic_matches(terms: list[str], *texts: str) -> Column:
     return found
 
 
-def budgeted(rows: DataFrame, group: list[str], order: list[str], size: str, key: str, items: int, characters: int) -> DataFrame:
+def budgeted(rows: DataFrame, group: list[str], order: list[str], size: str, key: str, items: int, characters: int, tokens: int | None = None) -> DataFrame:
     """``rows`` with ``reason``: ``selected``, or why not: ``duplicate``, ``enough_items``, ``over_budget``.
 
-    In the given order a row is taken if there is room for it; one that does
-    not fit is passed over and smaller ones may follow. A key counts as seen
+    In the given order a row is taken if there is room for it in characters
+    and, if ``tokens`` is given, in tokens (a quarter of the characters each,
+    rounded up); one that does not fit is passed over and smaller ones may follow. A key counts as seen
     only once a row of it was taken. Each choice depends on all before it, so
     this is a scan; it keeps the keys taken, at most ``items``.
     """
 
     def step(state, row):
-        taken, used = state or ([], 0)
+        taken, used, spent = state or ([], 0, 0)
         n = row[size] or 0
+        cost = -(-n // 4)
         if row[key] in taken:
-            return (taken, used), {"reason": "duplicate"}
+            return (taken, used, spent), {"reason": "duplicate"}
         if len(taken) >= items:
-            return (taken, used), {"reason": "enough_items"}
-        if used + n > characters:
-            return (taken, used), {"reason": "over_budget"}
-        return ([*taken, row[key]], used + n), {"reason": "selected"}
+            return (taken, used, spent), {"reason": "enough_items"}
+        if used + n > characters or (tokens is not None and spent + cost > tokens):
+            return (taken, used, spent), {"reason": "over_budget"}
+        return ([*taken, row[key]], used + n, spent + cost), {"reason": "selected"}
 
     return fold(rows, group, order, step, "reason string")
 
 
+def short_groups(picks: DataFrame, group: list[str], items: int) -> DataFrame:
+    """``group, selected`` of the groups for which fewer than ``items`` rows were selected; a caller that needs them all refuses these."""
+    return picks.groupBy(*group).agg(F.count_if(F.col("reason") == "selected").alias("selected")).filter(F.col("selected") < items)
+
+
 def strongest(rows: DataFrame, keys: list[str], status: str, ranks: dict[str, int], gathered: dict[str, str]) -> DataFrame:
     """One row per key: the status of the highest rank, and the sorted distinct values of each gathered column joined by commas; unknown statuses have rank 0."""
     known = F.create_map(*[F.lit(v) for x in ranks.items() for v in x])

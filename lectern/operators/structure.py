@@ -276,6 +276,25 @@ def segments(ordered: DataFrame, group: list[str], ordinal: str, head: str, size
     return fold(parts, [*group, "part"], [ordinal], step, "segment int")
 
 
+def merged_segments(segments: DataFrame, group: list[str], ordinal: str, able: str, size: str, most: int) -> DataFrame:
+    """``segments`` with ``section`` from 0: neighbours that are alike in ``able`` are one while they fit into ``most`` characters.
+
+    A streamed scan over segments, of which there are as many as headings or
+    sizes made. Null sizes count 0; nulls in ``able`` are alike.
+    """
+
+    def step(state, row):
+        n = row[size] or 0
+        if state is None:
+            return (0, n, row[able]), {"section": 0}
+        k, total, kind = state
+        if row[able] == kind and total + n <= most:
+            return (k, total + n, kind), {"section": k}
+        return (k + 1, n, row[able]), {"section": k + 1}
+
+    return fold(segments, group, [ordinal], step, "section int")
+
+
 def render_table(text: Column) -> Column:
     """Lines of cells parted by ``|`` as a full matrix: cells trimmed, short rows filled, joined by `` | ``."""
     rows = F.transform(F.filter(F.split(text, "\n"), lambda r: F.trim(r) != ""), lambda r: F.transform(F.split(r, r"\|"), lambda c: F.trim(c)))

@@ -70,6 +70,13 @@ def ocr_quality(spark: SparkSession, folder: str) -> DataFrame:
     return I.scan_metrics(raw.join(made, ["document_id", "page"], "left"))
 
 
+def derivative_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """The derivative (here: transformation) used for each original text of a document: the lowest id, and whether there was a choice."""
+    keys = ["document_id", "transformation_id"]
+    hashed = table(spark, folder, "model_transformations").filter("validation_status = 'accepted' and original_text is not null").select(*keys, F.sha2("original_text", 256).alias("sha256"))
+    return I.lowest(hashed, ["document_id", "sha256"], "transformation_id")
+
+
 def batch_histograms(spark: SparkSession, folder: str) -> DataFrame:
     d = _documents(spark, folder).withColumn("source", F.split("source_relative_path", "/")[0])
     sets = [["classification"], ["document_type"], ["config_id"], ["source"], []]
@@ -97,7 +104,7 @@ def difficulty_mix(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("source", "documents", I.thirds(F.col("documents")).alias("t")).select("source", "documents", *[F.col(f"t.{k}").cast("bigint").alias(k) for k in ("easy", "medium", "hard")])
 
 
-QUERIES = {f.__name__: f for f in (inventory_types, duplicate_files, included_files, ordered_files, representative_selection, manifest_reuse, snapshot_diff, output_path_collisions, ocr_quality, batch_histograms, latest_stage, stage_rollup, sample_selection, difficulty_mix)}
+QUERIES = {f.__name__: f for f in (inventory_types, duplicate_files, included_files, ordered_files, representative_selection, manifest_reuse, snapshot_diff, output_path_collisions, ocr_quality, derivative_choice, batch_histograms, latest_stage, stage_rollup, sample_selection, difficulty_mix)}
 
 _D = f"d AS (SELECT document_id, s.* FROM (SELECT document_id, arg_max(struct_pack({', '.join(f'{c} := {c}' for c in _ABOUT)}), ingested_at) AS s FROM normalized_documents GROUP BY 1))"
 _KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in I.FILE_TYPES.items()) + "}"
@@ -120,8 +127,9 @@ t AS (SELECT path, regexp_replace(path, '\.[^./]+$', '') || '.txt' AS a, regexp_
 n AS (SELECT *, count(*) OVER (PARTITION BY lower(a)) AS na, count(*) OVER (PARTITION BY lower(b)) AS nb, count(*) OVER (PARTITION BY lower(c)) AS nc FROM t) SELECT path, CASE WHEN na = 1 THEN a WHEN nb = 1 THEN b WHEN nc = 1 THEN c END AS target FROM n""",
     "ocr_quality": """WITH r AS (SELECT document_id, location_number AS page, sum(length(text)) AS before FROM (SELECT DISTINCT document_id, raw_block_id, location_number, text FROM raw_blocks) GROUP BY 1, 2),
 b AS (SELECT document_id, x.page AS page, sum(length(x.text)) AS after FROM (SELECT document_id, block_id, arg_max(struct_pack(page := page, text := text), ingested_at) AS x FROM blocks GROUP BY 1, 2) GROUP BY 1, 2),
-p AS (SELECT document_id, count(*) AS pages, CAST(sum(coalesce(before, 0)) AS BIGINT) AS before, CAST(sum(coalesce(after, 0)) AS BIGINT) AS after, count(*) FILTER (coalesce(before, 0) < 100) AS low_pages FROM r LEFT JOIN b USING (document_id, page) GROUP BY 1)
-SELECT document_id, pages, before, after, low_pages, round((after - before) * 100.0::DOUBLE / nullif(before, 0), 4) AS gain, CASE WHEN after < 0.9 * before THEN 'degraded' WHEN after - before < 50 AND coalesce((after - before) * 100.0::DOUBLE / nullif(before, 0), 100) < 25 THEN 'no_material_improvement' ELSE 'accepted' END AS outcome FROM p""",
+p AS (SELECT document_id, count(*) AS pages, CAST(sum(coalesce(before, 0)) AS BIGINT) AS before, CAST(sum(coalesce(after, 0)) AS BIGINT) AS after, count(*) FILTER (coalesce(before, 0) < 100) AS low_pages, count(*) FILTER (coalesce(after, 0) < 100) AS low_after, count(*) FILTER (before IS NULL OR after IS NULL) AS odd FROM r LEFT JOIN b USING (document_id, page) GROUP BY 1)
+SELECT document_id, pages, before, after, low_pages, round((after - before) * 100.0::DOUBLE / nullif(before, 0), 4) AS gain, CASE WHEN odd > 0 THEN 'invalid' WHEN after < 0.9 * before THEN 'degraded' WHEN after - before < 50 AND coalesce((after - before) * 100.0::DOUBLE / nullif(before, 0), 0) < 25 THEN 'no_material_improvement' WHEN low_after > 0 THEN 'accepted_with_warnings' ELSE 'accepted' END AS outcome FROM p""",
+    "derivative_choice": "SELECT document_id, sha256(original_text) AS sha256, min(transformation_id) AS transformation_id, count(DISTINCT transformation_id) AS choices FROM model_transformations WHERE validation_status = 'accepted' AND original_text IS NOT NULL GROUP BY 1, 2",
     "batch_histograms": f"""WITH {_D}, s AS (SELECT *, split_part(source_relative_path, '/', 1) AS source FROM d)
 SELECT CASE WHEN grouping(classification) = 0 THEN 'classification' WHEN grouping(document_type) = 0 THEN 'document_type' WHEN grouping(config_id) = 0 THEN 'config_id' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS dimension,
 coalesce(classification, document_type, config_id, source) AS "value", count(*) AS files, CAST(sum(page_or_slide_count) AS BIGINT) AS pages FROM s GROUP BY GROUPING SETS ((classification), (document_type), (config_id), (source), ())""",

@@ -33,7 +33,7 @@ def topic_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 def budgeted_selection(spark: SparkSession, folder: str) -> DataFrame:
     b = C.BUDGET
-    s = C.budgeted(_ranked(spark, folder), ["document_id"], ["minus_matches", "thin", "kind", "chunk_index", "chunk_id"], "characters", "hash", b["items"], b["characters"])
+    s = C.budgeted(_ranked(spark, folder), ["document_id"], ["minus_matches", "thin", "kind", "chunk_index", "chunk_id"], "characters", "hash", b["items"], b["characters"], b["tokens"])
     return s.select("document_id", "chunk_id", "reason")
 
 
@@ -86,10 +86,10 @@ _B = C.BUDGET
 SQL = {
     "topic_rank": f"WITH {_RANKED} SELECT document_id, chunk_id, CAST(matches AS INTEGER) AS matches FROM k ORDER BY -matches, thin, kind, document_id, chunk_index, chunk_id LIMIT 10",
     "budgeted_selection": f"""WITH RECURSIVE {_RANKED}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY -matches, thin, kind, chunk_index, chunk_id) AS rn FROM k),
-s AS (SELECT document_id, 0::BIGINT AS rn, '' AS chunk_id, '' AS reason, []::VARCHAR[] AS taken, 0::BIGINT AS used FROM (SELECT DISTINCT document_id FROM r)
+s AS (SELECT document_id, 0::BIGINT AS rn, '' AS chunk_id, '' AS reason, []::VARCHAR[] AS taken, 0::BIGINT AS used, 0::BIGINT AS spent FROM (SELECT DISTINCT document_id FROM r)
   UNION ALL
-  SELECT r.document_id, r.rn, r.chunk_id, CASE WHEN list_contains(taken, hash) THEN 'duplicate' WHEN len(taken) >= {_B["items"]} THEN 'enough_items' WHEN used + n > {_B["characters"]} THEN 'over_budget' ELSE 'selected' END,
-    CASE WHEN NOT list_contains(taken, hash) AND len(taken) < {_B["items"]} AND used + n <= {_B["characters"]} THEN list_append(taken, hash) ELSE taken END, CASE WHEN NOT list_contains(taken, hash) AND len(taken) < {_B["items"]} AND used + n <= {_B["characters"]} THEN used + n ELSE used END
+  SELECT r.document_id, r.rn, r.chunk_id, CASE WHEN list_contains(taken, hash) THEN 'duplicate' WHEN len(taken) >= {_B["items"]} THEN 'enough_items' WHEN used + n > {_B["characters"]} OR spent + (n + 3) // 4 > {_B["tokens"]} THEN 'over_budget' ELSE 'selected' END,
+    CASE WHEN NOT list_contains(taken, hash) AND len(taken) < {_B["items"]} AND used + n <= {_B["characters"]} AND spent + (n + 3) // 4 <= {_B["tokens"]} THEN list_append(taken, hash) ELSE taken END, CASE WHEN NOT list_contains(taken, hash) AND len(taken) < {_B["items"]} AND used + n <= {_B["characters"]} AND spent + (n + 3) // 4 <= {_B["tokens"]} THEN used + n ELSE used END, CASE WHEN NOT list_contains(taken, hash) AND len(taken) < {_B["items"]} AND used + n <= {_B["characters"]} AND spent + (n + 3) // 4 <= {_B["tokens"]} THEN spent + (n + 3) // 4 ELSE spent END
   FROM r JOIN s ON r.document_id = s.document_id AND r.rn = s.rn + 1)
 SELECT document_id, chunk_id, reason FROM s WHERE rn > 0""",
     "course_units": f"WITH {_C} SELECT document_id, CASE WHEN NOT eligible THEN 'chunk_ineligible' WHEN length(coalesce(text, '')) < 100 THEN 'below_minimum_characters' ELSE 'eligible' END AS reason, count(*) AS units, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS characters FROM c GROUP BY 1, 2",

@@ -207,7 +207,7 @@ def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("document_id", "chunk_id", "excerpts", F.size(F.filter("found", lambda p: p > 0)).cast("bigint").alias("located"), F.array_join(F.col("found").cast("array<string>"), ",").alias("positions"))
 
 
-def section_segments(spark: SparkSession, folder: str) -> DataFrame:
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
     r = _raw(spark, folder).select("document_id", "raw_block_id", "location_number", "block_ordinal", X.is_heading(F.col("text")).alias("head"), F.length("text").alias("size"))
     n = number(r, ["document_id"], ["location_number"], ["block_ordinal", "raw_block_id"])
     s = S.segments(n, ["document_id"], "ordinal", "head", "size", 2000)
@@ -215,6 +215,17 @@ def section_segments(spark: SparkSession, folder: str) -> DataFrame:
     return number(g, ["document_id"], ["part"], ["segment"], "_n").select("document_id", (F.col("_n") - 1).alias("segment"), "blocks", "characters", "first_page", "last_page")
 
 
+def section_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return _segments(spark, folder)
+
+
+def merged_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of 100 characters or more, and shorter ones, each merged with their like up to 4,000 characters."""
+    s = _segments(spark, folder).withColumns({"able": F.coalesce("characters", F.lit(0)) >= 100, "room": F.coalesce("characters", F.lit(0)) + 2})
+    m = S.merged_segments(s, ["document_id"], "segment", "able", "room", 4000)
+    return m.groupBy("document_id", F.col("section").cast("bigint").alias("section")).agg(F.count(F.lit(1)).alias("segments"), F.sum("blocks").alias("blocks"), F.max("able").alias("able"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
+
+
 def markdown_views(spark: SparkSession, folder: str) -> DataFrame:
     m = markdown(S.reading_order(_blocks(spark, folder, "page", "reading_order", "block_type", "text")))
     return m.select("document_id", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").cast("bigint").alias("characters"))
@@ -239,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         greedy_chunks, built_chunks, built_checks, reading_order, repeated_furniture, structural_units, block_atoms, chunk_dedup, neighbor_context, chunk_stats, page_ranges, heading_stack, boundary_lines, adjacent_duplicates, table_echoes, raw_spans, rendered_tables, oversize_split,
-        association_cascade, evidence_spans, section_segments, markdown_views, rendered_chunks, text_exports,
+        association_cascade, evidence_spans, section_segments, merged_sections, markdown_views, rendered_chunks, text_exports,
     )
 }
 
@@ -257,6 +268,15 @@ u3 AS (SELECT *, CASE WHEN lag(ordinal) OVER w IS NOT NULL AND scope IS NOT DIST
 u AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY document_id ORDER BY ordinal) AS BIGINT) AS unit FROM u3)"""
 _C = "c AS (SELECT document_id, chunk_id, s.* FROM (SELECT document_id, chunk_id, arg_max(struct_pack(chunk_index := chunk_index, chunk_type := chunk_type, text := text, eligible := eligible, section_path := section_path, refs := refs), generated_at) AS s FROM chunks GROUP BY 1, 2))"
 _L = FLAGSHIP
+_SEGMENTS = r"""WITH RECURSIVE r AS (SELECT DISTINCT document_id, raw_block_id, location_number, block_ordinal, text, coalesce(length(text), 0) AS n,
+  coalesce(length(text) BETWEEN 3 AND 120 AND NOT regexp_matches(text, '[.;,]$') AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND (regexp_matches(text, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}')
+  OR len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) >= 0.55), false) AS head FROM raw_blocks),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY location_number, block_ordinal, raw_block_id) AS rn FROM r),
+s AS (SELECT document_id, rn, CAST(0 AS BIGINT) AS segment, n AS total FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.document_id, o.rn, CASE WHEN o.head OR total + 2 + n > 2000 THEN segment + 1 ELSE segment END, CASE WHEN o.head OR total + 2 + n > 2000 THEN n ELSE total + 2 + n END FROM o JOIN s ON o.document_id = s.document_id AND o.rn = s.rn + 1),
+sg AS (SELECT document_id, segment, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS characters, min(location_number) AS first_page, max(location_number) AS last_page FROM o JOIN s USING (document_id, rn) GROUP BY 1, 2)
+"""
 
 SQL = {
     "reading_order": f"WITH {_O} SELECT document_id, block_id, ordinal FROM o",
@@ -344,14 +364,14 @@ s AS (SELECT document_id, chunk_id, 0 AS i, 1 AS pos, []::BIGINT[] AS found FROM
   SELECT e.document_id, e.chunk_id, i + 1, CASE WHEN instr(substr(text, pos), xs[i + 1]) = 0 THEN pos ELSE pos + instr(substr(text, pos), xs[i + 1]) - 1 + length(xs[i + 1]) END, list_append(found, CASE WHEN instr(substr(text, pos), xs[i + 1]) = 0 THEN 0 ELSE pos + instr(substr(text, pos), xs[i + 1]) - 1 END)
   FROM s JOIN e ON e.document_id = s.document_id AND e.chunk_id = s.chunk_id WHERE i < len(xs))
 SELECT s.document_id, s.chunk_id, len(xs) AS excerpts, len(list_filter(found, lambda p: p > 0)) AS located, array_to_string(found, ',') AS positions FROM s JOIN e ON e.document_id = s.document_id AND e.chunk_id = s.chunk_id WHERE i = len(xs)""",
-    "section_segments": r"""WITH RECURSIVE r AS (SELECT DISTINCT document_id, raw_block_id, location_number, block_ordinal, text, coalesce(length(text), 0) AS n,
-  coalesce(length(text) BETWEEN 3 AND 120 AND NOT regexp_matches(text, '[.;,]$') AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND (regexp_matches(text, '^[\t\n\x0b\f\r ]*(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?|[IVXLC]+[.)-]|[A-Z][.)])[\t\n\x0b\f\r ]+\p{L}')
-  OR len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) >= 0.55), false) AS head FROM raw_blocks),
-o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY location_number, block_ordinal, raw_block_id) AS rn FROM r),
-s AS (SELECT document_id, rn, CAST(0 AS BIGINT) AS segment, n AS total FROM o WHERE rn = 1
+    "section_segments": _SEGMENTS + "SELECT * FROM sg",
+    "merged_sections": _SEGMENTS.rstrip()
+    + """, e AS (SELECT *, coalesce(characters, 0) >= 100 AS able, coalesce(characters, 0) + 2 AS room FROM sg),
+m AS (SELECT document_id, segment, CAST(0 AS BIGINT) AS section, room AS total FROM e WHERE segment = 0
   UNION ALL
-  SELECT o.document_id, o.rn, CASE WHEN o.head OR total + 2 + n > 2000 THEN segment + 1 ELSE segment END, CASE WHEN o.head OR total + 2 + n > 2000 THEN n ELSE total + 2 + n END FROM o JOIN s ON o.document_id = s.document_id AND o.rn = s.rn + 1)
-SELECT document_id, segment, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS characters, min(location_number) AS first_page, max(location_number) AS last_page FROM o JOIN s USING (document_id, rn) GROUP BY 1, 2""",
+  SELECT e.document_id, e.segment, CASE WHEN e.able = l.able AND total + e.room <= 4000 THEN section ELSE section + 1 END, CASE WHEN e.able = l.able AND total + e.room <= 4000 THEN total + e.room ELSE e.room END
+  FROM e JOIN m ON m.document_id = e.document_id AND e.segment = m.segment + 1 JOIN e l ON l.document_id = m.document_id AND l.segment = m.segment)
+SELECT document_id, section, count(*) AS segments, CAST(sum(blocks) AS BIGINT) AS blocks, bool_or(able) AS able, min(first_page) AS first_page, max(last_page) AS last_page FROM m JOIN e USING (document_id, segment) GROUP BY 1, 2""",
     "rendered_chunks": f"""WITH {_B}, {_C}, e AS (SELECT document_id, chunk_id, unnest(refs) AS r, unnest(range(len(refs))) AS i FROM c), x AS (SELECT e.document_id, e.chunk_id, i, block_type, trim(text, ' ') AS t, {_key("trim(text, ' ')")} AS k FROM e JOIN b ON b.document_id = e.document_id AND b.block_id = e.r.block_id WHERE trim(coalesce(text, ''), ' ') <> ''),
 y AS (SELECT *, CASE WHEN block_type = 'caption' THEN row_number() OVER (PARTITION BY document_id, chunk_id, block_type, k ORDER BY i) ELSE 1 END AS n FROM x), z AS (SELECT document_id, chunk_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM y WHERE n = 1 GROUP BY 1, 2) SELECT document_id, chunk_id, length(text) AS characters, sha256(text) AS sha256 FROM z""",
     "markdown_views": f"""WITH {_O}, l AS (SELECT document_id, page, ordinal, CASE block_type WHEN 'title' THEN '# ' || trim(text, ' ') WHEN 'heading' THEN '### ' || trim(text, ' ') WHEN 'list_item' THEN '- ' || trim(text, ' ') ELSE trim(text, ' ') END AS line FROM o WHERE trim(coalesce(text, ''), ' ') <> ''),

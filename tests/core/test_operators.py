@@ -89,6 +89,11 @@ def test_packing_and_budgets(spark):
     rows = [("d", 1, 60, "h1"), ("d", 2, 60, "h1"), ("d", 3, 50, "h2"), ("d", 4, 40, "h2"), ("d", 5, 0, "h3"), ("d", 6, 0, "h4")]
     picks = selection.budgeted(spark.createDataFrame(rows, "g string, i int, n int, h string"), ["g"], ["i"], "n", "h", 3, 100)
     assert [r.reason for r in picks.orderBy("i").collect()] == ["selected", "duplicate", "over_budget", "selected", "selected", "enough_items"]
+    tight = selection.budgeted(spark.createDataFrame(rows, "g string, i int, n int, h string"), ["g"], ["i"], "n", "h", 3, 100, tokens=20)
+    assert [r.reason for r in tight.orderBy("i").collect()] == ["selected", "duplicate", "over_budget", "over_budget", "selected", "selected"]
+    assert selection.short_groups(tight, ["g"], 3).count() == 0 and [r.selected for r in selection.short_groups(tight, ["g"], 4).collect()] == [3]
+    parts = spark.createDataFrame([("d", i, a, n) for i, (a, n) in enumerate([(True, 5), (True, 5), (True, 9), (False, 1), (None, 1)])], "g string, i int, a boolean, n int")
+    assert [r.section for r in structure.merged_segments(parts, ["g"], "i", "a", "n", 10).orderBy("i").collect()] == [0, 0, 1, 2, 3]
 
 
 def split_brute(text, most):
@@ -201,8 +206,8 @@ def test_inventory(spark):
     old = spark.createDataFrame([("a/x.pdf", "h1"), ("a/x.pptx", "old"), ("gone", None)], "path string, hash string")
     assert {r.path: r.state for r in inventory.reuse(df, old, "path", ["hash"]).collect()} == {"a/x.pdf": "current", "a/x.pptx": "stale", "b/y.PDF": "new", "c": "new"}
     assert {r.path: r.change for r in inventory.changes(old, df, "path", "hash").collect()} == {"a/x.pptx": "modified", "gone": "removed", "b/y.PDF": "added", "c": "added"}
-    pages = spark.createDataFrame([("d", 1, 100, 110), ("e", 1, 100, 80), ("f", 1, None, 5), ("g", 1, 10, 500)], "document_id string, page int, before int, after int")
-    assert {r.document_id: (r.outcome, r.gain) for r in inventory.scan_metrics(pages).collect()} == {"d": ("no_material_improvement", 10.0), "e": ("degraded", -20.0), "f": ("accepted", None), "g": ("accepted", 4900.0)}
+    pages = spark.createDataFrame([("d", 1, 100, 110), ("e", 1, 100, 80), ("f", 1, None, 5), ("g", 1, 10, 500), ("h", 1, 100, 300), ("h", 2, 10, 30)], "document_id string, page int, before int, after int")
+    assert {r.document_id: (r.outcome, r.gain) for r in inventory.scan_metrics(pages).collect()} == {"d": ("no_material_improvement", 10.0), "e": ("degraded", -20.0), "f": ("invalid", None), "g": ("accepted", 4900.0), "h": ("accepted_with_warnings", 200.0)}
 
 
 def test_multisets_and_quality(spark):
