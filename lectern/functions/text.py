@@ -58,12 +58,19 @@ NUMBER = rf"{_BEFORE}(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?){_AFTER}"
 SIGNED_NUMBER = rf"{_BEFORE}([<>≤≥±+\-]?\p{{Nd}}+(?:[.,]\p{{Nd}}+)?(?:\s*[%‰])?){_AFTER}"
 
 
-@lru_cache(maxsize=1)
-def _unsettled() -> str:
-    """A pattern of the characters that a composed, caseless form may change: marks, conjoining letters, and those whose own form or folding differs."""
-    changed = [c for c in range(0x80, 0x110000) if not 0xAC00 <= c <= 0xD7A3 and not 0xD800 <= c <= 0xDFFF and (not unicodedata.is_normalized("NFC", x := chr(c)) or x.casefold() != x.lower())]
+#: Nearly all text has none of these, which is told by two ranges; the rest is looked at closer.
+_BEYOND = r"[\u0300-\u2012\u2027-\x{10ffff}]"
+_BEYOND_FOLDED = r"[\u0130\u0149\u017f\u01f0\u0300-\u2012\u2027-\x{10ffff}]"
+
+
+@lru_cache(maxsize=2)
+def _unsettled(folded: bool) -> str:
+    """A pattern of the characters that the composed (or also folded) form may change: marks, conjoining letters, and those whose own form differs."""
+    differs = lambda x: not unicodedata.is_normalized("NFC", x) or (folded and x.casefold() != x.lower())
     runs: list[list[int]] = []
-    for c in changed:
+    for c in range(0xC0, 0x110000):
+        if 0xAC00 <= c <= 0xD7A3 or 0xD800 <= c <= 0xDFFF or c == 0xDF or not differs(chr(c)):
+            continue
         if runs and c == runs[-1][1] + 1:
             runs[-1][1] = c
         else:
@@ -79,19 +86,20 @@ def _caseless(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t).casefold() for t in text.to_pylist()], pa.string())
 
 
-def _settled(text: Column, plain: Column, rare) -> Column:
+def _settled(text: Column, plain: Column, rare, beyond: str, pattern: str) -> Column:
     """``plain``, but ``rare`` (an Arrow function) of texts with characters that need it; only those leave the JVM."""
-    return F.coalesce(F.arrow_udf(rare, "string")(F.when(text.rlike(_unsettled()), text)), plain)
+    return F.coalesce(F.arrow_udf(rare, "string")(F.when(text.rlike(beyond) & text.rlike(pattern), text)), plain)
 
 
 def nfc(text: Column) -> Column:
     """The text in composed form (NFC)."""
-    return _settled(text, text, _composed)
+    return _settled(text, text, _composed, _BEYOND, _unsettled(False))
 
 
 def fold_case(text: Column) -> Column:
     """The text composed and case-folded: what compares equal whatever its case."""
-    return _settled(text, F.lower(text), _caseless)
+    plain = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    return _settled(text, plain, _caseless, _BEYOND_FOLDED, _unsettled(True))
 
 
 def strip(text: Column) -> Column:

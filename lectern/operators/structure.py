@@ -41,7 +41,7 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 def furniture_key(block_type: str = "block_type", text: str = "text") -> Column:
     """The normalised text of headers and footers, null for other blocks and texts that say nothing."""
-    return F.when(F.col(block_type).isin("header", "footer"), F.nullif(X.normalize_text(F.col(text)), F.lit("")))
+    return F.nullif(X.normalize_text(F.when(F.col(block_type).isin("header", "footer"), F.col(text))), F.lit(""))
 
 
 def repeated_furniture(blocks: DataFrame, least: int = 2) -> DataFrame:

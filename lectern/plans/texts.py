@@ -153,7 +153,7 @@ _OUT = r"[^\p{L}\p{N}_]"
 
 def _fold(x: str) -> str:
     x = f"lower(nfc_normalize({x}))"
-    for a, b in {"ß": "ss", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}.items():
+    for a, b in {"ß": "ss", "µ": "μ", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}.items():
         x = f"replace({x}, '{a}', '{b}')"
     return x
 
