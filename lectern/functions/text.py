@@ -112,6 +112,11 @@ def line_ends(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n|[\r\u0085\u2028\u2029]", "\n")
 
 
+def blank(text: Column) -> Column:
+    """Whether a text says nothing: null, empty or white space of any kind."""
+    return ~F.coalesce(text.rlike(rf"[^{SPACE[1:-1]}]"), F.lit(False))
+
+
 def normalize_text(text: Column) -> Column:
     """The composed text with paragraphs (parted by blank lines) as single lines with single spaces, joined by a blank line. Null stays null."""
     lines = F.regexp_replace(nfc(text), "\r\n?", "\n")

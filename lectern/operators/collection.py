@@ -44,8 +44,7 @@ def eligibility(chunks: DataFrame, kinds: DataFrame) -> DataFrame:
     ``kinds``: ``document_id, chunk_id, block_type``, a row for each block.
     """
     furniture = kinds.groupBy("document_id", "chunk_id").agg(F.bool_and(F.coalesce(F.col("block_type").isin("header", "footer"), F.lit(False))).alias("furniture"))
-    empty = X.normalize_text(F.coalesce("text", F.lit(""))) == ""
-    c = chunks.withColumn("empty", empty).join(furniture, ["document_id", "chunk_id"], "left")
+    c = chunks.withColumn("empty", X.blank(F.col("text"))).drop("text").join(furniture, ["document_id", "chunk_id"], "left")
     conditions = [F.col("empty"), F.coalesce("n_references", F.lit(0)) == 0, F.coalesce("furniture", F.lit(False)), (F.col("chunk_type") == "figure_context") & F.col("empty")]
     reasons = F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in zip(EXCLUSIONS, conditions)]))
     return c.select("document_id", "chunk_id", (F.size(reasons) == 0).alias("eligible"), F.array_join(reasons, ",").alias("reasons"))

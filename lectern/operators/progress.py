@@ -89,3 +89,13 @@ def run_report(counted: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def export_entry(path: Column, sha256: Column, outcome: Column, tool: Column) -> Column:
     """Id of the entry of an export: equal for equal source, result and tool."""
     return X.identity(path, sha256, outcome, tool)
+
+
+def second_decisions(events: DataFrame, key: str, stamp: str, order: str, status: str, terminal: list[str]) -> DataFrame:
+    """``key, decisions, first_status``: what was decided more than once, though a decision ends the matter; the first one holds.
+
+    ``events`` is an append-only log; ties on the time go to the smaller ``order``.
+    """
+    ended = events.filter(F.col(status).isin(terminal))
+    g = ended.groupBy(key).agg(F.count(F.lit(1)).alias("decisions"), F.min_by(status, F.struct(stamp, order)).alias("first_status"))
+    return g.filter("decisions > 1")

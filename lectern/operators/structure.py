@@ -153,7 +153,7 @@ def duplicate_chunks(chunks: DataFrame, text: str = "text") -> DataFrame:
     The first is the smallest by (index, id), found by an aggregate per
     (document, text hash). Empty texts are never duplicates.
     """
-    c = chunks.filter(X.normalize_text(F.coalesce(F.col(text), F.lit(""))) != "").select("document_id", "chunk_id", "chunk_index", X.text_hash(F.col(text)).alias("hash"))
+    c = chunks.filter(~X.blank(F.col(text))).select("document_id", "chunk_id", "chunk_index", X.text_hash(F.col(text)).alias("hash"))
     first = c.groupBy("document_id", "hash").agg(F.min(F.struct("chunk_index", "chunk_id")).alias("f"))
     return c.join(first, ["document_id", "hash"]).filter(F.col("f.chunk_id") != F.col("chunk_id")).select("document_id", "chunk_id", F.col("f.chunk_id").alias("canonical_id"))
 

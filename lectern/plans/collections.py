@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
 from lectern.operators import collection as C
 from lectern.operators import normalizing as N
 from lectern.operators import progress as P
 from lectern.operators.auditing import accepted
-from lectern.operators.structure import duplicate_chunks
+from lectern.operators.structure import duplicate_chunks, reading_order
 from lectern.plans.audits import SQL as _AUDITS
 from lectern.plans.audits import audit_issues
 from lectern.plans.qualities import SQL as _QUALITIES
@@ -17,7 +18,6 @@ from lectern.plans.qualities import document_readiness
 from lectern.plans.structures import _B, _O, _blocks, _chunks
 from lectern.plans.texts import SQL as _TEXTS
 from lectern.plans.texts import _key, _normal, _strip, cleaning_decisions
-from lectern.operators.structure import reading_order
 from lectern.session import cut_lineage
 from lectern.sources.tables import latest, table
 
@@ -94,6 +94,25 @@ def export_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return _outcomes(spark, folder).select("document_id", "outcome", "tool", "characters")
 
 
+def export_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Exports by outcome; characters of exported ones only."""
+    done = F.col("outcome").isin("exported", "exported_with_warnings")
+    return _outcomes(spark, folder).groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.when(done, F.col("characters")).otherwise(0)).alias("characters"))
+
+
+def character_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Characters of every document's blocks: as they are in PDF files, without the white space around them in others."""
+    t = F.coalesce("text", F.lit(""))
+    sizes = _blocks(spark, folder, F.length(t).alias("whole"), F.length(X.strip(t)).alias("bare"))
+    d = _documents(spark, folder).select("document_id", "document_type")
+    size = F.when(F.col("document_type") == "pdf", F.col("whole")).otherwise(F.col("bare"))
+    return sizes.join(d, "document_id").groupBy("document_id").agg(F.sum(size).alias("characters"), F.count_if(F.col("bare") > 0).alias("texts"))
+
+
+def second_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return P.second_decisions(table(spark, folder, "events"), "user_id", "ts", "event_id", "event_type", ["purchase", "error"])
+
+
 def export_entries(spark: SparkSession, folder: str) -> DataFrame:
     return _outcomes(spark, folder).select("document_id", P.export_entry(F.col("source_relative_path"), F.col("document_id"), F.col("outcome"), F.col("tool")).alias("entry_id"), "document_type")
 
@@ -148,7 +167,7 @@ def chunk_lookup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_collection, collection_statistics, dataset_issues, stage_cascade, export_discovery, eligible_exports, export_outcomes, export_entries, reconstruction_states, preparation_report, raw_candidates, padded_ids, source_references, accepted_union, chunk_lookup,
+        chunk_collection, collection_statistics, dataset_issues, stage_cascade, export_discovery, eligible_exports, export_outcomes, export_summary, character_counts, second_decisions, export_entries, reconstruction_states, preparation_report, raw_candidates, padded_ids, source_references, accepted_union, chunk_lookup,
     )
 }
 
@@ -185,6 +204,9 @@ SELECT document_id, CASE WHEN a AND b AND e AND v THEN 'derivative' WHEN a AND b
 SELECT source_relative_path AS path, CASE WHEN m.path IS NULL THEN 'not_in_manifest' WHEN x.s <> 'exported' THEN 'not_successful' WHEN x.h IS DISTINCT FROM source_sha256 THEN 'hash_differs' ELSE 'ok' END AS state FROM cleaning_sidecars LEFT JOIN m ON m.path = source_relative_path""",
     "eligible_exports": f"WITH {_D} SELECT path AS source_relative_path, max(document_id) AS document_id FROM d WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('pdf', 'pptx') GROUP BY 1 ORDER BY 1 LIMIT 50",
     "export_outcomes": f"WITH {_OUT} SELECT document_id, outcome, tool, characters FROM o",
+    "export_summary": f"WITH {_OUT} SELECT outcome, count(*) AS documents, CAST(sum(CASE WHEN outcome IN ('exported', 'exported_with_warnings') THEN characters ELSE 0 END) AS BIGINT) AS characters FROM o GROUP BY 1",
+    "character_counts": f"WITH {_B}, {_D} SELECT b.document_id, CAST(sum(CASE WHEN kind = 'pdf' THEN length(coalesce(text, '')) ELSE length({_strip("coalesce(text, '')")}) END) AS BIGINT) AS characters, count(*) FILTER (length({_strip("coalesce(text, '')")}) > 0) AS texts FROM b JOIN d USING (document_id) GROUP BY 1",
+    "second_decisions": "SELECT user_id, count(*) AS decisions, arg_min(event_type, struct_pack(t := ts, i := event_id)) AS first_status FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1 HAVING count(*) > 1",
     "export_entries": f"WITH {_OUT} SELECT document_id, sha256(path || chr(1) || document_id || chr(1) || outcome || chr(1) || tool) AS entry_id, kind AS document_type FROM o",
     "reconstruction_states": f"WITH {_RECON} SELECT document_id, status FROM r",
     "preparation_report": f"""WITH {_RECON}, dr AS ({_QUALITIES["document_readiness"]}), cd AS ({_TEXTS["cleaning_decisions"]}), au AS ({_AUDITS["audit_issues"]})

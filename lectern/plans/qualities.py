@@ -9,7 +9,7 @@ from lectern.functions import text as X
 from lectern.operators import quality as Q
 from lectern.operators.cleaning import clean_pages
 from lectern.plans.structures import _B, _blocks, _chunks
-from lectern.plans.texts import _CLEANING, _SPACE
+from lectern.plans.texts import _CLEANING, _SPACE, _normal
 from lectern.sources.tables import latest, table
 
 
@@ -34,7 +34,7 @@ def chunk_checks(spark: SparkSession, folder: str) -> DataFrame:
     c = _chunks(spark, folder, "chunk_index", "text", "character_count", "token_estimate", "eligible", "exclusion_reasons", "refs", "normalized_text_hash")
     n = F.length(F.coalesce("text", F.lit("")))
     rules = {
-        "character_count": ~F.col("character_count").eqNullSafe(n), "token_estimate": F.col("token_estimate") != X.token_estimate(n), "eligible_with_reasons": F.col("eligible") & (F.size("exclusion_reasons") > 0),
+        "character_count": ~F.col("character_count").eqNullSafe(n), "token_estimate": F.col("token_estimate") != X.token_estimate(n), "eligible_with_reasons": F.col("eligible") & (F.size("exclusion_reasons") > 0), "ineligible_without_reasons": ~F.col("eligible") & (F.coalesce(F.size("exclusion_reasons"), F.lit(0)) == 0), "text_hash_differs": F.col("normalized_text_hash") != X.text_hash(F.coalesce("text", F.lit(""))), "no_references": F.coalesce(F.size("refs"), F.lit(0)) == 0,
         "repeated_block": F.size(F.array_distinct("refs.block_id")) < F.size("refs.block_id"), "no_text": n == 0,
     }
     return Q.broken(c, "document_id", F.col("chunk_id"), rules).unionByName(Q.numbering_gaps(c, "document_id", "chunk_index", "index_not_contiguous"))
@@ -66,9 +66,10 @@ def document_readiness(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (integrity_issues, chunk_checks, issue_rollup, location_readiness, document_readiness)}
 
-_CHECKS = """ck AS (SELECT document_id, chunk_id, arg_max(struct_pack(text := text, cc := character_count, te := token_estimate, el := eligible, er := exclusion_reasons, refs := refs, ix := chunk_index), generated_at) AS s FROM chunks GROUP BY 1, 2),
+_CHECKS = f"""ck AS (SELECT document_id, chunk_id, arg_max(struct_pack(text := text, cc := character_count, te := token_estimate, el := eligible, er := exclusion_reasons, refs := refs, ix := chunk_index, nh := normalized_text_hash), generated_at) AS s FROM chunks GROUP BY 1, 2),
 cc AS (SELECT document_id, chunk_id, s.*, length(coalesce(s.text, '')) AS n FROM ck),
 issues AS (SELECT document_id, chunk_id AS item, 'character_count' AS rule FROM cc WHERE cc IS DISTINCT FROM n UNION ALL SELECT document_id, chunk_id, 'token_estimate' FROM cc WHERE te <> (n + 3) // 4 UNION ALL SELECT document_id, chunk_id, 'eligible_with_reasons' FROM cc WHERE el AND len(er) > 0
+UNION ALL SELECT document_id, chunk_id, 'ineligible_without_reasons' FROM cc WHERE NOT el AND coalesce(len(er), 0) = 0 UNION ALL SELECT document_id, chunk_id, 'text_hash_differs' FROM cc WHERE nh <> sha256({_normal("coalesce(text, '')")}) UNION ALL SELECT document_id, chunk_id, 'no_references' FROM cc WHERE coalesce(len(refs), 0) = 0
 UNION ALL SELECT document_id, chunk_id, 'repeated_block' FROM cc WHERE len(list_distinct(list_transform(refs, lambda r: r.block_id))) < len(refs) UNION ALL SELECT document_id, chunk_id, 'no_text' FROM cc WHERE n = 0
 UNION ALL SELECT document_id, '', 'index_not_contiguous' FROM cc GROUP BY 1 HAVING min(ix) <> 0 OR max(ix) <> count(*) - 1 OR count(DISTINCT ix) <> count(*))"""
 
