@@ -79,7 +79,7 @@ def _built(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut_lineage(latest(table(spark, folder, "sections"), ["document_id", "section_id"], "ingested_at", ["document_id", "section_id", "parent_section_id", "title", "level"]))
     paths = hierarchy(rows, "document_id", "section_id", "parent_section_id", "title").nodes.select("document_id", "section_id", "path")
     sections = rows.select("document_id", "section_id", "level").join(paths, ["document_id", "section_id"], "left")
-    return building.build(cut_lineage(S.reading_order(kept)), openings, _blocks(spark, folder, text), sections, FLAGSHIP)
+    return building.build(cut_lineage(S.reading_order(kept)), openings, _blocks(spark, folder, "block_type", "text").select("document_id", "block_id", text), sections, FLAGSHIP)
 
 
 def built_chunks(spark: SparkSession, folder: str) -> DataFrame:
