@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.ordering import fold
+from lectern.session import cut_lineage
 
 #: Budgets of a selection.
 BUDGET = {"items": 10, "characters": 12_000, "tokens": 3_000}
 
+#: Classes of equal sets, or sets that have to be compared, that are broadcast at most.
+SETS = 50_000
+
 
 def topic_matches(terms: list[str], *texts: str) -> Column:
     """How many of the terms stand in the texts, case aside."""
@@ -65,6 +69,11 @@ def best(rows: DataFrame, keys: list[str], order: list[Column], columns: list[st
     return rows.groupBy(*keys).agg(F.max(rank).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in columns])
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """The right side of a join: broadcast if it has at most ``SETS`` rows, which are counted; else merged by shuffle, whatever its size is taken to be."""
+    return F.broadcast(df) if df.count() <= SETS else df.hint("merge")
+
+
 def similar_sets(rows: DataFrame, group: str, key: str, tokens: str, least: float) -> DataFrame:
     """``group, left_key, right_key, similarity``: pairs of rows of a group whose token sets have at least the similarity ``least``, left being the smaller key.
 
@@ -75,23 +84,35 @@ def similar_sets(rows: DataFrame, group: str, key: str, tokens: str, least: floa
     token among the first ``n - ceil(least * n) + 1``; only such pairs meet,
     through an equi-join on (group, token), and those of sizes too far apart
     are left out. Exact: every candidate is verified. Empty sets and null groups pair with none.
+
+    Classes are numbered and written once. Tokens meet by a hash of (group,
+    token) and carry the number only: hashes that coincide make a candidate
+    more, never one less, as the order of tokens starts with what is counted
+    by hash. A token that no other set of its group has takes its place in the
+    prefix but is not joined. Spark plans by the size of the files, which
+    exploded tokens exceed many times over, so no join here is left to its
+    estimate: what is not counted is merged by shuffle.
     """
-    sets = rows.filter(F.col(group).isNotNull() & (F.size(tokens) > 0)).select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_sort(F.array_distinct(F.col(tokens))).alias("t"))
-    ident = F.sha2(F.array_join("t", "\u0001"), 256)
-    classed = sets.withColumn("h", ident)
-    heads = classed.groupBy("g", "h").agg(F.min("k").alias("k"), F.first("t").alias("t"))
-    copies = classed.select("g", "h", F.col("k").alias("other")).join(heads.select("g", "h", "k"), ["g", "h"]).filter("k <> other").select("g", F.col("k").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("similarity"))
-    n = F.size("t")
-    each = heads.select("g", "h", F.explode("t").alias("w"))
-    often = each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("f"))
-    ordered = each.join(often, ["g", "w"]).groupBy("g", "h").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("by"))
-    prefix = F.slice(F.col("by.w"), F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)
-    signed = heads.join(ordered, ["g", "h"]).select("g", "k", "t", n.alias("n"), F.explode(prefix).alias("w"))
-    left, right = signed.select("g", "w", F.col("k").alias("a"), F.col("t").alias("ta"), F.col("n").alias("na")), signed.select("g", "w", F.col("k").alias("b"), F.col("t").alias("tb"), F.col("n").alias("nb"))
-    met = left.join(right, ["g", "w"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")))
-    once = met.dropDuplicates(["g", "a", "b"])
+    sets = rows.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_sort(F.array_distinct(F.col(tokens))).alias("t"))
+    classed = sets.withColumn("h", F.coalesce(F.sha2(F.array_join("t", "\u0001"), 256), F.lit("")))
+    classes = classed.groupBy("g", "h").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.count(F.lit(1)).alias("members")).filter(F.size("t") > 0)
+    heads = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
+    several = heads.filter("members > 1").select("g", "h", F.col("k").alias("a"))
+    copies = classed.select("g", "h", F.col("k").alias("b")).join(_counted(several), ["g", "h"]).filter("a <> b").select("g", "a", "b", F.lit(1.0).alias("similarity"))
+    each = heads.select("id", F.size("t").alias("n"), "g", F.explode("t").alias("w")).select("id", "n", "w", F.xxhash64("g", "w").alias("gw"))
+    often = each.groupBy("gw").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = each.join(often.hint("merge"), "gw").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "gw", "w"))).alias("by"))
+    room = F.size("by") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1
+    signed = shared.filter(room > 0).select("id", "n", F.explode(F.slice(F.col("by.gw"), F.lit(1), room)).alias("gw"))
+    left, right = signed.select("gw", F.col("id").alias("ia"), F.col("n").alias("na")), signed.select("gw", F.col("id").alias("ib"), F.col("n").alias("nb"))
+    met = left.join(right.hint("merge"), "gw").filter((F.col("ia") < F.col("ib")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")))
+    once = cut_lineage(met.select("ia", "ib").distinct())
+    wanted = once.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
+    texts = heads.select("id", "g", "k", "t").join(_counted(wanted), "id", "left_semi")
+    first, second = texts.select(F.col("id").alias("ia"), "g", F.col("k").alias("ka"), F.col("t").alias("ta")), texts.select(F.col("id").alias("ib"), F.col("g").alias("gb"), F.col("k").alias("kb"), F.col("t").alias("tb"))
+    both = once.join(first.hint("merge"), "ia").join(second.hint("merge"), "ib").filter("g = gb and ka <> kb")
     similarity = F.size(F.array_intersect("ta", "tb")).cast("double") / F.size(F.array_union("ta", "tb"))
-    near = once.select("g", "a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    near = both.select("g", F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") >= least)
     return near.unionByName(copies).select(F.col("g").alias(group), F.col("a").alias("left_key"), F.col("b").alias("right_key"), F.round("similarity", 6).alias("similarity"))
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.functions import text as X
 from lectern.functions.labels import clean_path, language_code, source_of
 from lectern.operators import association, cleaning, inventory, matching, multisets, ordering, progress, quality, selection, structure
@@ -198,6 +199,32 @@ def test_similar_sets_against_all_pairs(spark):
     assert got == true and true
 
 
+def test_similar_sets_broadcasts_only_what_is_counted(spark, monkeypatch, tmp_path):
+    r = random.Random(5)
+    base = [r.sample(range(400), 40) for _ in range(5)]
+    rows = [("g", f"k{i:03}", [f"w{x}" for x in sorted({*r.choice(base), *r.sample(range(400), i % 7)})]) for i in range(150)]
+    rows += [("h", "k000", rows[0][2]), ("h", "k001", [f"u{x}" for x in range(30)]), ("h", "k002", None), (None, "k003", rows[0][2])]
+    spark.createDataFrame(rows, "g string, k string, t array<string>").write.parquet(f"{tmp_path}/sets.parquet")
+    df, plans, cut = spark.read.parquet(f"{tmp_path}/sets.parquet"), [], session.cut_lineage
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(selection, "cut_lineage", lambda x: (plans.append(plan(x)), cut(x))[1], raising=False)
+    found = []
+    for most in (1_000, 0):
+        monkeypatch.setattr(selection, "SETS", most, raising=False)
+        plans.clear()
+        out = selection.similar_sets(df, "g", "k", "t", 0.85)
+        found.append(sorted(map(tuple, out.collect())))
+        plans.append(plan(out))
+    assert not any("Broadcast" in x for x in plans)
+    heads, true = {}, []
+    for g, k, t in rows:
+        if g and t and heads.setdefault((g, tuple(t)), k) != k:
+            true.append((g, heads[g, tuple(t)], k, 1.0))
+    for (g, a), ka in heads.items():
+        true += [(g, ka, kb, round(s, 6)) for (h, b), kb in heads.items() if g == h and ka < kb and (s := len({*a} & {*b}) / len({*a} | {*b})) >= 0.85]
+    assert found == [sorted(true)] * 2 and {x[3] < 1 for x in true} == {True, False}
+
+
 def test_inventory(spark):
     df = spark.createDataFrame([("a/x.pdf", "h1", 5), ("a/x.pptx", "h2", 9), ("b/y.PDF", "h1", None), ("c", None, 1)], "path string, hash string, size int").selectExpr("*", "1 as _there", "2 as copies")
     assert {(r.name, r.copies, r.first_name) for r in inventory.duplicates(df.withColumnRenamed("path", "name").drop("copies"), "hash", "name").collect()} == {("a/x.pdf", 2, "a/x.pdf"), ("b/y.PDF", 2, "a/x.pdf")}
